@@ -1,0 +1,126 @@
+"""DuckDB oracle SQL, written from the reference semantics (not from our plans).
+
+Staging uses ``row_number`` over the landed rows (``distinct on`` in the
+reference), rolling windows use the literal range join on a step spine, and
+dimensions use ``grouping sets``. Payload fields appear as typed columns
+``p_<path>`` (dots become underscores).
+"""
+
+from __future__ import annotations
+
+from tallyspark.fixtures import RESOURCES, TENANT, flat_name
+
+EV = ("select event_id, ts, user_id, event_type, value, "
+      "cast(json_extract_string(props, '$.k') as bigint) as k from events")
+
+
+def src_sql(resource: str) -> str:
+    """Typed columns of every landed snapshot of ``resource`` (no JSON)."""
+    _, _, fields = RESOURCES[resource]
+    cols = []
+    for path, kind, rule in fields:
+        name = "p_" + flat_name(path)
+        if kind == "int":
+            cols.append(f"cast(({rule}) as bigint) as {name}")
+        elif kind == "num":
+            cols.append(f"cast(({rule}) as double) as {name}")
+        elif kind == "obj":
+            cols.append(f"coalesce(({rule}), false) as {name}")
+        else:
+            cols.append(f"({rule}) as {name}")
+    return (f"select {TENANT} as tenant_id, event_id as id, ts as fetched_at, "
+            + ", ".join(cols) + f" from ({EV}) ev")
+
+
+def latest(resource: str, key: str, where: str = "true") -> str:
+    return (f"select * from ({src_sql(resource)}) s where {key} is not null and ({where}) "
+            f"qualify row_number() over (partition by tenant_id, {key} "
+            f"order by fetched_at desc, id desc) = 1")
+
+
+REPO = "nullif(concat(p_org, '/', p_repo), '/')"
+
+
+def stg(resource: str) -> str:
+    if resource == "pull_requests":
+        return f"""
+select tenant_id, p_node_id as pr_node_id, cast(p_number as integer) as pr_number, p_title as title,
+  p_state as state, p_created_at as created_at, p_closed_at as closed_at, p_merged_at as merged_at,
+  case when p_merged_at is not null and p_created_at is not null
+       then (epoch_us(p_merged_at) - epoch_us(p_created_at)) / 1e6 / 3600.0 end as cycle_time_hours,
+  regexp_matches(coalesce(p_title, ''), '^revert([[:space:][:punct:]]|$)', 'i') as is_revert,
+  p_user_login as author_login,
+  coalesce(p_base_repo_full_name, {REPO}) as repo, fetched_at
+from ({latest(resource, 'p_node_id')}) d"""
+    if resource == "reviews":
+        return f"""
+select tenant_id, p_node_id as review_node_id, p_id as review_id, p_state as state,
+  p_submitted_at as submitted_at, p_user_login as reviewer_login,
+  cast(p_pull_request_number as integer) as pull_request_number, {REPO} as repo, fetched_at
+from ({latest(resource, 'p_node_id', "p_submitted_at is not null and coalesce(p_state, '') <> 'PENDING'")}) d"""
+    if resource == "releases":
+        return f"""
+select tenant_id, p_node_id as release_node_id, p_id as release_id, p_tag_name as tag_name,
+  p_name as release_name, coalesce(p_draft, false) as is_draft, coalesce(p_prerelease, false) as is_prerelease,
+  p_created_at as created_at, p_published_at as published_at, p_author_login as author_login,
+  {REPO} as repo, fetched_at
+from ({latest(resource, 'p_node_id')}) d"""
+    if resource == "issues":
+        return f"""
+select tenant_id, p_node_id as issue_node_id, cast(p_number as integer) as issue_number, p_title as title,
+  p_state as state, p_state_reason as state_reason, p_created_at as created_at,
+  p_updated_at as updated_at, p_closed_at as closed_at, p_user_login as author_login,
+  p_assignee_login as assignee_login, p_html_url as html_url, {REPO} as repo, fetched_at
+from ({latest(resource, 'p_node_id', 'not p_pull_request')}) d"""
+    if resource == "issue_comments":
+        return f"""
+select tenant_id, p_node_id as comment_node_id, p_id as comment_id, p_created_at as created_at,
+  p_updated_at as updated_at, p_user_login as author_login,
+  cast(p_issue_number as integer) as issue_number, {REPO} as repo, fetched_at
+from ({latest(resource, 'p_node_id', 'p_created_at is not null')}) d"""
+    if resource == "pull_request_review_comments":
+        return f"""
+select tenant_id, p_node_id as comment_node_id, p_id as comment_id, p_created_at as created_at,
+  p_updated_at as updated_at, p_user_login as author_login,
+  cast(p_pull_request_number as integer) as pull_request_number,
+  p_pull_request_review_id as pull_request_review_id, p_path as file_path, {REPO} as repo, fetched_at
+from ({latest(resource, 'p_node_id', 'p_created_at is not null')}) d"""
+    if resource == "workflow_runs":
+        return f"""
+select tenant_id, p_node_id as run_node_id, p_id as run_id, p_name as workflow_name,
+  p_status as run_status, p_conclusion as conclusion, p_event as trigger_event,
+  cast(p_run_number as integer) as run_number, p_created_at as created_at, p_updated_at as updated_at,
+  coalesce(p_actor_login, p_triggering_actor_login) as actor_login, p_head_branch as head_branch,
+  p_head_sha as head_sha, {REPO} as repo, fetched_at
+from ({latest(resource, 'p_node_id')}) d"""
+    if resource == "linear_issues":
+        return f"""
+select tenant_id, p_id as issue_id, p_identifier as identifier, p_title as title,
+  p_state_name as state_name, p_state_type as state_type, p_createdAt as created_at,
+  p_updatedAt as updated_at, p_completedAt as completed_at, p_canceledAt as canceled_at,
+  cast(p_priority as integer) as priority, cast(p_estimate as decimal(18,4)) as estimate, p_url as url,
+  p_team_key as team_key,
+  coalesce(p_creator_email, p_creator_displayName, p_creator_name) as creator,
+  coalesce(p_assignee_email, p_assignee_name) as assignee, fetched_at
+from ({latest(resource, 'p_id')}) d"""
+    if resource == "linear_comments":
+        return f"""
+select tenant_id, p_id as comment_id, p_createdAt as created_at, p_updatedAt as updated_at,
+  p_editedAt as edited_at, coalesce(p_issueId, p_issue_id) as issue_id,
+  p_issue_identifier as issue_identifier, p_project_id as project_id,
+  coalesce(p_user_id, p_user_email, p_externalUser_id) as author_id, fetched_at
+from ({latest(resource, 'p_id')}) d"""
+    if resource == "linear_projects":
+        return f"""
+select tenant_id, p_id as project_id, p_name as project_name, p_url as url,
+  p_createdAt as created_at, p_updatedAt as updated_at, p_startedAt as started_at,
+  p_completedAt as completed_at, p_canceledAt as canceled_at, p_status_name as status_name,
+  p_status_type as status_type, coalesce(p_lead_id, p_lead_email) as lead_id, fetched_at
+from ({latest(resource, 'p_id')}) d"""
+    if resource == "linear_description_edits":
+        return f"""
+select tenant_id, p_id as edit_id, p_createdAt as edited_at, coalesce(p_issue_id, p_issueId) as issue_id,
+  p_issue_identifier as issue_identifier,
+  coalesce(p_descriptionUpdatedBy, p_actor_id, p_actor_email) as editor_id, fetched_at
+from ({latest(resource, 'p_id', 'coalesce(p_updatedDescription, false)')}) d"""
+    raise KeyError(resource)
