@@ -124,3 +124,53 @@ select tenant_id, p_id as edit_id, p_createdAt as edited_at, coalesce(p_issue_id
   coalesce(p_descriptionUpdatedBy, p_actor_id, p_actor_email) as editor_id, fetched_at
 from ({latest(resource, 'p_id', 'coalesce(p_updatedDescription, false)')}) d"""
     raise KeyError(resource)
+
+
+# --- order-based adapters ---------------------------------------------------------
+FX_PR = """
+select cast(c.c_nationkey as varchar) as tenant_id, cast(o.o_orderkey as varchar) as pr_node_id,
+  o.o_orderkey as pr_number, po.title,
+  case when o.o_orderstatus = 'O' then 'open' else 'closed' end as state,
+  o.o_orderdate as created_at,
+  case when o.o_orderstatus <> 'O' then po.last_ship end as closed_at,
+  case when o.o_orderstatus = 'F' then po.last_ship end as merged_at,
+  case when o.o_orderstatus = 'F' and po.last_ship is not null
+       then (epoch_us(po.last_ship) - epoch_us(o.o_orderdate)) / 3.6e9 end as cycle_time_hours,
+  regexp_matches(coalesce(po.title, ''), '^economy([[:space:][:punct:]]|$)', 'i') as is_revert,
+  cast(o.o_custkey as varchar) as author_login,
+  case when o.o_orderkey % 97 = 0 then null else o.o_orderpriority end as repo,
+  o.o_orderdate as fetched_at
+from orders o left join customer c on o.o_custkey = c.c_custkey
+left join (select l_orderkey, max(l_shipdate) as last_ship, min(p_type) as title
+           from lineitem left join part on l_partkey = p_partkey group by l_orderkey) po
+  on o.o_orderkey = po.l_orderkey"""
+
+FX_REVIEW = """
+select cast(c.c_nationkey as varchar) as tenant_id,
+  concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as review_node_id,
+  l_partkey as review_id,
+  case when l_returnflag = 'A' then 'APPROVED' else 'COMMENTED' end as state,
+  l_shipdate as submitted_at, cast(l_suppkey as varchar) as reviewer_login,
+  l_orderkey as pull_request_number,
+  case when o_orderkey % 97 = 0 then null else o_orderpriority end as repo,
+  l_shipdate as fetched_at
+from lineitem join orders on l_orderkey = o_orderkey left join customer c on o_custkey = c.c_custkey
+where l_returnflag <> 'N'"""
+
+REVIEW_MATCH = """p.tenant_id = r.tenant_id and r.repo is not distinct from p.repo
+  and p.pr_number = r.pull_request_number
+  and (p.author_login is null or r.reviewer_login is distinct from p.author_login)"""
+
+FIRST_REVIEW = f"""
+select p.tenant_id, p.pr_node_id, min(r.submitted_at) as first_review_at,
+  cast(count(r.review_node_id) as integer) as review_count
+from ({FX_PR}) p left join ({FX_REVIEW}) r on {REVIEW_MATCH}
+group by p.tenant_id, p.pr_node_id"""
+
+PR_ENTITY = f"""
+select p.tenant_id, p.pr_node_id as id, p.repo, p.author_login as author_id,
+  case when p.merged_at is not null then 'merged' when p.state = 'closed' then 'closed' else 'open' end as state,
+  cast(null as integer) as additions, cast(null as integer) as deletions,
+  cast(coalesce(f.review_count, 0) as integer) as review_count, p.is_revert,
+  p.created_at as opened_at, f.first_review_at, p.merged_at, p.closed_at, p.fetched_at
+from ({FX_PR}) p left join ({FIRST_REVIEW}) f on p.tenant_id = f.tenant_id and p.pr_node_id = f.pr_node_id"""

@@ -71,3 +71,167 @@ def raw_stage(spark, sf, resource):
 
 
 _ = F  # re-exported helpers for later sections
+
+
+# --- C1-C4 entities, D1-D12 marts ---------------------------------------------------
+from tallyspark.operators import entities as C  # noqa: E402
+from tallyspark.operators import marts as D  # noqa: E402
+
+
+def prs_reviews(spark, sf):
+    return FX.fx_pr(spark, sf), FX.fx_review(spark, sf)
+
+
+def pr_entity(spark, sf):
+    return C.entity_pull_request(*prs_reviews(spark, sf))
+
+
+q("pr_first_review", O.FIRST_REVIEW)(lambda s, sf: C.pr_first_review(*prs_reviews(s, sf)))
+q("entity_pull_request", O.PR_ENTITY)(pr_entity)
+q("entity_release", f"""
+select tenant_id, release_node_id as id, repo, author_login as author_id, tag_name, release_name,
+  is_draft, is_prerelease, created_at, published_at, fetched_at from ({O.stg('releases')}) s""")(
+    lambda s, sf: C.entity_release(raw_stage(s, sf, "releases")))
+q("entity_review", f"""
+select tenant_id, review_node_id as id, review_id, state, submitted_at, reviewer_login as reviewer_id,
+  pull_request_number, repo, fetched_at from ({O.stg('reviews')}) s""")(
+    lambda s, sf: C.entity_review(raw_stage(s, sf, "reviews")))
+
+q("mart_pr_activity", f"""
+with prs as ({O.FX_PR}), a as (
+  select tenant_id, cast(created_at as date) as d, 1 as o, 0 as m, 0 as c from prs where created_at is not null
+  union all select tenant_id, cast(merged_at as date), 0, 1, 0 from prs where merged_at is not null
+  union all select tenant_id, cast(closed_at as date), 0, 0, 1 from prs where closed_at is not null and merged_at is null)
+select tenant_id, d as activity_date, cast(sum(o) as integer) as prs_opened,
+  cast(sum(m) as integer) as prs_merged, cast(sum(c) as integer) as prs_closed
+from a group by tenant_id, d""")(lambda s, sf: D.mart_pr_activity(FX.fx_pr(s, sf)))
+
+q("mart_pr_cycle_time", f"""
+select tenant_id, cast(merged_at as date) as activity_date, cast(count(*) as integer) as prs_merged,
+  quantile_cont(cycle_time_hours, 0.5) as median_cycle_time_hours,
+  avg(cycle_time_hours) as avg_cycle_time_hours,
+  quantile_cont(cycle_time_hours, 0.9) as p90_cycle_time_hours
+from ({O.FX_PR}) p
+where merged_at is not null and cycle_time_hours is not null and cycle_time_hours >= 0
+group by tenant_id, cast(merged_at as date)""")(lambda s, sf: D.mart_pr_cycle_time(FX.fx_pr(s, sf)))
+
+q("mart_review_latency", f"""
+with prs as ({O.FX_PR}), reviews as ({O.FX_REVIEW}),
+fr as (
+  select p.tenant_id, p.pr_node_id, p.created_at, min(r.submitted_at) as first_reviewed_at,
+    (epoch_us(min(r.submitted_at)) - epoch_us(p.created_at)) / 3.6e9 as h
+  from prs p join reviews r on {O.REVIEW_MATCH}
+  where p.created_at is not null
+  group by p.tenant_id, p.pr_node_id, p.created_at),
+fd as (
+  select tenant_id, cast(first_reviewed_at as date) as activity_date, cast(count(*) as integer) as n,
+    quantile_cont(h, 0.5) as med
+  from fr where first_reviewed_at is not null and h is not null and h >= 0
+  group by tenant_id, cast(first_reviewed_at as date)),
+rd as (
+  select tenant_id, cast(submitted_at as date) as activity_date, cast(count(*) as integer) as n
+  from reviews where submitted_at is not null group by tenant_id, cast(submitted_at as date))
+select coalesce(f.tenant_id, r.tenant_id) as tenant_id, coalesce(f.activity_date, r.activity_date) as activity_date,
+  cast(coalesce(f.n, 0) as integer) as prs_first_reviewed, f.med as median_time_to_first_review_hours,
+  cast(coalesce(r.n, 0) as integer) as reviews_submitted
+from fd f full outer join rd r on f.tenant_id = r.tenant_id and f.activity_date = r.activity_date""")(
+    lambda s, sf: D.mart_review_latency(*prs_reviews(s, sf)))
+
+q("mart_change_failure", f"""
+select tenant_id, cast(merged_at as date) as activity_date, cast(count(*) as integer) as prs_merged,
+  cast(count(*) filter (where is_revert) as integer) as prs_reverted,
+  case when count(*) = 0 then null else (count(*) filter (where is_revert))::double / count(*)::double end
+    as change_failure_rate
+from ({O.FX_PR}) p where merged_at is not null group by tenant_id, cast(merged_at as date)""")(
+    lambda s, sf: D.mart_change_failure(FX.fx_pr(s, sf)))
+
+q("mart_deployment_frequency", f"""
+select tenant_id, cast(published_at as date) as activity_date, cast(count(*) as integer) as releases_published,
+  cast(count(*) filter (where not is_prerelease) as integer) as production_releases
+from ({O.stg('releases')}) s where not is_draft and published_at is not null
+group by tenant_id, cast(published_at as date)""")(
+    lambda s, sf: D.mart_deployment_frequency(raw_stage(s, sf, "releases")))
+
+q("mart_review_comments", f"""
+select tenant_id, cast(created_at as date) as activity_date, cast(count(*) as integer) as review_comments_created
+from ({O.stg('pull_request_review_comments')}) s where created_at is not null
+group by tenant_id, cast(created_at as date)""")(
+    lambda s, sf: D.mart_review_comments(raw_stage(s, sf, "pull_request_review_comments")))
+
+q("mart_workflow_runs", f"""
+with runs as ({O.stg('workflow_runs')}), a as (
+  select tenant_id, cast(created_at as date) as d, 1 as st, 0 as co, 0 as su, 0 as fa from runs where created_at is not null
+  union all
+  select tenant_id, cast(updated_at as date), 0, 1,
+    case when lower(coalesce(conclusion, '')) = 'success' then 1 else 0 end,
+    case when lower(coalesce(conclusion, '')) in ('failure', 'timed_out', 'cancelled') then 1 else 0 end
+  from runs where updated_at is not null and lower(coalesce(run_status, '')) = 'completed')
+select tenant_id, d as activity_date, cast(sum(st) as integer) as runs_started,
+  cast(sum(co) as integer) as runs_completed, cast(sum(su) as integer) as runs_success,
+  cast(sum(fa) as integer) as runs_failure
+from a group by tenant_id, d""")(lambda s, sf: D.mart_workflow_runs(raw_stage(s, sf, "workflow_runs")))
+
+q("mart_ticket_activity", f"""
+with g as ({O.stg('issues')}), l as ({O.stg('linear_issues')}), a as (
+  select tenant_id, 'github' as source, cast(created_at as date) as d, 1 as cr, 0 as cp, 0 as ca from g where created_at is not null
+  union all select tenant_id, 'github', cast(closed_at as date), 0, 1, 0 from g
+    where closed_at is not null and coalesce(state_reason, '') <> 'not_planned'
+  union all select tenant_id, 'github', cast(closed_at as date), 0, 0, 1 from g
+    where closed_at is not null and state_reason = 'not_planned'
+  union all select tenant_id, 'linear', cast(created_at as date), 1, 0, 0 from l where created_at is not null
+  union all select tenant_id, 'linear', cast(completed_at as date), 0, 1, 0 from l where completed_at is not null
+  union all select tenant_id, 'linear', cast(canceled_at as date), 0, 0, 1 from l where canceled_at is not null)
+select tenant_id, d as activity_date, source, cast(sum(cr) as integer) as tickets_created,
+  cast(sum(cp) as integer) as tickets_completed, cast(sum(ca) as integer) as tickets_canceled
+from a group by tenant_id, d, source""")(
+    lambda s, sf: D.mart_ticket_activity(raw_stage(s, sf, "issues"), raw_stage(s, sf, "linear_issues")))
+
+q("mart_ticket_comments", f"""
+with a as (
+  select tenant_id, 'github' as source, cast(created_at as date) as d from ({O.stg('issue_comments')}) g
+  where created_at is not null
+  union all
+  select tenant_id, 'linear', cast(created_at as date) from ({O.stg('linear_comments')}) l
+  where created_at is not null)
+select tenant_id, d as activity_date, source, cast(count(*) as integer) as comments_created
+from a group by tenant_id, d, source""")(
+    lambda s, sf: D.mart_ticket_comments(raw_stage(s, sf, "issue_comments"), raw_stage(s, sf, "linear_comments")))
+
+q("mart_project_activity", f"""
+with p as ({O.stg('linear_projects')}), a as (
+  select tenant_id, cast(created_at as date) as d, 1 as cr, 0 as cp, 0 as ca from p where created_at is not null
+  union all select tenant_id, cast(completed_at as date), 0, 1, 0 from p where completed_at is not null
+  union all select tenant_id, cast(canceled_at as date), 0, 0, 1 from p where canceled_at is not null)
+select tenant_id, d as activity_date, 'linear' as source, cast(sum(cr) as integer) as projects_created,
+  cast(sum(cp) as integer) as projects_completed, cast(sum(ca) as integer) as projects_canceled
+from a group by tenant_id, d""")(lambda s, sf: D.mart_project_activity(raw_stage(s, sf, "linear_projects")))
+
+q("mart_description_edits", f"""
+select tenant_id, cast(edited_at as date) as activity_date, 'linear' as source,
+  cast(count(*) as integer) as description_edits
+from ({O.stg('linear_description_edits')}) e where edited_at is not null
+group by tenant_id, cast(edited_at as date)""")(
+    lambda s, sf: D.mart_description_edits(raw_stage(s, sf, "linear_description_edits")))
+
+FCT_TICKETS_SQL = f"""
+with g as ({O.stg('issues')}), l as ({O.stg('linear_issues')}), c as (
+  select tenant_id, 'github' as source, issue_node_id as external_id,
+    concat(repo, '#', cast(issue_number as varchar)) as external_key, title, html_url as url,
+    state as raw_state,
+    case when state = 'open' then 'open' when state = 'closed' and state_reason = 'not_planned' then 'canceled'
+         when state = 'closed' then 'done' else 'open' end as status,
+    author_login as creator, assignee_login as assignee, created_at, updated_at, closed_at as completed_at,
+    cast(null as timestamp) as canceled_at, cast(null as varchar) as team, cast(null as integer) as priority,
+    cast(null as decimal(18,4)) as estimate
+  from g
+  union all
+  select tenant_id, 'linear', issue_id, identifier, title, url, coalesce(state_name, state_type),
+    case when state_type = 'started' then 'in_progress' when state_type = 'completed' then 'done'
+         when state_type = 'canceled' then 'canceled' else 'open' end,
+    creator, assignee, created_at, updated_at, completed_at, canceled_at, team_key, priority, estimate
+  from l)
+select tenant_id, source || ':' || external_id as ticket_uid, source, external_id, external_key, title, url,
+  raw_state, status, creator, assignee, created_at, updated_at, completed_at, canceled_at, team, priority, estimate
+from c"""
+q("fct_tickets", FCT_TICKETS_SQL)(
+    lambda s, sf: D.fct_tickets(raw_stage(s, sf, "issues"), raw_stage(s, sf, "linear_issues")))
