@@ -174,3 +174,13 @@ select p.tenant_id, p.pr_node_id as id, p.repo, p.author_login as author_id,
   cast(coalesce(f.review_count, 0) as integer) as review_count, p.is_revert,
   p.created_at as opened_at, f.first_review_at, p.merged_at, p.closed_at, p.fetched_at
 from ({FX_PR}) p left join ({FIRST_REVIEW}) f on p.tenant_id = f.tenant_id and p.pr_node_id = f.pr_node_id"""
+
+FX_INCIDENT = """
+select cast(c.c_nationkey as varchar) as tenant_id, concat_ws('-', l_orderkey, l_linenumber) as id,
+  l_returnflag as service, o_orderdate as started_at,
+  case when l_linestatus = 'F' then l_shipdate end as resolved_at
+from lineitem join orders on l_orderkey = o_orderkey left join customer c on o_custkey = c.c_custkey"""
+
+RELEASE_ENTITY = f"""
+select tenant_id, release_node_id as id, repo, author_login as author_id, tag_name, release_name,
+  is_draft, is_prerelease, created_at, published_at, fetched_at from ({stg('releases')}) s"""

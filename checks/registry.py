@@ -235,3 +235,146 @@ select tenant_id, source || ':' || external_id as ticket_uid, source, external_i
 from c"""
 q("fct_tickets", FCT_TICKETS_SQL)(
     lambda s, sf: D.fct_tickets(raw_stage(s, sf, "issues"), raw_stage(s, sf, "linear_issues")))
+
+
+# --- E, F, G, H: metric layer ---------------------------------------------------------
+from checks.metric_sql import metric_sql  # noqa: E402
+from tallyspark.plans import catalog as H  # noqa: E402
+from tallyspark.plans.compile import compute_metric  # noqa: E402
+from tallyspark.plans.spec import MappedDim, Measure, Metric, Window  # noqa: E402
+
+ORDERS_AS_OF = "2001-12-31"
+EVENTS_AS_OF = "2024-02-01"
+ENTITY_SQL = {"pull_request": O.PR_ENTITY, "release": O.RELEASE_ENTITY, "incident": O.FX_INCIDENT}
+
+
+def entities_for(spark, sf, names):
+    out = {}
+    for n in names:
+        if n == "pull_request":
+            out[n] = pr_entity(spark, sf)
+        elif n == "release":
+            out[n] = C.entity_release(raw_stage(spark, sf, "releases"))
+        elif n == "incident":
+            out[n] = FX.fx_incident(spark, sf)
+    return out
+
+
+def _entity_names(m: Metric) -> set:
+    if m.kind == "simple":
+        return {m.entity}
+    if m.kind == "ratio":
+        return {m.numerator.entity, m.denominator.entity}
+    return {x.entity for _, x in m.inputs}
+
+
+def mq(key, metric: Metric, as_of=ORDERS_AS_OF, **kw):
+    names = _entity_names(metric)
+
+    def run(spark, sf):
+        return compute_metric(metric, entities_for(spark, sf, names), as_of=as_of, **kw)
+    QUERIES[key] = run
+    ORACLE[key] = metric_sql(metric, ENTITY_SQL, as_of, tenants=kw.get("tenants"))
+    return metric
+
+
+PR_COUNT = Metric(id="t.pr_count", entity="pull_request", time_field="opened_at",
+                  measure=Measure("count"), grains=("month",))
+
+FILTERS = {
+    "flt_eq": {"field": "repo", "op": "eq", "value": "1-URGENT"},
+    "flt_neq": {"field": "repo", "op": "neq", "value": "1-URGENT"},
+    "flt_in": {"field": "repo", "op": "in", "value": ["1-URGENT", "2-HIGH"]},
+    "flt_not_in": {"field": "repo", "op": "not_in", "value": ["1-URGENT", "2-HIGH"]},
+    "flt_gt": {"field": "review_count", "op": "gt", "value": 3},
+    "flt_gte": {"field": "review_count", "op": "gte", "value": 3},
+    "flt_lt": {"field": "review_count", "op": "lt", "value": 2},
+    "flt_lte": {"field": "review_count", "op": "lte", "value": 2},
+    "flt_contains": {"field": "repo", "op": "contains", "value": "N_T"},
+    "flt_not_contains": {"field": "repo", "op": "not_contains", "value": "HIGH"},
+    "flt_starts_with": {"field": "repo", "op": "starts_with", "value": "3"},
+    "flt_ends_with": {"field": "repo", "op": "ends_with", "value": "LOW"},
+    "flt_is_null": {"field": "repo", "op": "is_null"},
+    "flt_is_not_null": {"field": "first_review_at", "op": "is_not_null"},
+    "flt_any_of": {"any_of": [{"field": "repo", "op": "eq", "value": "1-URGENT"},
+                              {"field": "is_revert", "op": "eq", "value": True}]},
+    "flt_all_of": {"all_of": [{"field": "state", "op": "eq", "value": "merged"},
+                              {"field": "review_count", "op": "gte", "value": 2}]},
+    "flt_not": {"not": {"field": "repo", "op": "eq", "value": "5-LOW"}},
+    "flt_sql": {"sql": "review_count % 2 = 0 and author_id like '1%'"},
+}
+for _k, _f in FILTERS.items():
+    mq(_k, PR_COUNT.with_(id=f"t.{_k}", filters=(_f,)))
+
+# F: measures
+IV = dict(from_field="opened_at", to_field="first_review_at")
+mq("msr_count", H.MERGED_PRS.with_(id="t.msr_count"))
+mq("msr_count_distinct", PR_COUNT.with_(id="t.msr_count_distinct", measure=Measure("count_distinct", "author_id")))
+mq("msr_sum", PR_COUNT.with_(id="t.msr_sum", measure=Measure("sum", "review_count")))
+mq("msr_avg", PR_COUNT.with_(id="t.msr_avg", measure=Measure("avg", "review_count")))
+mq("msr_min", PR_COUNT.with_(id="t.msr_min", measure=Measure("min", "review_count")))
+mq("msr_max", PR_COUNT.with_(id="t.msr_max", measure=Measure("max", "review_count")))
+mq("msr_percentile", PR_COUNT.with_(id="t.msr_percentile", measure=Measure("percentile", "review_count", 75.0)))
+mq("msr_interval_median", H.CYCLE_TIME.with_(id="t.msr_interval_median", grains=("week",)))
+mq("msr_interval_percentile", PR_COUNT.with_(id="t.msr_interval_percentile",
+                                            measure=Measure("percentile", percentile=90.0, **IV)))
+mq("msr_interval_avg", PR_COUNT.with_(id="t.msr_interval_avg", measure=Measure(
+    "avg", from_field="opened_at", to_field="closed_at")))
+mq("msr_interval_exclude_negative", PR_COUNT.with_(id="t.msr_iv_excl", measure=Measure("avg", **IV)))
+mq("msr_interval_clamp_zero", PR_COUNT.with_(id="t.msr_iv_clamp", measure=Measure("avg", negative="clamp_zero", **IV)))
+mq("msr_interval_allow", PR_COUNT.with_(id="t.msr_iv_allow", measure=Measure("sum", negative="allow", **IV)))
+mq("msr_interval_null_exclude", PR_COUNT.with_(id="t.msr_iv_null", measure=Measure(
+    "max", from_field="opened_at", to_field="merged_at", negative="allow")))
+mq("msr_ratio", H.CHANGE_FAILURE_RATE.with_(id="t.msr_ratio", grains=("month",)))
+_REVIEWS_SUM = PR_COUNT.with_(id="t.rev_sum", time_field="merged_at", measure=Measure("sum", "review_count"),
+                              filters=({"field": "merged_at", "op": "is_not_null"},))
+mq("msr_ratio_zero", Metric(id="t.msr_ratio_zero", kind="ratio", numerator=H.REVERTED_PRS,
+                            denominator=_REVIEWS_SUM, zero_denominator="zero", grains=("day",)))
+mq("msr_ratio_override", Metric(id="t.msr_ratio_override", kind="ratio", numerator=H.MERGED_PRS,
+                                denominator=H.MERGED_PRS, grains=("month",),
+                                numerator_filters=({"field": "review_count", "op": "gte", "value": 2},)))
+_OPENED = PR_COUNT.with_(id="t.opened")
+_CLOSED = PR_COUNT.with_(id="t.closed", time_field="closed_at", filters=(
+    {"field": "state", "op": "eq", "value": "closed"},))
+mq("msr_formula", Metric(id="t.msr_formula", kind="formula", grains=("month",),
+                         inputs=(("a", H.MERGED_PRS), ("b", _CLOSED), ("c", _OPENED)),
+                         expression="(a + b) / c"))
+mq("msr_additive_prefix", H.MERGED_PRS.with_(id="t.msr_additive", grains=(), windows=(Window(7, "day"),)))
+
+# G: grains, windows, dims
+for _g in ("day", "week", "month", "quarter"):
+    mq(f"grain_{_g}", H.MERGED_PRS.with_(id=f"t.grain_{_g}", grains=(_g,)))
+mq("bucket_end", H.MERGED_PRS.with_(id="t.bucket_end", grains=("day", "week", "month", "quarter")))
+mq("is_complete", H.MERGED_PRS.with_(id="t.is_complete", grains=("week", "month", "quarter")), as_of="2000-06-15")
+mq("win_rolling_simple", PR_COUNT.with_(id="t.win_simple", measure=Measure("count_distinct", "author_id"),
+                                        grains=(), windows=(Window(7, "day"),)))
+mq("win_rolling_week_step", H.MERGED_PRS.with_(id="t.win_week", grains=(), windows=(Window(28, "week"),)))
+mq("win_rolling_ratio", H.CHANGE_FAILURE_RATE.with_(id="t.win_ratio", grains=(), windows=(Window(30, "day"),)))
+mq("win_rolling_formula", Metric(id="t.win_formula", kind="formula", grains=(), windows=(Window(14, "day"),),
+                                 inputs=(("a", H.MERGED_PRS), ("b", _CLOSED)), expression="a - b / 2"))
+mq("dim_native", H.MERGED_PRS.with_(id="t.dim_native", grains=("month",), dimensions=("repo",)))
+TEAM_MAP = (("1-URGENT", "platform"), ("2-HIGH", "growth"), ("3-MEDIUM", "platform"))
+mq("dim_mapped", H.MERGED_PRS.with_(id="t.dim_mapped", grains=("month",), dimensions=("team",),
+                                    mapped=(MappedDim("team", "repo", TEAM_MAP, "other"),)))
+mq("dim_mapped_exclude", H.MERGED_PRS.with_(id="t.dim_mapped_excl", grains=("month",), dimensions=("team",),
+                                            mapped=(MappedDim("team", "repo", TEAM_MAP, "exclude"),)))
+mq("dim_grouping_sets", H.CYCLE_TIME.with_(id="t.dim_gsets", grains=("quarter",), dimensions=("repo", "state")))
+mq("dim_is_total", H.MERGED_PRS.with_(id="t.dim_is_total", grains=("quarter",), dimensions=("repo",)))
+mq("dim_placeholder", PR_COUNT.with_(id="t.dim_placeholder", grains=("quarter",), dimensions=("state",)))
+mq("dim_ratio", H.CHANGE_FAILURE_RATE.with_(id="t.dim_ratio", grains=("quarter",), dimensions=("repo",)))
+mq("dim_formula", Metric(id="t.dim_formula", kind="formula", grains=("quarter",), dimensions=("repo",),
+                         inputs=(("a", H.MERGED_PRS), ("b", _CLOSED)), expression="-a + 2.5 * b"))
+mq("tenant_scope", H.CYCLE_TIME.with_(id="t.tenant_scope"), tenants=["1", "7", "12"])
+
+# H: shipped metrics
+for _key, _m, _as_of in [
+        ("metric_merged_prs", H.MERGED_PRS, ORDERS_AS_OF),
+        ("metric_reverted_prs", H.REVERTED_PRS, ORDERS_AS_OF),
+        ("metric_change_failure_rate", H.CHANGE_FAILURE_RATE, ORDERS_AS_OF),
+        ("metric_cycle_time", H.CYCLE_TIME, ORDERS_AS_OF),
+        ("metric_cycle_time_p90", H.CYCLE_TIME_P90, ORDERS_AS_OF),
+        ("metric_cycle_time_trailing_30d", H.CYCLE_TIME_TRAILING_30D, ORDERS_AS_OF),
+        ("metric_deployment_frequency", H.DEPLOYMENT_FREQUENCY, EVENTS_AS_OF),
+        ("metric_review_latency", H.REVIEW_LATENCY, ORDERS_AS_OF),
+        ("metric_mttr", H.MTTR, ORDERS_AS_OF)]:
+    mq(_key, _m, as_of=_as_of)

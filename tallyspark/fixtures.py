@@ -338,3 +338,18 @@ def fx_review(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.col("o_orderpriority")).alias("repo"),
         F.col("l_shipdate").cast("timestamp").alias("fetched_at"),
     )
+
+
+def fx_incident(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incidents for the MTTR spec: one per line item (service = return flag)."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
+    j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey, "left")
+    return j.select(
+        F.col("c_nationkey").cast("string").alias("tenant_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"),
+        F.col("l_returnflag").alias("service"),
+        F.col("o_orderdate").cast("timestamp").alias("started_at"),
+        F.when(F.col("l_linestatus") == "F", F.col("l_shipdate").cast("timestamp")).alias("resolved_at"),
+    )
