@@ -378,3 +378,123 @@ for _key, _m, _as_of in [
         ("metric_review_latency", H.REVIEW_LATENCY, ORDERS_AS_OF),
         ("metric_mttr", H.MTTR, ORDERS_AS_OF)]:
     mq(_key, _m, as_of=_as_of)
+
+
+# --- G7, G20, G22-G26, E18 ----------------------------------------------------------
+from tallyspark.plans import org as G  # noqa: E402
+from tallyspark.plans.spec import Param, bind_params  # noqa: E402
+
+q("step_spine", f"""
+with b as (select cast(max(opened_at) as date) as hi from ({O.PR_ENTITY}) e),
+d as (select cast(unnest(generate_series(cast(hi as timestamp) - interval 730 day, cast(hi as timestamp),
+      interval 1 day)) as date) as step_date from b)
+select step_date, 'day' as step from d
+union all select distinct cast(date_trunc('week', step_date) as date), 'week' from d""")(
+    lambda s, sf: G.step_spine(pr_entity(s, sf), "opened_at"))
+
+_UNION = [H.MERGED_PRS, H.CHANGE_FAILURE_RATE, H.CYCLE_TIME, H.REVIEW_LATENCY]
+q("metric_union", "\nunion all\n".join(f"select * from ({metric_sql(m, ENTITY_SQL, ORDERS_AS_OF)}) u{i}"
+                                        for i, m in enumerate(_UNION)))(
+    lambda s, sf: compute_metric_union(s, sf))
+
+
+def compute_metric_union(spark, sf):
+    from tallyspark.plans.compile import metric_union
+    ents = entities_for(spark, sf, ["pull_request"])
+    return metric_union([compute_metric(m, ents, as_of=ORDERS_AS_OF) for m in _UNION])
+
+
+CUSTOM = PR_COUNT.with_(id="t.custom")
+_ENROLL_METRICS = [H.MERGED_PRS, H.REVERTED_PRS, H.CHANGE_FAILURE_RATE, H.CYCLE_TIME, H.CYCLE_TIME_P90,
+                   H.REVIEW_LATENCY, CUSTOM]
+_STD_IDS = [m.id for m in _ENROLL_METRICS if m.id.startswith("std.")]
+ENROLL_PAIRS_SQL = f"""
+select cast(n_nationkey as varchar) as tenant_id, s.metric_id
+from nation, (values {', '.join(f"('{i}')" for i in _STD_IDS)}) s(metric_id)
+where (n_nationkey % 2 = 0 and not (n_nationkey % 4 = 0 and s.metric_id = 'std.cycle_time_p90'))
+   or (n_nationkey % 2 = 1 and s.metric_id in ('std.merged_prs', 'std.cycle_time'))
+union
+select cast(n_nationkey as varchar), 't.custom' from nation where n_nationkey % 5 = 0"""
+
+
+def _enrolled_sql():
+    parts = []
+    for i, m in enumerate(_ENROLL_METRICS):
+        ps = f"select tenant_id from ({ENROLL_PAIRS_SQL}) p where metric_id = '{m.id}'"
+        parts.append(f"select * from ({metric_sql(m, ENTITY_SQL, ORDERS_AS_OF, params_sql=ps)}) u{i}")
+    return "\nunion all\n".join(parts)
+
+
+q("enrolled_metric", _enrolled_sql)(
+    lambda s, sf: G.compute_enrolled(_ENROLL_METRICS, entities_for(s, sf, ["pull_request"]),
+                                     G.enrolled_pairs(FX.fx_enroll(s, sf), _STD_IDS), as_of=ORDERS_AS_OF))
+
+PARAM_METRIC = H.MERGED_PRS.with_(id="t.param_merged", grains=("month",), params=(
+    Param("min_reviews", "integer", "review_count", "gte", default=0, has_default=True),))
+
+
+def _shared_sql():
+    from tallyspark.plans.spec import definition_version
+    base = definition_version(PARAM_METRIC)
+    bound = PARAM_METRIC.with_(filters=PARAM_METRIC.filters + (
+        {"field": "review_count", "op": "gte", "value_col": "_p_min_reviews"},), params=())
+    ps = ("select cast(n_nationkey as varchar) as tenant_id, "
+          "coalesce(case when n_nationkey % 7 <> 0 then n_nationkey % 3 end, 0) as _p_min_reviews from nation")
+    inner = metric_sql(bound, ENTITY_SQL, ORDERS_AS_OF, params_sql=ps, version=base)
+    return (f"select m.* replace (substr(sha256('{base}' || ':' || cast(p._p_min_reviews as varchar)), 1, 12) "
+            f"as definition_version) from ({inner}) m join ({ps}) p on m.tenant_id = p.tenant_id")
+
+
+q("shared_plan", _shared_sql)(
+    lambda s, sf: G.compute_shared(PARAM_METRIC, entities_for(s, sf, ["pull_request"]),
+                                   FX.fx_enroll(s, sf).select("tenant_id", "min_reviews"), as_of=ORDERS_AS_OF))
+
+_BOUND = bind_params(PARAM_METRIC, {"min_reviews": 2})
+mq("flt_param_bound", _BOUND)
+
+_PREVIEW = H.MERGED_PRS.with_(id="t.preview", dimensions=("repo",))
+q("metric_preview", lambda: f"""
+select * from ({metric_sql(_PREVIEW.with_(grains=('month',)), ENTITY_SQL, '2000-03-01',
+                           version=__import__('tallyspark.plans.spec', fromlist=['x']).definition_version(
+                               _PREVIEW.with_(grains=('month',), windows=())))}) p
+where bucket_start >= timestamp '2000-03-01' - interval 90 day
+order by bucket_start, tenant_id, dim_repo, dim_team, is_total limit 500""")(
+    lambda s, sf: G.preview(_PREVIEW, entities_for(s, sf, ["pull_request"]), as_of="2000-03-01"))
+
+
+def _stage_sql():
+    m = H.CYCLE_TIME
+    e = O.PR_ENTITY
+    return f"""
+select 'value:entity' as stage, cast(count(*) as bigint) as row_count from ({e}) x
+union all select 'value:filtered', count(*) filter (where merged_at is not null) from ({e}) x
+union all select 'value:value_rows', count(*) filter (where merged_at is not null and opened_at is not null
+  and merged_at >= opened_at) from ({e}) x
+union all select 'block:' || grain, count(*) from ({metric_sql(m, ENTITY_SQL, ORDERS_AS_OF)}) o group by grain
+union all select 'final', count(*) from ({metric_sql(m, ENTITY_SQL, ORDERS_AS_OF)}) o"""
+
+
+q("metric_stage_counts", _stage_sql)(
+    lambda s, sf: G.stage_counts(H.CYCLE_TIME, entities_for(s, sf, ["pull_request"]), as_of=ORDERS_AS_OF))
+
+IC_METRIC = H.MERGED_PRS.with_(id="t.ic_merged", grains=("quarter",), dimensions=("author_id",), visibility="ic")
+
+
+def _ic_identities(spark, sf):
+    r = FX.fx_roster(spark, sf).where(F.col("email").isNotNull())
+    ids = r.select("tenant_id", F.col("email").alias("caller"), F.col("external_id").alias("key"))
+    logins = r.select("tenant_id", F.col("email").alias("caller"), F.col("login").alias("key"))
+    return ids.unionByName(logins)
+
+
+q("ic_row_filter", lambda: f"""
+with ident as (
+  select cast(c_nationkey as varchar) as tenant_id, 'u' || cast(c_custkey % 150 as varchar) || '@x' as caller,
+         cast(c_custkey as varchar) as key from customer where c_custkey % 11 <> 0
+  union
+  select cast(c_nationkey as varchar), 'u' || cast(c_custkey % 150 as varchar) || '@x', c_name
+  from customer where c_custkey % 11 <> 0)
+select distinct m.*, i.caller from ({metric_sql(IC_METRIC, ENTITY_SQL, ORDERS_AS_OF)}) m
+join ident i on m.tenant_id = i.tenant_id and m.dim_author_id = i.key""")(
+    lambda s, sf: G.ic_rows(compute_metric(IC_METRIC, entities_for(s, sf, ["pull_request"]), as_of=ORDERS_AS_OF),
+                            _ic_identities(s, sf), ["author_id"]))

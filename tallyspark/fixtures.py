@@ -353,3 +353,40 @@ def fx_incident(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").cast("timestamp").alias("started_at"),
         F.when(F.col("l_linestatus") == "F", F.col("l_shipdate").cast("timestamp")).alias("resolved_at"),
     )
+
+
+def fx_enroll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enrollment per tenant from ``nation``: odd keys explicit, params by rule."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    k = F.col("n_nationkey")
+    return n.select(
+        k.cast("string").alias("tenant_id"),
+        F.when(k % 2 == 1, "explicit").otherwise("default_on").alias("mode"),
+        F.when(k % 2 == 1, F.array(F.lit("std.merged_prs"), F.lit("std.cycle_time"))).alias("enabled"),
+        F.when(k % 4 == 0, F.array(F.lit("std.cycle_time_p90"))).alias("disabled"),
+        F.when(k % 5 == 0, F.array(F.lit("t.custom"))).alias("custom"),
+        (k % 3 == 0).alias("include_prereleases"),
+        F.when(k % 7 != 0, (k % 3).cast("int")).alias("min_reviews"),
+    )
+
+
+def fx_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Org members (identity roster) from ``customer``."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return c.select(
+        F.col("c_nationkey").cast("string").alias("tenant_id"),
+        F.col("c_custkey").cast("string").alias("external_id"),
+        F.col("c_name").alias("login"),
+        F.when(F.col("c_custkey") % 11 == 0, F.lit(None).cast("string"))
+         .otherwise(F.concat(F.lit("u"), (F.col("c_custkey") % 150).cast("string"), F.lit("@x"))).alias("email"),
+    )
+
+
+def fx_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product users from ``supplier``."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return s.select(
+        F.col("s_suppkey").cast("string").alias("user_id"),
+        F.when(F.col("s_suppkey") < 50, F.col("s_suppkey").cast("string")).alias("oauth_id"),
+        F.concat(F.lit("U"), F.col("s_suppkey").cast("string"), F.lit("@X")).alias("email"),
+    )
