@@ -498,3 +498,155 @@ select distinct m.*, i.caller from ({metric_sql(IC_METRIC, ENTITY_SQL, ORDERS_AS
 join ident i on m.tenant_id = i.tenant_id and m.dim_author_id = i.key""")(
     lambda s, sf: G.ic_rows(compute_metric(IC_METRIC, entities_for(s, sf, ["pull_request"]), as_of=ORDERS_AS_OF),
                             _ic_identities(s, sf), ["author_id"]))
+
+
+# --- I: serving -------------------------------------------------------------------
+import datetime as _dt  # noqa: E402
+
+from tallyspark.operators import serving as I  # noqa: E402
+
+_R98 = (_dt.date(1998, 1, 1), _dt.date(1998, 12, 31))
+_RJ = (_dt.date(2024, 1, 3), _dt.date(2024, 1, 25))
+_TRUNC = {"daily": "day", "weekly": "week", "monthly": "month"}
+
+
+def _srv_sql(mart_key, sums, gran, rng, extra=""):
+    s = ", ".join(f"cast(coalesce(sum({m}), 0) as integer) as {a}" for m, a in sums)
+    return (f"select tenant_id, cast(date_trunc('{_TRUNC[gran]}', activity_date) as date) as period_start, {s}"
+            f"{extra} from ({ORACLE[mart_key]}) m where activity_date >= date '{rng[0]}' and activity_date <= date "
+            f"'{rng[1]}' group by 1, 2")
+
+
+def _srv(key, fn, mart_key, mart_fn, sums, gran, rng, extra=""):
+    q(key, _srv_sql(mart_key, sums, gran, rng, extra))(
+        lambda s, sf: fn(mart_fn(s, sf), gran, rng[0], rng[1]))
+
+
+_srv("srv_pr_activity", I.srv_pr_activity, "mart_pr_activity", QUERIES["mart_pr_activity"],
+     [("prs_opened", "opened"), ("prs_merged", "merged"), ("prs_closed", "closed")], "weekly", _R98)
+_srv("srv_deployment_frequency", I.srv_deployment_frequency, "mart_deployment_frequency",
+     QUERIES["mart_deployment_frequency"],
+     [("releases_published", "releases_published"), ("production_releases", "production_releases")], "weekly", _RJ)
+_W = "sum({x} * prs_merged) / nullif(sum(prs_merged), 0)"
+_srv("srv_cycle_time", I.srv_cycle_time, "mart_pr_cycle_time", QUERIES["mart_pr_cycle_time"],
+     [("prs_merged", "prs_merged")], "weekly", _R98,
+     extra=", " + ", ".join(f"cast({_W.format(x=x)} as double) as {a}" for x, a in [
+         ("median_cycle_time_hours", "median_hours"), ("avg_cycle_time_hours", "avg_hours"),
+         ("p90_cycle_time_hours", "p90_hours")]))
+_srv("srv_review_latency", I.srv_review_latency, "mart_review_latency", QUERIES["mart_review_latency"],
+     [("prs_first_reviewed", "prs_first_reviewed"), ("reviews_submitted", "reviews_submitted")], "monthly",
+     (_dt.date(1997, 6, 1), _dt.date(1999, 6, 30)),
+     extra=", cast(sum(median_time_to_first_review_hours * prs_first_reviewed) / nullif(sum(case when "
+           "median_time_to_first_review_hours is null then 0 else prs_first_reviewed end), 0) as double) "
+           "as median_hours_to_first_review")
+_srv("srv_change_failure", I.srv_change_failure, "mart_change_failure", QUERIES["mart_change_failure"],
+     [("prs_merged", "prs_merged"), ("prs_reverted", "prs_reverted")], "weekly", _R98,
+     extra=", cast(sum(prs_reverted)::double / nullif(sum(prs_merged), 0) as double) as change_failure_rate")
+_srv("srv_review_comments", I.srv_review_comments, "mart_review_comments", QUERIES["mart_review_comments"],
+     [("review_comments_created", "review_comments_created")], "weekly", _RJ)
+_srv("srv_workflow_runs", I.srv_workflow_runs, "mart_workflow_runs", QUERIES["mart_workflow_runs"],
+     [(m, m) for m in ["runs_started", "runs_completed", "runs_success", "runs_failure"]], "weekly", _RJ)
+_srv("srv_ticket_activity", I.srv_ticket_activity, "mart_ticket_activity", QUERIES["mart_ticket_activity"],
+     [(m, m) for m in ["tickets_created", "tickets_completed", "tickets_canceled"]], "daily", _RJ)
+_srv("srv_ticket_comments", I.srv_ticket_comments, "mart_ticket_comments", QUERIES["mart_ticket_comments"],
+     [("comments_created", "comments_created")], "weekly", _RJ)
+_srv("srv_project_activity", I.srv_project_activity, "mart_project_activity", QUERIES["mart_project_activity"],
+     [(m, m) for m in ["projects_created", "projects_completed", "projects_canceled"]], "monthly", _RJ)
+_srv("srv_description_edits", I.srv_description_edits, "mart_description_edits",
+     QUERIES["mart_description_edits"], [("description_edits", "description_edits")], "weekly", _RJ)
+
+_START, _END = I.default_range("2001-12-31")
+_srv("srv_default_range", I.srv_pr_activity, "mart_pr_activity", QUERIES["mart_pr_activity"],
+     [("prs_opened", "opened"), ("prs_merged", "merged"), ("prs_closed", "closed")], "weekly", (_START, _END))
+
+q("srv_metric_values", f"""
+select tenant_id, cast(bucket_start as date) as period_start, value from ({ORACLE['metric_cycle_time']}) m
+where metric_id = 'std.cycle_time' and grain = 'week' and is_total
+  and cast(bucket_start as date) between date '1998-01-01' and date '1998-12-31'""")(
+    lambda s, sf: I.srv_metric_values(QUERIES["metric_cycle_time"](s, sf), "std.cycle_time", "weekly",
+                                      _dt.date(1998, 1, 1), _dt.date(1998, 12, 31)))
+q("srv_metric_values_by_dims", f"""
+select tenant_id, cast(bucket_start as date) as period_start, value from ({ORACLE['dim_native']}) m
+where metric_id = 't.dim_native' and grain = 'month' and dim_repo = '' and dim_team = ''
+  and cast(bucket_start as date) between date '1997-01-01' and date '1999-12-31'""")(
+    lambda s, sf: I.srv_metric_values_by_dims(QUERIES["dim_native"](s, sf), "t.dim_native", "monthly",
+                                              _dt.date(1997, 1, 1), _dt.date(1999, 12, 31)))
+
+_MY_PRS = f"""
+select tenant_id, p_user_login as author_login, p_node_id as pr_node_id, cast(p_number as integer) as pr_number,
+  p_created_at as created_at, p_closed_at as closed_at, p_merged_at as merged_at,
+  coalesce(p_base_repo_full_name, {O.REPO}) as repo,
+  regexp_matches(coalesce(p_title, ''), '^revert([[:space:][:punct:]]|$)', 'i') as is_revert,
+  case when p_merged_at is not null and p_created_at is not null
+       then (epoch_us(p_merged_at) - epoch_us(p_created_at)) / 3.6e9 end as cycle_time_hours
+from ({O.src_sql('pull_requests')}) s where p_node_id is not null and p_user_login is not null
+qualify row_number() over (partition by tenant_id, p_user_login, p_node_id order by fetched_at desc, id desc) = 1"""
+_MY_REVIEWS = f"""
+select tenant_id, p_submitted_at as submitted_at, p_user_login as reviewer_login,
+  cast(p_pull_request_number as integer) as pull_request_number, {O.REPO} as r_repo
+from ({O.latest('reviews', 'p_node_id', "p_submitted_at is not null and coalesce(p_state, '') <> 'PENDING'")}) r"""
+
+
+def raw_prs_reviews(spark, sf):
+    return FX.fx_raw_all(spark, sf, ["pull_requests", "reviews"])
+
+
+_RJ2 = (_dt.date(2024, 1, 5), _dt.date(2024, 1, 28))
+_IN = f"between date '{_RJ2[0]}' and date '{_RJ2[1]}'"
+q("srv_me_pr_activity", f"""
+with prs as ({_MY_PRS}), a as (
+  select tenant_id, author_login, cast(created_at as date) as d, 1 as o, 0 as m, 0 as c from prs where created_at is not null
+  union all select tenant_id, author_login, cast(merged_at as date), 0, 1, 0 from prs where merged_at is not null
+  union all select tenant_id, author_login, cast(closed_at as date), 0, 0, 1 from prs
+    where closed_at is not null and merged_at is null)
+select tenant_id, author_login, cast(date_trunc('week', d) as date) as period_start,
+  cast(sum(o) as integer) as opened, cast(sum(m) as integer) as merged, cast(sum(c) as integer) as closed
+from a where d {_IN} group by 1, 2, 3""")(
+    lambda s, sf: I.srv_me_pr_activity(raw_prs_reviews(s, sf), None, "weekly", *_RJ2))
+q("srv_me_cycle_time", f"""
+select tenant_id, author_login, cast(date_trunc('week', cast(merged_at as date)) as date) as period_start,
+  cast(count(*) as integer) as prs_merged, quantile_cont(cycle_time_hours, 0.5) as median_hours,
+  avg(cycle_time_hours) as avg_hours, quantile_cont(cycle_time_hours, 0.9) as p90_hours
+from ({_MY_PRS}) p where merged_at is not null and cycle_time_hours is not null and cycle_time_hours >= 0
+  and cast(merged_at as date) {_IN} group by 1, 2, 3""")(
+    lambda s, sf: I.srv_me_cycle_time(raw_prs_reviews(s, sf), None, "weekly", *_RJ2))
+q("srv_me_review_latency", f"""
+with prs as ({_MY_PRS}), reviews as ({_MY_REVIEWS}),
+pr_reviews as (
+  select p.tenant_id, p.author_login, p.pr_node_id, p.created_at, r.submitted_at from prs p join reviews r
+  on p.tenant_id = r.tenant_id and r.r_repo is not distinct from p.repo and r.pull_request_number = p.pr_number
+  and r.reviewer_login is distinct from p.author_login where p.created_at is not null),
+fr as (select tenant_id, author_login, pr_node_id, min(submitted_at) as first_at,
+  (epoch_us(min(submitted_at)) - epoch_us(created_at)) / 3.6e9 as h
+  from pr_reviews group by tenant_id, author_login, pr_node_id, created_at),
+fp as (select tenant_id, author_login, cast(date_trunc('week', cast(first_at as date)) as date) as period_start,
+  cast(count(*) as integer) as n, quantile_cont(h, 0.5) as med from fr
+  where h is not null and h >= 0 and cast(first_at as date) {_IN} group by 1, 2, 3),
+rp as (select tenant_id, author_login, cast(date_trunc('week', cast(submitted_at as date)) as date) as period_start,
+  cast(count(*) as integer) as n from pr_reviews where cast(submitted_at as date) {_IN} group by 1, 2, 3)
+select coalesce(fp.tenant_id, rp.tenant_id) as tenant_id, coalesce(fp.author_login, rp.author_login) as author_login,
+  coalesce(fp.period_start, rp.period_start) as period_start, cast(coalesce(fp.n, 0) as integer) as prs_first_reviewed,
+  fp.med as median_hours_to_first_review, cast(coalesce(rp.n, 0) as integer) as reviews_submitted
+from fp full outer join rp on fp.tenant_id = rp.tenant_id and fp.author_login = rp.author_login
+  and fp.period_start = rp.period_start""")(
+    lambda s, sf: I.srv_me_review_latency(raw_prs_reviews(s, sf), None, "weekly", *_RJ2))
+q("srv_me_change_failure", f"""
+select tenant_id, author_login, cast(date_trunc('week', cast(merged_at as date)) as date) as period_start,
+  cast(count(*) as integer) as prs_merged, cast(count(*) filter (where is_revert) as integer) as prs_reverted,
+  (count(*) filter (where is_revert))::double / count(*)::double as change_failure_rate
+from ({_MY_PRS}) p where merged_at is not null and cast(merged_at as date) {_IN} group by 1, 2, 3""")(
+    lambda s, sf: I.srv_me_change_failure(raw_prs_reviews(s, sf), None, "weekly", *_RJ2))
+
+q("resample", f"""
+select tenant_id, cast(date_trunc('week', activity_date) as date) as date,
+  cast(coalesce(arg_max(prs_opened, activity_date), 0) as double) as value
+from ({ORACLE['mart_pr_activity']}) m
+where cast(activity_date as timestamp) >= timestamp '1997-12-30 00:00:00'
+  and cast(activity_date as timestamp) <= timestamp '1998-06-30 12:00:00'
+group by 1, 2""")(
+    lambda s, sf: I.resample(QUERIES["mart_pr_activity"](s, sf).select(
+        "tenant_id", F.col("activity_date").alias("date"), F.col("prs_opened").alias("value")),
+        now="1998-06-30T12:00:00", range_name="half_year", granularity="weekly", how="last"))
+q("display_value", f"""
+select *, value / 3600.0 as display_value from ({ORACLE['metric_cycle_time']}) m where value is not null""")(
+    lambda s, sf: I.display_value(QUERIES["metric_cycle_time"](s, sf), "duration"))
