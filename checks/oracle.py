@@ -184,3 +184,113 @@ from lineitem join orders on l_orderkey = o_orderkey left join customer c on o_c
 RELEASE_ENTITY = f"""
 select tenant_id, release_node_id as id, repo, author_login as author_id, tag_name, release_name,
   is_draft, is_prerelease, created_at, published_at, fetched_at from ({stg('releases')}) s"""
+
+# --- identity chain ----------------------------------------------------------------
+_SNAP = "(select * from (values (0), (1)) t(v))"
+ID_MEMBERS = f"""
+select cast(c_nationkey as varchar) as tenant_id, c_custkey * 10 + v as id, c_name as login,
+  case when c_custkey % 17 <> 0 then c_custkey end as p_id,
+  timestamp '2024-01-01 00:00:00' + v * interval 1 day as fetched_at
+from customer, {_SNAP} s"""
+ID_PROFILES = f"""
+select cast(c_nationkey as varchar) as tenant_id, c_custkey * 10 + 5 + v as id, c_name as login,
+  case when v = 0 then 'stale' || cast(c_custkey as varchar) || '@x' when c_custkey % 13 = 0 then ''
+       when c_custkey % 11 = 0 then null else 'U' || cast(c_custkey % 150 as varchar) || '@x' end as email,
+  case when c_custkey % 7 = 0 then '' else 'Name ' || cast(c_custkey as varchar) end as name,
+  timestamp '2024-01-01 00:00:00' + v * interval 1 day as fetched_at
+from customer, {_SNAP} s"""
+
+
+def _latest_login(src):
+    return (f"select * from ({src}) x qualify row_number() over (partition by tenant_id, login "
+            f"order by fetched_at desc, id desc) = 1")
+
+
+PROFILES_LATEST = f"select tenant_id, login, email, name from ({_latest_login(ID_PROFILES)}) p"
+ROSTER = f"""
+select m.tenant_id, cast(m.p_id as varchar) as external_user_id, m.login, nullif(p.email, '') as email,
+  nullif(p.name, '') as name,
+  case when a.login is not null then 'admin' else 'member' end as org_role
+from ({_latest_login(ID_MEMBERS)}) m
+left join ({PROFILES_LATEST}) p on m.tenant_id = p.tenant_id and m.login = p.login
+left join (select distinct cast(c_nationkey as varchar) as tenant_id, c_name as login from customer
+           where c_acctbal > 9000) a on m.tenant_id = a.tenant_id and m.login = a.login
+where m.p_id is not null"""
+EXISTING = """
+select cast(c_nationkey as varchar) as tenant_id, cast(c_custkey as varchar) as external_user_id,
+  'old_' || c_name as login, case when c_custkey % 2 = 0 then 'keep' || cast(c_custkey as varchar) || '@x' end as email,
+  'Old ' || cast(c_custkey as varchar) as name, 'member' as org_role,
+  case when c_custkey % 6 = 0 then cast(c_custkey % 40 as varchar) end as user_id,
+  case when c_custkey % 6 = 0 then 'email' end as link_method,
+  case when c_custkey % 6 = 0 then 'linked' else 'pending_email' end as status
+from customer where c_custkey % 3 = 0"""
+J3 = f"""
+select coalesce(n.tenant_id, o.tenant_id) as tenant_id, coalesce(n.external_user_id, o.external_user_id) as external_user_id,
+  case when n.external_user_id is not null then n.login else o.login end as login,
+  coalesce(n.email, o.email) as email, coalesce(n.name, o.name) as name,
+  case when n.external_user_id is not null then n.org_role else o.org_role end as org_role,
+  o.user_id, o.link_method, coalesce(o.status, 'pending_email') as status
+from ({EXISTING}) o full outer join ({ROSTER}) n
+  on o.tenant_id = n.tenant_id and o.external_user_id = n.external_user_id"""
+_RANK = "case method when 'oauth_id' then 0 when 'email' then 1 else 2 end"
+J4 = f"""
+with j3 as ({J3}),
+by_oauth as (select cast(s_suppkey as varchar) as acc, min(cast(s_suppkey as varchar)) as u
+             from supplier where s_suppkey < 50 group by 1),
+by_email as (select lower('U' || cast(s_suppkey as varchar) || '@X') as em, min(cast(s_suppkey as varchar)) as u
+             from supplier group by 1),
+c as (select i.tenant_id, i.external_user_id,
+        case when o.u is not null then 'oauth_id' when i.email is not null and e.u is not null then 'email'
+             when i.email is not null then 'provisioned' end as method,
+        coalesce(o.u, case when i.email is not null then e.u end,
+                 case when i.email is not null then 'prov:' || lower(i.email) end) as cand
+      from j3 i left join by_oauth o on i.external_user_id = o.acc left join by_email e on lower(i.email) = e.em
+      where i.user_id is null),
+w as (select * from c where cand is not null
+        and not exists (select 1 from j3 l where l.user_id is not null and l.tenant_id = c.tenant_id and l.user_id = c.cand)
+      qualify row_number() over (partition by tenant_id, cand order by {_RANK}, external_user_id) = 1)
+select i.tenant_id, i.external_user_id, i.login, i.email, i.name, i.org_role,
+  case when w.cand is not null then w.cand else i.user_id end as user_id,
+  case when w.cand is not null then w.method else i.link_method end as link_method,
+  case when w.cand is not null and w.method = 'provisioned' then 'provisioned' when w.cand is not null then 'linked'
+       when i.user_id is null and i.email is null then 'pending_email' else i.status end as status
+from j3 i left join w on i.tenant_id = w.tenant_id and i.external_user_id = w.external_user_id"""
+MEMBERSHIPS = """
+select cast(c_nationkey as varchar) as tenant_id, cast(c_custkey % 40 as varchar) as user_id,
+  min(case when c_custkey % 12 = 0 then 'admin' when c_custkey % 18 = 0 then 'manager' else 'individual' end) as role
+from customer where c_custkey % 6 = 0 group by 1, 2"""
+J7 = f"""
+select i.tenant_id, i.user_id, min(case when i.org_role = 'admin' then 'admin' else 'individual' end) as role
+from ({J4}) i where i.user_id is not null
+  and not exists (select 1 from ({MEMBERSHIPS}) m where m.tenant_id = i.tenant_id and m.user_id = i.user_id)
+group by 1, 2"""
+J8 = f"""
+with mem as ({MEMBERSHIPS} union all select * from ({J7}) a),
+ids as (select tenant_id, user_id, arg_min(org_role, external_user_id) as org_role,
+          min(external_user_id) as external_user_id from ({J4}) j where user_id is not null group by 1, 2),
+a as (select mem.tenant_id, mem.user_id, mem.role, ids.org_role, ids.external_user_id,
+        case when ids.org_role = 'admin' and mem.role <> 'admin' then 'admin' else mem.role end as after,
+        coalesce(ids.org_role = 'member' and mem.role = 'admin', false) as dc
+      from mem left join ids on mem.tenant_id = ids.tenant_id and mem.user_id = ids.user_id),
+b as (select *, count(*) filter (where after = 'admin') over (partition by tenant_id) as admins,
+        row_number() over (partition by tenant_id, dc order by external_user_id nulls first, user_id) as k from a)
+select tenant_id, user_id, case when dc and admins - k >= 1 then 'individual' else after end as role from b"""
+J9 = f"""
+with j4 as ({J4}), pend as (select * from j4 where user_id is null),
+su as (select 'new' || cast(s_suppkey as varchar) as user_id, cast(s_suppkey * 11 as varchar) as oauth_id,
+         'U' || cast(s_suppkey + 7 as varchar) || '@X' as email from supplier),
+cands as (
+  select p.tenant_id, p.external_user_id, s.user_id as cand, 'oauth_id' as method
+  from pend p join su s on p.external_user_id = s.oauth_id
+  union all
+  select p.tenant_id, p.external_user_id, s.user_id, 'email' from pend p join su s on lower(p.email) = lower(s.email)),
+c1 as (select * from cands qualify row_number() over (partition by tenant_id, external_user_id
+        order by case when method = 'oauth_id' then 0 else 1 end, cand) = 1),
+w as (select * from c1 where not exists (select 1 from j4 l where l.user_id is not null
+        and l.tenant_id = c1.tenant_id and l.user_id = c1.cand)
+      qualify row_number() over (partition by tenant_id, cand order by {_RANK}, external_user_id) = 1)
+select i.tenant_id, i.external_user_id, i.login, i.email, i.name, i.org_role,
+  case when w.cand is not null then w.cand else i.user_id end as user_id,
+  case when w.cand is not null then w.method else i.link_method end as link_method,
+  case when w.cand is not null then 'linked' else i.status end as status
+from j4 i left join w on i.tenant_id = w.tenant_id and i.external_user_id = w.external_user_id"""

@@ -650,3 +650,57 @@ group by 1, 2""")(
 q("display_value", f"""
 select *, value / 3600.0 as display_value from ({ORACLE['metric_cycle_time']}) m where value is not null""")(
     lambda s, sf: I.display_value(QUERIES["metric_cycle_time"](s, sf), "duration"))
+
+
+# --- J: identity, I18 ----------------------------------------------------------------
+from tallyspark.functions.jsonx import jstr as _jstr  # noqa: E402
+from tallyspark.operators import identity as J  # noqa: E402
+
+
+def _j1(s, sf):
+    p = J.latest_payload_by_login(FX.fx_identity_raw(s, sf), "user_profiles")
+    return p.select("tenant_id", "login", _jstr("payload", "email").alias("email"), _jstr("payload", "name").alias("name"))
+
+
+def _roster(s, sf):
+    raw = FX.fx_identity_raw(s, sf)
+    return J.build_roster(J.latest_payload_by_login(raw, "organization_members"),
+                          J.latest_payload_by_login(raw, "user_profiles"), FX.fx_admins(s, sf))
+
+
+def _j3(s, sf):
+    return J.upsert_identity(FX.fx_existing_identities(s, sf), _roster(s, sf))
+
+
+def _j4(s, sf):
+    u = FX.fx_users(s, sf)
+    oauth = u.where(F.col("oauth_id").isNotNull()).select(F.col("oauth_id").alias("account_id"), "user_id")
+    return J.link_identity(_j3(s, sf), u.select("user_id", "email"), oauth)
+
+
+def _j7(s, sf):
+    return J.ensure_membership(_j4(s, sf), FX.fx_memberships(s, sf))
+
+
+q("latest_payload_by_login", O.PROFILES_LATEST)(_j1)
+q("build_roster", O.ROSTER)(_roster)
+q("upsert_identity", O.J3)(_j3)
+q("link_identity", O.J4)(_j4)
+q("link_one_per_user", f"""
+select tenant_id, user_id, count(*) as identities from ({O.J4}) j where user_id is not null group by 1, 2""")(
+    lambda s, sf: _j4(s, sf).where(F.col("user_id").isNotNull()).groupBy("tenant_id", "user_id")
+    .agg(F.count(F.lit(1)).alias("identities")))
+q("provision_users", f"""
+select min(user_id) as user_id, lower(email) as email, min(name) as name from ({O.J4}) j
+where link_method = 'provisioned' group by lower(email)""")(lambda s, sf: J.provision_users(_j4(s, sf)))
+q("ensure_membership", O.J7)(_j7)
+q("reconcile_roles", O.J8)(
+    lambda s, sf: J.reconcile_roles(_j4(s, sf), FX.fx_memberships(s, sf).unionByName(_j7(s, sf))))
+q("claim_pending", O.J9)(lambda s, sf: J.claim_pending(_j4(s, sf), FX.fx_signups(s, sf)))
+q("member_logins", f"select distinct tenant_id, login from ({O.ID_MEMBERS}) m")(
+    lambda s, sf: J.member_logins(FX.fx_identity_raw(s, sf)))
+q("srv_resolve_login", f"""
+select tenant_id, user_id, min(login) as login from ({O.J4}) j where user_id is not null and login is not null
+group by 1, 2""")(
+    lambda s, sf: I.srv_resolve_login(_j4(s, sf).select("tenant_id", "user_id", F.lit("github").alias("provider"),
+                                                        F.col("login").alias("external_login"))))

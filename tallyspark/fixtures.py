@@ -390,3 +390,67 @@ def fx_users(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("s_suppkey") < 50, F.col("s_suppkey").cast("string")).alias("oauth_id"),
         F.concat(F.lit("U"), F.col("s_suppkey").cast("string"), F.lit("@X")).alias("email"),
     )
+
+
+def fx_identity_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Org-member and user-profile landings from ``customer``, two snapshots each
+    (the older one carries stale values)."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    k = F.col("c_custkey")
+    snaps = c.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("v"))
+    tenant = F.col("c_nationkey").cast("string")
+    fetched = (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(
+        F.lit(0), F.lit(0), F.lit(0), F.col("v").cast("int"), F.lit(0), F.lit(0), F.lit(0)))
+    members = snaps.select(
+        (k * 10 + F.col("v")).alias("id"), tenant.alias("tenant_id"), F.lit("github").alias("source"),
+        F.lit("organization_members").alias("resource_type"),
+        F.to_json(F.struct(F.when(k % 17 != 0, k).alias("id"), F.col("c_name").alias("login"),
+                           F.concat(F.lit("a"), F.col("v").cast("string")).alias("avatar_url"))).alias("payload"),
+        fetched.alias("fetched_at"))
+    email = (F.when(F.col("v") == 0, F.concat(F.lit("stale"), k.cast("string"), F.lit("@x")))
+             .when(k % 13 == 0, F.lit("")).when(k % 11 == 0, F.lit(None))
+             .otherwise(F.concat(F.lit("U"), (k % 150).cast("string"), F.lit("@x"))))
+    profiles = snaps.select(
+        (k * 10 + 5 + F.col("v")).alias("id"), tenant.alias("tenant_id"), F.lit("github").alias("source"),
+        F.lit("user_profiles").alias("resource_type"),
+        F.to_json(F.struct(F.col("c_name").alias("login"), email.alias("email"),
+                           F.when(k % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("Name "), k.cast("string")))
+                           .alias("name"))).alias("payload"),
+        fetched.alias("fetched_at"))
+    return members.unionByName(profiles)
+
+
+def fx_admins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return c.where(F.col("c_acctbal") > 9000).select(F.col("c_nationkey").cast("string").alias("tenant_id"),
+                                                      F.col("c_name").alias("login"))
+
+
+def fx_existing_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where(F.col("c_custkey") % 3 == 0)
+    k = F.col("c_custkey")
+    linked = k % 6 == 0
+    return c.select(
+        F.col("c_nationkey").cast("string").alias("tenant_id"), k.cast("string").alias("external_user_id"),
+        F.concat(F.lit("old_"), F.col("c_name")).alias("login"),
+        F.when(k % 2 == 0, F.concat(F.lit("keep"), k.cast("string"), F.lit("@x"))).alias("email"),
+        F.concat(F.lit("Old "), k.cast("string")).alias("name"), F.lit("member").alias("org_role"),
+        F.when(linked, (k % 40).cast("string")).alias("user_id"),
+        F.when(linked, F.lit("email")).alias("link_method"),
+        F.when(linked, F.lit("linked")).otherwise(F.lit("pending_email")).alias("status"))
+
+
+def fx_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fx_existing_identities(spark, sf_dir).where(F.col("user_id").isNotNull())
+    k = F.col("external_user_id").cast("bigint")
+    return e.select("tenant_id", "user_id",
+                    F.when(k % 12 == 0, "admin").when(k % 18 == 0, "manager").otherwise("individual").alias("role")
+                    ).groupBy("tenant_id", "user_id").agg(F.min("role").alias("role"))
+
+
+def fx_signups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    k = F.col("s_suppkey")
+    return s.select(F.concat(F.lit("new"), k.cast("string")).alias("user_id"),
+                    (k * 11).cast("string").alias("oauth_id"),
+                    F.concat(F.lit("U"), (k + 7).cast("string"), F.lit("@X")).alias("email"))
