@@ -28,7 +28,9 @@ def src_sql(resource: str) -> str:
             cols.append(f"coalesce(({rule}), false) as {name}")
         else:
             cols.append(f"({rule}) as {name}")
-    return (f"select {TENANT} as tenant_id, event_id as id, ts as fetched_at, "
+    idx = list(RESOURCES).index(resource)
+    return (f"select {TENANT} as tenant_id, event_id * 100 + {idx} as id, ts as fetched_at, "
+            f"event_id // 500 as run_id, "
             + ", ".join(cols) + f" from ({EV}) ev")
 
 
@@ -294,3 +296,70 @@ select i.tenant_id, i.external_user_id, i.login, i.email, i.name, i.org_role,
   case when w.cand is not null then w.method else i.link_method end as link_method,
   case when w.cand is not null then 'linked' else i.status end as status
 from j4 i left join w on i.tenant_id = w.tenant_id and i.external_user_id = w.external_user_id"""
+
+# --- envelopes -----------------------------------------------------------------------
+GH_NAMES = {"pull_requests": "pull_request", "issues": "issue", "issue_comments": "comment",
+            "pull_request_review_comments": "review_comment", "reviews": "review", "releases": "release",
+            "workflow_runs": "workflow_run"}
+LN_NAMES = {"linear_issues": "issue", "linear_comments": "comment", "linear_projects": "project",
+            "linear_description_edits": "description_edit"}
+
+
+def _cols(resource):
+    return {"p_" + flat_name(p) for p, _, _ in RESOURCES[resource][2]}
+
+
+def _nz(resource, *cols):
+    have = _cols(resource)
+    parts = [f"nullif(cast({c} as varchar), '')" for c in cols if c in have]
+    return parts
+
+
+def env_sql(resource: str) -> str:
+    src = src_sql(resource)
+    if resource in GH_NAMES:
+        name = GH_NAMES[resource]
+        subj = "coalesce(" + ", ".join(_nz(resource, "p_user_login", "p_author_login", "p_actor_login",
+                                            "p_triggering_actor_login") + ["'unknown'"]) + ")"
+        created = "p_created_at" if "p_created_at" in _cols(resource) else "null"
+        occ = {"reviews": "p_submitted_at", "releases": f"coalesce(p_published_at, {created})",
+               "workflow_runs": f"coalesce(p_updated_at, {created})"}.get(resource, created)
+        natural = "coalesce(" + ", ".join(_nz(resource, "p_id") + ["'None'"]) + ")"
+        key = f"coalesce(nullif(p_node_id, ''), '{name}:' || {natural})"
+        org_repo = ("case when nullif(p_org, '') is not null and nullif(p_repo, '') is not null "
+                    "then p_org || '/' || p_repo end")
+        repo = ("coalesce(" + org_repo + (", nullif(p_base_repo_full_name, '')" if "p_base_repo_full_name"
+                                           in _cols(resource) else "") + ", p_repo)")
+        return (f"select tenant_id, 'github' as source, 'github' as tool, 'event' as kind, '{name}' as name, "
+                f"'user' as subject_type, {subj} as subject_id, coalesce({occ}, fetched_at) as occurred_at, "
+                f"fetched_at as observed_at, {key} as source_key, id as raw_record_id, {repo} as meta_repo "
+                f"from ({src}) s")
+    if resource in LN_NAMES:
+        name = LN_NAMES[resource]
+
+        def person(prefix, fields):
+            return _nz(resource, *[f"p_{prefix}_{f}" for f in fields])
+        subj = {
+            "linear_issues": person("assignee", ["id", "email", "displayName", "name"])
+            + person("creator", ["id", "email", "displayName", "name"]),
+            "linear_comments": person("user", ["id", "email", "displayName", "name"])
+            + person("externalUser", ["id", "email", "displayName", "name"]),
+            "linear_projects": person("lead", ["id", "email", "displayName", "name"]),
+            "linear_description_edits": _nz(resource, "p_descriptionUpdatedBy")
+            + person("actor", ["id", "email", "displayName", "name"]),
+        }[resource]
+        subj = "coalesce(" + ", ".join(subj + ["'unknown'"]) + ")"
+        return (f"select tenant_id, 'linear' as source, 'linear' as tool, 'event' as kind, '{name}' as name, "
+                f"'user' as subject_type, {subj} as subject_id, coalesce(p_createdAt, fetched_at) as occurred_at, "
+                f"fetched_at as observed_at, '{name}:' || p_id as source_key, id as raw_record_id "
+                f"from ({src}) s where nullif(p_id, '') is not null")
+    if resource == "copilot_usage":
+        start = "date_trunc('day', coalesce(try_cast(nullif(p_day, '') as timestamp), fetched_at))"
+        subj = "coalesce(nullif(p_user_login, ''), nullif(p_org, ''), 'unknown')"
+        return (f"select tenant_id, 'github' as source, 'github_copilot' as tool, 'measurement' as kind, "
+                f"'copilot.usage' as name, case when nullif(p_user_login, '') is not null then 'user' else 'org' end "
+                f"as subject_type, {subj} as subject_id, {start} as occurred_at, {start} as period_start, "
+                f"{start} + interval 1 day as period_end, fetched_at as observed_at, "
+                f"{subj} || ':' || strftime({start}, '%Y-%m-%d') as source_key, id as raw_record_id, "
+                f"cast(p_total_suggestions_count as varchar) as meta_total from ({src}) s")
+    raise KeyError(resource)

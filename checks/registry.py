@@ -704,3 +704,283 @@ select tenant_id, user_id, min(login) as login from ({O.J4}) j where user_id is
 group by 1, 2""")(
     lambda s, sf: I.srv_resolve_login(_j4(s, sf).select("tenant_id", "user_id", F.lit("github").alias("provider"),
                                                         F.col("login").alias("external_login"))))
+
+
+# --- A: landing, sinks ------------------------------------------------------------------
+import uuid as _uuid  # noqa: E402
+
+from tallyspark.session import scratch_path  # noqa: E402
+from tallyspark.sources import landing as A  # noqa: E402
+from tallyspark.sources import sinks as SK  # noqa: E402
+
+_GH_LAND = ["pull_requests", "reviews", "releases", "workflow_runs"]
+
+
+def _records(spark, sf, resources):
+    raw = FX.fx_raw_all(spark, sf, resources)
+    return raw.select("tenant_id", F.col("resource_type").alias("stream"), "payload", "fetched_at", "id", "run_id")
+
+
+def _landed(spark, sf):
+    path = scratch_path(spark, f"landing-{_uuid.uuid4().hex}")
+    A.write_raw(A.land_raw_append(_records(spark, sf, _GH_LAND), "github"), path)
+    return spark.read.parquet(path)
+
+
+def _land_sql(resources, where="true"):
+    parts = []
+    for r in resources:
+        nat = "coalesce(" + ", ".join(O._nz(r, "p_node_id", "p_id", "p_sha") + ["null"]) + ")"
+        parts.append(f"select id, tenant_id, {nat} as source_id, fetched_at, run_id, 'github' as source, "
+                     f"'{FX.RESOURCES[r][1]}' as resource_type from ({O.src_sql(r)}) s")
+    return "select * from (" + " union all ".join(parts) + f") x where {where}"
+
+
+q("land_raw_append", _land_sql(_GH_LAND))(lambda s, sf: _landed(s, sf).drop("payload"))
+q("scan_resource", _land_sql(["reviews"]))(
+    lambda s, sf: A.scan_resource(_landed(s, sf), "github", "reviews").drop("payload"))
+
+_PAGE_NODES = f"""
+select {FX.TENANT} as tenant_id, event_id // 50 as page_id, 'iss-' || cast(event_id as varchar) as id,
+  'ENG-' || cast(k as varchar) as identifier, ts as updated_at, event_id, value, k, ts
+from ({O.EV}) ev"""
+
+
+def _nodes(spark, sf):
+    n = A.flatten_pages(FX.fx_pages(spark, sf), "issues")
+    return n
+
+
+q("src_flatten_pages", f"select tenant_id, page_id, id, identifier, updated_at from ({_PAGE_NODES}) n")(
+    lambda s, sf: _nodes(s, sf).select("tenant_id", "page_id", _jstr("payload", "id").alias("id"),
+                                       _jstr("payload", "identifier").alias("identifier"),
+                                       _jstr("payload", "updatedAt").cast("timestamp").alias("updated_at")))
+q("src_flatten_history", f"""
+select tenant_id, page_id, 'e' || cast(event_id as varchar) as edit_id, ts as created_at, id as issue_id,
+  identifier as issue_identifier from ({_PAGE_NODES}) n where value > 20
+union all
+select tenant_id, page_id, 'f' || cast(event_id as varchar), ts, id, identifier from ({_PAGE_NODES}) n
+where k % 3 <> 0""")(
+    lambda s, sf: A.flatten_history(_nodes(s, sf).drop("node_pos")).select(
+        "tenant_id", "page_id", _jstr("payload", "id").alias("edit_id"),
+        _jstr("payload", "createdAt").cast("timestamp").alias("created_at"),
+        _jstr("payload", "issue.id").alias("issue_id"), _jstr("payload", "issue.identifier").alias("issue_identifier")))
+q("src_updated_since", f"""
+select tenant_id, page_id, id from ({_PAGE_NODES}) n where updated_at >= timestamp '2024-01-15 00:00:00'""")(
+    lambda s, sf: A.updated_since(_nodes(s, sf), "2024-01-15").select(
+        "tenant_id", "page_id", _jstr("payload", "id").alias("id")))
+
+_ENV_COLS = ["tenant_id", "source", "tool", "kind", "name", "subject_type", "subject_id", "occurred_at",
+             "observed_at", "source_key", "raw_record_id"]
+_GH_ALL = ["pull_requests", "reviews", "releases", "issues", "issue_comments", "pull_request_review_comments",
+           "workflow_runs"]
+_LN_ALL = ["linear_issues", "linear_comments", "linear_projects", "linear_description_edits"]
+q("env_github", " union all ".join(O.env_sql(r) for r in _GH_ALL))(
+    lambda s, sf: A.env_github(FX.fx_raw_all(s, sf, _GH_ALL)).select(
+        *_ENV_COLS, _jstr("metadata", "repo").alias("meta_repo")))
+q("env_linear", " union all ".join(O.env_sql(r) for r in _LN_ALL))(
+    lambda s, sf: A.env_linear(FX.fx_raw_all(s, sf, _LN_ALL)).select(*_ENV_COLS))
+q("env_copilot", O.env_sql("copilot_usage"))(
+    lambda s, sf: A.env_copilot(FX.fx_raw_resource(s, sf, "copilot_usage")).select(
+        *_ENV_COLS, "period_start", "period_end", _jstr("metadata", "total_suggestions_count").alias("meta_total")))
+
+_SPLIT = F.lit("2024-01-15 00:00:00").cast("timestamp")
+
+
+def _a9(spark, sf):
+    dps = A.env_github(FX.fx_raw_all(spark, sf, ["pull_requests", "reviews"]))
+    early, late = dps.where(F.col("observed_at") < _SPLIT), dps.where(F.col("observed_at") >= _SPLIT)
+    existing = A.dp_event_first_wins(early.where(F.lit(False)), early)
+    return A.dp_event_first_wins(existing, late).select(*_ENV_COLS)
+
+
+q("dp_event_first_wins", " union all ".join(
+    f"select * exclude (meta_repo) from ({O.env_sql(r)}) e" for r in ["pull_requests", "reviews"]).join(
+    ["select * from (", ") x qualify row_number() over (partition by tenant_id, source, source_key "
+                        "order by observed_at, raw_record_id) = 1"]))(_a9)
+
+
+def _a10(spark, sf):
+    dps = A.env_copilot(FX.fx_raw_resource(spark, sf, "copilot_usage"))
+    early, late = dps.where(F.col("observed_at") < _SPLIT), dps.where(F.col("observed_at") >= _SPLIT)
+    existing = A.dp_measure_newest_wins(early.where(F.lit(False)), early)
+    return A.dp_measure_newest_wins(existing, late).select(
+        "tenant_id", "tool", "name", "subject_id", "period_start", "subject_type", "source_key", "occurred_at",
+        "period_end", "observed_at", "raw_record_id", _jstr("metadata", "total_suggestions_count").alias("meta_total"))
+
+
+q("dp_measure_newest_wins", f"""
+with c as ({O.env_sql('copilot_usage')}),
+n as (select * from c qualify row_number() over (partition by tenant_id, tool, name, subject_id, period_start
+      order by observed_at desc, raw_record_id) = 1),
+f as (select * from c qualify row_number() over (partition by tenant_id, tool, name, subject_id, period_start
+      order by raw_record_id) = 1)
+select n.tenant_id, n.tool, n.name, n.subject_id, n.period_start, f.subject_type, f.source_key, n.occurred_at,
+  n.period_end, n.observed_at, n.raw_record_id, n.meta_total
+from n join f using (tenant_id, tool, name, subject_id, period_start)""")(_a10)
+
+
+def _a11(spark, sf):
+    path = scratch_path(spark, f"mart-{_uuid.uuid4().hex}")
+    prs = FX.fx_pr(spark, sf)
+    SK.sink_full_refresh(D.mart_pr_activity(prs), path)
+    # tenant 2's PRs vanished upstream; tenants 1 and 2 are rebuilt
+    m2 = D.mart_pr_activity(prs.where(F.col("tenant_id") != "2"), tenants=["1", "2"])
+    SK.sink_mart_tenant_replace(m2, path, ["1", "2"])
+    return spark.read.schema(m2.schema).parquet(path)
+
+
+q("sink_mart_tenant_replace", f"select * from ({ORACLE['mart_pr_activity']}) m where tenant_id <> '2'")(_a11)
+
+
+def _a12(spark, sf):
+    base = scratch_path(spark, f"metrics-{_uuid.uuid4().hex}")
+    ents = entities_for(spark, sf, ["pull_request"])
+    SK.sink_metric_swap(compute_metric(H.CYCLE_TIME, ents, as_of=ORDERS_AS_OF), base, H.CYCLE_TIME.id)
+    ents2 = {"pull_request": ents["pull_request"].where(F.col("tenant_id") != "3")}
+    SK.sink_metric_swap(compute_metric(H.CYCLE_TIME, ents2, as_of=ORDERS_AS_OF), base, H.CYCLE_TIME.id,
+                        tenants=["3", "4"])
+    return SK.read_metric_values(spark, base, [H.CYCLE_TIME.id])
+
+
+q("sink_metric_swap", f"select * from ({ORACLE['metric_cycle_time']}) m where tenant_id <> '3'")(_a12)
+
+
+def _a13(spark, sf):
+    path = scratch_path(spark, f"full-{_uuid.uuid4().hex}")
+    prs = FX.fx_pr(spark, sf)
+    SK.sink_full_refresh(D.mart_change_failure(prs.where(F.col("tenant_id") == "0")), path)
+    m = D.mart_change_failure(prs)
+    SK.sink_full_refresh(m, path)
+    return spark.read.schema(m.schema).parquet(path)
+
+
+q("sink_full_refresh", ORACLE["mart_change_failure"])(_a13)
+
+
+# --- K: run log ------------------------------------------------------------------------
+from tallyspark.operators import runlog as K  # noqa: E402
+
+FX_RUNLOG_SQL = """
+select o_orderkey as id, 't' || cast(o_custkey % 4 as varchar) as tenant_id,
+  cast(o_custkey % 20 as varchar) as connected_account_id, o_orderpriority as resource_type,
+  o_orderdate + (o_orderkey % 86400) * interval 1 second as started_at,
+  case o_orderstatus when 'F' then 'success' when 'P' then 'error' else 'running' end as status,
+  case when o_orderstatus = 'F' then o_orderdate + interval 12 hour end as watermark
+from orders"""
+
+q("watermark_start", f"""
+with r as ({FX_RUNLOG_SQL}),
+pairs as (select distinct connected_account_id, resource_type from r),
+l as (select connected_account_id, resource_type, watermark from r where status = 'success'
+      qualify row_number() over (partition by connected_account_id, resource_type order by started_at desc, id desc) = 1)
+select p.connected_account_id, p.resource_type,
+  coalesce(strftime(cast(l.watermark - interval 1 day as date), '%Y-%m-%d'), '2001-10-02') as start_date
+from pairs p left join l using (connected_account_id, resource_type)""")(
+    lambda s, sf: K.watermark_start(FX.fx_runlog(s, sf), "2001-12-31"))
+q("recent_runs", f"""
+select * from ({FX_RUNLOG_SQL}) r
+qualify row_number() over (partition by tenant_id order by started_at desc, id desc) <= 20""")(
+    lambda s, sf: K.recent_runs(FX.fx_runlog(s, sf)))
+
+_ALL_RES = list(FX.RESOURCES)
+
+
+def _dp_table(spark, sf):
+    raw = FX.fx_raw_all(spark, sf, _ALL_RES)
+    ev = A.env_github(raw).unionByName(A.env_linear(raw))
+    ms = A.env_copilot(raw)
+    return raw, A.dp_event_first_wins(ev.where(F.lit(False)), ev).unionByName(
+        A.dp_measure_newest_wins(ms.where(F.lit(False)), ms))
+
+
+_EV_SQL = " union all ".join(
+    f"select tenant_id, source, kind, source_key, observed_at, raw_record_id from ({O.env_sql(r)}) e"
+    for r in _GH_ALL + _LN_ALL)
+DP_SQL = f"""
+select tenant_id, source, kind, raw_record_id from ({_EV_SQL}) x
+qualify row_number() over (partition by tenant_id, source, source_key order by observed_at, raw_record_id) = 1
+union all
+select tenant_id, source, kind, raw_record_id from ({O.env_sql('copilot_usage')}) c
+qualify row_number() over (partition by tenant_id, tool, name, subject_id, period_start
+                           order by observed_at desc, raw_record_id) = 1"""
+RAW_ALL_SQL = " union all ".join(f"select tenant_id, id, run_id from ({O.src_sql(r)}) s" for r in _ALL_RES)
+
+q("run_counts", f"""
+with raw as ({RAW_ALL_SQL}), dp as ({DP_SQL}),
+r as (select run_id, count(*) as records_pulled from raw group by run_id),
+d as (select raw.run_id, count(*) as n from dp join raw on dp.raw_record_id = raw.id group by raw.run_id)
+select r.run_id, r.records_pulled, coalesce(d.n, 0) as datapoints_written from r left join d using (run_id)""")(
+    lambda s, sf: K.run_counts(*_dp_table(s, sf)))
+q("datapoint_stats", f"""
+with d as (select tenant_id, count(*) as n from ({DP_SQL}) x group by 1),
+r as (select tenant_id, count(*) as n from ({RAW_ALL_SQL}) x group by 1),
+l as (select tenant_id, max(started_at) as last_run_at from ({FX_RUNLOG_SQL}) x group by 1)
+select coalesce(d.tenant_id, r.tenant_id, l.tenant_id) as tenant_id, coalesce(d.n, 0) as total_datapoints,
+  coalesce(r.n, 0) as total_raw_records, l.last_run_at
+from d full outer join r on d.tenant_id = r.tenant_id
+full outer join l on coalesce(d.tenant_id, r.tenant_id) = l.tenant_id""")(
+    lambda s, sf: K.datapoint_stats(_dp_table(s, sf)[1], FX.fx_raw_all(s, sf, _ALL_RES), FX.fx_runlog(s, sf)))
+q("count_by_label", f"""
+select tenant_id, 'kind' as label_type, kind as label, count(*) as count from ({DP_SQL}) x group by 1, 3
+union all
+select tenant_id, 'source', source, count(*) from ({DP_SQL}) x group by 1, 3""")(
+    lambda s, sf: K.count_by_label(_dp_table(s, sf)[1]))
+
+
+# --- Q: data quality ----------------------------------------------------------------------
+from tallyspark.operators import quality as Q  # noqa: E402
+
+_TICKET_COLS = ["tenant_id", "ticket_uid", "source", "status", "created_at", "title", "external_key", "completed_at"]
+q("dq_not_null", " union all ".join(
+    f"select '{c}' as column, count(*) filter (where {c} is null) as null_rows from ({FCT_TICKETS_SQL}) t"
+    for c in _TICKET_COLS))(lambda s, sf: Q.dq_not_null(QUERIES["fct_tickets"](s, sf), _TICKET_COLS))
+_CONCL = ["success", "failure", "timed_out", "cancelled"]
+q("dq_accepted_values", f"""
+select cast(conclusion as varchar) as value, count(*) as rows from ({O.stg('workflow_runs')}) w
+where conclusion is not null and conclusion not in ('success', 'failure', 'timed_out', 'cancelled')
+group by 1""")(lambda s, sf: Q.dq_accepted_values(raw_stage(s, sf, "workflow_runs"), "conclusion", _CONCL))
+q("dq_unique", f"""
+select tenant_id, pull_request_number, reviewer_login, count(*) as rows from ({O.FX_REVIEW}) r
+group by 1, 2, 3 having count(*) > 1""")(
+    lambda s, sf: Q.dq_unique(FX.fx_review(s, sf), ["tenant_id", "pull_request_number", "reviewer_login"]))
+_MPA = ORACLE["mart_pr_activity"]
+q("dq_reconcile", f"""
+with e as ({_MPA}), a as (select * from ({_MPA}) x where cast(tenant_id as integer) <= 12)
+select coalesce(e.tenant_id, a.tenant_id) as tenant_id, coalesce(e.activity_date, a.activity_date) as activity_date,
+  e.prs_opened as exp_prs_opened, a.prs_opened as act_prs_opened, e.prs_merged as exp_prs_merged,
+  a.prs_merged as act_prs_merged,
+  case when a.tenant_id is null then 'missing' when e.tenant_id is null then 'unexpected' else 'different' end as problem
+from e full outer join a on e.tenant_id = a.tenant_id and e.activity_date = a.activity_date
+where a.tenant_id is null or e.tenant_id is null or e.prs_opened is distinct from a.prs_opened
+   or e.prs_merged is distinct from a.prs_merged""")(
+    lambda s, sf: Q.dq_reconcile(
+        QUERIES["mart_pr_activity"](s, sf),
+        D.mart_pr_activity(FX.fx_pr(s, sf), tenants=[str(i) for i in range(13)]),
+        ["tenant_id", "activity_date"], ["prs_opened", "prs_merged"]))
+q("dq_dual_run", f"""
+with m as (select tenant_id, activity_date as day, median_cycle_time_hours * 3600 as s from ({ORACLE['mart_pr_cycle_time']}) x),
+v as (select tenant_id, cast(bucket_start as date) as day, value as s from ({ORACLE['metric_cycle_time']}) y
+      where grain = 'day' and is_total)
+select coalesce(m.tenant_id, v.tenant_id) as tenant_id, coalesce(m.day, v.day) as day, m.s as exp_seconds,
+  v.s as act_seconds,
+  case when v.tenant_id is null then 'missing' when m.tenant_id is null then 'unexpected' else 'different' end as problem
+from m full outer join v on m.tenant_id = v.tenant_id and m.day = v.day
+where m.tenant_id is null or v.tenant_id is null or (m.s is null) <> (v.s is null) or abs(m.s - v.s) > 0.001""")(
+    lambda s, sf: Q.dq_dual_run(QUERIES["mart_pr_cycle_time"](s, sf), QUERIES["metric_cycle_time"](s, sf),
+                                H.CYCLE_TIME.id))
+_V2 = H.MERGED_PRS.with_(grains=("week",))
+q("dq_single_version", lambda: f"""
+select metric_id, count(distinct definition_version) as versions from (
+  select * from ({metric_sql(H.MERGED_PRS, ENTITY_SQL, ORDERS_AS_OF)}) a
+  union all select * from ({metric_sql(_V2, ENTITY_SQL, ORDERS_AS_OF)}) b) u
+group by 1 having count(distinct definition_version) > 1""")(
+    lambda s, sf: Q.dq_single_version(QUERIES["metric_merged_prs"](s, sf).unionByName(
+        compute_metric(_V2, entities_for(s, sf, ["pull_request"]), as_of=ORDERS_AS_OF))))
+q("dq_cardinality", f"""
+select d.dimension, d.distinct_values,
+  case when d.distinct_values > 5000 then 'error' when d.distinct_values > 500 then 'warn' else 'ok' end as level
+from (select 'repo' as dimension, count(distinct repo) as distinct_values from ({O.PR_ENTITY}) e
+      union all select 'author_id', count(distinct author_id) from ({O.PR_ENTITY}) e
+      union all select 'state', count(distinct state) from ({O.PR_ENTITY}) e) d""")(
+    lambda s, sf: Q.dq_cardinality(pr_entity(s, sf), ["repo", "author_id", "state"]))

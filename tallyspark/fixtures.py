@@ -186,6 +186,13 @@ RESOURCES: dict[str, tuple[str, str, list[tuple[str, str, str]]]] = {
         ("actor.id", "str", "case when user_id % 2 = 0 then 'act' || cast(user_id % 5 as string) end"),
         ("actor.email", "str", EMAIL),
     ]),
+    "copilot_usage": ("github", "copilot_usage", [
+        ("day", "str", "cast(cast(ts as date) as string)"),
+        ("user_login", "str", "case when user_id % 5 = 0 then null else 'u' || cast(user_id % 9 as string) end"),
+        ("org", "str", "case when k % 10 = 0 then null else 'org' || cast(k % 2 as string) end"),
+        ("total_suggestions_count", "int", "k"),
+        ("total_acceptances_count", "int", "user_id % 7"),
+    ]),
 }
 
 ISO_TS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
@@ -245,8 +252,9 @@ def fx_raw_resource(spark: SparkSession, sf_dir: str, resource: str) -> DataFram
     source, rtype, fields = RESOURCES[resource]
     base = event_base(spark, sf_dir)
     payload = F.to_json(F.expr(_struct_sql(fields)))
+    idx = list(RESOURCES).index(resource)
     return base.select(
-        F.col("event_id").alias("id"),
+        (F.col("event_id") * 100 + idx).alias("id"),
         F.expr(TENANT).alias("tenant_id"),
         F.lit(source).alias("source"),
         F.lit(rtype).alias("resource_type"),
@@ -454,3 +462,39 @@ def fx_signups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.concat(F.lit("new"), k.cast("string")).alias("user_id"),
                     (k * 11).cast("string").alias("oauth_id"),
                     F.concat(F.lit("U"), (k + 7).cast("string"), F.lit("@X")).alias("email"))
+
+
+def fx_runlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingestion run log from ``orders``."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    st = F.col("o_orderstatus")
+    status = F.when(st == "F", "success").when(st == "P", "error").otherwise("running")
+    started = F.col("o_orderdate").cast("timestamp") + F.make_interval(
+        F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(0), (F.col("o_orderkey") % 86400).cast("decimal(18,6)"))
+    return o.select(
+        F.col("o_orderkey").alias("id"),
+        F.concat(F.lit("t"), (F.col("o_custkey") % 4).cast("string")).alias("tenant_id"),
+        (F.col("o_custkey") % 20).cast("string").alias("connected_account_id"),
+        F.col("o_orderpriority").alias("resource_type"),
+        started.alias("started_at"), status.alias("status"),
+        F.when(st == "F", F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 12 HOURS")).alias("watermark"))
+
+
+def fx_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paged issue documents (at most 50 nodes per page) with edit histories."""
+    b = event_base(spark, sf_dir)
+    iso = F.date_format("ts", ISO_TS)
+    h1 = F.struct(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"),
+                  (F.col("value") > 20).alias("updatedDescription"), iso.alias("createdAt"))
+    h2 = F.struct(F.when(F.col("k") % 3 != 0, F.concat(F.lit("f"), F.col("event_id").cast("string"))).alias("id"),
+                  F.lit(True).alias("updatedDescription"), iso.alias("createdAt"))
+    node = F.struct(F.concat(F.lit("iss-"), F.col("event_id").cast("string")).alias("id"),
+                    F.concat(F.lit("ENG-"), F.col("k").cast("string")).alias("identifier"),
+                    F.concat(F.lit("https://linear.invalid/"), F.col("event_id").cast("string")).alias("url"),
+                    iso.alias("updatedAt"),
+                    F.struct(F.array(h1, h2).alias("nodes")).alias("history"))
+    pages = (b.select(F.expr(TENANT).alias("tenant_id"), (F.col("event_id") / 50).cast("bigint").alias("page_id"),
+                      node.alias("n"))
+             .groupBy("tenant_id", "page_id").agg(F.array_sort(F.collect_list("n")).alias("nodes")))
+    doc = F.to_json(F.struct(F.struct(F.struct(F.col("nodes").alias("nodes")).alias("issues")).alias("data")))
+    return pages.select("tenant_id", "page_id", doc.alias("doc"))
