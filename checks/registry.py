@@ -784,12 +784,12 @@ q("env_copilot", O.env_sql("copilot_usage"))(
     lambda s, sf: A.env_copilot(FX.fx_raw_resource(s, sf, "copilot_usage")).select(
         *_ENV_COLS, "period_start", "period_end", _jstr("metadata", "total_suggestions_count").alias("meta_total")))
 
-_SPLIT = F.lit("2024-01-15 00:00:00").cast("timestamp")
+_SPLIT = "2024-01-15 00:00:00"
 
 
 def _a9(spark, sf):
     dps = A.env_github(FX.fx_raw_all(spark, sf, ["pull_requests", "reviews"]))
-    early, late = dps.where(F.col("observed_at") < _SPLIT), dps.where(F.col("observed_at") >= _SPLIT)
+    early, late = dps.where(F.col("observed_at") < F.lit(_SPLIT).cast("timestamp")), dps.where(F.col("observed_at") >= F.lit(_SPLIT).cast("timestamp"))
     existing = A.dp_event_first_wins(early.where(F.lit(False)), early)
     return A.dp_event_first_wins(existing, late).select(*_ENV_COLS)
 
@@ -802,7 +802,7 @@ q("dp_event_first_wins", " union all ".join(
 
 def _a10(spark, sf):
     dps = A.env_copilot(FX.fx_raw_resource(spark, sf, "copilot_usage"))
-    early, late = dps.where(F.col("observed_at") < _SPLIT), dps.where(F.col("observed_at") >= _SPLIT)
+    early, late = dps.where(F.col("observed_at") < F.lit(_SPLIT).cast("timestamp")), dps.where(F.col("observed_at") >= F.lit(_SPLIT).cast("timestamp"))
     existing = A.dp_measure_newest_wins(early.where(F.lit(False)), early)
     return A.dp_measure_newest_wins(existing, late).select(
         "tenant_id", "tool", "name", "subject_id", "period_start", "subject_type", "source_key", "occurred_at",
@@ -984,3 +984,80 @@ from (select 'repo' as dimension, count(distinct repo) as distinct_values from (
       union all select 'author_id', count(distinct author_id) from ({O.PR_ENTITY}) e
       union all select 'state', count(distinct state) from ({O.PR_ENTITY}) e) d""")(
     lambda s, sf: Q.dq_cardinality(pr_entity(s, sf), ["repo", "author_id", "state"]))
+
+
+# --- L: streaming ----------------------------------------------------------------------------
+from tallyspark.streaming import streams as L  # noqa: E402
+
+
+def _stage_files(spark, df, name):
+    """Write a batch DataFrame as the stream's input folder (scratch)."""
+    path = scratch_path(spark, f"{name}-{_uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return path, df.schema
+
+
+def _l1(spark, sf):
+    src, schema = _stage_files(spark, _records(spark, sf, _GH_LAND), "l1-in")
+    base = scratch_path(spark, f"l1-{_uuid.uuid4().hex}")
+    stream = spark.readStream.schema(schema).parquet(src)
+    L.stream_land(stream, "github", f"{base}/raw", f"{base}/dp", f"{base}/_ckpt").awaitTermination()
+    return spark.read.parquet(f"{base}/raw").drop("payload", "_batch")
+
+
+q("stream_land", _land_sql(_GH_LAND))(_l1)
+
+
+def _l2(spark, sf):
+    dps = A.env_github(FX.fx_raw_all(spark, sf, ["pull_requests", "reviews"]))
+    src, schema = _stage_files(spark, dps, "l2-in")
+    base = scratch_path(spark, f"l2-{_uuid.uuid4().hex}")
+    L.stream_event_dedupe(spark.readStream.schema(schema).parquet(src), f"{base}/out", f"{base}/_ckpt"
+                          ).awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(*_ENV_COLS)
+
+
+q("stream_event_dedupe", ORACLE["dp_event_first_wins"])(_l2)
+
+
+def _memory_run(spark, agg, mode="complete"):
+    name = f"mem_{_uuid.uuid4().hex}"
+    ck = scratch_path(spark, f"{name}-ckpt")
+    qy = agg.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", ck) \
+        .trigger(availableNow=True).start()
+    qy.awaitTermination()
+    return spark.table(name)
+
+
+def _l3(spark, sf):
+    dps = A.env_copilot(FX.fx_raw_resource(spark, sf, "copilot_usage"))
+    src, schema = _stage_files(spark, dps, "l3-in")
+    out = _memory_run(spark, L.stream_measure_restate(spark.readStream.schema(schema).parquet(src)))
+    return out.select("tenant_id", "tool", "name", "subject_id", "period_start", "subject_type", "source_key",
+                      "occurred_at", "period_end", "observed_at", "raw_record_id",
+                      _jstr("metadata", "total_suggestions_count").alias("meta_total"))
+
+
+q("stream_measure_restate", ORACLE["dp_measure_newest_wins"])(_l3)
+
+
+def _event_stream(spark, sf):
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    ev = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return ev.select(F.concat(F.lit("t"), (F.col("user_id") % 4).cast("string")).alias("tenant_id"),
+                     "event_type", F.col("ts").cast("timestamp").alias("ts"))
+
+
+q("stream_daily_counts", """
+select 't' || cast(user_id % 4 as varchar) as tenant_id, event_type, cast(ts as date) as activity_date,
+  count(*) as n from events group by 1, 2, 3""")(
+    lambda s, sf: _memory_run(s, L.stream_daily_counts(_event_stream(s, sf), "ts", ["tenant_id", "event_type"])))
+q("stream_rolling_counts", """
+with r as (select 't' || cast(user_id % 4 as varchar) as tenant_id, event_type, ts from events),
+s as (select cast(gs as date) as step_date from generate_series(timestamp '2022-02-01', timestamp '2024-02-01',
+      interval 1 day) g(gs))
+select r.tenant_id, r.event_type, s.step_date, 'rolling_7d' as grain, count(*) as n
+from s join r on r.ts > s.step_date + interval 1 day - interval 7 day and r.ts < s.step_date + interval 1 day
+group by 1, 2, 3""")(
+    lambda s, sf: _memory_run(s, L.stream_rolling_counts(_event_stream(s, sf), "ts", ["tenant_id", "event_type"], 7))
+    .where(F.col("step_date") <= F.lit("2024-02-01").cast("date")))

@@ -144,7 +144,7 @@ def srv_metric_values_by_dims(values, metric_id, granularity="weekly", start=Non
 
 
 # --- person scope: straight from raw records -----------------------------------------
-P = F.col("payload")
+P = "payload"
 
 
 def my_prs(raw: DataFrame, login=None, tenant=None) -> DataFrame:

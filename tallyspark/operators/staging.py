@@ -16,7 +16,7 @@ from tallyspark.functions.jsonx import has_key, jbool, jdec, jint, jlong, jstr,
 from tallyspark.functions.pgcompat import epoch_seconds, org_repo, revert_title
 from tallyspark.operators.snapshot import latest_snapshot
 
-P = F.col("payload")
+P = "payload"
 
 
 def _staged(raw: DataFrame, source: str, resource: str, id_path: str,

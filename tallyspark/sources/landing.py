@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.jsonx import jstr
 
-P = F.col("payload")
+P = "payload"
 
 RAW_COLS = ["id", "tenant_id", "source", "resource_type", "source_id", "payload", "fetched_at", "run_id"]
 DP_COLS = ["id", "tenant_id", "source", "tool", "kind", "name", "subject_type", "subject_id", "occurred_at",
