@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.jsonx import jstr, jts, jint
+from tallyspark.functions.jsonx import with_json
 from tallyspark.functions.pgcompat import epoch_seconds, org_repo, revert_title, utc_date
 from tallyspark.operators.snapshot import latest_snapshot
 
@@ -147,27 +147,32 @@ def srv_metric_values_by_dims(values, metric_id, granularity="weekly", start=Non
 P = "payload"
 
 
-def my_prs(raw: DataFrame, login=None, tenant=None) -> DataFrame:
+def my_prs(raw, login=None, tenant=None) -> DataFrame:
     """Latest snapshot of each PR *among the author's own rows* (author filter
     precedes the dedupe). Without ``login`` every author is served at once:
     the dedupe key then includes the author."""
     df, _ = _scope(raw, tenant)
-    author = jstr(P, "user.login")
-    cond = (F.col("source") == "github") & (F.col("resource_type") == "pull_requests") \
-        & jstr(P, "node_id").isNotNull() & author.isNotNull()
-    if login is not None:
-        cond = cond & (author == login)
-    rows = df.where(cond).select("tenant_id", author.alias("author_login"),
-                                 jstr(P, "node_id").alias("pr_node_id"), "payload", "fetched_at", "id")
+    r = df.where((F.col("source") == "github") & (F.col("resource_type") == "pull_requests"))
+
+    def pre(g):
+        ok = g("node_id").isNotNull() & g("user.login").isNotNull()
+        if login is not None:
+            ok = ok & (g("user.login") == login)
+        return [F.col("tenant_id"), g("user.login").alias("author_login"), g("node_id").alias("pr_node_id"),
+                F.col(P), F.col("fetched_at"), F.col("id"), ok.alias("_ok")]
+    rows = with_json(r, P, pre).where("_ok").drop("_ok")
     s = latest_snapshot(rows, ["tenant_id", "author_login", "pr_node_id"])
-    created, merged = jts(P, "created_at"), jts(P, "merged_at")
-    return s.select(
-        "tenant_id", "author_login", "pr_node_id", jint(P, "number").alias("pr_number"),
-        created.alias("created_at"), jts(P, "closed_at").alias("closed_at"), merged.alias("merged_at"),
-        F.coalesce(jstr(P, "base.repo.full_name"), org_repo(jstr(P, "org"), jstr(P, "repo"))).alias("repo"),
-        revert_title(jstr(P, "title")).alias("is_revert"),
-        F.when(merged.isNotNull() & created.isNotNull(),
-               epoch_seconds(merged, created) / F.lit(3600.0)).alias("cycle_time_hours"))
+
+    def build(g):
+        created, merged = g("created_at").cast("timestamp"), g("merged_at").cast("timestamp")
+        return [F.col("tenant_id"), F.col("author_login"), F.col("pr_node_id"),
+                g("number").cast("int").alias("pr_number"), created.alias("created_at"),
+                g("closed_at").cast("timestamp").alias("closed_at"), merged.alias("merged_at"),
+                F.coalesce(g("base.repo.full_name"), org_repo(g("org"), g("repo"))).alias("repo"),
+                revert_title(g("title")).alias("is_revert"),
+                F.when(merged.isNotNull() & created.isNotNull(),
+                       epoch_seconds(merged, created) / F.lit(3600.0)).alias("cycle_time_hours")]
+    return with_json(s, P, build)
 
 
 def _in_range(d: Column, start, end) -> Column:
@@ -208,15 +213,16 @@ def srv_me_cycle_time(raw, login=None, granularity="weekly", start=None, end=Non
 
 def _latest_reviews(raw, tenant=None):
     df, _ = _scope(raw, tenant)
-    cond = ((F.col("source") == "github") & (F.col("resource_type") == "reviews")
-            & jstr(P, "node_id").isNotNull() & jstr(P, "submitted_at").isNotNull()
-            & (F.coalesce(jstr(P, "state"), F.lit("")) != "PENDING"))
-    rows = df.where(cond).select("tenant_id", jstr(P, "node_id").alias("_k"), "payload", "fetched_at", "id")
+    r = df.where((F.col("source") == "github") & (F.col("resource_type") == "reviews"))
+    rows = with_json(r, P, lambda g: [
+        F.col("tenant_id"), g("node_id").alias("_k"), F.col(P), F.col("fetched_at"), F.col("id"),
+        (g("node_id").isNotNull() & g("submitted_at").isNotNull()
+         & (F.coalesce(g("state"), F.lit("")) != "PENDING")).alias("_ok")]).where("_ok").drop("_ok")
     s = latest_snapshot(rows, ["tenant_id", "_k"])
-    return s.select("tenant_id", jts(P, "submitted_at").alias("submitted_at"),
-                    jstr(P, "user.login").alias("reviewer_login"),
-                    jint(P, "pull_request_number").alias("pull_request_number"),
-                    org_repo(jstr(P, "org"), jstr(P, "repo")).alias("r_repo"))
+    return with_json(s, P, lambda g: [
+        F.col("tenant_id"), g("submitted_at").cast("timestamp").alias("submitted_at"),
+        g("user.login").alias("reviewer_login"), g("pull_request_number").cast("int").alias("pull_request_number"),
+        org_repo(g("org"), g("repo")).alias("r_repo")])
 
 
 def srv_me_review_latency(raw, login=None, granularity="weekly", start=None, end=None, tenant=None):

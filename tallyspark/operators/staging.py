@@ -3,8 +3,8 @@
 Each model: partition-pruning filter on (source, resource_type), the
 pre-filters that must precede the dedupe, ``latest_snapshot`` on
 (tenant_id, natural id) carrying only the payload, then JSON projection.
-Extracting the JSON paths after the dedupe parses each payload once per key
-instead of once per snapshot.
+Payloads are parsed once per row for the key and pre-filters (before the
+dedupe) and once per surviving key for the projection (after it).
 """
 
 from __future__ import annotations
@@ -12,235 +12,155 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.jsonx import has_key, jbool, jdec, jint, jlong, jstr, jts
+from tallyspark.functions.jsonx import has_key, with_json
 from tallyspark.functions.pgcompat import epoch_seconds, org_repo, revert_title
 from tallyspark.operators.snapshot import latest_snapshot
 
 P = "payload"
 
 
-def _staged(raw: DataFrame, source: str, resource: str, id_path: str,
-            extra_filters: list[Column] | None = None) -> DataFrame:
+def _staged(raw: DataFrame, source: str, resource: str, id_path: str, extra=None) -> DataFrame:
     """Filter, key and dedupe; returns (tenant_id, _key, payload, fetched_at)."""
-    cond = (F.col("source") == source) & (F.col("resource_type") == resource)
-    key = jstr(P, id_path)
-    cond = cond & key.isNotNull()
-    for f in extra_filters or []:
-        cond = cond & f
-    rows = raw.where(cond).select("tenant_id", key.alias("_key"), "payload", "fetched_at", "id")
+    r = raw.where((F.col("source") == source) & (F.col("resource_type") == resource))
+
+    def build(g):
+        ok = g(id_path).isNotNull()
+        if extra is not None:
+            ok = ok & extra(g)
+        return [F.col("tenant_id"), g(id_path).alias("_key"), F.col(P), F.col("fetched_at"), F.col("id"),
+                ok.alias("_ok")]
+    rows = with_json(r, P, build).where(F.col("_ok")).drop("_ok")
     return latest_snapshot(rows, ["tenant_id", "_key"])
 
 
+def _project(s: DataFrame, key_name: str, build) -> DataFrame:
+    return with_json(s, P, lambda g: [F.col("tenant_id"), F.col("_key").alias(key_name), *build(g),
+                                      F.col("fetched_at")])
+
+
+def ts(g, path) -> Column:
+    return g(path).cast("timestamp")
+
+
+def repo_of(g) -> Column:
+    return org_repo(g("org"), g("repo"))
+
+
 def stg_pull_requests(raw: DataFrame) -> DataFrame:
-    s = _staged(raw, "github", "pull_requests", "node_id")
-    created, merged = jts(P, "created_at"), jts(P, "merged_at")
-    return s.select(
-        "tenant_id",
-        F.col("_key").alias("pr_node_id"),
-        jint(P, "number").alias("pr_number"),
-        jstr(P, "title").alias("title"),
-        jstr(P, "state").alias("state"),
-        created.alias("created_at"),
-        jts(P, "closed_at").alias("closed_at"),
-        merged.alias("merged_at"),
-        F.when(merged.isNotNull() & created.isNotNull(),
-               epoch_seconds(merged, created) / F.lit(3600.0)).alias("cycle_time_hours"),
-        revert_title(jstr(P, "title")).alias("is_revert"),
-        jstr(P, "user.login").alias("author_login"),
-        F.coalesce(jstr(P, "base.repo.full_name"),
-                   org_repo(jstr(P, "org"), jstr(P, "repo"))).alias("repo"),
-        "fetched_at",
-    )
+    def build(g):
+        created, merged = ts(g, "created_at"), ts(g, "merged_at")
+        return [
+            g("number").cast("int").alias("pr_number"), g("title").alias("title"), g("state").alias("state"),
+            created.alias("created_at"), ts(g, "closed_at").alias("closed_at"), merged.alias("merged_at"),
+            F.when(merged.isNotNull() & created.isNotNull(),
+                   epoch_seconds(merged, created) / F.lit(3600.0)).alias("cycle_time_hours"),
+            revert_title(g("title")).alias("is_revert"),
+            g("user.login").alias("author_login"),
+            F.coalesce(g("base.repo.full_name"), repo_of(g)).alias("repo"),
+        ]
+    return _project(_staged(raw, "github", "pull_requests", "node_id"), "pr_node_id", build)
 
 
 def stg_reviews(raw: DataFrame) -> DataFrame:
-    s = _staged(raw, "github", "reviews", "node_id", [
-        jstr(P, "submitted_at").isNotNull(),
-        F.coalesce(jstr(P, "state"), F.lit("")) != "PENDING",
-    ])
-    return s.select(
-        "tenant_id",
-        F.col("_key").alias("review_node_id"),
-        jlong(P, "id").alias("review_id"),
-        jstr(P, "state").alias("state"),
-        jts(P, "submitted_at").alias("submitted_at"),
-        jstr(P, "user.login").alias("reviewer_login"),
-        jint(P, "pull_request_number").alias("pull_request_number"),
-        org_repo(jstr(P, "org"), jstr(P, "repo")).alias("repo"),
-        "fetched_at",
-    )
+    pre = lambda g: g("submitted_at").isNotNull() & (F.coalesce(g("state"), F.lit("")) != "PENDING")
+    return _project(_staged(raw, "github", "reviews", "node_id", pre), "review_node_id", lambda g: [
+        g("id").cast("bigint").alias("review_id"), g("state").alias("state"),
+        ts(g, "submitted_at").alias("submitted_at"), g("user.login").alias("reviewer_login"),
+        g("pull_request_number").cast("int").alias("pull_request_number"), repo_of(g).alias("repo")])
 
 
 def stg_releases(raw: DataFrame) -> DataFrame:
-    s = _staged(raw, "github", "releases", "node_id")
-    return s.select(
-        "tenant_id",
-        F.col("_key").alias("release_node_id"),
-        jlong(P, "id").alias("release_id"),
-        jstr(P, "tag_name").alias("tag_name"),
-        jstr(P, "name").alias("release_name"),
-        F.coalesce(jbool(P, "draft"), F.lit(False)).alias("is_draft"),
-        F.coalesce(jbool(P, "prerelease"), F.lit(False)).alias("is_prerelease"),
-        jts(P, "created_at").alias("created_at"),
-        jts(P, "published_at").alias("published_at"),
-        jstr(P, "author.login").alias("author_login"),
-        org_repo(jstr(P, "org"), jstr(P, "repo")).alias("repo"),
-        "fetched_at",
-    )
+    return _project(_staged(raw, "github", "releases", "node_id"), "release_node_id", lambda g: [
+        g("id").cast("bigint").alias("release_id"), g("tag_name").alias("tag_name"),
+        g("name").alias("release_name"),
+        F.coalesce(g("draft").cast("boolean"), F.lit(False)).alias("is_draft"),
+        F.coalesce(g("prerelease").cast("boolean"), F.lit(False)).alias("is_prerelease"),
+        ts(g, "created_at").alias("created_at"), ts(g, "published_at").alias("published_at"),
+        g("author.login").alias("author_login"), repo_of(g).alias("repo")])
 
 
 def stg_issues(raw: DataFrame) -> DataFrame:
     # GitHub lists pull requests as issues too; those carry a `pull_request` key.
-    s = _staged(raw, "github", "issues", "node_id", [~has_key(P, "pull_request")])
-    return s.select(
-        "tenant_id",
-        F.col("_key").alias("issue_node_id"),
-        jint(P, "number").alias("issue_number"),
-        jstr(P, "title").alias("title"),
-        jstr(P, "state").alias("state"),
-        jstr(P, "state_reason").alias("state_reason"),
-        jts(P, "created_at").alias("created_at"),
-        jts(P, "updated_at").alias("updated_at"),
-        jts(P, "closed_at").alias("closed_at"),
-        jstr(P, "user.login").alias("author_login"),
-        jstr(P, "assignee.login").alias("assignee_login"),
-        jstr(P, "html_url").alias("html_url"),
-        org_repo(jstr(P, "org"), jstr(P, "repo")).alias("repo"),
-        "fetched_at",
-    )
+    pre = lambda g: ~has_key(P, "pull_request")
+    return _project(_staged(raw, "github", "issues", "node_id", pre), "issue_node_id", lambda g: [
+        g("number").cast("int").alias("issue_number"), g("title").alias("title"), g("state").alias("state"),
+        g("state_reason").alias("state_reason"), ts(g, "created_at").alias("created_at"),
+        ts(g, "updated_at").alias("updated_at"), ts(g, "closed_at").alias("closed_at"),
+        g("user.login").alias("author_login"), g("assignee.login").alias("assignee_login"),
+        g("html_url").alias("html_url"), repo_of(g).alias("repo")])
 
 
 def stg_issue_comments(raw: DataFrame) -> DataFrame:
-    s = _staged(raw, "github", "issue_comments", "node_id", [jstr(P, "created_at").isNotNull()])
-    return s.select(
-        "tenant_id",
-        F.col("_key").alias("comment_node_id"),
-        jlong(P, "id").alias("comment_id"),
-        jts(P, "created_at").alias("created_at"),
-        jts(P, "updated_at").alias("updated_at"),
-        jstr(P, "user.login").alias("author_login"),
-        jint(P, "issue_number").alias("issue_number"),
-        org_repo(jstr(P, "org"), jstr(P, "repo")).alias("repo"),
-        "fetched_at",
-    )
+    pre = lambda g: g("created_at").isNotNull()
+    return _project(_staged(raw, "github", "issue_comments", "node_id", pre), "comment_node_id", lambda g: [
+        g("id").cast("bigint").alias("comment_id"), ts(g, "created_at").alias("created_at"),
+        ts(g, "updated_at").alias("updated_at"), g("user.login").alias("author_login"),
+        g("issue_number").cast("int").alias("issue_number"), repo_of(g).alias("repo")])
 
 
 def stg_review_comments(raw: DataFrame) -> DataFrame:
-    s = _staged(raw, "github", "pull_request_review_comments", "node_id",
-                [jstr(P, "created_at").isNotNull()])
-    return s.select(
-        "tenant_id",
-        F.col("_key").alias("comment_node_id"),
-        jlong(P, "id").alias("comment_id"),
-        jts(P, "created_at").alias("created_at"),
-        jts(P, "updated_at").alias("updated_at"),
-        jstr(P, "user.login").alias("author_login"),
-        jint(P, "pull_request_number").alias("pull_request_number"),
-        jlong(P, "pull_request_review_id").alias("pull_request_review_id"),
-        jstr(P, "path").alias("file_path"),
-        org_repo(jstr(P, "org"), jstr(P, "repo")).alias("repo"),
-        "fetched_at",
-    )
+    pre = lambda g: g("created_at").isNotNull()
+    s = _staged(raw, "github", "pull_request_review_comments", "node_id", pre)
+    return _project(s, "comment_node_id", lambda g: [
+        g("id").cast("bigint").alias("comment_id"), ts(g, "created_at").alias("created_at"),
+        ts(g, "updated_at").alias("updated_at"), g("user.login").alias("author_login"),
+        g("pull_request_number").cast("int").alias("pull_request_number"),
+        g("pull_request_review_id").cast("bigint").alias("pull_request_review_id"),
+        g("path").alias("file_path"), repo_of(g).alias("repo")])
 
 
 def stg_workflow_runs(raw: DataFrame) -> DataFrame:
-    s = _staged(raw, "github", "workflow_runs", "node_id")
-    return s.select(
-        "tenant_id",
-        F.col("_key").alias("run_node_id"),
-        jlong(P, "id").alias("run_id"),
-        jstr(P, "name").alias("workflow_name"),
-        jstr(P, "status").alias("run_status"),
-        jstr(P, "conclusion").alias("conclusion"),
-        jstr(P, "event").alias("trigger_event"),
-        jint(P, "run_number").alias("run_number"),
-        jts(P, "created_at").alias("created_at"),
-        jts(P, "updated_at").alias("updated_at"),
-        F.coalesce(jstr(P, "actor.login"), jstr(P, "triggering_actor.login")).alias("actor_login"),
-        jstr(P, "head_branch").alias("head_branch"),
-        jstr(P, "head_sha").alias("head_sha"),
-        org_repo(jstr(P, "org"), jstr(P, "repo")).alias("repo"),
-        "fetched_at",
-    )
-
-
-def _person(path: str, *fields: str) -> Column:
-    return F.coalesce(*[jstr(P, f"{path}.{f}") for f in fields])
+    return _project(_staged(raw, "github", "workflow_runs", "node_id"), "run_node_id", lambda g: [
+        g("id").cast("bigint").alias("run_id"), g("name").alias("workflow_name"), g("status").alias("run_status"),
+        g("conclusion").alias("conclusion"), g("event").alias("trigger_event"),
+        g("run_number").cast("int").alias("run_number"), ts(g, "created_at").alias("created_at"),
+        ts(g, "updated_at").alias("updated_at"),
+        F.coalesce(g("actor.login"), g("triggering_actor.login")).alias("actor_login"),
+        g("head_branch").alias("head_branch"), g("head_sha").alias("head_sha"), repo_of(g).alias("repo")])
+
+
+def _person(g, path: str, *fields: str) -> Column:
+    return F.coalesce(*[g(f"{path}.{f}") for f in fields])
 
 
 def stg_linear_issues(raw: DataFrame) -> DataFrame:
-    s = _staged(raw, "linear", "issues", "id")
-    return s.select(
-        "tenant_id",
-        F.col("_key").alias("issue_id"),
-        jstr(P, "identifier").alias("identifier"),
-        jstr(P, "title").alias("title"),
-        jstr(P, "state.name").alias("state_name"),
-        jstr(P, "state.type").alias("state_type"),
-        jts(P, "createdAt").alias("created_at"),
-        jts(P, "updatedAt").alias("updated_at"),
-        jts(P, "completedAt").alias("completed_at"),
-        jts(P, "canceledAt").alias("canceled_at"),
-        jint(P, "priority").alias("priority"),
-        jdec(P, "estimate").alias("estimate"),
-        jstr(P, "url").alias("url"),
-        jstr(P, "team.key").alias("team_key"),
-        _person("creator", "email", "displayName", "name").alias("creator"),
-        _person("assignee", "email", "displayName", "name").alias("assignee"),
-        "fetched_at",
-    )
+    return _project(_staged(raw, "linear", "issues", "id"), "issue_id", lambda g: [
+        g("identifier").alias("identifier"), g("title").alias("title"), g("state.name").alias("state_name"),
+        g("state.type").alias("state_type"), ts(g, "createdAt").alias("created_at"),
+        ts(g, "updatedAt").alias("updated_at"), ts(g, "completedAt").alias("completed_at"),
+        ts(g, "canceledAt").alias("canceled_at"), g("priority").cast("int").alias("priority"),
+        g("estimate").cast("decimal(18,4)").alias("estimate"), g("url").alias("url"),
+        g("team.key").alias("team_key"),
+        _person(g, "creator", "email", "displayName", "name").alias("creator"),
+        _person(g, "assignee", "email", "displayName", "name").alias("assignee")])
 
 
 def stg_linear_comments(raw: DataFrame) -> DataFrame:
-    s = _staged(raw, "linear", "comments", "id")
-    return s.select(
-        "tenant_id",
-        F.col("_key").alias("comment_id"),
-        jts(P, "createdAt").alias("created_at"),
-        jts(P, "updatedAt").alias("updated_at"),
-        jts(P, "editedAt").alias("edited_at"),
-        F.coalesce(jstr(P, "issueId"), jstr(P, "issue.id")).alias("issue_id"),
-        jstr(P, "issue.identifier").alias("issue_identifier"),
-        F.coalesce(jstr(P, "projectId"), jstr(P, "project.id")).alias("project_id"),
-        F.coalesce(jstr(P, "user.id"), jstr(P, "user.email"),
-                   jstr(P, "externalUser.id")).alias("author_id"),
-        "fetched_at",
-    )
+    return _project(_staged(raw, "linear", "comments", "id"), "comment_id", lambda g: [
+        ts(g, "createdAt").alias("created_at"), ts(g, "updatedAt").alias("updated_at"),
+        ts(g, "editedAt").alias("edited_at"), F.coalesce(g("issueId"), g("issue.id")).alias("issue_id"),
+        g("issue.identifier").alias("issue_identifier"),
+        F.coalesce(g("projectId"), g("project.id")).alias("project_id"),
+        F.coalesce(g("user.id"), g("user.email"), g("externalUser.id")).alias("author_id")])
 
 
 def stg_linear_projects(raw: DataFrame) -> DataFrame:
-    s = _staged(raw, "linear", "projects", "id")
-    return s.select(
-        "tenant_id",
-        F.col("_key").alias("project_id"),
-        jstr(P, "name").alias("project_name"),
-        jstr(P, "url").alias("url"),
-        jts(P, "createdAt").alias("created_at"),
-        jts(P, "updatedAt").alias("updated_at"),
-        jts(P, "startedAt").alias("started_at"),
-        jts(P, "completedAt").alias("completed_at"),
-        jts(P, "canceledAt").alias("canceled_at"),
-        jstr(P, "status.name").alias("status_name"),
-        jstr(P, "status.type").alias("status_type"),
-        F.coalesce(jstr(P, "lead.id"), jstr(P, "lead.email")).alias("lead_id"),
-        "fetched_at",
-    )
+    return _project(_staged(raw, "linear", "projects", "id"), "project_id", lambda g: [
+        g("name").alias("project_name"), g("url").alias("url"), ts(g, "createdAt").alias("created_at"),
+        ts(g, "updatedAt").alias("updated_at"), ts(g, "startedAt").alias("started_at"),
+        ts(g, "completedAt").alias("completed_at"), ts(g, "canceledAt").alias("canceled_at"),
+        g("status.name").alias("status_name"), g("status.type").alias("status_type"),
+        F.coalesce(g("lead.id"), g("lead.email")).alias("lead_id")])
 
 
 def stg_linear_description_edits(raw: DataFrame) -> DataFrame:
     # An edit flagged false must not shadow an older true one: filter first.
-    s = _staged(raw, "linear", "issue_description_edits", "id",
-                [F.coalesce(jbool(P, "updatedDescription"), F.lit(False))])
-    return s.select(
-        "tenant_id",
-        F.col("_key").alias("edit_id"),
-        jts(P, "createdAt").alias("edited_at"),
-        F.coalesce(jstr(P, "issue.id"), jstr(P, "issueId")).alias("issue_id"),
-        jstr(P, "issue.identifier").alias("issue_identifier"),
-        F.coalesce(jstr(P, "descriptionUpdatedBy[0].id"), jstr(P, "actor.id"),
-                   jstr(P, "actor.email")).alias("editor_id"),
-        "fetched_at",
-    )
+    pre = lambda g: F.coalesce(g("updatedDescription").cast("boolean"), F.lit(False))
+    s = _staged(raw, "linear", "issue_description_edits", "id", pre)
+    return _project(s, "edit_id", lambda g: [
+        ts(g, "createdAt").alias("edited_at"), F.coalesce(g("issue.id"), g("issueId")).alias("issue_id"),
+        g("issue.identifier").alias("issue_identifier"),
+        F.coalesce(g("descriptionUpdatedBy[0].id"), g("actor.id"), g("actor.email")).alias("editor_id")])
 
 
 STAGING = {

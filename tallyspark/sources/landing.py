@@ -14,7 +14,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.jsonx import jstr
+from tallyspark.functions.jsonx import jstr, with_json
 
 P = "payload"
 
@@ -23,9 +23,13 @@ DP_COLS = ["id", "tenant_id", "source", "tool", "kind", "name", "subject_type",
            "period_start", "period_end", "observed_at", "source_key", "metadata", "raw_record_id"]
 
 
+def _nz(c: Column) -> Column:
+    """Truthy string: '' counts as missing (Python ``or``)."""
+    return F.nullif(c, F.lit(""))
+
+
 def _s(path: str) -> Column:
-    """Truthy string at a JSON path: '' counts as missing (Python ``or``)."""
-    return F.nullif(jstr(P, path), F.lit(""))
+    return _nz(jstr(P, path))
 
 
 def _ts(c: Column) -> Column:
@@ -118,19 +122,19 @@ def _case(stream: Column, table: dict[str, Column], default: Column) -> Column:
     return out.otherwise(default) if out is not None else default
 
 
-def _dp(raw: DataFrame, tool: Column, kind: str, name: Column, subject_type: Column, subject_id: Column,
-        occurred: Column, source_key: Column, metadata: Column, observed: Column,
-        period_start=None, period_end=None) -> DataFrame:
-    return raw.select(
+def _dp_cols(tool: Column, kind: str, name: Column, subject_type: Column, subject_id: Column,
+             occurred: Column, source_key: Column, metadata: Column, observed: Column,
+             period_start=None, period_end=None) -> list[Column]:
+    return [
         F.sha2(F.concat_ws("|", F.col("tenant_id"), F.col("source"), source_key, F.col("id").cast("string")), 256)
         .substr(1, 32).alias("id"),
-        "tenant_id", "source", tool.alias("tool"), F.lit(kind).alias("kind"), name.alias("name"),
+        F.col("tenant_id"), F.col("source"), tool.alias("tool"), F.lit(kind).alias("kind"), name.alias("name"),
         subject_type.alias("subject_type"), subject_id.alias("subject_id"),
         F.coalesce(occurred, observed).alias("occurred_at"),
         (period_start if period_start is not None else F.lit(None).cast("timestamp")).alias("period_start"),
         (period_end if period_end is not None else F.lit(None).cast("timestamp")).alias("period_end"),
         observed.alias("observed_at"), source_key.alias("source_key"), metadata.alias("metadata"),
-        F.col("id").alias("raw_record_id"))
+        F.col("id").alias("raw_record_id")]
 
 
 def env_github(raw: DataFrame, observed_at: Column | None = None) -> DataFrame:
@@ -139,95 +143,109 @@ def env_github(raw: DataFrame, observed_at: Column | None = None) -> DataFrame:
     r = raw.where((F.col("source") == "github") & rs.isin(list(GITHUB_STREAMS)))
     obs = observed_at if observed_at is not None else F.col("fetched_at")
     name = _case(rs, {k: F.lit(v) for k, v in GITHUB_STREAMS.items()}, F.lit(None))
-    login = F.coalesce(_s("user.login"), _s("author.login"), _s("actor.login"), _s("triggering_actor.login"),
-                       F.lit("unknown"))
-    created = _ts(jstr(P, "created_at"))
-    commit_dt = F.coalesce(_ts(jstr(P, "commit.author.date")), _ts(jstr(P, "commit.committer.date")))
-    occurred = _case(rs, {
-        "commits": F.coalesce(commit_dt, created),
-        "reviews": _ts(jstr(P, "submitted_at")),
-        "releases": F.coalesce(_ts(jstr(P, "published_at")), created),
-        "workflow_runs": F.coalesce(_ts(jstr(P, "updated_at")), created),
-    }, created)
-    natural = F.coalesce(_s("id"), _s("sha"))
-    source_key = F.coalesce(_s("node_id"), F.concat(name, F.lit(":"), F.coalesce(natural, F.lit("None"))))
-    repo = F.coalesce(F.when(_s("org").isNotNull() & _s("repo").isNotNull(),
-                             F.concat(_s("org"), F.lit("/"), _s("repo"))),
-                      _s("base.repo.full_name"), jstr(P, "repo"))
-    pairs = [("stream", rs), ("repo", repo)] + [(k, jstr(P, k)) for k in GITHUB_META_COMMON]
-    extra_keys = sorted({k for ks in GITHUB_META_EXTRA.values() for k in ks})
-    pairs += [(f"{k}", _case(rs, {s: jstr(P, k) for s, ks in GITHUB_META_EXTRA.items() if k in ks},
-                             F.lit(None).cast("string"))) for k in extra_keys if k not in GITHUB_META_COMMON]
-    return _dp(r, F.lit("github"), "event", name, F.lit("user"), login, occurred, source_key, _meta(pairs), obs)
+    extra_keys = sorted({k for ks in GITHUB_META_EXTRA.values() for k in ks} - set(GITHUB_META_COMMON))
+
+    def build(g):
+        s = lambda p: _nz(g(p))
+        login = F.coalesce(s("user.login"), s("author.login"), s("actor.login"), s("triggering_actor.login"),
+                           F.lit("unknown"))
+        created = _ts(g("created_at"))
+        commit_dt = F.coalesce(_ts(g("commit.author.date")), _ts(g("commit.committer.date")))
+        occurred = _case(rs, {
+            "commits": F.coalesce(commit_dt, created),
+            "reviews": _ts(g("submitted_at")),
+            "releases": F.coalesce(_ts(g("published_at")), created),
+            "workflow_runs": F.coalesce(_ts(g("updated_at")), created),
+        }, created)
+        natural = F.coalesce(s("id"), s("sha"))
+        source_key = F.coalesce(s("node_id"), F.concat(name, F.lit(":"), F.coalesce(natural, F.lit("None"))))
+        repo = F.coalesce(F.when(s("org").isNotNull() & s("repo").isNotNull(),
+                                 F.concat(s("org"), F.lit("/"), s("repo"))),
+                          s("base.repo.full_name"), g("repo"))
+        pairs = [("stream", rs), ("repo", repo)] + [(k, g(k)) for k in GITHUB_META_COMMON]
+        pairs += [(k, _case(rs, {st: g(k) for st, ks in GITHUB_META_EXTRA.items() if k in ks},
+                            F.lit(None).cast("string"))) for k in extra_keys]
+        return _dp_cols(F.lit("github"), "event", name, F.lit("user"), login, occurred, source_key,
+                        _meta(pairs), obs)
+    return with_json(r, P, build)
 
 
 _PERSON = "array<struct<id:string,email:string,displayName:string,name:string>>"
 
 
-def _person(path: str) -> Column:
-    return F.coalesce(_s(f"{path}.id"), _s(f"{path}.email"), _s(f"{path}.displayName"), _s(f"{path}.name"))
-
-
 def _first_in_array(path: str) -> Column:
-    arr = F.from_json(F.get_json_object(P, f"$.{path}"), _PERSON)
-    ids = F.transform(arr, lambda p: F.coalesce(F.nullif(p["id"], F.lit("")), F.nullif(p["email"], F.lit("")),
-                                                F.nullif(p["displayName"], F.lit("")), F.nullif(p["name"], F.lit(""))))
+    arr = F.from_json(F.get_json_object(F.col(P), f"$.{path}"), _PERSON)
+    ids = F.transform(arr, lambda p: F.coalesce(_nz(p["id"]), _nz(p["email"]), _nz(p["displayName"]),
+                                                _nz(p["name"])))
     return F.get(F.filter(ids, lambda x: x.isNotNull()), 0)
 
 
 def env_linear(raw: DataFrame, observed_at: Column | None = None) -> DataFrame:
     """Linear streams -> event envelopes; no id => no row; ``source_key = name:id``."""
     rs = F.col("resource_type")
-    r = raw.where((F.col("source") == "linear") & rs.isin(list(LINEAR_STREAMS)) & _s("id").isNotNull())
+    r = raw.where((F.col("source") == "linear") & rs.isin(list(LINEAR_STREAMS)))
     obs = observed_at if observed_at is not None else F.col("fetched_at")
     name = _case(rs, {k: F.lit(v) for k, v in LINEAR_STREAMS.items()}, F.lit(None))
-    subject = F.coalesce(_case(rs, {
-        "issues": F.coalesce(_person("assignee"), _person("creator")),
-        "comments": F.coalesce(_person("user"), _person("externalUser")),
-        "projects": F.coalesce(_person("lead"), _person("creator")),
-        "issue_description_edits": F.coalesce(_first_in_array("descriptionUpdatedBy"), _person("actor")),
-    }, F.lit(None)), F.lit("unknown"))
-    occurred = _ts(jstr(P, "createdAt"))
-    meta = _case(rs, {
-        "issues": _meta([("stream", rs)] + [(k, jstr(P, k)) for k in
-                         ["identifier", "title", "url", "priority", "estimate", "updatedAt"]]
-                        + [("state", _s("state.name")), ("state_type", _s("state.type")), ("team", _s("team.key")),
-                           ("project_id", _s("project.id")),
-                           ("project_name", F.when(_s("project.id").isNotNull(), _s("project.name"))),
-                           ("assignee_email", _s("assignee.email"))]),
-        "comments": _meta([("stream", rs)] + [(k, jstr(P, k)) for k in
-                           ["url", "issueId", "projectId", "parentId", "updatedAt", "editedAt"]]
-                          + [("issue_id", _s("issue.id")), ("issue_identifier", _s("issue.identifier")),
-                             ("project_id", F.coalesce(_s("project.id"), jstr(P, "projectId"))),
-                             ("project_name", F.when(_s("project.id").isNotNull(), _s("project.name")))]),
-        "projects": _meta([("stream", rs)] + [(k, jstr(P, k)) for k in
-                           ["name", "url", "slugId", "priority", "progress", "health", "updatedAt", "targetDate",
-                            "startDate"]]
-                          + [("status", _s("status.name")), ("status_type", _s("status.type"))]),
-        "issue_description_edits": _meta([("stream", rs), ("issue_id", _s("issue.id")),
-                                          ("issue_identifier", _s("issue.identifier")),
-                                          ("issue_url", _s("issue.url"))]),
-    }, F.lit(None))
-    source_key = F.concat(name, F.lit(":"), _s("id"))
-    return _dp(r, F.lit("linear"), "event", name, F.lit("user"), subject, occurred, source_key, meta, obs)
+
+    def build(g):
+        s = lambda p: _nz(g(p))
+
+        def person(path):
+            return F.coalesce(s(f"{path}.id"), s(f"{path}.email"), s(f"{path}.displayName"), s(f"{path}.name"))
+        subject = F.coalesce(_case(rs, {
+            "issues": F.coalesce(person("assignee"), person("creator")),
+            "comments": F.coalesce(person("user"), person("externalUser")),
+            "projects": F.coalesce(person("lead"), person("creator")),
+            "issue_description_edits": F.coalesce(
+                F.when(rs == "issue_description_edits", _first_in_array("descriptionUpdatedBy")), person("actor")),
+        }, F.lit(None)), F.lit("unknown"))
+        meta = _case(rs, {
+            "issues": _meta([("stream", rs)] + [(k, g(k)) for k in
+                             ["identifier", "title", "url", "priority", "estimate", "updatedAt"]]
+                            + [("state", s("state.name")), ("state_type", s("state.type")), ("team", s("team.key")),
+                               ("project_id", s("project.id")),
+                               ("project_name", F.when(s("project.id").isNotNull(), s("project.name"))),
+                               ("assignee_email", s("assignee.email"))]),
+            "comments": _meta([("stream", rs)] + [(k, g(k)) for k in
+                               ["url", "issueId", "projectId", "parentId", "updatedAt", "editedAt"]]
+                              + [("issue_id", s("issue.id")), ("issue_identifier", s("issue.identifier")),
+                                 ("project_id", F.coalesce(s("project.id"), g("projectId"))),
+                                 ("project_name", F.when(s("project.id").isNotNull(), s("project.name")))]),
+            "projects": _meta([("stream", rs)] + [(k, g(k)) for k in
+                               ["name", "url", "slugId", "priority", "progress", "health", "updatedAt",
+                                "targetDate", "startDate"]]
+                              + [("status", s("status.name")), ("status_type", s("status.type"))]),
+            "issue_description_edits": _meta([("stream", rs), ("issue_id", s("issue.id")),
+                                              ("issue_identifier", s("issue.identifier")),
+                                              ("issue_url", s("issue.url"))]),
+        }, F.lit(None))
+        source_key = F.concat(name, F.lit(":"), s("id"))
+        cols = _dp_cols(F.lit("linear"), "event", name, F.lit("user"), subject, _ts(g("createdAt")),
+                        source_key, meta, obs)
+        return cols + [s("id").isNotNull().alias("_has_id")]
+    return with_json(r, P, build).where(F.col("_has_id")).drop("_has_id")
 
 
 def env_copilot(raw: DataFrame, observed_at: Column | None = None) -> DataFrame:
     """Daily usage -> measurement over [day, day + 1); subject user, else org, else 'unknown'."""
     r = raw.where(F.col("resource_type") == COPILOT_STREAM)
     obs = observed_at if observed_at is not None else F.col("fetched_at")
-    day = _ts(F.coalesce(_s("day"), _s("date")))
-    start = F.date_trunc("day", F.coalesce(day, obs))
-    user = F.coalesce(_s("user_login"), _s("user"))
-    subject_type = F.when(user.isNotNull(), "user").otherwise("org")
-    subject = F.coalesce(user, _s("org"), F.lit("unknown"))
-    key = F.concat(subject, F.lit(":"), F.date_format(start, "yyyy-MM-dd"))
-    rec = F.from_json(P, "map<string,string>")
-    rest = F.map_filter(rec, lambda k, v: ~k.isin(COPILOT_IDENTITY_FIELDS))
-    meta = F.to_json(F.when(_s("org").isNotNull(), F.map_concat(rest, F.create_map(F.lit("org"), _s("org"))))
-                     .otherwise(rest))
-    return _dp(r, F.lit("github_copilot"), "measurement", F.lit("copilot.usage"), subject_type, subject, start,
-               key, meta, obs, period_start=start, period_end=start + F.expr("INTERVAL 1 DAY"))
+
+    def build(g):
+        s = lambda p: _nz(g(p))
+        day = _ts(F.coalesce(s("day"), s("date")))
+        start = F.date_trunc("day", F.coalesce(day, obs))
+        user = F.coalesce(s("user_login"), s("user"))
+        subject_type = F.when(user.isNotNull(), "user").otherwise("org")
+        subject = F.coalesce(user, s("org"), F.lit("unknown"))
+        key = F.concat(subject, F.lit(":"), F.date_format(start, "yyyy-MM-dd"))
+        rec = F.from_json(F.col(P), "map<string,string>")
+        rest = F.map_filter(rec, lambda k, v: ~k.isin(COPILOT_IDENTITY_FIELDS))
+        meta = F.to_json(F.when(s("org").isNotNull(), F.map_concat(rest, F.create_map(F.lit("org"), s("org"))))
+                         .otherwise(rest))
+        return _dp_cols(F.lit("github_copilot"), "measurement", F.lit("copilot.usage"), subject_type, subject,
+                        start, key, meta, obs, period_start=start, period_end=start + F.expr("INTERVAL 1 DAY"))
+    return with_json(r, P, build)
 
 
 def land(records: DataFrame, source: str, run_id=None) -> tuple[DataFrame, DataFrame]:
