@@ -160,8 +160,8 @@ def my_prs(raw, login=None, tenant=None) -> DataFrame:
             ok = ok & (g("user.login") == login)
         return [F.col("tenant_id"), g("user.login").alias("author_login"), g("node_id").alias("pr_node_id"),
                 F.col(P), F.col("fetched_at"), F.col("id"), ok.alias("_ok")]
-    rows = with_json(r, P, pre).where("_ok").drop("_ok")
-    s = latest_snapshot(rows, ["tenant_id", "author_login", "pr_node_id"])
+    rows = with_json(r, P, pre)
+    s = latest_snapshot(rows, ["tenant_id", "author_login", "pr_node_id"], keep="_ok")
 
     def build(g):
         created, merged = g("created_at").cast("timestamp"), g("merged_at").cast("timestamp")
@@ -217,8 +217,8 @@ def _latest_reviews(raw, tenant=None):
     rows = with_json(r, P, lambda g: [
         F.col("tenant_id"), g("node_id").alias("_k"), F.col(P), F.col("fetched_at"), F.col("id"),
         (g("node_id").isNotNull() & g("submitted_at").isNotNull()
-         & (F.coalesce(g("state"), F.lit("")) != "PENDING")).alias("_ok")]).where("_ok").drop("_ok")
-    s = latest_snapshot(rows, ["tenant_id", "_k"])
+         & (F.coalesce(g("state"), F.lit("")) != "PENDING")).alias("_ok")])
+    s = latest_snapshot(rows, ["tenant_id", "_k"], keep="_ok")
     return with_json(s, P, lambda g: [
         F.col("tenant_id"), g("submitted_at").cast("timestamp").alias("submitted_at"),
         g("user.login").alias("reviewer_login"), g("pull_request_number").cast("int").alias("pull_request_number"),

@@ -16,16 +16,25 @@ from pyspark.sql import functions as F
 
 def latest_snapshot(df: DataFrame, keys: Sequence[str],
                     order_cols: Sequence[str] = ("fetched_at",),
-                    tie_cols: Sequence[str] = ("id",)) -> DataFrame:
+                    tie_cols: Sequence[str] = ("id",),
+                    keep: str | None = None) -> DataFrame:
     """Keep, per ``keys``, the row with the greatest (order_cols, tie_cols).
 
     Reference ties are arbitrary; here the tie-break columns make it
-    deterministic. Apply pre-filters *before* calling (a pending review must
-    not shadow an older submitted one).
+    deterministic. Pre-filters must act *before* the choice (a pending review
+    must not shadow an older submitted one): pass them as the boolean column
+    ``keep``. Rows failing it get a NULL ordering, which ``max_by`` skips, and
+    keys with no kept row vanish. Folding the filter into the aggregate (rather
+    than a Filter node) stops the optimizer from pushing it below — and
+    re-evaluating — an expensive projection such as a JSON parse.
     """
     keys = list(keys)
-    rest = [c for c in df.columns if c not in keys]
+    rest = [c for c in df.columns if c not in keys and c != keep]
     rank = F.struct(*[F.col(c) for c in list(order_cols) + list(tie_cols)])
+    if keep is not None:
+        rank = F.when(F.col(keep), rank)
     packed = F.max_by(F.struct(*[F.col(c) for c in rest]), rank).alias("_row")
     out = df.groupBy(*keys).agg(packed)
+    if keep is not None:
+        out = out.where(F.col("_row").isNotNull())
     return out.select(*keys, *[F.col("_row." + c).alias(c) for c in rest])

@@ -29,8 +29,8 @@ def _staged(raw: DataFrame, source: str, resource: str, id_path: str, extra=None
             ok = ok & extra(g)
         return [F.col("tenant_id"), g(id_path).alias("_key"), F.col(P), F.col("fetched_at"), F.col("id"),
                 ok.alias("_ok")]
-    rows = with_json(r, P, build).where(F.col("_ok")).drop("_ok")
-    return latest_snapshot(rows, ["tenant_id", "_key"])
+    rows = with_json(r, P, build)
+    return latest_snapshot(rows, ["tenant_id", "_key"], keep="_ok")
 
 
 def _project(s: DataFrame, key_name: str, build) -> DataFrame:

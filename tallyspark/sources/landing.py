@@ -222,8 +222,10 @@ def env_linear(raw: DataFrame, observed_at: Column | None = None) -> DataFrame:
         source_key = F.concat(name, F.lit(":"), s("id"))
         cols = _dp_cols(F.lit("linear"), "event", name, F.lit("user"), subject, _ts(g("createdAt")),
                         source_key, meta, obs)
-        return cols + [s("id").isNotNull().alias("_has_id")]
-    return with_json(r, P, build).where(F.col("_has_id")).drop("_has_id")
+        # rows without an id yield no datapoint: generate zero rows for them
+        # (a Filter here would be pushed below the parse and parse twice)
+        return [F.inline_outer(F.when(s("id").isNotNull(), F.array(F.struct(*cols, F.lit(True).alias("_has")))))]
+    return with_json(r, P, build).where(F.col("_has").isNotNull()).drop("_has")
 
 
 def env_copilot(raw: DataFrame, observed_at: Column | None = None) -> DataFrame:
