@@ -129,16 +129,21 @@ def reconcile_roles(linked: DataFrame, memberships: DataFrame) -> DataFrame:
                 F.min("external_user_id").alias("external_user_id")))
     m = memberships.join(ids, ["tenant_id", "user_id"], "left")
     promote = (F.col("org_role") == "admin") & (F.col("role") != "admin")
-    demote_cand = (F.col("org_role") == "member") & (F.col("role") == "admin")
-    m = m.withColumn("_after", F.when(promote, "admin").otherwise(F.col("role")))
-    wt = Window.partitionBy("tenant_id")
-    m = m.withColumn("_admins", F.count_if(F.col("_after") == "admin").over(wt))
-    m = m.withColumn("_dc", F.coalesce(demote_cand, F.lit(False)))
-    wd = Window.partitionBy("tenant_id", "_dc").orderBy("external_user_id", "user_id")
-    m = m.withColumn("_k", F.row_number().over(wd))
-    demote = F.col("_dc") & (F.col("_admins") - F.col("_k") >= 1)
-    return m.select("tenant_id", "user_id",
-                    F.when(demote, "individual").otherwise(F.col("_after")).alias("role"))
+    demote_cand = F.coalesce((F.col("org_role") == "member") & (F.col("role") == "admin"), F.lit(False))
+    m = m.withColumn("_after", F.when(promote, "admin").otherwise(F.col("role"))) \
+         .withColumn("_dc", demote_cand)
+    # admins per tenant after promotions: a partial aggregate, not a window
+    # over a whole (possibly huge) tenant
+    admins = m.groupBy("tenant_id").agg(F.count_if(F.col("_after") == "admin").alias("_admins"))
+    # only demotion candidates need an order (few rows per tenant)
+    wd = Window.partitionBy("tenant_id").orderBy("external_user_id", "user_id")
+    cands = (m.where(F.col("_dc")).join(admins, "tenant_id")
+             .withColumn("_k", F.row_number().over(wd))
+             .select("tenant_id", "user_id",
+                     F.when(F.col("_admins") - F.col("_k") >= 1, "individual").otherwise(F.col("_after"))
+                     .alias("role")))
+    rest = m.where(~F.col("_dc")).select("tenant_id", "user_id", F.col("_after").alias("role"))
+    return rest.unionByName(cands)
 
 
 def claim_pending(identities: DataFrame, signups: DataFrame) -> DataFrame:

@@ -207,6 +207,13 @@ def _aggs(metric: Metric, src: str = "raw") -> list[Column]:
         c, v = F.col(f"_c{i}"), F.col(f"_v{i}")
         if src == "raw":
             out += [_agg_expr(op, c, v).alias(f"_a{i}"), F.count_if(c).alias(f"_n{i}")]
+        elif src == "freq":
+            m = op.measure
+            if m.method == "percentile":
+                val = F.percentile(v, F.lit(m.pct / 100.0), F.col("_f"))
+            else:
+                val = F.count_distinct(v)
+            out += [val.cast("double").alias(f"_a{i}"), F.sum("_f").alias(f"_n{i}")]
         else:                                   # re-aggregate pre-aggregated day states
             meth = op.measure.method
             s, k = F.col(f"_s{i}"), F.col(f"_k{i}")
@@ -286,6 +293,13 @@ def window_block(metric: Metric, rows: DataFrame, w: Window, spine_lo: dt.date,
             states += [s.alias(f"_s{i}"), F.count(x).alias(f"_k{i}"), F.count_if(c).alias(f"_p{i}")]
         pre = rows.groupBy("tenant_id", *dims, d0.alias("_d"), midnight.alias("_m")).agg(*states)
         src = "pre"
+    elif len(ins) == 1 and not ins[0][1].measure.approx:
+        # holistic single input (exact percentile / distinct count): explode one
+        # row per distinct (tenant, dims, day, midnight, value) with its frequency
+        pre = (rows.where(F.col("_c0"))
+               .groupBy("tenant_id", *dims, d0.alias("_d"), midnight.alias("_m"), F.col("_v0"))
+               .agg(F.count(F.lit(1)).alias("_f")))
+        src = "freq"
     else:
         pre = rows.select("*", d0.alias("_d"), midnight.alias("_m"))
         src = "raw"
