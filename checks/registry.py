@@ -693,10 +693,16 @@ select tenant_id, user_id, count(*) as identities from ({O.J4}) j where user_id
 q("provision_users", f"""
 select min(user_id) as user_id, lower(email) as email, min(name) as name from ({O.J4}) j
 where link_method = 'provisioned' group by lower(email)""")(lambda s, sf: J.provision_users(_j4(s, sf)))
-q("ensure_membership", O.J7)(_j7)
-q("reconcile_roles", O.J8)(
-    lambda s, sf: J.reconcile_roles(_j4(s, sf), FX.fx_memberships(s, sf).unionByName(_j7(s, sf))))
-q("claim_pending", O.J9)(lambda s, sf: J.claim_pending(_j4(s, sf), FX.fx_signups(s, sf)))
+def _pipeline(s, sf):
+    u = FX.fx_users(s, sf)
+    oauth = u.where(F.col("oauth_id").isNotNull()).select(F.col("oauth_id").alias("account_id"), "user_id")
+    return J.sync_and_link(FX.fx_identity_raw(s, sf), FX.fx_admins(s, sf), FX.fx_existing_identities(s, sf),
+                           u.select("user_id", "email"), oauth, FX.fx_memberships(s, sf))
+
+
+q("ensure_membership", O.J7)(lambda s, sf: _pipeline(s, sf)["new_memberships"])
+q("reconcile_roles", O.J8)(lambda s, sf: _pipeline(s, sf)["roles"])
+q("claim_pending", O.J9)(lambda s, sf: J.claim_pending(_pipeline(s, sf)["identities"], FX.fx_signups(s, sf)))
 q("member_logins", f"select distinct tenant_id, login from ({O.ID_MEMBERS}) m")(
     lambda s, sf: J.member_logins(FX.fx_identity_raw(s, sf)))
 q("srv_resolve_login", f"""

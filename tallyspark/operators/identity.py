@@ -177,3 +177,27 @@ def member_logins(raw: DataFrame, tenant=None) -> DataFrame:
     login = jstr(F.col("payload"), "login")
     return (df.where((F.col("resource_type") == "organization_members") & login.isNotNull())
             .select("tenant_id", login.alias("login")).distinct())
+
+
+def sync_and_link(raw: DataFrame, admins: DataFrame, existing: DataFrame, users: DataFrame, oauth: DataFrame,
+                  memberships: DataFrame, checkpoint: bool = True) -> dict[str, DataFrame]:
+    """J1-J8 as one pipeline for all tenants.
+
+    The linked identities feed three later steps; they are checkpointed to the
+    shared checkpoint folder so a lost executor recomputes from there, not
+    from the raw landing, and the plans below stay short."""
+    members = latest_payload_by_login(raw, "organization_members")
+    profiles = latest_payload_by_login(raw, "user_profiles")
+    identities = upsert_identity(existing, build_roster(members, profiles, admins))
+    linked = link_identity(identities, users, oauth)
+    if checkpoint:
+        from tallyspark.session import checkpoint_dir
+        checkpoint_dir(linked.sparkSession)
+        linked = linked.checkpoint(eager=True)
+    new_members = ensure_membership(linked, memberships)
+    return {
+        "identities": linked,
+        "new_users": provision_users(linked),
+        "new_memberships": new_members,
+        "roles": reconcile_roles(linked, memberships.unionByName(new_members)),
+    }

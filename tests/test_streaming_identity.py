@@ -76,3 +76,15 @@ def test_registry_keys_have_oracles():
     q, o = E.queries(), E.oracle_sql()
     assert len(q) >= 150 and set(o) <= set(q)
     assert {k for k in q if k not in o} == set()
+
+
+def test_dedupe_within_watermark_keeps_one_per_key(spark, tmp_path):
+    src = str(tmp_path / "dp")
+    t0 = dt.datetime(2026, 1, 1)
+    rows = [("t", "github", f"k{i % 3}", t0 + dt.timedelta(hours=i)) for i in range(9)]
+    spark.createDataFrame(rows, "tenant_id string, source string, source_key string, observed_at timestamp") \
+        .write.parquet(src)
+    stream = spark.readStream.schema("tenant_id string, source string, source_key string, observed_at timestamp") \
+        .parquet(src)
+    out = _run(spark, L.dedupe_within_watermark(stream), mode="append")
+    assert sorted(r.source_key for r in out.collect()) == ["k0", "k1", "k2"]
