@@ -12,6 +12,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_READS: dict = {}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The driver's table ``name``; the relation is resolved once per session
+    (file listing and footer read), then reused by every adapter."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _READS:
+        _READS[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _READS[key]
+
+
 # --- shared column rules over the event base relation ------------------------
 # base columns: event_id, ts (timestamp), user_id, event_type, value, k
 TENANT = "'t' || cast(user_id % 4 as string)"
@@ -237,7 +249,7 @@ def _struct_sql(fields: list[tuple[str, str, str]]) -> str:
 
 
 def event_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ev = read_table(spark, sf_dir, "events")
     return ev.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value",
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
@@ -248,7 +260,15 @@ def fx_raw_resource(spark: SparkSession, sf_dir: str, resource: str) -> DataFram
     """Every event becomes one landed snapshot of ``resource``.
 
     Key = (tenant, event_type-k): about 2,000 keys with many snapshots each.
+    The (lazy) DataFrame is built once per session and reused.
     """
+    key = (spark.sparkContext.applicationId, sf_dir, "raw:" + resource)
+    if key not in _READS:
+        _READS[key] = _fx_raw_resource(spark, sf_dir, resource)
+    return _READS[key]
+
+
+def _fx_raw_resource(spark: SparkSession, sf_dir: str, resource: str) -> DataFrame:
     source, rtype, fields = RESOURCES[resource]
     base = event_base(spark, sf_dir)
     payload = F.to_json(F.expr(_struct_sql(fields)))
@@ -267,16 +287,20 @@ def fx_raw_resource(spark: SparkSession, sf_dir: str, resource: str) -> DataFram
 
 def fx_raw_all(spark: SparkSession, sf_dir: str, resources=None) -> DataFrame:
     """All resources landed into one raw table (union of per-resource adapters)."""
+    key = (spark.sparkContext.applicationId, sf_dir, "raw_all:" + ",".join(resources or RESOURCES))
+    if key in _READS:
+        return _READS[key]
     out = None
     for r in resources or RESOURCES:
         d = fx_raw_resource(spark, sf_dir, r)
         out = d if out is None else out.unionByName(d)
+    _READS[key] = out
     return out
 
 
 def fx_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FIXTURES ``fx_raw``: payload = props, resource_type = event_type."""
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ev = read_table(spark, sf_dir, "events")
     return ev.select(
         F.col("event_id").alias("id"),
         F.concat(F.lit("t"), (F.col("user_id") % 4).cast("string")).alias("tenant_id"),
@@ -295,10 +319,10 @@ REVERT_LIKE = r"(?i)^economy([\s\p{Punct}]|$)"
 
 def fx_pr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staging-shaped pull requests from orders (one PR per order)."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_shipdate")
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_type")
+    o = read_table(spark, sf_dir, "orders")
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate")
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_type")
     per_order = (li.join(p, li.l_partkey == p.p_partkey, "left")
                  .groupBy("l_orderkey")
                  .agg(F.max("l_shipdate").alias("last_ship"), F.min("p_type").alias("title")))
@@ -328,9 +352,9 @@ def fx_pr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staging-shaped submitted reviews from line items (pending ones dropped)."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderpriority")
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
+    li = read_table(spark, sf_dir, "lineitem")
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     j = (li.where(F.col("l_returnflag") != "N")
          .join(o, li.l_orderkey == o.o_orderkey, "inner")
          .join(c, o.o_custkey == c.c_custkey, "left"))
@@ -350,9 +374,9 @@ def fx_review(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_incident(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incidents for the MTTR spec: one per line item (service = return flag)."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
+    li = read_table(spark, sf_dir, "lineitem")
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey, "left")
     return j.select(
         F.col("c_nationkey").cast("string").alias("tenant_id"),
@@ -365,7 +389,7 @@ def fx_incident(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_enroll(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Enrollment per tenant from ``nation``: odd keys explicit, params by rule."""
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    n = read_table(spark, sf_dir, "nation")
     k = F.col("n_nationkey")
     return n.select(
         k.cast("string").alias("tenant_id"),
@@ -380,7 +404,7 @@ def fx_enroll(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Org members (identity roster) from ``customer``."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    c = read_table(spark, sf_dir, "customer")
     return c.select(
         F.col("c_nationkey").cast("string").alias("tenant_id"),
         F.col("c_custkey").cast("string").alias("external_id"),
@@ -392,7 +416,7 @@ def fx_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product users from ``supplier``."""
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    s = read_table(spark, sf_dir, "supplier")
     return s.select(
         F.col("s_suppkey").cast("string").alias("user_id"),
         F.when(F.col("s_suppkey") < 50, F.col("s_suppkey").cast("string")).alias("oauth_id"),
@@ -403,7 +427,7 @@ def fx_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fx_identity_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Org-member and user-profile landings from ``customer``, two snapshots each
     (the older one carries stale values)."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    c = read_table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     snaps = c.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("v"))
     tenant = F.col("c_nationkey").cast("string")
@@ -429,13 +453,13 @@ def fx_identity_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_admins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    c = read_table(spark, sf_dir, "customer")
     return c.where(F.col("c_acctbal") > 9000).select(F.col("c_nationkey").cast("string").alias("tenant_id"),
                                                       F.col("c_name").alias("login"))
 
 
 def fx_existing_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where(F.col("c_custkey") % 3 == 0)
+    c = read_table(spark, sf_dir, "customer").where(F.col("c_custkey") % 3 == 0)
     k = F.col("c_custkey")
     linked = k % 6 == 0
     return c.select(
@@ -457,7 +481,7 @@ def fx_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_signups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    s = read_table(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")
     return s.select(F.concat(F.lit("new"), k.cast("string")).alias("user_id"),
                     (k * 11).cast("string").alias("oauth_id"),
@@ -466,7 +490,7 @@ def fx_signups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_runlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ingestion run log from ``orders``."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    o = read_table(spark, sf_dir, "orders")
     st = F.col("o_orderstatus")
     status = F.when(st == "F", "success").when(st == "P", "error").otherwise("running")
     started = F.col("o_orderdate").cast("timestamp") + F.make_interval(

@@ -189,10 +189,12 @@ def sync_and_link(raw: DataFrame, admins: DataFrame, existing: DataFrame, users:
     members = latest_payload_by_login(raw, "organization_members")
     profiles = latest_payload_by_login(raw, "user_profiles")
     identities = upsert_identity(existing, build_roster(members, profiles, admins))
-    linked = link_identity(identities, users, oauth)
     if checkpoint:
         from tallyspark.session import checkpoint_dir
-        checkpoint_dir(linked.sparkSession)
+        checkpoint_dir(identities.sparkSession)
+        identities = identities.checkpoint(eager=True)   # read three times by the linking step
+    linked = link_identity(identities, users, oauth)
+    if checkpoint:
         linked = linked.checkpoint(eager=True)
     new_members = ensure_membership(linked, memberships)
     return {

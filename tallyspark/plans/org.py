@@ -45,8 +45,29 @@ def enrolled_pairs(enrollment: DataFrame, standard_ids: list[str]) -> DataFrame:
     return enrollment.select("tenant_id", F.explode(allm).alias("metric_id"))
 
 
-def compute_enrolled(metrics: list[Metric], entities: dict, pairs: DataFrame, *, as_of, **kw) -> DataFrame:
+def materialize(entities: dict, metrics: list[Metric]) -> dict:
+    """Checkpoint every entity read by two or more of ``metrics`` (to the
+    shared checkpoint folder), so it is computed once per run and a lost
+    executor recomputes from the files rather than from the raw landing."""
+    from tallyspark.plans.compile import inputs_of
+    from tallyspark.session import checkpoint_dir
+    uses: dict[str, int] = {}
+    for m in metrics:
+        for e in {op.entity for _, op, _ in inputs_of(m)}:
+            uses[e] = uses.get(e, 0) + 1
+    out = dict(entities)
+    for e, n in uses.items():
+        if n > 1 and e in out:
+            checkpoint_dir(out[e].sparkSession)
+            out[e] = out[e].checkpoint(eager=True)
+    return out
+
+
+def compute_enrolled(metrics: list[Metric], entities: dict, pairs: DataFrame, *, as_of,
+                     materialize_shared: bool = True, **kw) -> DataFrame:
     """Every metric, for its enrolled tenants only (semi-join before the work)."""
+    if materialize_shared:
+        entities = materialize(entities, metrics)
     outs = []
     for m in metrics:
         t = pairs.where(F.col("metric_id") == m.id).select("tenant_id").distinct()

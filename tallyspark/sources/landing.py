@@ -111,8 +111,9 @@ GITHUB_META_EXTRA = {
 
 
 def _meta(pairs: list[tuple[str, Column]]) -> Column:
-    m = F.create_map(*[x for k, v in pairs for x in (F.lit(k), v.cast("string"))])
-    return F.to_json(F.map_filter(m, lambda k, v: v.isNotNull()))
+    """JSON object of the non-null pairs (``to_json`` omits null struct fields;
+    no lambda, so it stays inside whole-stage codegen)."""
+    return F.to_json(F.struct(*[v.cast("string").alias(k) for k, v in pairs]))
 
 
 def _case(stream: Column, table: dict[str, Column], default: Column) -> Column:
@@ -126,8 +127,8 @@ def _dp_cols(tool: Column, kind: str, name: Column, subject_type: Column, subjec
              occurred: Column, source_key: Column, metadata: Column, observed: Column,
              period_start=None, period_end=None) -> list[Column]:
     return [
-        F.sha2(F.concat_ws("|", F.col("tenant_id"), F.col("source"), source_key, F.col("id").cast("string")), 256)
-        .substr(1, 32).alias("id"),
+        F.md5(F.concat_ws("|", F.col("tenant_id"), F.col("source"), source_key, F.col("id").cast("string")))
+        .alias("id"),
         F.col("tenant_id"), F.col("source"), tool.alias("tool"), F.lit(kind).alias("kind"), name.alias("name"),
         subject_type.alias("subject_type"), subject_id.alias("subject_id"),
         F.coalesce(occurred, observed).alias("occurred_at"),
