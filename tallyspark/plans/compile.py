@@ -64,8 +64,8 @@ def inputs_of(metric: Metric) -> list[tuple[str, Metric, tuple]]:
     return [(n, m, ()) for n, m in metric.inputs]
 
 
-def _operand_cond(op: Metric, extra: tuple, mapped_excl: list[Column]) -> Column:
-    conds = [to_column(f) for f in list(op.filters) + list(extra)]
+def _operand_cond(op: Metric, extra: tuple, mapped_excl: list[Column], schema=None) -> Column:
+    conds = [to_column(f, schema) for f in list(op.filters) + list(extra)]
     m = op.measure
     if m.is_interval:
         # rows with either end NULL are dropped; F11: negative excluded by default
@@ -143,7 +143,7 @@ def metric_rows(metric: Metric, entities: dict[str, DataFrame], *, tenants=None,
         flags = []
         for i, (_, op, extra) in enumerate(ins):
             if i in idx:
-                flags += [_operand_cond(op, extra, excl).alias(f"_c{i}"),
+                flags += [_operand_cond(op, extra, excl, base.schema).alias(f"_c{i}"),
                           _operand_value(op).cast("double").alias(f"_v{i}")]
             else:
                 flags += [F.lit(False).alias(f"_c{i}"), F.lit(None).cast("double").alias(f"_v{i}")]

@@ -12,15 +12,27 @@ def _lit(v):
     return F.lit(v)
 
 
-def to_column(node: dict, df_cols=None) -> Column:
+def _is_array(schema, field: str) -> bool:
+    if schema is None:
+        return False
+    from pyspark.sql.types import ArrayType
+    try:
+        return isinstance(schema[field].dataType, ArrayType)
+    except (KeyError, IndexError):
+        return False
+
+
+def to_column(node: dict, schema=None) -> Column:
+    """``schema`` (the entity's StructType, optional) lets ``contains`` test
+    membership on array fields instead of a substring match."""
     if "sql" in node:
         return F.expr(node["sql"])
     if "any_of" in node:
-        return reduce(lambda a, b: a | b, [to_column(c) for c in node["any_of"]])
+        return reduce(lambda a, b: a | b, [to_column(c, schema) for c in node["any_of"]])
     if "all_of" in node:
-        return reduce(lambda a, b: a & b, [to_column(c) for c in node["all_of"]])
+        return reduce(lambda a, b: a & b, [to_column(c, schema) for c in node["all_of"]])
     if "not" in node:
-        return ~to_column(node["not"])
+        return ~to_column(node["not"], schema)
     c = F.col(node["field"]) if "col" not in node else node["col"]
     op, v = node["op"], node.get("value")
     if "value_col" in node:              # per-tenant bound parameter (E18)
@@ -37,8 +49,12 @@ def to_column(node: dict, df_cols=None) -> Column:
         w = v if isinstance(v, Column) else _lit(v)
         return {"gt": c > w, "gte": c >= w, "lt": c < w, "lte": c <= w}[op]
     if op == "contains":                 # `%`/`_` in the value act as wildcards
+        if _is_array(schema, node["field"]):
+            return F.array_contains(c, F.lit(v))
         return c.like(f"%{v}%")
     if op == "not_contains":
+        if _is_array(schema, node["field"]):
+            return ~F.array_contains(c, F.lit(v))
         return ~c.like(f"%{v}%")
     if op == "starts_with":
         return c.like(f"{v}%")
@@ -51,8 +67,8 @@ def to_column(node: dict, df_cols=None) -> Column:
     raise ValueError(f"unsupported op {op!r}")
 
 
-def all_filters(nodes) -> Column | None:
-    cols = [to_column(n) for n in (nodes or [])]
+def all_filters(nodes, schema=None) -> Column | None:
+    cols = [to_column(n, schema) for n in (nodes or [])]
     if not cols:
         return None
     return reduce(lambda a, b: a & b, cols)

@@ -228,3 +228,9 @@ def test_metric_swap_empty_clears(spark, tmp_path):
     SK.sink_metric_swap(spark.createDataFrame([("a", "m1", 1.0)], cols), base, "m1")
     SK.sink_metric_swap(spark.createDataFrame([], cols), base, "m1")
     assert SK.read_metric_values(spark, base, ["m1"]).count() == 0
+
+
+def test_contains_on_array_field(spark):
+    df = spark.createDataFrame([("t", ["a", "b"]), ("t", ["c"])], "tenant_id string, labels array<string>")
+    assert df.where(to_column({"field": "labels", "op": "contains", "value": "b"}, df.schema)).count() == 1
+    assert df.where(to_column({"field": "labels", "op": "not_contains", "value": "b"}, df.schema)).count() == 1
