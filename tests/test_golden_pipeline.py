@@ -138,3 +138,14 @@ def test_metric_trailing_window(entity):
     out = compute_metric(H.CYCLE_TIME_TRAILING_30D, entity, as_of="2026-02-01")
     (r,) = [x for x in out.collect() if x.bucket_end == dt.datetime(2026, 1, 7)]
     assert r.value == pytest.approx(7200.0) and r.grain == "rolling_30d"
+
+
+def test_build_marts_pipeline(spark, raw, tmp_path):
+    from tallyspark.operators.pipeline import build_marts, write_marts
+    m = build_marts(raw)
+    assert rows(m["fct_pr_activity_daily"], ["activity_date", "prs_opened"]) == [
+        (d(2026, 1, 5), 2), (d(2026, 1, 6), 3), (d(2026, 1, 7), 0)]
+    assert m["fct_tickets"].count() == 4 and m["pull_request"].count() == 5
+    write_marts(m, str(tmp_path / "marts"))
+    back = spark.read.parquet(str(tmp_path / "marts" / "fct_change_failure_daily"))
+    assert back.count() == 1
