@@ -63,6 +63,13 @@ def materialize(entities: dict, metrics: list[Metric]) -> dict:
     return out
 
 
+def metric_values(metrics: list[Metric], entities: dict, *, as_of, **kw) -> DataFrame:
+    """The fact table for ``metrics``: shared entities computed once, one
+    union of every metric's rows (G20)."""
+    ents = materialize(entities, metrics)
+    return CP.metric_union([CP.compute_metric(m, ents, as_of=as_of, **kw) for m in metrics])
+
+
 def compute_enrolled(metrics: list[Metric], entities: dict, pairs: DataFrame, *, as_of,
                      materialize_shared: bool = True, **kw) -> DataFrame:
     """Every metric, for its enrolled tenants only (semi-join before the work)."""
