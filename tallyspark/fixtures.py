@@ -15,10 +15,17 @@ from pyspark.sql import functions as F
 _READS: dict = {}
 
 
+def _session_key(spark: SparkSession):
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # Spark Connect: no SparkContext on the client
+        return id(spark)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The driver's table ``name``; the relation is resolved once per session
     (file listing and footer read), then reused by every adapter."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (_session_key(spark), sf_dir, name)
     if key not in _READS:
         _READS[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return _READS[key]
@@ -262,7 +269,7 @@ def fx_raw_resource(spark: SparkSession, sf_dir: str, resource: str) -> DataFram
     Key = (tenant, event_type-k): about 2,000 keys with many snapshots each.
     The (lazy) DataFrame is built once per session and reused.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, "raw:" + resource)
+    key = (_session_key(spark), sf_dir, "raw:" + resource)
     if key not in _READS:
         _READS[key] = _fx_raw_resource(spark, sf_dir, resource)
     return _READS[key]
@@ -287,7 +294,7 @@ def _fx_raw_resource(spark: SparkSession, sf_dir: str, resource: str) -> DataFra
 
 def fx_raw_all(spark: SparkSession, sf_dir: str, resources=None) -> DataFrame:
     """All resources landed into one raw table (union of per-resource adapters)."""
-    key = (spark.sparkContext.applicationId, sf_dir, "raw_all:" + ",".join(resources or RESOURCES))
+    key = (_session_key(spark), sf_dir, "raw_all:" + ",".join(resources or RESOURCES))
     if key in _READS:
         return _READS[key]
     out = None
