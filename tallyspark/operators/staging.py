@@ -19,8 +19,8 @@ from tallyspark.operators.snapshot import latest_snapshot
 P = "payload"
 
 
-def _staged(raw: DataFrame, source: str, resource: str, id_path: str, extra=None) -> DataFrame:
-    """Filter, key and dedupe; returns (tenant_id, _key, payload, fetched_at)."""
+def _keyed_rows(raw: DataFrame, source: str, resource: str, id_path: str, extra=None) -> DataFrame:
+    """Landed rows of one resource as (tenant_id, _key, payload, fetched_at, id, _ok)."""
     r = raw.where((F.col("source") == source) & (F.col("resource_type") == resource))
 
     def build(g):
@@ -29,7 +29,17 @@ def _staged(raw: DataFrame, source: str, resource: str, id_path: str, extra=None
             ok = ok & extra(g)
         return [F.col("tenant_id"), g(id_path).alias("_key"), F.col(P), F.col("fetched_at"), F.col("id"),
                 ok.alias("_ok")]
-    rows = with_json(r, P, build)
+    return with_json(r, P, build)
+
+
+def _staged(raw: DataFrame, source: str, resource: str, id_path: str, extra=None) -> DataFrame:
+    """Filter, key and dedupe; returns (tenant_id, _key, payload, fetched_at).
+
+    ``raw`` may also be a snapshot state (see ``snapshot_state``): it carries
+    ``_key`` already and is passed through unchanged."""
+    if "_key" in raw.columns:
+        return raw
+    rows = _keyed_rows(raw, source, resource, id_path, extra)
     return latest_snapshot(rows, ["tenant_id", "_key"], keep="_ok")
 
 
@@ -176,3 +186,48 @@ STAGING = {
     "linear_projects": stg_linear_projects,
     "linear_description_edits": stg_linear_description_edits,
 }
+
+
+# --- incremental staging ------------------------------------------------------------------
+# Model -> (source, resource_type, natural id path, pre-filter).
+STATE_SPECS = {
+    "pull_requests": ("github", "pull_requests", "node_id", None),
+    "reviews": ("github", "reviews", "node_id",
+                lambda g: g("submitted_at").isNotNull() & (F.coalesce(g("state"), F.lit("")) != "PENDING")),
+    "releases": ("github", "releases", "node_id", None),
+    "issues": ("github", "issues", "node_id", lambda g: ~has_key(P, "pull_request")),
+    "issue_comments": ("github", "issue_comments", "node_id", lambda g: g("created_at").isNotNull()),
+    "pull_request_review_comments": ("github", "pull_request_review_comments", "node_id",
+                                     lambda g: g("created_at").isNotNull()),
+    "workflow_runs": ("github", "workflow_runs", "node_id", None),
+    "linear_issues": ("linear", "issues", "id", None),
+    "linear_comments": ("linear", "comments", "id", None),
+    "linear_projects": ("linear", "projects", "id", None),
+    "linear_description_edits": ("linear", "issue_description_edits", "id",
+                                 lambda g: F.coalesce(g("updatedDescription").cast("boolean"), F.lit(False))),
+}
+
+
+def snapshot_state(raw: DataFrame, model: str) -> DataFrame:
+    """The latest raw snapshot per key of one staging model (before projection):
+    (tenant_id, _key, payload, fetched_at, id). Persist it; later runs merge
+    only newly landed rows into it with ``merge_state``."""
+    source, rtype, id_path, pre = STATE_SPECS[model]
+    return _staged(raw, source, rtype, id_path, pre)
+
+
+def merge_state(state: DataFrame, new_raw: DataFrame, model: str) -> DataFrame:
+    """Incremental dedupe: newest of (current state, new landings) per key.
+
+    Work is proportional to keys + new rows, not to the whole landing history;
+    the result equals ``snapshot_state`` over all raw rows (same ordering and
+    tie-break, pre-filters applied to the new rows before they compete)."""
+    source, rtype, id_path, pre = STATE_SPECS[model]
+    new = _keyed_rows(new_raw, source, rtype, id_path, pre)
+    old = state.select("tenant_id", "_key", P, "fetched_at", "id", F.lit(True).alias("_ok"))
+    return latest_snapshot(old.unionByName(new), ["tenant_id", "_key"], keep="_ok")
+
+
+def stage_from_state(state: DataFrame, model: str) -> DataFrame:
+    """Project a snapshot state into the staging model's columns."""
+    return STAGING[model](state)

@@ -234,3 +234,18 @@ def test_contains_on_array_field(spark):
     df = spark.createDataFrame([("t", ["a", "b"]), ("t", ["c"])], "tenant_id string, labels array<string>")
     assert df.where(to_column({"field": "labels", "op": "contains", "value": "b"}, df.schema)).count() == 1
     assert df.where(to_column({"field": "labels", "op": "not_contains", "value": "b"}, df.schema)).count() == 1
+
+
+def test_incremental_staging_equals_full(spark):
+    from golden import RECORDS
+    # PR_1's newer snapshot lands in the second batch
+    first_recs = RECORDS[0:1] + RECORDS[2:13]
+    later_recs = RECORDS[1:2] + RECORDS[13:]
+    first = raw_df(spark, first_recs)
+    later = raw_df(spark, later_recs).withColumn("id", F.col("id") + 1000)   # ids unique across landings
+    full2 = first.unionByName(later)
+    for model in ["pull_requests", "reviews", "issues", "linear_description_edits"]:
+        st = S.merge_state(S.snapshot_state(first, model), later, model)
+        inc = sorted(map(tuple, S.stage_from_state(st, model).collect()))
+        ref = sorted(map(tuple, S.STAGING[model](full2).collect()))
+        assert inc == ref
