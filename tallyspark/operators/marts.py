@@ -22,9 +22,9 @@ def scope(df: DataFrame, tenants=None) -> DataFrame:
     return df.where(F.col("tenant_id").isin(list(tenants)))
 
 
-def _events(df: DataFrame, keys: list[str], items: list[tuple[Column, Column, dict]],
-            measures: list[str]) -> DataFrame:
-    """Explode each row into its lifecycle events and sum the flags per day.
+def _explode(df: DataFrame, keys: list[str], items: list[tuple[Column, Column, dict]],
+             measures: list[str]) -> DataFrame:
+    """Each row -> its lifecycle events (keys, e: struct(activity_date, flags)).
 
     items: (day column, condition, {measure: value}) — one per event kind.
     """
@@ -34,11 +34,20 @@ def _events(df: DataFrame, keys: list[str], items: list[tuple[Column, Column, di
                         *[F.lit(vals.get(m, 0)).alias(m) if not isinstance(vals.get(m, 0), Column)
                           else vals[m].alias(m) for m in measures]))
         for day, cond, vals in items])
-    ev = df.select(*keys, F.explode(arr).alias("e")).where(F.col("e").isNotNull())
+    return df.select(*keys, F.explode(arr).alias("e")).where(F.col("e").isNotNull())
+
+
+def _sum_events(ev: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
     return (ev.groupBy(*keys, F.col("e.activity_date").alias("activity_date"))
             .agg(*[F.sum(f"e.{m}").cast("int").alias(m) for m in measures]))
 
 
+def _events(df: DataFrame, keys: list[str], items: list[tuple[Column, Column, dict]],
+            measures: list[str]) -> DataFrame:
+    """Explode each row into its lifecycle events and sum the flags per day."""
+    return _sum_events(_explode(df, keys, items, measures), keys, measures)
+
+
 def mart_pr_activity(prs: DataFrame, tenants=None) -> DataFrame:
     """Opened / merged / closed-without-merge per tenant-day."""
     p = scope(prs, tenants)
@@ -141,17 +150,20 @@ def mart_ticket_activity(gh_issues: DataFrame, linear_issues: DataFrame, tenants
     A GitHub issue closed as ``not_planned`` counts as canceled.
     """
     np_ = F.coalesce(F.col("state_reason"), F.lit("")) == "not_planned"
-    gh = _events(scope(gh_issues, tenants).withColumn("source", F.lit("github")), ["tenant_id", "source"], [
+    keys = ["tenant_id", "source"]
+    gh = _explode(scope(gh_issues, tenants).withColumn("source", F.lit("github")), keys, [
         (utc_date(F.col("created_at")), F.lit(True), {"tickets_created": 1}),
         (utc_date(F.col("closed_at")), ~np_, {"tickets_completed": 1}),
         (utc_date(F.col("closed_at")), np_, {"tickets_canceled": 1}),
     ], TICKET_MEASURES)
-    ln = _events(scope(linear_issues, tenants).withColumn("source", F.lit("linear")), ["tenant_id", "source"], [
+    ln = _explode(scope(linear_issues, tenants).withColumn("source", F.lit("linear")), keys, [
         (utc_date(F.col("created_at")), F.lit(True), {"tickets_created": 1}),
         (utc_date(F.col("completed_at")), F.lit(True), {"tickets_completed": 1}),
         (utc_date(F.col("canceled_at")), F.lit(True), {"tickets_canceled": 1}),
     ], TICKET_MEASURES)
-    return gh.unionByName(ln).select("tenant_id", "activity_date", "source", *TICKET_MEASURES)
+    # both trackers' events in one aggregation (one shuffle)
+    return _sum_events(gh.unionByName(ln), keys, TICKET_MEASURES).select(
+        "tenant_id", "activity_date", "source", *TICKET_MEASURES)
 
 
 def mart_ticket_comments(gh_comments: DataFrame, linear_comments: DataFrame, tenants=None) -> DataFrame:
