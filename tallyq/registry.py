@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks import oracle as O
+from tallyq import oracle as O
 from tallyspark import fixtures as FX
 from tallyspark.operators import staging as S
 from tallyspark.operators.snapshot import latest_snapshot
@@ -238,7 +238,7 @@ q("fct_tickets", FCT_TICKETS_SQL)(
 
 
 # --- E, F, G, H: metric layer ---------------------------------------------------------
-from checks.metric_sql import metric_sql  # noqa: E402
+from tallyq.metric_sql import metric_sql  # noqa: E402
 from tallyspark.plans import catalog as H  # noqa: E402
 from tallyspark.plans.compile import compute_metric  # noqa: E402
 from tallyspark.plans.spec import MappedDim, Measure, Metric, Window  # noqa: E402
