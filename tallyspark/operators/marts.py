@@ -79,7 +79,15 @@ def mart_review_latency(prs: DataFrame, reviews: DataFrame, tenants=None) -> Dat
     """D3: PRs first reviewed per day (median hours) full-outer reviews submitted."""
     from tallyspark.operators.entities import first_review_join
     p = scope(prs, tenants).where(F.col("created_at").isNotNull())
-    r = scope(reviews, tenants)
+    # one pass over the reviews: (tenant, repo, PR, reviewer, day) -> earliest
+    # submission and review count feeds both the first-review join and the
+    # daily count (the two branches reuse the same exchange)
+    per_day = (scope(reviews, tenants)
+               .groupBy("tenant_id", "repo", "pull_request_number", "reviewer_login",
+                        utc_date(F.col("submitted_at")).alias("_d"))
+               .agg(F.min("submitted_at").alias("submitted_at"), F.count(F.lit(1)).alias("_rows")))
+    r = per_day.select("tenant_id", "repo", "pull_request_number", "reviewer_login", "submitted_at",
+                       F.col("_rows").alias("review_node_id"))
     fr = first_review_join(p, r, "inner", ["created_at"])
     hours = ((F.unix_micros("first_review_at") - F.unix_micros("created_at")) / F.lit(3.6e9))
     fr = fr.select("tenant_id", "first_review_at", hours.alias("h")).where(
@@ -87,9 +95,9 @@ def mart_review_latency(prs: DataFrame, reviews: DataFrame, tenants=None) -> Dat
     first_daily = (fr.groupBy("tenant_id", utc_date(F.col("first_review_at")).alias("activity_date"))
                    .agg(F.count(F.lit(1)).cast("int").alias("prs_first_reviewed"),
                         F.percentile("h", F.lit(0.5)).alias("median_time_to_first_review_hours")))
-    reviews_daily = (r.where(F.col("submitted_at").isNotNull())
-                     .groupBy("tenant_id", utc_date(F.col("submitted_at")).alias("activity_date"))
-                     .agg(F.count(F.lit(1)).cast("int").alias("reviews_submitted")))
+    reviews_daily = (per_day.where(F.col("_d").isNotNull())
+                     .groupBy("tenant_id", F.col("_d").alias("activity_date"))
+                     .agg(F.sum("_rows").cast("int").alias("reviews_submitted")))
     j = first_daily.join(reviews_daily, ["tenant_id", "activity_date"], "full_outer")
     return j.select("tenant_id", "activity_date",
                     F.coalesce("prs_first_reviewed", F.lit(0)).cast("int").alias("prs_first_reviewed"),
