@@ -63,12 +63,18 @@ def upsert_identity(existing: DataFrame, roster: DataFrame) -> DataFrame:
 
 def _one_per_user(cands: DataFrame, identities: DataFrame) -> DataFrame:
     """A user holds one identity per tenant. Users already linked in the
-    tenant claim nothing; among new claims the first by (method, external id) wins."""
+    tenant claim nothing; among new claims the first by (method, external id) wins.
+
+    The winner is a ``min_by`` aggregate (partial, map-side), so a user claimed
+    by a huge number of identities (a shared no-reply address) is not sorted
+    in one task."""
     linked = identities.where(F.col("user_id").isNotNull()).select("tenant_id", F.col("user_id").alias("_cand"))
     c = cands.join(linked.distinct(), ["tenant_id", "_cand"], "left_anti")
     rank = F.create_map(*[x for k, v in METHOD_RANK.items() for x in (F.lit(k), F.lit(v))])[F.col("_method")]
-    w = Window.partitionBy("tenant_id", "_cand").orderBy(rank, F.col("external_user_id"))
-    return c.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    best = F.min_by(F.struct("external_user_id", "_method"), F.struct(rank, F.col("external_user_id")))
+    return (c.groupBy("tenant_id", "_cand").agg(best.alias("_w"))
+            .select("tenant_id", "_cand", F.col("_w.external_user_id").alias("external_user_id"),
+                    F.col("_w._method").alias("_method")))
 
 
 def link_identity(identities: DataFrame, users: DataFrame, oauth: DataFrame) -> DataFrame:
@@ -158,10 +164,12 @@ def claim_pending(identities: DataFrame, signups: DataFrame) -> DataFrame:
                         .select(F.lower("email").alias("_em"), F.col("user_id").alias("_cand")),
                         F.lower(pend.email) == F.col("_em")).drop("_em").withColumn("_method", F.lit("email"))
     cands = by_oauth.unionByName(by_mail).select("tenant_id", "external_user_id", "_cand", "_method")
-    # an identity claimed both ways keeps its best method
-    w = Window.partitionBy("tenant_id", "external_user_id").orderBy(
-        F.when(F.col("_method") == "oauth_id", 0).otherwise(1), "_cand")
-    cands = cands.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    # an identity claimed both ways keeps its best method (then the smallest user id)
+    best = F.min_by(F.struct("_cand", "_method"),
+                    F.struct(F.when(F.col("_method") == "oauth_id", 0).otherwise(1), F.col("_cand")))
+    cands = (cands.groupBy("tenant_id", "external_user_id").agg(best.alias("_b"))
+             .select("tenant_id", "external_user_id", F.col("_b._cand").alias("_cand"),
+                     F.col("_b._method").alias("_method")))
     winners = _one_per_user(cands, identities)
     j = identities.join(winners, ["tenant_id", "external_user_id"], "left")
     won = F.col("_cand").isNotNull()
