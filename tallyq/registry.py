@@ -1020,7 +1020,7 @@ def _l2(spark, sf):
     base = scratch_path(spark, f"l2-{_uuid.uuid4().hex}")
     L.stream_event_dedupe(spark.readStream.schema(schema).parquet(src), f"{base}/out", f"{base}/_ckpt"
                           ).awaitTermination()
-    return spark.read.parquet(f"{base}/out").select(*_ENV_COLS)
+    return spark.read.schema(dps.schema).parquet(f"{base}/out").select(*_ENV_COLS)
 
 
 q("stream_event_dedupe", ORACLE["dp_event_first_wins"])(_l2)

@@ -48,9 +48,12 @@ def stream_event_dedupe(datapoints: DataFrame, out_path: str, checkpoint: str, a
     def write(batch: DataFrame, batch_id: int):
         ev = batch.where(F.col("kind") == "event")
         existing = _read_or_empty(spark, out_path, ev)
+        # the output is partitioned by tenant: only the partitions of tenants in
+        # this batch are read (dynamic partition pruning through the semi join)
+        touched = existing.join(ev.select("tenant_id").distinct(), "tenant_id", "left_semi")
         merged = A.dp_event_first_wins(existing.where(F.lit(False)), ev)
-        new = merged.join(existing.select(*A.EVENT_KEY), A.EVENT_KEY, "left_anti")
-        new.write.mode("append").parquet(out_path)
+        new = merged.join(touched.select(*A.EVENT_KEY), A.EVENT_KEY, "left_anti")
+        new.write.mode("append").partitionBy("tenant_id").parquet(out_path)
     w = datapoints.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
 

@@ -88,3 +88,23 @@ def test_dedupe_within_watermark_keeps_one_per_key(spark, tmp_path):
         .parquet(src)
     out = _run(spark, L.dedupe_within_watermark(stream), mode="append")
     assert sorted(r.source_key for r in out.collect()) == ["k0", "k1", "k2"]
+
+
+def test_exact_event_dedupe_across_batches(spark, tmp_path):
+    src, out = str(tmp_path / "ev"), str(tmp_path / "out")
+    cols = ("id string, tenant_id string, source string, tool string, kind string, name string, "
+            "subject_type string, subject_id string, occurred_at timestamp, period_start timestamp, "
+            "period_end timestamp, observed_at timestamp, source_key string, metadata string, raw_record_id long")
+
+    def batch(i, keys):
+        t = dt.datetime(2026, 1, 1 + i)
+        return [(f"{k}-{i}", "t" + str(j % 2), "github", "github", "event", "pr", "user", "u", t, None, None, t,
+                 k, "{}", i * 100 + j) for j, k in enumerate(keys)]
+    spark.createDataFrame(batch(0, ["a", "b"]), cols).coalesce(1).write.parquet(src)
+    # second batch repeats key (t1, b): the first-landed row must stay the only one
+    spark.createDataFrame(batch(1, ["c", "b"]), cols).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(cols).option("maxFilesPerTrigger", 1).parquet(src)
+    L.stream_event_dedupe(stream, out, str(tmp_path / "ck")).awaitTermination()
+    got = spark.read.schema(cols).parquet(out).collect()
+    assert sorted((r.tenant_id, r.source_key, r.raw_record_id) for r in got) == [
+        ("t0", "a", 0), ("t0", "c", 100), ("t1", "b", 1)]
