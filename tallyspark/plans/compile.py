@@ -245,11 +245,15 @@ def _finish(metric: Metric, df: DataFrame, version: str, as_of_ts) -> DataFrame:
 
 def calendar_block(metric: Metric, rows: DataFrame, grains) -> DataFrame:
     """Every grain in one pass via explode, then one aggregation."""
-    pairs = F.array(*[F.struct(F.lit(g).alias("g"), F.date_trunc(g, F.col("_t")).alias("b")) for g in grains])
-    x = rows.withColumn("_gb", F.explode(pairs)).select(
-        "*", F.col("_gb.g").alias("grain"), F.col("_gb.b").alias("bucket_start")).drop("_gb", "_t")
+    if _additive(metric):
+        src, base, t = "pre", day_states(metric, rows), F.col("_d").cast("timestamp")
+    else:
+        src, base, t = "raw", rows, F.col("_t")
+    pairs = F.array(*[F.struct(F.lit(g).alias("g"), F.date_trunc(g, t).alias("b")) for g in grains])
+    x = base.withColumn("_gb", F.explode(pairs)).select(
+        "*", F.col("_gb.g").alias("grain"), F.col("_gb.b").alias("bucket_start")).drop("_gb")
     active = [d for d in plan_dims(metric) if d in metric.dimensions]
-    agg = _aggregate(x, [F.col("tenant_id"), F.col("grain"), F.col("bucket_start")], active, _aggs(metric))
+    agg = _aggregate(x, [F.col("tenant_id"), F.col("grain"), F.col("bucket_start")], active, _aggs(metric, src))
     agg = agg.select("*", *[F.lit("").alias(f"dim_{d}") for d in plan_dims(metric) if d not in active])
     end = reduce(lambda acc, g: acc.when(F.col("grain") == g, F.col("bucket_start") + F.expr(INTERVALS[g])),
                  grains[1:], F.when(F.col("grain") == grains[0], F.col("bucket_start") + F.expr(INTERVALS[grains[0]])))
@@ -269,6 +273,33 @@ def _step_array(d0: Column, midnight: Column, w: Window, lo, hi) -> Column:
     return F.when(first <= hi_c, F.sequence(first, hi_c, F.expr("INTERVAL 7 DAYS")))
 
 
+def _additive(metric: Metric) -> bool:
+    return all(op.measure.method in ADDITIVE for _, op, _ in inputs_of(metric))
+
+
+def day_states(metric: Metric, rows: DataFrame) -> DataFrame:
+    """one row per (tenant, dims, day, is-midnight) with mergeable states
+    per input (sum/count/min/max + match count). Calendar grains and rolling
+    windows of an additive metric both start from this same aggregate, so the
+    entity is scanned and shuffled once (the exchange is reused)."""
+    dims = [f"dim_{d}" for d in plan_dims(metric)]
+    d0 = F.to_date("_t")
+    midnight = F.col("_t") == d0.cast("timestamp")
+    states = []
+    for i, (_, op, _) in enumerate(inputs_of(metric)):
+        c, v = F.col(f"_c{i}"), F.col(f"_v{i}")
+        meth = op.measure.method
+        x = F.when(c, v)
+        if meth == "count":
+            s = F.count(x)
+        elif meth in ("sum", "avg"):
+            s = F.sum(x)
+        else:
+            s = getattr(F, meth)(x)
+        states += [s.alias(f"_s{i}"), F.count(x).alias(f"_k{i}"), F.count_if(c).alias(f"_p{i}")]
+    return rows.groupBy("tenant_id", *dims, d0.alias("_d"), midnight.alias("_m")).agg(*states)
+
+
 def window_block(metric: Metric, rows: DataFrame, w: Window, spine_lo: dt.date, spine_hi: dt.date) -> DataFrame:
     """Trailing N-day windows on a day (or Monday) step spine."""
     active = [d for d in plan_dims(metric) if d in metric.dimensions]
@@ -276,22 +307,8 @@ def window_block(metric: Metric, rows: DataFrame, w: Window, spine_lo: dt.date,
     ins = inputs_of(metric)
     d0 = F.to_date("_t")
     midnight = F.col("_t") == d0.cast("timestamp")
-    additive = all(op.measure.method in ADDITIVE for _, op, _ in ins)
-    if additive:
-        # one row per (tenant, dims, day, is-midnight) before the explode
-        states = []
-        for i, (_, op, _) in enumerate(ins):
-            c, v = F.col(f"_c{i}"), F.col(f"_v{i}")
-            meth = op.measure.method
-            x = F.when(c, v)
-            if meth == "count":
-                s = F.count(x)
-            elif meth in ("sum", "avg"):
-                s = F.sum(x)
-            else:
-                s = getattr(F, meth)(x)
-            states += [s.alias(f"_s{i}"), F.count(x).alias(f"_k{i}"), F.count_if(c).alias(f"_p{i}")]
-        pre = rows.groupBy("tenant_id", *dims, d0.alias("_d"), midnight.alias("_m")).agg(*states)
+    if _additive(metric):
+        pre = day_states(metric, rows)
         src = "pre"
     elif len(ins) == 1 and not ins[0][1].measure.approx:
         # holistic single input (exact percentile / distinct count): explode one
