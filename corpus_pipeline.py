@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import language
+from tallyspark.llm import language, mixing, packing
 from tallyspark.llm.common import saved
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -17,8 +17,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language.keep_identified(docs)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
+    return mixing.take_mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their sequence and place in it."""
+    return packing.pack_documents(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", identify_language),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
 ]
 
 #: Viterbi labelling, MinHash candidates and pattern packing are not expressible in SQL; tests hold each stage against brute force.

@@ -1,9 +1,11 @@
 """The queries of this subpackage and their SQL twins."""
 
-from tallyspark.llm import language
+from tallyspark.llm import language, mixing, packing
 
 QUERIES = {
     "op1_language_id": language.query,
+    "op4_best_fit_packing": packing.query,
+    "op10_source_mixing": mixing.query,
 }
 
 ORACLE: dict[str, str] = {}
