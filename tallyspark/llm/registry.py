@@ -1,10 +1,14 @@
 """The queries of this subpackage and their SQL twins."""
 
-from tallyspark.llm import language, mixing, packing
+from tallyspark.llm import chat, extraction, language, mixing, packing, secrets, warc
 
 QUERIES = {
     "op1_language_id": language.query,
+    "op2_html_extraction": extraction.query,
     "op4_best_fit_packing": packing.query,
+    "op7_warc_archives": warc.query,
+    "op8_secret_scans": secrets.query,
+    "op9_chat_formatting": chat.query,
     "op10_source_mixing": mixing.query,
 }
 
