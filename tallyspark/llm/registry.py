@@ -1,15 +1,17 @@
 """The queries of this subpackage and their SQL twins."""
 
-from tallyspark.llm import chat, extraction, language, mixing, packing, secrets, warc
+from tallyspark.llm import chat, extraction, fingerprint, language, mixing, packing, search, secrets, warc
 
 QUERIES = {
     "op1_language_id": language.query,
     "op2_html_extraction": extraction.query,
     "op4_best_fit_packing": packing.query,
+    "op5_document_fingerprints": fingerprint.query,
+    "op6_exact_topk": search.query,
     "op7_warc_archives": warc.query,
     "op8_secret_scans": secrets.query,
     "op9_chat_formatting": chat.query,
     "op10_source_mixing": mixing.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_exact_topk": search.SQL}
