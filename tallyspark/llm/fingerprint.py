@@ -22,11 +22,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import WORD
+from tallyspark.llm.common import WORD, saved
 
 BINS, BITS, WORDS = 256, 4, 5
 #: Rows of a group of neighbouring ids, on the average.
-GROUP = 512
+GROUP = 1024
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -79,32 +79,38 @@ def successors(keys: DataFrame, group: int = GROUP) -> DataFrame:
 
 
 def with_next(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """``docs(doc_id, text, sig)`` with ``next_text, next_sig`` of the next row by id (after the last: the first)."""
+    """``doc_id, text, sig, next_text, next_sig``: each row of ``docs(doc_id, text)`` and the next by id (after
+    the last: the first), with their signatures.
+
+    The first id of each group is written, one row for ``group`` documents, so that the planner knows its size
+    and the texts of the firsts are fetched without another shuffle of all texts."""
     n, lo, hi = docs.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
     width = max(1, ((hi or 0) - (lo or 0)) * group // max(1, n) + 1)
-    key = F.expr(f"coalesce(doc_id div {width}, {(lo or 0) // width - 2}L)")  # rows without an id: a group before all others
-    d = docs.withColumn("g", key)
-    w = Window.partitionBy("g").orderBy("doc_id", "text")
-    d = d.withColumn("nxt", F.lead(F.struct("text", "sig")).over(w))
-    # First row of each group: the smallest id, and of its rows the smallest text.
-    ids = docs.select("doc_id", key.alias("g")).groupBy("g").agg(F.min("doc_id").alias("first"))
-    firsts = (docs.withColumn("g", key).join(ids.withColumnRenamed("g", "h"), F.col("g").eqNullSafe(F.col("h")) & F.col("doc_id").eqNullSafe(F.col("first")))
-              .groupBy("g").agg(F.min(F.struct("text", "sig")).alias("head")))
-    groups = successors(ids.select(F.col("g").alias("k")), group)
+    d = docs.withColumn("g", F.expr(f"coalesce(doc_id div {width}, {(lo or 0) // width - 2}L)"))  # without an id: before all others
+    ids = saved(d.groupBy("g").agg(F.min("doc_id").alias("first")), "fingerprint-groups")
+    heads = d.join(ids.withColumnRenamed("g", "h"), (F.col("g") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("first")))
+    heads = heads.groupBy("g").agg(F.min("text").alias("text")).select("g", F.struct("text", signature("text").alias("sig")).alias("head"))
     start = ids.agg(F.min("g")).first()[0]
-    behind = groups.select(F.col("k").alias("of"), F.coalesce("next_k", F.lit(start).cast("long")).alias("g")).join(firsts, "g").select(F.col("of").alias("g"), "head")
+    groups = successors(ids.select(F.col("g").alias("k")), group).select(F.col("k").alias("of"), F.coalesce("next_k", F.lit(start).cast("long")).alias("g"))
+    behind = groups.join(heads, "g").select(F.col("of").alias("g"), "head")
+    w = Window.partitionBy("g").orderBy("doc_id", "text")
+    d = d.withColumn("sig", signature("text")).withColumn("nxt", F.lead(F.struct("text", "sig")).over(w))
     d = d.join(behind, "g", "left").withColumn("nxt", F.coalesce("nxt", "head"))
     return d.select("doc_id", "text", "sig", F.col("nxt.text").alias("next_text"), F.col("nxt.sig").alias("next_sig"))
 
 
+def whole_texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` of every row, null texts empty."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, sig`` for every row of ``docs(doc_id, text)``; ``packed('sig')`` is the stored form."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return d.withColumn("sig", signature("text"))
+    """``doc_id, sig`` for every row of ``docs(doc_id, text)``; ``packed('sig')`` is the stored form."""
+    return whole_texts(docs).select("doc_id", signature("text").alias("sig"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    d = with_next(fingerprint(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    d = with_next(whole_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     d = d.withColumn("n_chars", F.char_length("text").cast("long"))
     half = "CAST(n_chars div 2 AS INT)"
     d = d.withColumn("edited", F.expr(f"concat(substring(text, 1, CAST(n_chars AS INT) - {half}), substring(next_text, 1, {half}))"))

@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL twins."""
 
-from tallyspark.llm import chat, extraction, fingerprint, language, mixing, packing, search, secrets, warc
+from tallyspark.llm import chat, extraction, fingerprint, language, mixing, neardup, packing, search, secrets, warc
 
 QUERIES = {
     "op1_language_id": language.query,
     "op2_html_extraction": extraction.query,
+    "op3_near_duplicates": neardup.query,
     "op4_best_fit_packing": packing.query,
     "op5_document_fingerprints": fingerprint.query,
     "op6_exact_topk": search.query,
