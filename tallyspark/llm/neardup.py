@@ -11,8 +11,9 @@ pairs that are far from the threshold; the rest is confirmed on full shingle set
 component (a few rounds), then all that still join different components.
 
 After that a region counts as done if its texts are in one component. In the others every pair of texts of
-different components is compared by signature, in cells of bounded size, and confirmed likewise. So no pair
-of a region is left out, and what is compared pair by pair is only what is not yet connected.
+different components is compared by signature, in cells of bounded size; texts with a possible partner get a
+longer signature, are compared once more, and what is left is confirmed likewise. So no pair of a region is
+left out, and what is compared pair by pair is only what is not yet connected.
 
 Regions of any size are sorted by range, split over tasks and counted before they are shuffled; components
 come from star contraction in tables. Nothing but counts reaches the driver.
@@ -38,13 +39,14 @@ from tallyspark.llm.common import saved
 WORDS, PERCENT = 5, 75
 #: Values of a signature, trees, least common prefix, and further values that a tree sorts by.
 VALUES, TREES, DEPTH, FURTHER = 128, 24, 4, 4
-#: Least estimated similarity of a pair that is confirmed: four standard errors below the threshold.
-LEAST = 0.58
+#: Values of a fine signature, and the least estimates of pairs that go on: four standard errors below the threshold.
+FINE = 1024
+LEAST, LEAST_FINE = 0.58, 0.69
 #: Regions above this size get centres; rows in a side of a cell; rounds that confirm best pairs only.
-LARGE, SIDE, ROUNDS = 16, 1024, 3
+LARGE, SIDE, ROUNDS = 16, 1024, 2
 CACHE_WORDS = 300_000
-_MULTIPLY = np.random.default_rng(11).integers(1, 2**63, VALUES, dtype=np.uint64) | np.uint64(1)
-_ADD = np.random.default_rng(12).integers(0, 2**63, VALUES, dtype=np.uint64)
+_MULTIPLY = np.random.default_rng(11).integers(1, 2**63, FINE, dtype=np.uint64) | np.uint64(1)
+_ADD = np.random.default_rng(12).integers(0, 2**63, FINE, dtype=np.uint64)
 _POWERS = np.cumprod(np.full(WORDS, 0x9E3779B97F4A7C15, np.uint64))
 
 
@@ -74,10 +76,11 @@ def shingles(text: str | None, known: dict[bytes, int]) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def minhash(h: np.ndarray) -> np.ndarray:
-    out = np.full(VALUES, np.iinfo(np.uint32).max, np.uint32)
-    for at in range(0, len(h), 2048):
-        x = (h[at:at + 2048, None] * _MULTIPLY + _ADD) >> np.uint64(32)
+def minhash(h: np.ndarray, values: int = VALUES) -> np.ndarray:
+    out = np.full(values, np.iinfo(np.uint32).max, np.uint32)
+    step = (1 << 18) // values
+    for at in range(0, len(h), step):
+        x = (h[at:at + step, None] * _MULTIPLY[:values] + _ADD[:values]) >> np.uint64(32)
         np.minimum(out, x.min(0).astype(np.uint32), out=out)
     return out
 
@@ -112,7 +115,7 @@ def _sketch(sig: np.ndarray) -> np.ndarray:
 def _likeness(x: np.ndarray) -> np.ndarray:
     """Estimated similarity from the exclusive or of packed sketches, freed of chance agreement."""
     same = ((x & 15) == 0).sum(-1, dtype=np.int32) + ((x >> 4) == 0).sum(-1, dtype=np.int32)
-    return (same / VALUES - 1 / 16) / (15 / 16)
+    return (same / (2 * x.shape[-1]) - 1 / 16) / (15 / 16)
 
 
 def sketches(classes: DataFrame) -> DataFrame:
@@ -274,9 +277,8 @@ def components(links: DataFrame) -> DataFrame:
     """``id, component`` (smallest id reachable) of every id in ``links(a, b)``, by star contraction.
 
     Each step hangs a node's larger neighbours, then its smaller ones, below the smallest of them; minima are
-    aggregated before the shuffle. It ends when a step changes nothing."""
-    e = saved(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "neardup-stars")
-    seen = None
+    aggregated before the shuffle. It ends when all trees are stars."""
+    e = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
@@ -285,10 +287,10 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         e2 = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         e = saved(e2, "neardup-stars")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
+        # Done when each node hangs below one root and no root hangs below another.
+        uses = e.select(F.col("a").alias("x"), F.lit(1).alias("n")).unionByName(e.select(F.col("b").alias("x"), F.lit(10**12).alias("n")).distinct())
+        if uses.groupBy("x").agg(F.sum("n").alias("n")).where("n > 1 and n <> 1000000000000").isEmpty():
             return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
-        seen = now
 
 
 def _labelled(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -323,8 +325,9 @@ def connect(pairs: DataFrame, sets: DataFrame, links: DataFrame | None, comps: D
     return links, comps
 
 
-def open_pairs(places: DataFrame, comps: DataFrame | None, sketch: DataFrame) -> DataFrame:
-    """``a, b, near``: all pairs of a region that lie in different components and may be similar enough.
+def open_pairs(places: DataFrame, comps: DataFrame | None, sketch: DataFrame, least: float, only_ids: bool = False) -> DataFrame:
+    """``a, b, near``: all pairs of a region that lie in different components and may be similar enough; with
+    ``only_ids`` the ``id`` of each text that is in such a pair.
 
     A region's largest component stands against the others only; the others against one another, too. Both
     are cut into sides of about SIDE rows, and each cell of two sides is one run of rows in a task."""
@@ -360,15 +363,17 @@ def open_pairs(places: DataFrame, comps: DataFrame | None, sketch: DataFrame) ->
                 if not len(k):
                     continue
                 x = _likeness(s[k] ^ s[i])
-                ok = x >= LEAST
+                ok = x >= least
                 if ok.any():
                     a.append(np.minimum(ids[i], ids[k[ok]]))
                     b.append(np.maximum(ids[i], ids[k[ok]]))
                     near.append(x[ok])
-            if a:
+            if a and only_ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(a + b)))], names=["id"])
+            elif a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (a, b, near)], names=["a", "b", "near"])
 
-    return cells.mapInArrow(run, "a long, b long, near double").distinct()
+    return cells.mapInArrow(run, "id long" if only_ids else "a long, b long, near double").distinct()
 
 
 def _runs(batches, keys: list[str]) -> Iterator[pa.Table]:
@@ -392,6 +397,29 @@ def _runs(batches, keys: list[str]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, shingles``: the full sets of the documents in ``ids``."""
+
+    def run(batches):
+        known: dict[bytes, int] = {}
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([shingles(x, known).tobytes() for x in b.column("text").to_pylist()], pa.binary())], names=["id", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(saved(ids, "neardup-ids"), "id", "left_semi")
+    return saved(texts.mapInArrow(run, "id long, shingles binary").where(F.length("shingles") > 0).dropDuplicates(["id"]), "neardup-sets")
+
+
+def fine_sketches(sets: DataFrame) -> DataFrame:
+    """``id, sketch`` with FINE values, from full sets."""
+
+    def run(batches):
+        for b in batches:
+            s = [_sketch(minhash(np.frombuffer(x, np.uint64), FINE)[None, :])[0].tobytes() for x in b.column("shingles").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(s, pa.binary())], names=["id", "sketch"])
+
+    return saved(sets.mapInArrow(run, "id long, sketch binary"), "neardup-fine")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``."""
     rows = saved(features(docs), "neardup-features")
@@ -409,21 +437,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = saved(twice.join(many, "a", "left_semi").distinct(), "neardup-repeated")
     links, comps = (None, None) if links.isEmpty() else (links, saved(components(links), "neardup-components"))
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        def run(batches):
-            known: dict[bytes, int] = {}
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([shingles(x, known).tobytes() for x in b.column("text").to_pylist()], pa.binary())], names=["id", "shingles"])
-
-        texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(saved(ids, "neardup-ids"), "id", "left_semi")
-        return saved(texts.mapInArrow(run, "id long, shingles binary").where(F.length("shingles") > 0).dropDuplicates(["id"]), "neardup-sets")
-
     ends = lambda p: p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id"))).distinct()
-    links, comps = connect(pairs, sets_of(ends(pairs)), links, comps, ROUNDS)
-    rest = open_pairs(places, comps, sketch)
-    rest = saved(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "neardup-open")
-    if not rest.isEmpty():
-        links, comps = connect(rest, sets_of(ends(rest)), links, comps, 1)
+    links, comps = connect(pairs, sets_of(docs, ends(pairs)), links, comps, ROUNDS)
+    doubtful = saved(open_pairs(places, comps, sketch, LEAST, only_ids=True), "neardup-doubtful")
+    if not doubtful.isEmpty():
+        sets = sets_of(docs, doubtful)
+        rest = open_pairs(places.join(doubtful, "id", "left_semi"), comps, fine_sketches(sets), LEAST_FINE)
+        links, comps = connect(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), sets, links, comps, 1)
     own = classes.select(F.col("digest").alias("of"), F.col("id").alias("rep"))
     if comps is not None:
         own = own.join(comps, own["rep"] == comps["id"], "left").select("of", F.coalesce("component", "rep").alias("rep"))
