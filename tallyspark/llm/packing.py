@@ -107,7 +107,7 @@ def patterns(units: int) -> list[tuple[int, ...]]:
     return out
 
 
-def nnls(a: np.ndarray, b: np.ndarray, sweeps: int = 60) -> np.ndarray:
+def nnls(a: np.ndarray, b: np.ndarray, sweeps: int = 60, tolerance: float = 1e-3) -> np.ndarray:
     """min ||a x - b|| over x >= 0 by coordinate descent on the normal equations."""
     gram, x = a.T @ a, np.zeros(a.shape[1])
     grad = -(a.T @ b)
@@ -120,7 +120,7 @@ def nnls(a: np.ndarray, b: np.ndarray, sweeps: int = 60) -> np.ndarray:
                 x[j] += step
                 grad += step * gram[:, j]
                 moved = max(moved, abs(step))
-        if moved < 1e-3 * max(1.0, b.max(initial=0)):
+        if moved < tolerance * max(1.0, b.max(initial=0)):
             break
     return x
 
