@@ -2,8 +2,9 @@
 
 The word shingles of a text are hashed once. The high bits of a hash choose its bin, each bin keeps its
 smallest hash, an empty bin takes over the value of the first filled bin on a fixed walk of its own over all
-bins (optimal densification), and the low bits of the values are packed into a hex string. Two fingerprints
-agree in a bin by chance once in 2**BITS, which the likeness corrects for.
+bins (optimal densification), and the low bits of the values, hashed once more with the bin's number, are packed into a hex string. Two
+fingerprints agree in a bin by chance once in 2**BITS, each bin on its own even where one value fills many;
+the likeness corrects for that.
 
 The walk of bin i starts at a place and takes an odd stride that both come from a hash of i, so that it meets
 every bin once and always ends.
@@ -39,9 +40,9 @@ def signature(text: str) -> F.Column:
     shift = 64 - (BINS - 1).bit_length()
     probe = ", ".join(f"get(bins, (p + {a} * q) & {BINS - 1})" for a in range(BINS))
     walk = _let("xxhash64(i)", "h", _let(f"CAST(h & {BINS - 1} AS INT)", "p", _let("CAST((shiftright(h, 8) & 127) * 2 + 1 AS INT)", "q", f"coalesce({probe})")))
-    filled = _let("map_from_arrays(transform(least, x -> CAST(shiftrightunsigned(x, {s}) AS INT)), transform(least, x -> CAST(x & {m} AS TINYINT)))".format(s=shift, m=2**BITS - 1),
+    filled = _let("map_from_arrays(transform(least, x -> CAST(shiftrightunsigned(x, {s}) AS INT)), least)".format(s=shift),
                   "m", f"transform(sequence(0, {BINS - 1}), b -> element_at(m, b))")
-    dense = _let(filled, "bins", f"transform(bins, (v, i) -> coalesce(v, {walk}))")
+    dense = _let(filled, "bins", f"transform(bins, (v, i) -> CAST(xxhash64(coalesce(v, {walk}), i) & {2**BITS - 1} AS TINYINT))")
     least = f"filter(sorted, (x, i) -> i = 0 OR shiftrightunsigned(x, {shift}) <> shiftrightunsigned(get(sorted, i - 1), {shift}))"
     hashes = f"transform(sequence(1, greatest(size(w) - {WORDS - 1}, 1)), i -> xxhash64(slice(w, i, {WORDS})))"
     whole = _let(f"sort_array({hashes})", "sorted", _let(least, "least", dense))
