@@ -14,11 +14,23 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that a Python worker gets at a time; Spark's own 10,000 is made for short rows, and texts are long.
+BATCH_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Bound the memory of Python workers, unless the session has its own number of rows per batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``, which driver and executors share.
 
     Only a session with a local master may leave it unset (tests); then a scratch folder is set.
     """
+    short_batches(spark)
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         if not spark.sparkContext.master.startswith("local["):
@@ -51,6 +63,7 @@ def forget(*frames: DataFrame) -> None:
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array]], new: T.StructType,
              keep: list[str] | None = None) -> DataFrame:
     """Arrow map that adds the columns ``new`` to the columns ``keep`` (all by default)."""
+    short_batches(df.sparkSession)
     keep = df.columns if keep is None else keep
     schema = T.StructType([df.schema[c] for c in keep] + list(new.fields))
     names = new.names

@@ -34,8 +34,8 @@ SCRIPTS = [
     (0xFF66, 29), (0xFFA0, 22), (0x10000, 0), (0x20000, 28), (0x30000, 0),
 ]
 N_SCRIPTS = 30
-#: Code points scored, and words walked, at a time.
-SCORE_CHARS, WALK_WORDS = 1_000_000, 1_000_000
+#: Code points scored, and walked by Viterbi, at a time.
+SCORE_CHARS, WALK_CHARS = 500_000, 4_000_000
 
 
 @cache
@@ -185,7 +185,7 @@ def label_texts(texts: list[str | None], m: Model) -> tuple[list[str], np.ndarra
     lo = 0
     while lo < n and m.langs:
         hi, chars = lo, 0  # so many texts that their words fit in memory
-        while hi < n and (hi == lo or chars + len(texts[hi] or "") <= 4 * WALK_WORDS):
+        while hi < n and (hi == lo or chars + len(texts[hi] or "") <= WALK_CHARS):
             chars += len(texts[hi] or "")
             hi += 1
         score, doc, start, size = _word_scores([x or "" for x in texts[lo:hi]], m)

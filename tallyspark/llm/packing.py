@@ -29,8 +29,8 @@ from tallyspark.llm.common import saved
 CAPACITY = 4096
 END_ID = 1
 #: Words kept with their ids by each Python worker, and code points tokenized before words are looked up.
-CACHE_WORDS = 300_000
-BATCH_CHARS = 4_000_000
+CACHE_WORDS = 200_000
+BATCH_CHARS = 1_000_000
 
 
 @cache
