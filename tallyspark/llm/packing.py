@@ -28,50 +28,83 @@ from tallyspark.llm.common import saved
 
 CAPACITY = 4096
 END_ID = 1
-#: Words kept with their ids by each Python worker, and code points tokenized before words are looked up.
-CACHE_WORDS = 200_000
-BATCH_CHARS = 1_000_000
+#: Words whose ids each Python worker keeps (twice: new ones, and those before), code points looked up at a
+#: time, and words of letters tokenized in one string.
+CACHE_WORDS, BATCH_CHARS, JOINED = 400_000, 1_000_000, 2000
+
+
+class _Words:
+    """Ids of words as little-endian 32-bit numbers, with a bounded memory of words seen."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.t = Tokenizer.from_file(path)
+        self.t.encode_special_tokens = True
+        vocab = self.t.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a piece
+        for token, i in vocab.items():
+            self.ends[i] = token.endswith("</w>")
+        self.new, self.old = {}, {}
+
+    def _encode(self, words: list[str]) -> None:
+        for w, e in zip(words, self.t.encode_batch_fast(words, add_special_tokens=False)):
+            self.new[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _encode_letters(self, words: list[str]) -> None:
+        """Words of letters are one piece each, so one string holds many and the ends of pieces part them again;
+        where the pieces are not as many as the words, each is tokenized by itself."""
+        groups = [words[i:i + JOINED] for i in range(0, len(words), JOINED)]
+        for group, e in zip(groups, self.t.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != len(group):
+                self._encode(group)
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(group, (4 * cut).tolist()):
+                self.new[w] = raw[at:end]
+                at = end
+
+    def learn(self, words: set[str]) -> None:
+        """Make ``new`` hold all of ``words``; a mark behind a letter is always a piece of its own."""
+        if len(self.new) > CACHE_WORDS:
+            self.new, self.old = {}, self.new
+        new, old = self.new, self.old
+        missing = [w for w in words if w not in new]
+        for w in missing:
+            if w in old:
+                new[w] = old[w]
+        missing = [w for w in missing if w not in new]
+        split = {w: (w[:-1], w[-1]) for w in missing if len(w) > 2 and w[-1] in ".,;:!?" and w[-2].lower().isalpha()}
+        plain = ({w for w in missing if w not in split} | {p for pair in split.values() for p in pair}) - new.keys()
+        self._encode_letters([w for w in plain if w.isalpha()])
+        self._encode([w for w in plain if not w.isalpha()])
+        for w, (a, b) in split.items():
+            new[w] = new[a] + new[b]
 
 
 @cache
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t, {}
+def _words(path: str) -> _Words:
+    return _Words(path)
 
 
 def packed_ids(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian 32-bit numbers.
 
     The tokenizer drops white space and never joins across it, so each run between blanks and line ends is
-    tokenized once and looked up afterwards; ASCII runs are looked up in lower case, as the tokenizer folds
-    them, and a mark behind a letter is always a piece of its own.
+    tokenized once and looked up afterwards; ASCII runs are looked up in lower case, as the tokenizer folds them.
     """
-    t, known = _tokenizer(path)
-    out, lo = [], 0
+    words, out, lo = _words(path), [], 0
     while lo < len(texts):
         hi, n = lo, 0
         while hi < len(texts) and (hi == lo or n + len(texts[hi]) <= BATCH_CHARS):
             n += len(texts[hi])
             hi += 1
         runs = [(x.lower() if x.isascii() else x).replace("\n", " ").split(" ") for x in texts[lo:hi]]
-        new = {w for r in runs for w in r if w not in known}
-        split = {w: (w[:-1], w[-1]) for w in new if len(w) > 2 and w[-1] in ".,;:!?" and w[-2].lower().isalpha()}
-        plain = list((new - split.keys()) | {p for pair in split.values() for p in pair if p not in known})
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            plain = list({w for r in runs for w in r} - split.keys() | {p for pair in split.values() for p in pair})
-            split = {w: p for w, p in split.items()}
-        for lo2 in range(0, len(plain), 20_000):
-            part = plain[lo2:lo2 + 20_000]
-            for w, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        for w, (a, b) in split.items():
-            known[w] = known[a] + known[b]
-        get = known.__getitem__
+        words.learn(set().union(*runs))
+        get = words.new.__getitem__
         out += [b"".join(map(get, r)) for r in runs]
         lo = hi
     return out
