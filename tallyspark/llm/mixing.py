@@ -126,7 +126,7 @@ def _node(seed: int, level: int, fan_in: int, top: bool):
     return run
 
 
-def mix(docs: DataFrame, bucket_rows: int = 20_000, fan_in: int = 64, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, bucket_rows: int = 4_000, fan_in: int = 64, seed: int = 0) -> DataFrame:
     """``doc_id, source, size, row_hash, source_size, target, copies`` for every row of ``docs(doc_id, source, text)``."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
                     F.xxhash64("doc_id", "text").alias("row_hash"))
