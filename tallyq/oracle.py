@@ -263,7 +263,8 @@ select cast(c_nationkey as varchar) as tenant_id, cast(c_custkey % 40 as varchar
 from customer where c_custkey % 6 = 0 group by 1, 2"""
 J7 = f"""
 select i.tenant_id, i.user_id, min(case when i.org_role = 'admin' then 'admin' else 'individual' end) as role
-from ({J4}) i where i.user_id is not null
+from ({J4}) i join ({J3}) b on b.tenant_id = i.tenant_id and b.external_user_id = i.external_user_id
+where i.user_id is not null and b.user_id is null
   and not exists (select 1 from ({MEMBERSHIPS}) m where m.tenant_id = i.tenant_id and m.user_id = i.user_id)
 group by 1, 2"""
 J8 = f"""
@@ -286,10 +287,10 @@ cands as (
   from pend p join su s on p.external_user_id = s.oauth_id
   union all
   select p.tenant_id, p.external_user_id, s.user_id, 'email' from pend p join su s on lower(p.email) = lower(s.email)),
-c1 as (select * from cands qualify row_number() over (partition by tenant_id, external_user_id
+c1 as (select * from cands where not exists (select 1 from j4 l where l.user_id is not null
+        and l.tenant_id = cands.tenant_id and l.user_id = cands.cand) qualify row_number() over (partition by tenant_id, external_user_id
         order by case when method = 'oauth_id' then 0 else 1 end, cand) = 1),
-w as (select * from c1 where not exists (select 1 from j4 l where l.user_id is not null
-        and l.tenant_id = c1.tenant_id and l.user_id = c1.cand)
+w as (select * from c1
       qualify row_number() over (partition by tenant_id, cand order by {_RANK}, external_user_id) = 1)
 select i.tenant_id, i.external_user_id, i.login, i.email, i.name, i.org_role,
   case when w.cand is not null then w.cand else i.user_id end as user_id,

@@ -679,7 +679,7 @@ def _j4(s, sf):
 
 
 def _j7(s, sf):
-    return J.ensure_membership(_j4(s, sf), FX.fx_memberships(s, sf))
+    return J.ensure_membership(_j4(s, sf), FX.fx_memberships(s, sf), _j3(s, sf))
 
 
 q("latest_payload_by_login", O.PROFILES_LATEST)(_j1)
@@ -1065,5 +1065,4 @@ s as (select cast(gs as date) as step_date from generate_series(timestamp '2022-
 select r.tenant_id, r.event_type, s.step_date, 'rolling_7d' as grain, count(*) as n
 from s join r on r.ts > s.step_date + interval 1 day - interval 7 day and r.ts < s.step_date + interval 1 day
 group by 1, 2, 3""")(
-    lambda s, sf: _memory_run(s, L.stream_rolling_counts(_event_stream(s, sf), "ts", ["tenant_id", "event_type"], 7))
-    .where(F.col("step_date") <= F.lit("2024-02-01").cast("date")))
+    lambda s, sf: _memory_run(s, L.stream_rolling_counts(_event_stream(s, sf), "ts", ["tenant_id", "event_type"], 7, as_of="2024-02-01")))

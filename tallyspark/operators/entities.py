@@ -16,12 +16,6 @@ from pyspark.sql import functions as F
 PR_KEY = ["tenant_id", "pr_number", "pr_node_id"]
 
 
-def _null_safe_eq(a, b):
-    # Kept out of the equi-join keys on purpose: the join then partitions on
-    # (tenant_id, pr_number), which the per-PR aggregation can reuse.
-    return F.coalesce(a == b, a.isNull() & b.isNull())
-
-
 def first_review_join(prs: DataFrame, reviews: DataFrame, how: str = "left",
                       carry: list[str] | None = None) -> DataFrame:
     """Per PR: min(submitted_at) and count of non-author reviews.
@@ -38,7 +32,7 @@ def first_review_join(prs: DataFrame, reviews: DataFrame, how: str = "left",
     p = prs.select(*PR_KEY, *[c for c in {"repo", "author_login", *carry} if c not in PR_KEY])
     cond = ((p.tenant_id == per_reviewer._r_tenant)
             & (p.pr_number == per_reviewer.pull_request_number)
-            & _null_safe_eq(per_reviewer._r_repo, p.repo)
+            & per_reviewer._r_repo.eqNullSafe(p.repo)
             & (p.author_login.isNull() | ~per_reviewer.reviewer_login.eqNullSafe(p.author_login)))
     j = p.join(per_reviewer, cond, how)
     return (j.groupBy(*PR_KEY)

@@ -119,9 +119,13 @@ def _role(org_role):
     return F.when(org_role == "admin", "admin").otherwise("individual")
 
 
-def ensure_membership(linked: DataFrame, memberships: DataFrame) -> DataFrame:
-    """Memberships to add for linked users (role from the org role)."""
-    ids = linked.where(F.col("user_id").isNotNull()).select("tenant_id", "user_id", _role(F.col("org_role")).alias("role"))
+def ensure_membership(linked: DataFrame, memberships: DataFrame, before: DataFrame) -> DataFrame:
+    """Memberships to add for the users that this run linked (role from the org role).
+
+    Identities that ``before`` had linked already add nothing, so a member removed since stays removed."""
+    old = before.where(F.col("user_id").isNotNull()).select("tenant_id", "external_user_id")
+    fresh = linked.where(F.col("user_id").isNotNull()).join(old, ["tenant_id", "external_user_id"], "left_anti")
+    ids = fresh.select("tenant_id", "user_id", _role(F.col("org_role")).alias("role"))
     new = ids.join(memberships.select("tenant_id", "user_id"), ["tenant_id", "user_id"], "left_anti")
     return new.groupBy("tenant_id", "user_id").agg(F.min("role").alias("role"))
 
@@ -164,6 +168,9 @@ def claim_pending(identities: DataFrame, signups: DataFrame) -> DataFrame:
                         .select(F.lower("email").alias("_em"), F.col("user_id").alias("_cand")),
                         F.lower(pend.email) == F.col("_em")).drop("_em").withColumn("_method", F.lit("email"))
     cands = by_oauth.unionByName(by_mail).select("tenant_id", "external_user_id", "_cand", "_method")
+    # users that hold an identity of the tenant claim nothing, so they go before an identity chooses
+    held = identities.where(F.col("user_id").isNotNull()).select("tenant_id", F.col("user_id").alias("_cand"))
+    cands = cands.join(held.distinct(), ["tenant_id", "_cand"], "left_anti")
     # an identity claimed both ways keeps its best method (then the smallest user id)
     best = F.min_by(F.struct("_cand", "_method"),
                     F.struct(F.when(F.col("_method") == "oauth_id", 0).otherwise(1), F.col("_cand")))
@@ -204,7 +211,7 @@ def sync_and_link(raw: DataFrame, admins: DataFrame, existing: DataFrame, users:
     linked = link_identity(identities, users, oauth)
     if checkpoint:
         linked = linked.checkpoint(eager=True)
-    new_members = ensure_membership(linked, memberships)
+    new_members = ensure_membership(linked, memberships, identities)
     return {
         "identities": linked,
         "new_users": provision_users(linked),

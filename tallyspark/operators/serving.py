@@ -230,7 +230,7 @@ def srv_me_review_latency(raw, login=None, granularity="weekly", start=None, end
     prs = my_prs(raw, login, tenant).where(F.col("created_at").isNotNull())
     rv = _latest_reviews(raw, tenant).withColumnRenamed("tenant_id", "_rt")
     cond = ((prs.tenant_id == rv._rt) & (prs.pr_number == rv.pull_request_number)
-            & F.coalesce(rv.r_repo == prs.repo, rv.r_repo.isNull() & prs.repo.isNull())
+            & rv.r_repo.eqNullSafe(prs.repo)
             & ~rv.reviewer_login.eqNullSafe(prs.author_login))
     pr_reviews = prs.join(rv, cond).select("tenant_id", "author_login", "pr_node_id", "created_at", "submitted_at")
     first = (pr_reviews.groupBy("tenant_id", "author_login", "pr_node_id", "created_at")

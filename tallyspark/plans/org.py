@@ -109,15 +109,14 @@ def compute_shared(metric: Metric, entities: dict, tenant_values: DataFrame, *,
 
 def preview(metric: Metric, entities: dict, *, as_of, days: int = 90, row_limit: int = 500, **kw) -> DataFrame:
     """Coarsest grain only, no windows, last ``days`` days, at most
-    ``row_limit`` rows in a fixed order. A window-only metric shows its latest step."""
+    ``row_limit`` rows in a fixed order. A window-only metric shows the latest step of each window."""
     as_of_ts = CP._as_ts(as_of)
     if metric.grains:
         coarse = max(metric.grains, key=GRAINS.index)
         m = metric.with_(grains=(coarse,), windows=())
         out = CP.compute_metric(m, entities, as_of=as_of, **kw)
     else:
-        m = metric.with_(windows=metric.windows[:1])
-        out = CP.compute_metric(m, entities, as_of=as_of, **kw)
+        out = CP.compute_metric(metric, entities, as_of=as_of, **kw)
         out = out.where(F.col("bucket_end") == F.lit(as_of_ts + dt.timedelta(days=1)))
     since = as_of_ts - dt.timedelta(days=days)
     dims = [c for c in out.columns if c.startswith("dim_")]
@@ -154,12 +153,12 @@ def ic_rows(values: DataFrame, identities: DataFrame, person_dims: list[str]) ->
 
     identities: (tenant_id, caller, key) — every id/login of each caller.
     A row is visible to a caller when one of its person dims equals one of the
-    caller's keys; rows of a metric without person dims pass for every caller.
+    caller's keys; rows of a metric without person dims come once, with a null
+    caller: everyone may see them.
     Equi-joins only (one per person dim), so no pairs are formed per tenant.
     """
     if not person_dims:
-        callers = identities.select("tenant_id", "caller").distinct()
-        return values.join(callers, "tenant_id")
+        return values.withColumn("caller", F.lit(None).cast(identities.schema["caller"].dataType))
     parts = []
     for d in person_dims:
         ids = identities.select("tenant_id", "caller", F.col("key").alias(f"dim_{d}")).distinct()

@@ -16,7 +16,6 @@ CORE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 
@@ -43,17 +42,17 @@ def build_session(master: str | None = None, app: str = "tallyspark",
 def apply_core_conf(spark: SparkSession) -> None:
     """Pin the runtime settings on an existing session (e.g. the driver's)."""
     for k, v in CORE_CONF.items():
-        try:
+        if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
-        except Exception:  # static conf on a shared session: leave as is
-            pass
+        if spark.conf.get(k) != v:
+            raise ValueError(f"the session keeps {k}={spark.conf.get(k)}; results need {v}")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
     ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) a scratch folder is created and registered.
+    under a local master (tests) a scratch folder is created and registered.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     sc = None
@@ -64,6 +63,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d and sc is not None:
         d = sc.getCheckpointDir()
     if not d:
+        if sc is None or not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="tallyspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc is not None:

@@ -38,9 +38,13 @@ def _ts(c: Column) -> Column:
 
 # --- A1, A2, A5 ----------------------------------------------------------------------
 def land_raw_append(records: DataFrame, source: str, run_id=None) -> DataFrame:
-    """A1: raw rows with natural id ``node_id`` -> ``id`` -> ``sha``."""
+    """A1: raw rows with natural id ``node_id`` -> ``id`` -> ``sha``.
+
+    Records without an id get one by hash, so a replayed batch gets the same;
+    exact repeats of a record in a run share it."""
     rid = F.col("run_id") if "run_id" in records.columns else F.lit(run_id)
-    rec_id = F.col("id") if "id" in records.columns else F.expr("uuid()")
+    rec_id = F.col("id") if "id" in records.columns else F.sha1(F.to_json(F.struct(
+        "tenant_id", F.lit(source).alias("source"), "stream", "payload", F.col("fetched_at").cast("string").alias("at"), rid.cast("string").alias("run"))))
     return records.select(
         rec_id.alias("id"), "tenant_id", F.lit(source).alias("source"), F.col("stream").alias("resource_type"),
         F.coalesce(_s("node_id"), _s("id"), _s("sha")).alias("source_id"),
@@ -210,7 +214,7 @@ def env_linear(raw: DataFrame, observed_at: Column | None = None) -> DataFrame:
             "comments": _meta([("stream", rs)] + [(k, g(k)) for k in
                                ["url", "issueId", "projectId", "parentId", "updatedAt", "editedAt"]]
                               + [("issue_id", s("issue.id")), ("issue_identifier", s("issue.identifier")),
-                                 ("project_id", F.coalesce(s("project.id"), g("projectId"))),
+                                 ("project_id", s("project.id")),
                                  ("project_name", F.when(s("project.id").isNotNull(), s("project.name")))]),
             "projects": _meta([("stream", rs)] + [(k, g(k)) for k in
                                ["name", "url", "slugId", "priority", "progress", "health", "updatedAt",

@@ -1,8 +1,9 @@
 """Mart and metric sinks on plain Parquet.
 
-Dynamic partition overwrite only replaces partitions present in the new
-data, so a tenant or metric that now yields no rows would keep stale ones.
-Both sinks therefore clear their whole target slice explicitly.
+A full refresh replaces every partition, those without new rows included. A
+tenant replace writes the new slice beside the table first, so a failed job
+leaves the old rows; only then are the tenants' folders exchanged. A metric
+swap publishes a version by replacing its pointer in one rename.
 """
 
 from __future__ import annotations
@@ -31,22 +32,29 @@ def _delete(spark, path) -> None:
 
 
 def sink_full_refresh(df: DataFrame, path: str, partition_by=("tenant_id",)) -> None:
-    """Rebuild every tenant."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    """Rebuild every tenant; tenants without rows vanish, whatever the session's overwrite mode."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*partition_by).parquet(path)
 
 
 def sink_mart_tenant_replace(df: DataFrame, path: str, tenants: list[str]) -> None:
     """Replace exactly the slice of ``tenants`` (rows of other tenants stay).
 
     Tenants in scope that produced no rows have their partition removed, so a
-    vanished day or tenant never stays stale."""
+    vanished day or tenant never stays stale. The slice is computed and written
+    in full before anything is removed, so ``df`` may read ``path`` itself and a
+    failure leaves the table as it was. Folder names are Spark's own escapes."""
     spark = df.sparkSession
-    # Clear the whole slice first (a tenant with no new rows must not keep its
-    # old ones), then append the rebuilt rows. Re-running the call is safe.
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"
+    df.where(F.col("tenant_id").isin(list(tenants))).write.partitionBy("tenant_id").parquet(staged)
+    fs, _, jvm = _fs(spark, path)
+    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
     for t in tenants:
-        _delete(spark, f"{path}/tenant_id={t}")
-    new = df.where(F.col("tenant_id").isin(list(tenants)))
-    new.write.mode("append").partitionBy("tenant_id").parquet(path)
+        folder = f"tenant_id={escape(t)}"
+        new, old = jvm.org.apache.hadoop.fs.Path(f"{staged}/{folder}"), jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
+        fs.delete(old, True)
+        if fs.exists(new) and not fs.rename(new, old):
+            raise OSError(f"could not move {new.toString()} into place")
+    _delete(spark, staged)
 
 
 POINTER = "_current"
@@ -79,9 +87,12 @@ def _write_pointer(spark, base, metric_id, target) -> None:
     out = fs.create(tmp, True)
     out.write(bytearray(target.encode()))
     out.close()
-    if fs.exists(final):
-        fs.delete(final, False)
-    fs.rename(tmp, final)
+    # One rename that replaces the old pointer, so that a reader always finds one.
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(tmp), fs.makeQualified(final), options)
 
 
 def current_version(spark: SparkSession, base: str, metric_id: str) -> str | None:
@@ -96,7 +107,12 @@ def current_version(spark: SparkSession, base: str, metric_id: str) -> str | Non
     return line
 
 
-def read_metric_values(spark: SparkSession, base: str, metric_ids: list[str]) -> DataFrame:
-    """The published fact table: the current version of each metric."""
-    paths = [p for p in (current_version(spark, base, m) for m in metric_ids) if p]
-    return spark.read.parquet(*paths)
+def read_metric_values(spark: SparkSession, base: str, metric_ids: list[str], missing_ok: bool = False) -> DataFrame:
+    """The published fact table: the current version of each metric.
+
+    A metric that was never published is an error, unless ``missing_ok``."""
+    found = {m: current_version(spark, base, m) for m in metric_ids}
+    missing = [m for m, p in found.items() if p is None]
+    if missing and not (missing_ok and len(missing) < len(found)):
+        raise LookupError(f"no published version of {', '.join(missing)}")
+    return spark.read.parquet(*[p for p in found.values() if p is not None])

@@ -16,10 +16,11 @@ from tallyspark.sources import landing as A
 
 
 def _read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    try:
-        return spark.read.schema(like.schema).parquet(path)
-    except Exception:  # first batch: nothing written yet
+    """What is written at ``path``; nothing before the first batch. Any other failure to read rises."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], like.schema)
+    return spark.read.schema(like.schema).parquet(path)
 
 
 def stream_land(records: DataFrame, source: str, raw_path: str, dp_path: str, checkpoint: str,
@@ -88,8 +89,8 @@ def stream_daily_counts(events: DataFrame, time_col: str, keys: list[str], laten
 
 
 def stream_rolling_counts(events: DataFrame, time_col: str, keys: list[str], days: int,
-                          lateness: str = "1 day") -> DataFrame:
-    """Trailing ``days``-day counts with a daily step.
+                          lateness: str = "1 day", as_of=None) -> DataFrame:
+    """Trailing ``days``-day counts with a daily step, up to the step ``as_of`` (no bound if None).
 
     Spark windows are closed at the start; the reference's are open at both
     ends, so a row exactly on a window's start is subtracted. Windows whose
@@ -100,6 +101,9 @@ def stream_rolling_counts(events: DataFrame, time_col: str, keys: list[str], day
          .withColumn("_on_start", t == F.col("w.start")))
     agg = (x.groupBy("w", *keys)
            .agg((F.count(F.lit(1)) - F.count_if(F.col("_on_start"))).alias("n")))
+    step = F.date_sub(F.to_date(F.col("w.end")), 1)
+    if as_of is not None:
+        agg = agg.where(step <= F.lit(as_of).cast("date"))
     return agg.where(F.col("n") > 0).select(
-        *keys, F.date_sub(F.to_date(F.col("w.end")), 1).alias("step_date"),
+        *keys, step.alias("step_date"),
         F.lit(f"rolling_{days}d").alias("grain"), "n")

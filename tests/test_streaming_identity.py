@@ -73,9 +73,10 @@ def test_one_identity_per_user_per_tenant(spark):
 
 def test_registry_keys_have_oracles():
     import __spark_entry__ as E
+    from tallyq.registry import ORACLE, QUERIES
     q, o = E.queries(), E.oracle_sql()
-    assert len(q) >= 150 and set(o) <= set(q)
-    assert {k for k in q if k not in o} == set()
+    assert len(QUERIES) >= 150 and set(o) <= set(q)
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_dedupe_within_watermark_keeps_one_per_key(spark, tmp_path):
