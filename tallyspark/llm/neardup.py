@@ -190,7 +190,8 @@ def centre_pairs(places: DataFrame, sketch: DataFrame) -> DataFrame:
     shares of the region name the text nearest to it, so no region is gathered."""
     large = places.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE).select("region")
     rows = places.select("region", "id").join(large, "region").join(sketch, "id")
-    rows = saved(rows, "neardup-large")
+    # In region order, so that a task has few regions and its sums are few rows, and a large region has several tasks.
+    rows = saved(rows.repartitionByRange("region", "id").sortWithinPartitions("region"), "neardup-large")
 
     def votes(batches):
         for b in batches:
@@ -202,7 +203,7 @@ def centre_pairs(places: DataFrame, sketch: DataFrame) -> DataFrame:
             names, place = np.unique(region, return_inverse=True)
             total = np.zeros((len(names), bits.shape[1]), np.int64)
             np.add.at(total, place, bits)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total.tolist(), pa.list_(pa.int64()))], names=["region", "votes"])
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total.tolist(), pa.list_(pa.int32()))], names=["region", "votes"])
 
     def merged(batches):
         last, total = None, None
@@ -219,7 +220,7 @@ def centre_pairs(places: DataFrame, sketch: DataFrame) -> DataFrame:
         if last is not None:
             yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([np.packbits(total > 0).tobytes()], pa.binary())], names=["region", "consensus"])
 
-    consensus = (rows.mapInArrow(votes, "region long, votes array<long>").repartition("region").sortWithinPartitions("region")
+    consensus = (rows.mapInArrow(votes, "region long, votes array<int>").repartition("region").sortWithinPartitions("region")
                  .mapInArrow(merged, "region long, consensus binary"))
 
     def distance(batches):
@@ -347,12 +348,14 @@ def open_pairs(places: DataFrame, comps: DataFrame | None, sketch: DataFrame, le
     left = rest.select("region", "id", "c", F.col("s").alias("i"), F.explode(F.concat(upto("k_main"), F.sequence(F.col("k_main"), F.col("k_main") + F.col("k_rest") - 1))).alias("x"), "k_main")
     left = left.select("region", "id", "c", "i", F.when(F.col("x") < F.col("k_main"), -F.col("x") - 1).otherwise(F.col("x") - F.col("k_main")).alias("j"), F.lit(0).alias("role")).where("j < 0 or i <= j")
     right = rest.select("region", "id", "c", F.explode(upto("k_rest")).alias("i"), F.col("s").alias("j"), F.lit(1).alias("role")).where("i < j")
-    cells = main.unionByName(left).unionByName(right).join(sketch, "id")
+    shared = own.groupBy("id").agg(F.array_sort(F.collect_list("region")).alias("regions"))  # one for each tree at most
+    cells = main.unionByName(left).unionByName(right).join(sketch.join(shared, "id"), "id")
     cells = cells.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j", "role", "id")
 
     def run(batches):
         for cell in _runs(batches, ["region", "i", "j"]):
             role, ids, c = (cell[x].to_numpy() for x in ("role", "id", "c"))
+            region, regions = cell["region"][0].as_py(), [set(x) for x in cell["regions"].to_pylist()]
             s = np.frombuffer(b"".join(cell["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
             n = int((role == 0).sum())
             within = n == len(ids)  # a side with itself
@@ -364,6 +367,8 @@ def open_pairs(places: DataFrame, comps: DataFrame | None, sketch: DataFrame, le
                     continue
                 x = _likeness(s[k] ^ s[i])
                 ok = x >= least
+                if not only_ids:  # a pair counts in the first region that it shares
+                    ok[ok] = [min(regions[i] & regions[m]) == region for m in k[ok]]
                 if ok.any():
                     a.append(np.minimum(ids[i], ids[k[ok]]))
                     b.append(np.maximum(ids[i], ids[k[ok]]))
