@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import saved
+from tallyspark.llm.common import forget, saved, tidy
 
 WORDS, PERCENT = 5, 75
 #: Values of a signature, trees, least common prefix, and further values that a tree sorts by.
@@ -279,7 +279,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Each step hangs a node's larger neighbours, then its smaller ones, below the smallest of them; minima are
     aggregated before the shuffle. It ends when all trees are stars."""
-    e = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    e, last = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
@@ -288,10 +288,16 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         e2 = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         e = saved(e2, "neardup-stars")
+        forget(last)
+        last = e
         # Done when each node hangs below one root and no root hangs below another.
         uses = e.select(F.col("a").alias("x"), F.lit(1).alias("n")).unionByName(e.select(F.col("b").alias("x"), F.lit(10**12).alias("n")).distinct())
-        if uses.groupBy("x").agg(F.sum("n").alias("n")).where("n > 1 and n <> 1000000000000").isEmpty():
-            return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+        with tidy(e.sparkSession):
+            done = uses.groupBy("x").agg(F.sum("n").alias("n")).where("n > 1 and n <> 1000000000000").isEmpty()
+        if done:
+            out = saved(e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()), "neardup-components")
+            forget(e)
+            return out
 
 
 def _labelled(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -309,8 +315,11 @@ def connect(pairs: DataFrame, sets: DataFrame, links: DataFrame | None, comps: D
 
     For ``rounds`` rounds each component tries its most similar pair; then all pairs are tried that still lie
     between components."""
+    last: tuple = ()  # what this call has written and nothing reads any more
     for r in range(rounds + 1):
         pairs = saved(_labelled(pairs.select("a", "b", "near"), comps), "neardup-pairs")
+        forget(*last)
+        last = (pairs,)
         if pairs.isEmpty():
             break
         tried = pairs
@@ -318,11 +327,13 @@ def connect(pairs: DataFrame, sets: DataFrame, links: DataFrame | None, comps: D
             ends = pairs.select("a", "b", "near", F.col("ca").alias("c")).unionByName(pairs.select("a", "b", "near", F.col("cb").alias("c")))
             best = F.max(F.struct("near", (-F.col("a")).alias("x"), (-F.col("b")).alias("y")))
             tried = saved(ends.groupBy("c").agg(best.alias("m")).select((-F.col("m.x")).alias("a"), (-F.col("m.y")).alias("b")).distinct(), "neardup-tried")
+            last = (pairs, tried)
         needed = tried.select(F.col("a").alias("id")).unionByName(tried.select(F.col("b").alias("id"))).distinct()
         new = saved(confirmed(tried, sets.join(needed, "id", "left_semi")), "neardup-links")
         links = new if links is None else saved(links.unionByName(new), "neardup-links")
-        comps = saved(components(links), "neardup-components")
+        comps = components(links)
         pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    forget(*last)
     return links, comps
 
 
@@ -440,7 +451,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     twice = linked.join(classes, "digest").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     many = linked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("doc_id").alias("a"))
     links = saved(twice.join(many, "a", "left_semi").distinct(), "neardup-repeated")
-    links, comps = (None, None) if links.isEmpty() else (links, saved(components(links), "neardup-components"))
+    links, comps = (None, None) if links.isEmpty() else (links, components(links))
 
     ends = lambda p: p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id"))).distinct()
     links, comps = connect(pairs, sets_of(docs, ends(pairs)), links, comps, ROUNDS)
