@@ -43,7 +43,7 @@ VALUES, TREES, DEPTH, FURTHER = 128, 24, 4, 4
 FINE = 1024
 LEAST, LEAST_FINE = 0.58, 0.69
 #: Regions above this size get centres; rows in a side of a cell; rounds that confirm best pairs only.
-LARGE, SIDE, ROUNDS = 16, 1024, 2
+LARGE, SIDE, ROUNDS = 16, 1024, 1
 CACHE_WORDS = 300_000
 _MULTIPLY = np.random.default_rng(11).integers(1, 2**63, FINE, dtype=np.uint64) | np.uint64(1)
 _ADD = np.random.default_rng(12).integers(0, 2**63, FINE, dtype=np.uint64)
@@ -459,7 +459,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not doubtful.isEmpty():
         sets = sets_of(docs, doubtful)
         rest = open_pairs(places.join(doubtful, "id", "left_semi"), comps, fine_sketches(sets), LEAST_FINE)
-        links, comps = connect(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), sets, links, comps, 1)
+        links, comps = connect(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), sets, links, comps, 0)
     own = classes.select(F.col("digest").alias("of"), F.col("id").alias("rep"))
     if comps is not None:
         own = own.join(comps, own["rep"] == comps["id"], "left").select("of", F.coalesce("component", "rep").alias("rep"))
