@@ -117,7 +117,13 @@ GITHUB_META_EXTRA = {
 def _meta(pairs: list[tuple[str, Column]]) -> Column:
     """JSON object of the non-null pairs (``to_json`` omits null struct fields;
     no lambda, so it stays inside whole-stage codegen)."""
-    return F.to_json(F.struct(*[v.cast("string").alias(k) for k, v in pairs]))
+    return F.to_json(F.struct(*[v.alias(k) for k, v in pairs]))
+
+
+def _as_stored(path: str) -> Column:
+    """The payload's value as a variant, so numbers and booleans stay what they are; JSON null is NULL."""
+    v = F.try_variant_get(F.try_parse_json(F.col(P)), f"$.{path}", "variant")
+    return F.when(~F.is_variant_null(v), v)
 
 
 def _case(stream: Column, table: dict[str, Column], default: Column) -> Column:
@@ -167,9 +173,9 @@ def env_github(raw: DataFrame, observed_at: Column | None = None) -> DataFrame:
         repo = F.coalesce(F.when(s("org").isNotNull() & s("repo").isNotNull(),
                                  F.concat(s("org"), F.lit("/"), s("repo"))),
                           s("base.repo.full_name"), g("repo"))
-        pairs = [("stream", rs), ("repo", repo)] + [(k, g(k)) for k in GITHUB_META_COMMON]
-        pairs += [(k, _case(rs, {st: g(k) for st, ks in GITHUB_META_EXTRA.items() if k in ks},
-                            F.lit(None).cast("string"))) for k in extra_keys]
+        pairs = [("stream", rs), ("repo", repo)] + [(k, _as_stored(k)) for k in GITHUB_META_COMMON]
+        pairs += [(k, F.when(rs.isin([st for st, ks in GITHUB_META_EXTRA.items() if k in ks]), _as_stored(k)))
+                  for k in extra_keys]
         return _dp_cols(F.lit("github"), "event", name, F.lit("user"), login, occurred, source_key,
                         _meta(pairs), obs)
     return with_json(r, P, build)
@@ -205,18 +211,18 @@ def env_linear(raw: DataFrame, observed_at: Column | None = None) -> DataFrame:
                 F.when(rs == "issue_description_edits", _first_in_array("descriptionUpdatedBy")), person("actor")),
         }, F.lit(None)), F.lit("unknown"))
         meta = _case(rs, {
-            "issues": _meta([("stream", rs)] + [(k, g(k)) for k in
+            "issues": _meta([("stream", rs)] + [(k, _as_stored(k)) for k in
                              ["identifier", "title", "url", "priority", "estimate", "updatedAt"]]
                             + [("state", s("state.name")), ("state_type", s("state.type")), ("team", s("team.key")),
                                ("project_id", s("project.id")),
                                ("project_name", F.when(s("project.id").isNotNull(), s("project.name"))),
                                ("assignee_email", s("assignee.email"))]),
-            "comments": _meta([("stream", rs)] + [(k, g(k)) for k in
+            "comments": _meta([("stream", rs)] + [(k, _as_stored(k)) for k in
                                ["url", "issueId", "projectId", "parentId", "updatedAt", "editedAt"]]
                               + [("issue_id", s("issue.id")), ("issue_identifier", s("issue.identifier")),
                                  ("project_id", s("project.id")),
                                  ("project_name", F.when(s("project.id").isNotNull(), s("project.name")))]),
-            "projects": _meta([("stream", rs)] + [(k, g(k)) for k in
+            "projects": _meta([("stream", rs)] + [(k, _as_stored(k)) for k in
                                ["name", "url", "slugId", "priority", "progress", "health", "updatedAt",
                                 "targetDate", "startDate"]]
                               + [("status", s("status.name")), ("status_type", s("status.type"))]),
@@ -246,9 +252,9 @@ def env_copilot(raw: DataFrame, observed_at: Column | None = None) -> DataFrame:
         subject_type = F.when(user.isNotNull(), "user").otherwise("org")
         subject = F.coalesce(user, s("org"), F.lit("unknown"))
         key = F.concat(subject, F.lit(":"), F.date_format(start, "yyyy-MM-dd"))
-        rec = F.from_json(F.col(P), "map<string,string>")
+        rec = F.from_json(F.col(P), "map<string,variant>")
         rest = F.map_filter(rec, lambda k, v: ~k.isin(COPILOT_IDENTITY_FIELDS))
-        meta = F.to_json(F.when(s("org").isNotNull(), F.map_concat(rest, F.create_map(F.lit("org"), s("org"))))
+        meta = F.to_json(F.when(s("org").isNotNull(), F.map_concat(rest, F.create_map(F.lit("org"), s("org").cast("variant"))))
                          .otherwise(rest))
         return _dp_cols(F.lit("github_copilot"), "measurement", F.lit("copilot.usage"), subject_type, subject,
                         start, key, meta, obs, period_start=start, period_end=start + F.expr("INTERVAL 1 DAY"))
