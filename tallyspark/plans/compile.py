@@ -124,6 +124,16 @@ def _join_mappings(df: DataFrame, metric: Metric, mappings: dict | None) -> Data
     return df
 
 
+def input_rows(base: DataFrame, metric: Metric, *, tenants=None, mappings: dict | None = None,
+               tenant_params: DataFrame | None = None) -> DataFrame:
+    """Entity rows that an input of ``metric`` sees, with mapping labels and tenant parameters joined."""
+    if tenants is not None:                      # G21: pruned before anything else
+        base = base.where(F.col("tenant_id").isin(list(tenants)))
+    if tenant_params is not None:                # E18/G22/G23: enrollment + per-tenant params
+        base = base.join(tenant_params, "tenant_id", "inner")
+    return _join_mappings(base, metric, mappings)
+
+
 def metric_rows(metric: Metric, entities: dict[str, DataFrame], *, tenants=None,
                 mappings: dict | None = None, tenant_params: DataFrame | None = None) -> DataFrame:
     """Rows (tenant_id, _t, dim_*, _c<i>, _v<i>) for every input of ``metric``."""
@@ -133,12 +143,7 @@ def metric_rows(metric: Metric, entities: dict[str, DataFrame], *, tenants=None,
         groups.setdefault((op.entity, op.time_field), []).append(i)
     parts = []
     for (entity, time_field), idx in groups.items():
-        base = entities[entity]
-        if tenants is not None:                  # G21: pruned before anything else
-            base = base.where(F.col("tenant_id").isin(list(tenants)))
-        if tenant_params is not None:            # E18/G22/G23: enrollment + per-tenant params
-            base = base.join(tenant_params, "tenant_id", "inner")
-        base = _join_mappings(base, metric, mappings)
+        base = input_rows(entities[entity], metric, tenants=tenants, mappings=mappings, tenant_params=tenant_params)
         dims, excl = _dim_columns(metric, mappings)
         flags = []
         for i, (_, op, extra) in enumerate(ins):

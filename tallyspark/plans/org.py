@@ -127,16 +127,19 @@ def preview(metric: Metric, entities: dict, *, as_of, days: int = 90, row_limit:
 def stage_counts(metric: Metric, entities: dict, *, as_of, **kw) -> DataFrame:
     """Rows left after each stage, to find where rows vanish.
 
-    Entity-side stages are counted in one pass with conditional counts; the
-    output side counts rows per block of the computed metric.
+    Entity-side stages are counted in one pass with conditional counts, over the
+    rows and conditions that the metric itself uses (tenants, mappings, excluded
+    labels); the output side counts rows per block of the computed metric.
     """
     stages = []
+    scope = {k: kw.get(k) for k in ("tenants", "mappings", "tenant_params")}
+    excluded = CP._dim_columns(metric, scope["mappings"])[1]
     for name, op, extra in CP.inputs_of(metric):
-        base = entities[op.entity]
+        base = CP.input_rows(entities[op.entity], metric, **scope)
         conds = [("entity", F.lit(True))]
-        f = reduce(lambda a, b: a & b, [to_column(x) for x in list(op.filters) + list(extra)], F.lit(True))
+        f = reduce(lambda a, b: a & b, [to_column(x, base.schema) for x in list(op.filters) + list(extra)], F.lit(True))
         conds.append(("filtered", f))
-        conds.append((f"{name}_rows", CP._operand_cond(op, extra, [])))
+        conds.append((f"{name}_rows", CP._operand_cond(op, extra, excluded, base.schema)))
         agg = base.agg(*[F.count_if(c).alias(s) for s, c in conds])
         stages.append(agg.select(F.explode(F.array(*[
             F.struct(F.lit(f"{name}:{s}").alias("stage"), F.col(s).cast("bigint").alias("row_count"))

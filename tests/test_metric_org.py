@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.operators import serving as I
 from tallyspark.plans import org as G
 from tallyspark.plans.compile import compute_metric
-from tallyspark.plans.spec import Measure, Metric, Param, Window, bind_params, definition_version
+from tallyspark.plans.spec import MappedDim, Measure, Metric, Param, Window, bind_params, definition_version
 
 T = dt.datetime
 
@@ -75,6 +75,17 @@ def test_stage_counts_find_vanishing_rows(prs):
     assert got["value:entity"] == 4 and got["value:value_rows"] == 3 and got["final"] == 2
 
 
+def test_stage_counts_follow_excluded_labels_and_tenants(spark, prs):
+    m = MERGED.with_(dimensions=("squad",), mapped=(MappedDim("squad", "author_id", (("alice", "red"), ("carol", "blue"))),))
+    count = lambda **kw: {r.stage: r.row_count for r in G.stage_counts(m, {"pr": prs}, as_of="2026-07-01", **kw).collect()}
+    got = count()
+    assert (got["value:entity"], got["value:filtered"], got["value:value_rows"]) == (4, 4, 2)
+    got = count(tenants=["a"])
+    assert (got["value:entity"], got["value:value_rows"]) == (2, 1)
+    table = spark.createDataFrame([("bob", "green")], "from_value string, label string")
+    assert count(mappings={"squad": table})["value:value_rows"] == 1
+
+
 def test_ic_rows_only_callers_own(spark, prs):
     m = MERGED.with_(dimensions=("author_id",))
     vals = compute_metric(m, {"pr": prs}, as_of="2026-07-01")
