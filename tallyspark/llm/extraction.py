@@ -47,6 +47,9 @@ GOOD = ("article", "main")
 #: Blocks in which a link is part of a sentence.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 td th blockquote dd pre figcaption".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<[/!?][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*(?:>|\Z)""", re.S)
+#: Ends of elements whose content is no markup; within a script also what may hide an end.
+_RAW_END = {x: re.compile(rf"(?ai)</{x}(?=[ \t\r\n\f/>])[^>]*(?:>|\Z)") for x in RAW}
+_SCRIPT_PART = re.compile(r"(?ai)<!--|-->|<(/?)script(?=[ \t\r\n\f/>])")
 _CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: What one noise element takes from the sum at most, within an article and around it, and bounds of the weights of words and tags.
 NOISE, EDGE, WORD_BOUNDS, TAG_BOUNDS = -2.0, -30.0, (-3.0, 3.0), (-1.0, -0.02)
@@ -92,10 +95,29 @@ def _region(name: str, attrs: str, outer: str) -> str:
     return own or outer
 
 
+def _script_end(page: str, at: int) -> int | None:
+    """Where the end tag of a script whose content begins at ``at`` stands. A script named within a ``<!--`` hides
+    its own end tag, as in HTML; None if the page ends before that is undone."""
+    escaped = hides = False
+    while m := _SCRIPT_PART.search(page, at):
+        at = m.end()
+        if m.group() == "<!--":
+            escaped, at = True, at - 2  # <!--> is a whole one
+        elif m.group() == "-->":
+            escaped = hides = False
+        elif not m.group(1):
+            hides = escaped
+        elif hides:
+            hides = False
+        else:
+            return m.start()
+    return None
+
+
 def parse(page: str) -> list[tuple]:
     """Text runs ("", text, features, noise element) and tags (name, is block)."""
     out, stack, at = [], [("", "plain", 0)], 0
-    skip, n = None, 0
+    n, hidden = 0, True
 
     def text(s: str) -> None:
         if s:
@@ -103,12 +125,8 @@ def parse(page: str) -> list[tuple]:
             block = next((x for x in reversed(names) if x in BLOCK), "none")
             out.append(("", s, (("region", stack[-1][1]), ("block", block), ("link", f"{stack[-1][1]} {'text' if block in PROSE else 'list'}" if "a" in names else "none")), stack[-1][2]))
 
-    for m in _TAG.finditer(page):
+    while m := _TAG.search(page, at):
         name = (m.group(2) or "").lower()
-        if skip is not None:  # inside an element whose content is no markup
-            if name == skip and m.group(1):
-                skip, at = None, m.end()
-            continue
         text(page[at:m.start()])
         at = m.end()
         if not name:
@@ -119,7 +137,11 @@ def parse(page: str) -> list[tuple]:
                 del stack[place:]
         else:
             if name in RAW and not m.group(3).endswith("/"):
-                skip = name
+                end = _script_end(page, at) if name == "script" and hidden else at
+                if end is None:  # no later script has a hidden end either
+                    hidden, end = False, at
+                end = _RAW_END[name].search(page, end)
+                at = end.end() if end else len(page)
                 continue
             if name in BLOCK and stack[-1][0] == "p" or name == stack[-1][0] and name in ("li", "td", "th", "tr", "dd", "dt", "option"):
                 stack.pop()
@@ -128,8 +150,7 @@ def parse(page: str) -> list[tuple]:
                 n += 1
                 stack.append((name, region, n if region != stack[-1][1] else stack[-1][2]))
         out.append((name, name in BLOCK))
-    if skip is None:
-        text(page[at:])
+    text(page[at:])
     if any(not x[0] and x[2][0][1] in GOOD and x[1].strip() for x in out):  # the page names its article
         out = [x if x[0] or x[2][0][1] != "plain" else (*x[:2], (("region", "outside"), *x[2][1:]), x[3]) for x in out]
     return out

@@ -104,6 +104,16 @@ def test_extraction_cases(page, want):
     assert extraction.extract(page) == want
 
 
+@pytest.mark.parametrize("raw", [
+    "<script>for(i=0;i<n;i++){}</script>", "<script>a='<!--'</script>", "<SCRIPT>if(a<b)c()</sCript\n>", "<style>/* a<b */ </styled> x<y</style>", "<textarea>p<q</textarea/>",
+    "<noscript><img alt='></noscript>", "<script><!--\ndocument.write('<script src=x></script>words of a script');\n//--></script>", "<script><!--></script>",
+    "<script>a='<!--<script>'</script>", "<script>a='</scripted>'; b<c</script >",
+])
+def test_extraction_ends_raw_elements_at_their_own_tag(raw):
+    assert extraction.extract(f"<p>First words here.</p>{raw}<p>Second words here.</p>{raw}<p>Last words.</p>") == "First words here.\nSecond words here.\nLast words."
+    assert extraction.extract(f"{raw}<article><p>Body text here.</p></article>") == "Body text here."
+
+
 def test_extraction_of_labelled_pages_and_rows(spark, tmp_path):
     for page in extraction.LABELLED:
         parts = re.findall(r"\{\{(.*?)\}\}", page, re.S)
