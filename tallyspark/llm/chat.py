@@ -5,9 +5,12 @@ rendered and compared: what a longer prefix adds is the span of its last turn, a
 begin with the one before means that the template rewrites history. Two probe texts in the turn's place show
 where its text lies in the span, so the loss mask needs no knowledge of the template either.
 
-Rows are sorted by conversation and turn and streamed: a task holds the last ``context`` turns, not the
-conversation, so that one of any length passes through in bounded memory. From the ``context``-th turn on a
-prefix starts at the turn before, which suits templates that look back one turn.
+Rows are sorted by conversation and turn and streamed. The prefix that is rendered is the real one, from the
+first turn on, so a template may look back, number or rewrite as far as it likes; a task then holds the longest
+conversation, and rendering its prefixes grows with the square of its turns. A template whose ``looks_back``
+attribute is a number k declares that what a turn adds (or rewrites) is the same if only the k turns before it
+are given. Then a task holds at most the larger of ``context`` and k + 1 turns, and a conversation of any length
+passes through in bounded memory. ``turn_template`` looks back no turns.
 
 Defined cases: null text and null role are empty; turns go by number (null first), then role and text;
 repeated rows are turns of their own; a null conversation id is one conversation; an empty table gives only
@@ -40,6 +43,9 @@ def turn_template(messages: Messages) -> str:
     return "".join(BEGIN + _ROLE_CONTROL.sub(r"\\\g<0>", role) + COLON + _CONTROL.sub(r"\\\g<0>", text) + END + "\n" for role, text in messages)
 
 
+turn_template.looks_back = 0
+
+
 def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
@@ -48,8 +54,9 @@ class Renderer:
     """Spans of one conversation's turns, one turn at a time."""
 
     def __init__(self, template: Template, context: int = 16, frames: dict | None = None):
-        self.template, self.context = template, context
-        self.frames = {} if frames is None else frames  # (role before, role) -> text before and behind a turn's text
+        self.template, self.back = template, getattr(template, "looks_back", None)
+        self.context = None if self.back is None else max(context, self.back + 1)
+        self.frames = {} if frames is None else frames  # role -> text before and behind a turn's text, if it looks back no turns
         self.turns: Messages = []
         self.before, self.at = template([]), 0
         self.at = len(self.before)
@@ -74,16 +81,17 @@ class Renderer:
         piece, start = out[kept:], self.at - (len(self.before) - kept)
         body = (None, None)
         if not rewrites:
-            key = (self.turns[-1][0] if self.turns else None, role)
-            if not self._fits(piece, self.frames.get(key)):
-                self.frames[key] = self._frame(role)
-            frame = self.frames[key]
+            frame = self.frames.get(role)
+            if not self._fits(piece, frame):
+                frame = self._frame(role)
+                if self.back == 0:  # else other turns before could give another one that fits by chance
+                    self.frames[role] = frame
             if self._fits(piece, frame):
                 body = (start + len(frame[0]), start + len(piece) - len(frame[1]))
         self.turns.append((role, text))
         self.before, self.at = out, start + len(piece)
-        if len(self.turns) >= self.context:
-            self.turns = self.turns[-1:]
+        if self.context is not None and len(self.turns) >= self.context:
+            self.turns = self.turns[len(self.turns) - self.back:]
             self.before = self.template(self.turns)
         return piece, start, start + len(piece), *body, rewrites
 

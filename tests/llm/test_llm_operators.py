@@ -477,6 +477,51 @@ def test_chat_detects_rewritten_history():
     assert flags == [False, False, True, False]
 
 
+@pytest.mark.parametrize("name", ["numbered", "late_first"])
+def test_chat_renders_the_real_prefix(spark, name):
+    def numbered(ms):  # the first turn's text goes into the last user turn, and turns are numbered from the first
+        last = max((i for i, (role, _) in enumerate(ms) if role == "user"), default=None)
+        return "<s>" + "".join(f"[{i}{a} of {len(ms[0][1])}]{ms[0][1] + '/' if i == last else ''}{b}#{i}" for i, (a, b) in enumerate(ms))
+
+    def late_first(ms):  # numbers without an end, a first-turn rule
+        return "".join((f"{ms[0][1]}>" if a == "user" else "") + f"{b}{i}" for i, (a, b) in enumerate(ms))
+
+    template = {"numbered": numbered, "late_first": late_first}[name]
+    rows = [(c, t, "user" if t % 2 else "assistant", f"first {c}" if not t else f"text {t % 3}" * (t % 4)) for c in range(5) for t in range(40 + c)]
+    rows += [(9, 0, "system", ""), (9, 1, "user", "x"), (10, 0, "system", "be kind"), (10, 1, "user", "x")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {(r.conv_id, r.turn_no): r for r in chat.format_conversations(d, template).collect()}
+    for c in {x[0] for x in rows}:
+        turns, before = [x[2:] for x in rows if x[0] == c], template([])
+        for t, (role, own) in enumerate(turns):
+            out, r = template(turns[:t + 1]), got[c, t]
+            kept = next((i for i, (x, y) in enumerate(zip(out, before)) if x != y), min(len(out), len(before)))
+            assert (r.start, r.end, r.rewrites) == (0 if not t else kept, len(out), not out.startswith(before)) and r.piece == out[r.start:]
+            if r.text_start is not None:
+                assert out[r.text_start:r.text_end] == own
+            elif t:
+                assert r.rewrites
+            before = out
+
+
+def test_chat_shortens_the_prefix_where_declared():
+    def paired(ms):
+        return "".join(f"[{ms[i - 1][0] if i else ''}>{a}]{b}" for i, (a, b) in enumerate(ms))
+    paired.looks_back = 1
+    for template, most in ((chat.turn_template, 16), (paired, 16)):
+        seen = []
+        def counted(ms):
+            seen.append(len(ms))
+            return template(ms)
+        counted.looks_back = template.looks_back
+        turns = [("user" if t % 3 else "assistant", f"text {t}") for t in range(50)]
+        r = chat.Renderer(counted)
+        got = [r.add(*x) for x in turns]
+        out = template(turns)
+        assert "".join(x[0] for x in got) == out and max(seen) <= most
+        assert [out[x[3]:x[4]] for x in got] == [x[1] for x in turns]
+
+
 def test_conversations(spark, tmp_path):
     rng = random.Random(2)
     rows = [(c, t, rng.choice(["user", "assistant"]), rng.choice([None, "", "x", "hello ### </turn> \\"])) for c in range(20) for t in range(rng.choice([1, 2, 60]))]
