@@ -5,7 +5,8 @@ it stands in, its block, whether it is a link) and a tag scores below zero by it
 come from labelled pages. One linear scan finds the contiguous stretch with the largest sum, which is then
 grown over neighbouring blocks as long as no unwanted word is met; runs inside it whose surroundings score
 below zero (an advert between two paragraphs) are left out. A noise element costs a bounded amount, so that
-a long sidebar in the middle does not cut an article in two. Where a page names its article, text in no
+a long sidebar in the middle does not cut an article in two; one that stands within a named article costs
+little with all its tags, so that a menu under the title does not cut off the title. Where a page names its article, text in no
 named region counts as outside of it.
 
 Defined cases: null, empty or text-free html gives the empty text; unclosed tags, comments and scripts run to
@@ -53,7 +54,7 @@ _SCRIPT_PART = re.compile(r"(?ai)<!--|-->|<(/?)script(?=[ \t\r\n\f/>])")
 _CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: What one noise element takes from the sum at most, within an article and around it, and bounds of the weights of words and tags.
 NOISE, EDGE, WORD_BOUNDS, TAG_BOUNDS = -2.0, -30.0, (-3.0, 3.0), (-1.0, -0.02)
-#: Regions that stand around an article and never within one; they take up to EDGE, others up to NOISE.
+#: Regions that mostly stand around an article; they take up to EDGE there, and up to NOISE within one, as others do.
 AROUND = ("head", "header", "menu", "footer", "comment")
 
 #: Labelled pages, written for this purpose: what stands between {{ and }} is the main text.
@@ -115,7 +116,8 @@ def _script_end(page: str, at: int) -> int | None:
 
 
 def parse(page: str) -> list[tuple]:
-    """Text runs ("", text, features, noise element) and tags (name, is block)."""
+    """Text runs ("", text, features, element) and tags (name, is block, element). The element is the one that
+    the region comes from; below zero, it is noise that stands within an article, with all it holds."""
     out, stack, at = [], [("", "plain", 0)], 0
     n, hidden = 0, True
 
@@ -146,10 +148,13 @@ def parse(page: str) -> list[tuple]:
             if name in BLOCK and stack[-1][0] == "p" or name == stack[-1][0] and name in ("li", "td", "th", "tr", "dd", "dt", "option"):
                 stack.pop()
             if name not in VOID and not m.group(3).endswith("/"):
-                region = _region(name, m.group(3), stack[-1][1])
+                _, outer, element = stack[-1]
+                region = _region(name, m.group(3), outer)
                 n += 1
-                stack.append((name, region, n if region != stack[-1][1] else stack[-1][2]))
-        out.append((name, name in BLOCK))
+                if region != outer and element >= 0:
+                    element = -n if outer in GOOD and region not in GOOD else n
+                stack.append((name, region, element))
+        out.append((name, name in BLOCK, stack[-1][2]))
     text(page[at:])
     if any(not x[0] and x[2][0][1] in GOOD and x[1].strip() for x in out):  # the page names its article
         out = [x if x[0] or x[2][0][1] != "plain" else (*x[:2], (("region", "outside"), *x[2][1:]), x[3]) for x in out]
@@ -203,15 +208,12 @@ def extract(page: str | None) -> str:
     tag = learned()[1]
     score, low = [], {}
     for x in items:
-        if x[0]:
-            score.append(tag.get(x[0], -0.1))
-            continue
-        k = len(x[1].split())
-        s = k * _word_weight(x[2]) if k else 0.0
-        if s < 0:  # of one noise element no more than NOISE
-            left = low.get(x[3], EDGE if x[2][0][1] in AROUND else NOISE)
+        element, k = x[-1], 0 if x[0] else len(x[1].split())
+        s = tag.get(x[0], -0.1) if x[0] else k * _word_weight(x[2]) if k else 0.0
+        if s < 0 and (element < 0 or not x[0]):  # of one noise element no more than NOISE
+            left = low.get(element, EDGE if element >= 0 and x[2][0][1] in AROUND else NOISE)
             s = max(s, left)
-            low[x[3]] = left - s
+            low[element] = left - s
         score.append(s)
     best, lo, hi, run, start = 0.0, 0, 0, 0.0, 0
     for i, s in enumerate(score):

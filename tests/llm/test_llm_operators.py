@@ -114,6 +114,17 @@ def test_extraction_ends_raw_elements_at_their_own_tag(raw):
     assert extraction.extract(f"{raw}<article><p>Body text here.</p></article>") == "Body text here."
 
 
+@pytest.mark.parametrize("menu", [
+    "<nav>One Two Three Four Five Six Seven Eight Nine Ten Eleven Twelve</nav>", "<nav><ul>" + "<li><a href=#a>Part of it</a></li>" * 30 + "</ul></nav>",
+    "<div class=toc><div class=menu>" + "<p><a href=#a>Part of it</a></p>" * 30 + "</div></div>", "<div class=breadcrumbs>" + "<a href=/>Up</a> &gt; " * 20 + "</div>",
+])
+@pytest.mark.parametrize("kind", ["main", "article"])
+def test_extraction_keeps_what_stands_beside_a_menu_in_the_article(menu, kind):
+    body = "<p>The text of this page is a few sentences long and stands behind its menu.</p>"
+    want = "Short title\nThe text of this page is a few sentences long and stands behind its menu.\nThe closing line."
+    assert extraction.extract(f"<nav>{'<a href=/>Site menu</a> ' * 9}</nav><{kind}><h1>Short title</h1>{menu}{body}{menu}<p>The closing line.</p></{kind}><footer>All rights reserved</footer>") == want
+
+
 def test_extraction_of_labelled_pages_and_rows(spark, tmp_path):
     for page in extraction.LABELLED:
         parts = re.findall(r"\{\{(.*?)\}\}", page, re.S)
