@@ -7,13 +7,15 @@ with real lengths, longest first; lengths left over go, longest first, where the
 The plan is a table of runs over (length, rank); each piece finds its place by its rank among the pieces of
 its length, counted in salted groups, so that one length may hold any share of all rows.
 
-Defined cases: null or empty text is the one id 1; longer texts than a sequence are cut; null, equal or
+Defined cases: null or empty text is the one id 1; the tokenizer's special tokens, as written, are their own ids
+within a text, as is its default; longer texts than a sequence are cut; null, equal or
 repeated ids are packed row by row; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from functools import cache
@@ -41,7 +43,10 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True
+        self.t.encode_special_tokens = True  # runs are folded, and what is a special token only then is none
+        special = {x.content: i for i, x in self.t.get_added_tokens_decoder().items() if x.special}
+        self.marks = re.compile("(" + ("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or r"(?!)") + ")")
+        self.special = {" " + x: np.array([i], "<u4").tobytes() for x, i in special.items()}  # no run holds a blank
         vocab = self.t.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a piece
         for token, i in vocab.items():
@@ -67,11 +72,22 @@ class _Words:
                 self.new[w] = raw[at:end]
                 at = end
 
+    def runs(self, text: str) -> list[str]:
+        """The runs of a text, and its special tokens with a blank before them."""
+        out = []
+        for k, x in enumerate(self.marks.split(text)):
+            if k % 2:
+                out.append(" " + x)
+            else:
+                out += (x.lower() if x.isascii() else x).replace("\n", " ").split(" ")
+        return out
+
     def learn(self, words: set[str]) -> None:
         """Make ``new`` hold all of ``words``; a mark behind a letter is always a piece of its own."""
         if len(self.new) > CACHE_WORDS:
             self.new, self.old = {}, self.new
         new, old = self.new, self.old
+        new.update(self.special)
         missing = [w for w in words if w not in new]
         for w in missing:
             if w in old:
@@ -95,6 +111,7 @@ def packed_ids(texts: list[str], path: str) -> list[bytes]:
 
     The tokenizer drops white space and never joins across it, so each run between blanks and line ends is
     tokenized once and looked up afterwards; ASCII runs are looked up in lower case, as the tokenizer folds them.
+    Special tokens are cut out before that, as the tokenizer finds them in the text as written.
     """
     words, out, lo = _words(path), [], 0
     while lo < len(texts):
@@ -102,7 +119,7 @@ def packed_ids(texts: list[str], path: str) -> list[bytes]:
         while hi < len(texts) and (hi == lo or n + len(texts[hi]) <= BATCH_CHARS):
             n += len(texts[hi])
             hi += 1
-        runs = [(x.lower() if x.isascii() else x).replace("\n", " ").split(" ") for x in texts[lo:hi]]
+        runs = [words.runs(x) for x in texts[lo:hi]]
         words.learn(set().union(*runs))
         get = words.new.__getitem__
         out += [b"".join(map(get, r)) for r in runs]

@@ -268,6 +268,18 @@ def test_ids_equal_the_tokenizer():
     assert packing.packed_ids(xs, path) == want
 
 
+def test_ids_of_special_tokens_equal_the_untouched_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, rng = Tokenizer.from_file(path), random.Random(5)
+    odd = [*ODD, "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|End", "oftext|>", "<|", "|>"]
+    xs = ["<|endoftext|>", "a<|endoftext|>b <|EndOfText|>", "it's<|startoftext|><|endoftext|>.\n", "<|endof<|endoftext|>text|>"]
+    xs += ["".join(rng.choice(odd) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(xs, add_special_tokens=False)]
+    assert packing.packed_ids(xs, path) == want and 49407 in np.frombuffer(want[0], "<u4")
+
+
 def test_packing_of_documents(spark, tmp_path):
     import zlib
 
