@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL twins."""
 
-from tallyspark.llm import chat, extraction, fingerprint, language, mixing, neardup, packing, search, secrets, warc
+from tallyspark.llm import chat, extraction, fingerprint, language, mixing, neardup, packing, phrases, ranking, search, secrets, warc
 
 QUERIES = {
     "op1_language_id": language.query,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_secret_scans": secrets.query,
     "op9_chat_formatting": chat.query,
     "op10_source_mixing": mixing.query,
+    "op11_ranked_search": ranking.query,
+    "op13_phrase_mining": phrases.query,
 }
 
-ORACLE: dict[str, str] = {"op6_exact_topk": search.SQL}
+ORACLE: dict[str, str] = {"op6_exact_topk": search.SQL, "op11_ranked_search": ranking.SQL, "op13_phrase_mining": phrases.SQL}
