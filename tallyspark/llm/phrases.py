@@ -11,9 +11,11 @@ An active subphrase is known to the tasks by the number of the scan before which
 scans, and are still counted over one full cycle each, so counts are exact whatever the table's load; phrases that
 became active without need are dropped by their count. The table is all that a task gets, and of fixed size.
 
-Words are cut out of whole Arrow batches with array functions. A phrase is known by 128 bits of hash until the counts
-are final; the texts of the phrases that reached the threshold are then read in one more scan. Tasks count before they
-send; counts are kept by hash bucket, so a phrase holding a third of all rows is one entry per task.
+Words are cut out of whole Arrow batches with array functions. A phrase is known by 96 bits of hash until the counts
+are final; the texts of the phrases that reached the threshold are then read in one more scan. Each entry keeps the
+``kind`` (16 bits of a hash) of one document that holds the phrase, and only documents of that kind send its text, so a
+phrase that stands everywhere is not sent by every task. Tasks count before they send; counts are kept by length, first scan and hash bucket, so a phrase holding a third of all rows is one entry per
+task, and counts whose cycle is complete are not moved again.
 
 Defined cases: null and empty texts hold no words; a null lang is ``und`` (and counts with documents that say so);
 rows are documents of their own, also when repeated; phrases never cross pieces or documents; fewer than ``top``
@@ -25,16 +27,19 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import forget, new_path, saved, short_batches, tidy
 
-#: Shards of a cycle; cells of an activation table; entries that a task holds before it sends; text bytes of a bucket.
-SHARDS, CELLS, HELD, BUCKET_BYTES = 3, 1 << 22, 1 << 21, 1 << 23
+#: Shards of a cycle; cells of an activation table; places that a task holds before it sends; text bytes of a bucket, and
+#: those that are cut into words at a time (more only for a text that is longer).
+SHARDS, CELLS, HELD, BUCKET_BYTES, SLICE_BYTES = 2, 1 << 22, 1 << 19, 1 << 23, 1 << 18
 #: Words of the longest phrase, smallest count (fixed values of the query).
 LONGEST, LEAST, TOP = 3, 10, 2000
 NEVER = 255
@@ -53,21 +58,30 @@ _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _A
-    x = (x ^ (x >> np.uint64(27))) * _B
-    return x ^ (x >> np.uint64(31))
+    """Scatter the bits of a fresh array, in place."""
+    for shift, by in ((32, _A), (29, _B)):
+        x ^= x >> np.uint64(shift)
+        x *= by
+    x ^= x >> np.uint64(32)
+    return x
 
 
+@lru_cache(maxsize=4)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
-    out[:1] = 1
+    out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
+def _first_powers(base: int, n: int) -> np.ndarray:
+    """The first n powers, cut from a kept array, longer only for a longer text."""
+    return _powers(base, 1 << max(20, (n - 1).bit_length()))[:n]
+
+
 class Words:
     """The words of a batch of texts: places in the lower-cased bytes, neighbours in the same piece, hashes of phrases."""
 
-    def __init__(self, texts: pa.Array, langs: list[str | None]):
+    def __init__(self, texts: pa.Array, langs: list[str | None], kinds: np.ndarray):
         texts = pa.concat_arrays([texts.cast(pa.binary()).fill_null(b"")])
         edge = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
         raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edge[0] : edge[-1]] if len(texts) else np.zeros(0, np.uint8)
@@ -92,19 +106,24 @@ class Words:
         self.names = sorted({"und" if x is None else x for x in langs})
         at = {x: i for i, x in enumerate(self.names)}
         self.lang = np.array([at["und" if x is None else x] for x in langs], np.int64)[doc]
-        self._hash()
-
-    def _hash(self) -> None:
-        seeds = np.array([np.frombuffer(hashlib.blake2b(x.encode(), digest_size=16).digest(), np.uint64) for x in self.names], np.uint64).reshape(-1, 2)
-        size = (self.end - self.start).astype(np.uint64)
-        self.ids = [[], []]
-        for h in range(2):
-            sums = np.append(np.uint64(0), np.cumsum(_RANDOM[h][self.low] * _powers(_BASE[h], len(self.low)), dtype=np.uint64))
-            word = _mix((sums[self.end] - sums[self.start]) * _powers(_INVERSE[h], len(self.low) + 1)[self.start] + size * _A)
-            x = seeds[self.lang, h]
-            for k in range(LONGEST):
-                x = _mix(x * _B + (np.append(word[k:], np.zeros(min(k, len(word)), np.uint64))) + np.uint64(k))
-                self.ids[h].append(x)
+        self.kind = kinds[doc]
+        self._seeds = np.array([np.frombuffer(hashlib.blake2b(x.encode(), digest_size=16).digest(), np.uint64) for x in self.names], np.uint64).reshape(-1, 2)
+        self._single: dict[int, np.ndarray] = {}
+
+    def _words(self, h: int) -> np.ndarray:
+        """Hash h of every word."""
+        if h not in self._single:
+            n = len(self.low)
+            sums = np.append(np.uint64(0), np.cumsum(_RANDOM[h][self.low] * _first_powers(_BASE[h], n), dtype=np.uint64))
+            self._single[h] = _mix((sums[self.end] - sums[self.start]) * _first_powers(_INVERSE[h], n + 1)[self.start] + (self.end - self.start).astype(np.uint64) * _A)
+        return self._single[h]
+
+    def ids(self, h: int, k: int, at: np.ndarray) -> np.ndarray:
+        """Hash h of the lang and the phrase of k+1 words at each place."""
+        word, x = self._words(h), self._seeds[self.lang[at], h]
+        for j in range(k + 1):
+            x = _mix(x * _B + word[at + j])
+        return x
 
     def phrase(self, i: np.ndarray, k: int) -> pa.Array:
         """The phrases of k words at i, one space between words."""
@@ -122,73 +141,110 @@ class Words:
         return pa.Array.from_buffers(pa.large_binary(), len(i), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary()).cast(pa.string())
 
 
+def word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
+    """The words of bounded runs of rows."""
+    for batch in batches:
+        texts, langs = batch.column("text"), batch.column("lang").to_pylist()
+        kinds = batch.column("kind").to_numpy().astype(np.uint16)
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = [0, *(np.flatnonzero(np.diff(size // SLICE_BYTES)) + 1).tolist(), len(langs)]
+        for a, z in zip(cuts, cuts[1:]):
+            if z > a:
+                yield Words(texts.slice(a, z - a), langs[a:z], kinds[a:z])
+
+
 def cell(ids: np.ndarray) -> np.ndarray:
     return (ids >> np.uint64(32)) & np.uint64(CELLS - 1)
 
 
+def spots(a: np.ndarray, b: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two cells of a phrase in a document of this kind."""
+    kind = kind.astype(np.uint64)
+    return cell(_mix(a + kind * _B)), cell(_mix((b.astype(np.uint64) << np.uint64(16)) ^ kind))
+
+
 def starts(words: Words, k: int, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Places of phrases of k+1 words, and the scan at which each becomes active."""
     at = np.flatnonzero(words.next_to[k])
     if not k:
         return at, np.zeros(len(at), np.uint8)
-    known = tables[k - 1][cell(words.ids[0][k - 1])]
+    known = np.full(len(words.start), NEVER, np.uint8)
+    shorter = np.flatnonzero(words.next_to[k - 1])
+    known[shorter] = tables[k - 1][cell(words.ids(0, k - 1, shorter))]
     return at, np.maximum(known[at], known[at + 1])
 
 
 def merged(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct ids (two halves) with summed counts, and the place of one of each."""
-    order = np.argsort(a, kind="stable")
-    new = np.diff(a[order], prepend=np.uint64(0)) != 0
-    if len(new):
-        new[0] = True
-    if ((np.diff(b[order], prepend=np.uint64(0)) != 0) & ~new).any():
+    """Distinct ids (two parts) with summed counts, and the place of one of each."""
+    if not len(a):
+        return a, b, n, np.zeros(0, np.int64)
+    order = np.argsort(a)
+    sa, sb = a[order], b[order]
+    new = np.append(True, sa[1:] != sa[:-1])
+    if (~new[1:] & (sb[1:] != sb[:-1])).any():
         order = np.lexsort((b, a))
-        new = (np.diff(a[order], prepend=np.uint64(0)) != 0) | (np.diff(b[order], prepend=np.uint64(0)) != 0)
-        new[0] = True
+        sa, sb = a[order], b[order]
+        new = np.append(True, (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1]))
     at = np.flatnonzero(new)
-    sums = np.add.reduceat(n[order], at) if len(at) else n[:0]
-    one = order[at]
-    return a[one], b[one], sums, one
+    return sa[at], sb[at], np.add.reduceat(n[order], at), order[at]
+
+
+#: ``a`` and ``b`` are the two parts of the ids, phrases that occur once first; ``n`` has the counts of the others.
+COUNTS = "len int, since int, bucket int, a binary, b binary, kind binary, n binary"
+_TYPES = [pa.int32()] * 3 + [pa.binary()] * 5
+ROWS = 16
 
 
-COUNTS = "len int, bucket int, a binary, b binary, n binary"
+def _packed(a: np.ndarray, b: np.ndarray, kind: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+    order = np.argsort(n > 1, kind="stable")
+    return a[order].tobytes(), b[order].tobytes(), kind[order].tobytes(), n[n > 1].tobytes()
 
 
-def _sent(held: list[list], k: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    a, b, n, _ = merged(*(np.concatenate(x) for x in held))
+def _unpacked(a: list[bytes], b: list[bytes], kind: list[bytes], n: list[bytes]) -> tuple[np.ndarray, ...]:
+    counts = [np.ones(len(x) // 8, np.int64) for x in a]
+    for c, y in zip(counts, n):
+        c[len(c) - len(y) // 8 :] = np.frombuffer(y, np.int64)
+    joined = (np.frombuffer(b"".join(x), t) for x, t in ((a, np.uint64), (b, np.uint32), (kind, np.uint16)))
+    return *joined, np.concatenate([*counts, np.zeros(0, np.int64)])
+
+
+def _sent(held: list[list], k: int, since: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    a, b, kind = (np.concatenate(x) for x in held)
+    a, b, n, one = merged(a, b, np.ones(len(a), np.int64))
+    kind = kind[one]
     part = (a % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     cuts = np.searchsorted(part[order], np.arange(buckets + 1))
-    rows = [(k + 1, i, a[o].tobytes(), b[o].tobytes(), n[o].tobytes()) for i in range(buckets) if len(o := order[cuts[i] : cuts[i + 1]])]
-    types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[x.split()[0] for x in COUNTS.split(", ")])
+    rows = [(k + 1, since, i, *_packed(a[o], b[o], kind[o], n[o])) for i in range(buckets) if len(o := order[cuts[i] : cuts[i + 1]])]
+    for i in range(0, len(rows), ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + ROWS]), _TYPES)], names=[x.split()[0] for x in COUNTS.split(", ")])
 
 
 def count_shard(docs: DataFrame, scan: int, shards: int, tables: list[bytes], lengths: list[int], buckets: int) -> DataFrame:
-    """Counts of the phrases that are active in this scan, by length and bucket."""
+    """Counts of the phrases that are active in this scan, by length, first scan and bucket."""
 
     def run(batches):
         known = [np.frombuffer(zlib.decompress(t), np.uint8) for t in tables]
-        held = {k: [[], [], []] for k in lengths}
-        size = dict.fromkeys(lengths, 0)
-        for batch in batches:
-            w = Words(batch.column("text"), batch.column("lang").to_pylist())
+        held: dict[tuple[int, int], list[list]] = {}
+        size: dict[tuple[int, int], int] = {}
+        for w in word_batches(batches):
             for k in lengths:
-                at, since = starts(w, k, known)
-                at = at[(since <= scan) & (scan < since.astype(np.int64) + shards)]
-                a, b, n, _ = merged(w.ids[0][k][at], w.ids[1][k][at], np.ones(len(at), np.int64))
-                for x, y in zip(held[k], (a, b, n)):
-                    x.append(y)
-                size[k] += len(a)
-                if size[k] >= HELD:
-                    yield from _sent(held[k], k, buckets)
-                    held[k], size[k] = [[], [], []], 0
-        for k in lengths:
-            if size[k]:
-                yield from _sent(held[k], k, buckets)
-
-    return docs.select("text", "lang").mapInArrow(run, COUNTS)
+                at, first = starts(w, k, known)
+                for since in range(max(0, scan - shards + 1), scan + 1):
+                    own = at[first == since]
+                    if not len(own):
+                        continue
+                    a, b = w.ids(0, k, own), (w.ids(1, k, own) >> np.uint64(32)).astype(np.uint32)
+                    for x, y in zip(held.setdefault((k, since), [[], [], []]), (a, b, w.kind[own])):
+                        x.append(y)
+                    size[k, since] = size.get((k, since), 0) + len(own)
+                    if size[k, since] >= HELD:
+                        yield from _sent(held.pop((k, since)), k, since, buckets)
+                        del size[k, since]
+        for key, x in held.items():
+            yield from _sent(x, *key, buckets)
+
+    return docs.select("text", "lang", "kind").mapInArrow(run, COUNTS)
 
 
 STATE = COUNTS + ", reached binary"
@@ -197,19 +253,14 @@ STATE = COUNTS + ", reached binary"
 def _joined(least: int):
     """Counts so far plus new ones; ``reached``: cells of the phrases that reached the threshold just now."""
 
-    def numbers(t: pa.Table) -> list[np.ndarray]:
-        return [np.frombuffer(b"".join(t[c].to_pylist()), d) for c, d in (("a", np.uint64), ("b", np.uint64), ("n", np.int64))]
-
     def run(old: pa.Table, new: pa.Table) -> pa.Table:
-        before, after = numbers(old), numbers(new)
-        a, b, n, _ = merged(*(np.concatenate(x) for x in zip(before, after)))
-        was = np.zeros(len(a), bool)
-        was[np.flatnonzero(np.isin(a, before[0][before[2] >= least]))] = True
-        cells = np.unique(cell(a[(n >= least) & ~was])).astype(np.uint32)
+        before, after = (_unpacked(*(t[c].to_pylist() for c in ("a", "b", "kind", "n"))) for t in (old, new))
+        a, b, kind, n = (np.concatenate(x) for x in zip(before, after))
+        a, b, n, one = merged(a, b, n)
+        cells = np.setdiff1d(cell(a[n >= least]), cell(before[0][before[3] >= least])).astype(np.uint32)
         head = (old if len(old) else new).slice(0, 1)
-        row = [head["len"].to_pylist(), head["bucket"].to_pylist(), [a.tobytes()], [b.tobytes()], [n.tobytes()], [cells.tobytes()]]
-        types = [pa.int32(), pa.int32()] + [pa.binary()] * 4
-        return pa.table([pa.array(v, t) for v, t in zip(row, types)], names=[x.split()[0] for x in STATE.split(", ")])
+        row = [*(head[c].to_pylist() for c in ("len", "since", "bucket")), *([x] for x in _packed(a, b, kind[one], n)), [cells.tobytes()]]
+        return pa.table([pa.array(v, t) for v, t in zip(row, _TYPES)], names=[x.split()[0] for x in STATE.split(", ")])
 
     return run
 
@@ -222,7 +273,7 @@ def _reached(state: DataFrame, length: int) -> np.ndarray:
             for x in b.column("reached").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.uint32).astype(np.int32))], names=["cell"])
 
-    found = state.where(F.col("len") == length).select("reached").mapInArrow(run, "cell int").distinct()
+    found = state.where(F.col("len") == length).select("reached").where(F.length("reached") > 0).mapInArrow(run, "cell int").distinct()
     return found.toArrow()["cell"].to_numpy()
 
 
@@ -231,85 +282,110 @@ def count_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS) ->
     spark = docs.sparkSession
     short_batches(spark)
     path = new_path(spark, "phrases-shards")
-    d = docs.select("text", "lang", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(shards)), F.lit(0)).cast("int").alias("shard"))
+    kind = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 48).cast("int")
+    d = docs.select("text", "lang", kind.alias("kind"), F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(shards)), F.lit(0)).cast("int").alias("shard"))
     with tidy(spark):
         d.write.partitionBy("shard").parquet(path)
-    parts = spark.read.schema("text string, lang string, shard int").parquet(path)
+    parts = spark.read.schema("text string, lang string, kind int, shard int").parquet(path)
+    parts._saved_path = path
     size = parts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
     tables = [np.full(CELLS, NEVER, np.uint8) for _ in range(LONGEST)]
-    state: dict[int, DataFrame] = {}
+    schema = spark.createDataFrame([], COUNTS).schema
+    state: dict[tuple[int, int], DataFrame] = {}  # by length and first scan
     active = {0: {0}, **{k: set() for k in range(1, LONGEST)}}  # by length, the scans at which phrases became active
+    kept_in: dict[tuple[int, int], str] = {}
+    written: list[DataFrame] = []
     scan = 0
     while any(scan < s + shards for a in active.values() for s in a):
-        lengths = [k for k, a in active.items() if any(s <= scan < s + shards for s in a)]
+        now = [(k, s) for k, a in active.items() for s in sorted(a) if s <= scan < s + shards]
+        lengths = sorted({k for k, _ in now})
         sent = [zlib.compress(t.tobytes(), 1) for t in tables]
         new = count_shard(parts.where(F.col("shard") == scan % shards), scan, shards, sent, lengths, buckets)
-        old = [state[k] for k in lengths if k in state]
-        so_far = spark.createDataFrame([], COUNTS)
-        for x in old:
-            so_far = so_far.unionByName(x.drop("reached"))
-        both = so_far.groupBy("len", "bucket").cogroup(new.groupBy("len", "bucket")).applyInArrow(_joined(least), STATE)
-        now = saved(both, "phrases-counts")
+        so_far = spark.createDataFrame([], schema)
+        for x in now:
+            if x in state:
+                so_far = so_far.unionByName(state[x].drop("reached"))
+        keys = ("len", "since", "bucket")
+        made = so_far.groupBy(*keys).cogroup(new.groupBy(*keys)).applyInArrow(_joined(least), STATE)
+        path = new_path(spark, "phrases-counts")
+        with tidy(spark):
+            made.write.partitionBy("len", "since").parquet(path)
+        counted = spark.read.schema(made.schema).parquet(path)
+        counted._saved_path = path
+        written.append(counted)
+        for k, since in now:
+            state[k, since] = counted.where((F.col("len") == k + 1) & (F.col("since") == since)).select(*made.columns)
+            kept_in[k, since] = path
+        forget(*(x for x in written if x._saved_path not in kept_in.values()))
+        written = [x for x in written if x._saved_path in kept_in.values()]
         for k in lengths:
-            state[k] = now.where(F.col("len") == k + 1)
-            state[k]._saved_path = now._saved_path
-            cells = _reached(now, k + 1)
+            cells = _reached(counted, k + 1)
             cells = cells[tables[k][cells] == NEVER]
             if len(cells):
                 tables[k][cells] = scan + 1
-                for longer in range(k + 1, min(k + 2, LONGEST)):
-                    active[longer].add(scan + 1)
-        live = {x._saved_path for x in state.values()}
-        forget(*{x._saved_path: x for x in old if x._saved_path not in live}.values())
+                if k + 1 < LONGEST:
+                    active[k + 1].add(scan + 1)
         scan += 1
     return _named(parts, state, [zlib.compress(t.tobytes(), 1) for t in tables], least)
 
 
-def _named(parts: DataFrame, state: dict[int, DataFrame], tables: list[bytes], least: int) -> tuple[DataFrame, DataFrame]:
+def _named(parts: DataFrame, state: dict[tuple[int, int], DataFrame], tables: list[bytes], least: int) -> tuple[DataFrame, DataFrame]:
     """Texts of the phrases that reached the threshold, in one more scan; words of each lang."""
 
     def run(batches):
         known = [np.frombuffer(zlib.decompress(t), np.uint8) for t in tables]
-        done: list[list] = [[] for _ in range(LONGEST)]  # ids sent by this task
-        for batch in batches:
-            w = Words(batch.column("text"), batch.column("lang").to_pylist())
+        sends = [np.frombuffer(zlib.decompress(x), bool).reshape(LONGEST, CELLS) for x in marked]
+        sent = np.zeros((LONGEST, CELLS), np.uint32)  # by cell, the second part of the id sent last by this task
+        for w in word_batches(batches):
             names = np.array(w.names, object)
-            n = np.bincount(w.lang, minlength=len(names)) if len(w.lang) else np.zeros(len(names), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(names), np.int32)), pa.array(n.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(names, pa.string()), pa.nulls(len(names), pa.string())], names=["len", "a", "b", "lang", "phrase"])
+            n = np.bincount(w.lang, minlength=len(names)).astype(np.int64)
+            zero = np.zeros(len(names), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32)), pa.array(zero), pa.array(zero), pa.array(names, pa.string()), pa.nulls(len(names), pa.string()), pa.array(n)], names=fields)
             for k in range(LONGEST):
                 at = np.flatnonzero(w.next_to[k])
-                at = at[known[k][cell(w.ids[0][k][at])] != NEVER]
-                a, b, _, one = merged(w.ids[0][k][at], w.ids[1][k][at], np.ones(len(at), np.int64))
-                fresh = ~np.isin(a, done[k]) if len(done[k]) else np.ones(len(a), bool)
-                done[k] = np.concatenate([done[k], a[fresh]]) if len(done[k]) else a[fresh]
-                if len(done[k]) > HELD:
-                    done[k] = []
-                a, b, at = a[fresh], b[fresh], at[one[fresh]]
+                a = w.ids(0, k, at)
+                keep = known[k][cell(a)] != NEVER
+                a, at = a[keep], at[keep]
+                b = (w.ids(1, k, at) >> np.uint64(32)).astype(np.uint32)
+                one, two = spots(a, b, w.kind[at])
+                keep = sends[0][k][one] & sends[1][k][two] & (sent[k][cell(a)] != b)
+                a, b, _, one = merged(a[keep], b[keep], np.ones(keep.sum(), np.int64))
+                at = at[keep][one]
+                sent[k][cell(a)] = b
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), k + 1, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(names[w.lang[at]], pa.string()), w.phrase(at, k + 1)], names=["len", "a", "b", "lang", "phrase"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), k + 1, np.int32)), pa.array(a.view(np.int64)), pa.array(b.astype(np.int64)), pa.array(names[w.lang[at]], pa.string()), w.phrase(at, k + 1), pa.array(np.zeros(len(a), np.int64))], names=fields)
 
     def frequent(batches):
         for batch in batches:
-            for k, *x in zip(*(batch.column(c).to_pylist() for c in ("len", "a", "b", "n"))):
-                a, b, n = (np.frombuffer(v, np.int64) for v in x)
-                keep = n >= least
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(keep.sum(), k, np.int32)), pa.array(a[keep]), pa.array(b[keep]), pa.array(n[keep])], names=["len", "a", "b", "f"])
-
-    found = saved(parts.select("text", "lang").mapInArrow(run, "len int, a long, b long, lang string, phrase string"), "phrases-names")
-    totals = found.where("len = 0").groupBy("lang").agg(F.sum("a").alias("n")).where("n > 0")
-    names = found.where("len > 0").groupBy("len", "a", "b").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
+            for k, *x in zip(*(batch.column(c).to_pylist() for c in ("len", "a", "b", "kind", "n"))):
+                a, b, kind, n = _unpacked(*([v] for v in x))
+                a, b, kind, n = (v[n >= least] for v in (a, b, kind, n))
+                marks = (pa.array((s + np.uint64((k - 1) * CELLS)).astype(np.int32)) for s in spots(a, b, kind))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), k, np.int32)), pa.array(a.view(np.int64)), pa.array(b.astype(np.int64)), pa.array(n), *marks], names=["len", "a", "b", "f", "mark0", "mark1"])
+
     counts = None
     for x in state.values():
-        c = x.drop("reached").mapInArrow(frequent, "len int, a long, b long, f long")
+        c = x.drop("reached").mapInArrow(frequent, "len int, a long, b long, f long, mark0 int, mark1 int")
         counts = c if counts is None else counts.unionByName(c)
-    return names.join(counts, ["len", "a", "b"]).select("lang", "phrase", F.col("len").alias("words"), "f"), totals
+    counts = saved(counts, "phrases-frequent")
+    marked = []
+    for i in range(2):  # at most LONGEST * CELLS numbers
+        table = np.zeros(LONGEST * CELLS, bool)
+        table[counts.select(f"mark{i}").distinct().toArrow()[0].to_numpy()] = True
+        marked.append(zlib.compress(table.tobytes(), 1))
+    schema = "len int, a long, b long, lang string, phrase string, n long"
+    fields = [x.split()[0] for x in schema.split(", ")]
+    found = parts.select("text", "lang", "kind").mapInArrow(run, schema).groupBy("len", "a", "b", "lang", "phrase").agg(F.sum("n").alias("n"))
+    found = saved(found.join(counts.select("len", "a", "b", "f"), ["len", "a", "b"], "left").where("len = 0 OR f IS NOT NULL"), "phrases-names")
+    forget(parts, counts)
+    totals = found.where("len = 0 AND n > 0").select("lang", "n")
+    return found.where("len > 0").select("lang", "phrase", F.col("len").alias("words"), "f"), totals
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, shards: int = SHARDS) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the ``top`` phrases of each lang."""
-    counted, totals = count_phrases(docs, least, shards)
-    f = saved(counted, "phrases-frequent")
+    f, totals = count_phrases(docs, least, shards)
     part = F.split("phrase", " ")
     cuts = F.transform(F.sequence(F.lit(1), F.col("words") - 1), lambda k: F.struct(
         k.alias("k"), F.array_join(F.slice(part, F.lit(1), k), " ").alias("left"),
