@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL twins."""
 
-from tallyspark.llm import chat, extraction, fingerprint, language, mixing, neardup, packing, phrases, ranking, search, secrets, warc
+from tallyspark.llm import chat, extraction, fingerprint, language, mixing, neardup, packing, phrases, ranking, search, secrets, suffixes, warc
 
 QUERIES = {
     "op1_language_id": language.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_chat_formatting": chat.query,
     "op10_source_mixing": mixing.query,
     "op11_ranked_search": ranking.query,
+    "op12_suffix_dedup": suffixes.query,
     "op13_phrase_mining": phrases.query,
 }
 
