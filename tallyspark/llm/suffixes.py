@@ -4,7 +4,8 @@ A byte goes if a string of ``SPAN`` bytes that covers it also starts in a docume
 
 Which places can matter is settled first, by content. Of the ``GRAM``-byte strings in each window of SPAN bytes the one
 with the least hash is the window's anchor, so equal windows have equal anchors at the same offset. An anchor's context
-is all that the windows through it can hold. Contexts go by anchor to buckets, one entry per chunk of texts: equal
+is all that the windows through it can hold. Anchors that only one document holds are done (short hashes go out, bits
+come back). Contexts of the others go by anchor to buckets, one entry per chunk of texts: equal
 contexts are equal windows, of which all but those of the smallest document go at once (copies, however many, collapse
 here), and anchors that have one context only are done. What is left are the places where an anchor stands in different
 contexts; the windows there, in the smallest document of each context, are the text that is suffix-sorted.
@@ -43,10 +44,10 @@ from tallyspark.llm.phrases import _BASE, _INVERSE, _RANDOM, _first_powers, _mix
 SPAN, GRAM = 50, 36
 CHOICE = SPAN - GRAM + 1
 #: Text bytes of a chunk (more only for a longer text) and of a bucket; bytes of a triple of words; period of the cover.
-CHUNK_BYTES, BUCKET_BYTES = 1 << 20, 1 << 23
+CHUNK_BYTES, BUCKET_BYTES = 1 << 19, 1 << 23
 TRIPLE, COVER = 24, 3
 #: Chunks and keys of each that range bounds are taken from.
-SAMPLE_CHUNKS, SAMPLE_KEYS = 512, 32
+SAMPLE_CHUNKS, SAMPLE_KEYS = 64, 256
 NO_ID = np.iinfo(np.int64).max
 _L, _R = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -114,8 +115,9 @@ class Chunk:
             least = np.minimum(least[:-step], least[step:])
             width += step
         chosen = (least[self.start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        #: place: the anchors, ascending; owner: of each window, the number of its anchor.
-        self.place, self.owner = np.unique(chosen, return_inverse=True)
+        #: place: the anchors, ascending (a later window never has an earlier one); owner: of each window, the number of its anchor.
+        new = np.append(True, chosen[1:] != chosen[:-1])
+        self.place, self.owner = chosen[new], np.cumsum(new) - 1
         self.doc = np.searchsorted(self.ends, self.place, "right")
         low = np.maximum(self.place - CHOICE + 1, (self.ends - self.sizes)[self.doc])
         high = np.minimum(self.place + SPAN, self.ends[self.doc])
@@ -141,30 +143,88 @@ def _long(base: int, offset: bytes, n: int) -> np.ndarray:
     return np.frombuffer(offset, np.uint32 if len(offset) == 4 * n else np.uint64).astype(np.uint64).view(np.int64) + base
 
 
-ASKED = "bucket int, chunk long, base long, anchor binary, context binary, id binary"
+#: The chunk's distinct anchors of a bucket, 4 bytes each, ascending; whether all its documents are one, and which.
+SEEN = "bucket int, chunk long, anchors binary, ids binary"
+
+
+def _buckets(anchor: np.ndarray, buckets: int) -> list[np.ndarray]:
+    """Places of the anchors of each bucket."""
+    part = (anchor % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return np.split(order, np.cumsum(np.bincount(part, minlength=buckets))[:-1])
+
+
+def _short_anchor(anchor: np.ndarray, buckets: int) -> np.ndarray:
+    return (anchor // np.uint64(buckets)).astype(np.uint32)
 
 
-def ask(table: DataFrame, buckets: int) -> DataFrame:
-    """By bucket and chunk: the chunk's distinct contexts and the smallest document of each."""
+def _lone(c: Chunk, at: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct short anchors at these places, and whether the chunk has two documents with one."""
+    short, id = _short_anchor(c.anchor[at], buckets), c.id[at]
+    order = np.argsort(short, kind="stable")
+    first = np.append(True, short[order][1:] != short[order][:-1])
+    cut = np.flatnonzero(first)
+    return short[order][first], np.minimum.reduceat(id[order], cut) != np.maximum.reduceat(id[order], cut)
+
+
+def see(table: DataFrame, buckets: int) -> DataFrame:
+    """Which anchors each chunk holds; ``ids`` has a bit for each that two of its documents hold."""
 
     def run(batches):
         for b in batches:
             for chunk, *parts in zip(*(b.column(c).to_pylist() for c in _fields(CHUNKS))):
                 c = Chunk(*parts)
-                if not len(c.place):
-                    continue
-                order = np.lexsort((c.id, c.context))
-                order = order[np.append(True, np.diff(c.context[order]) != 0)]
-                part = (c.anchor[order] % np.uint64(buckets)).astype(np.int64)
-                order = order[np.argsort(part, kind="stable")]
-                cuts = np.append(0, np.cumsum(np.bincount(part, minlength=buckets)))
-                base, offset = _short(c.id[order])
-                rows = [(i, chunk, base, c.anchor[order[x:y]].tobytes(), c.context[order[x:y]].tobytes(), offset[x:y].tobytes())
-                        for i, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
+                rows = []
+                for i, at in enumerate(_buckets(c.anchor, buckets)):
+                    if len(at):
+                        short, twice = _lone(c, at, buckets)
+                        rows.append((i, chunk, short.tobytes(), np.packbits(twice).tobytes()))
                 for k in range(0, len(rows), 64):
-                    yield _batch(ASKED, *zip(*rows[k : k + 64]))
+                    yield _batch(SEEN, *zip(*rows[k : k + 64]))
+
+    return table.mapInArrow(run, SEEN)
+
+
+def _share(seen: pa.Table) -> pa.Table:
+    """For a bucket, by chunk: a bit for each anchor that chunk sent, set if another document holds it too."""
+    bucket, chunk, anchors, ids = (seen[c].to_pylist() for c in _fields(SEEN))
+    parts = [np.frombuffer(x, np.uint32) for x in anchors]
+    every = np.concatenate(parts)
+    twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(ids, parts)]).astype(bool)
+    order = np.argsort(every)
+    new = every[order][1:] != every[order][:-1]
+    shared = np.zeros(len(every), bool)
+    shared[order] = ~(np.append(True, new) & np.append(new, True))
+    shared |= twice
+    edges = np.cumsum([0, *map(len, parts)])
+    return pa.Table.from_batches([_batch(SEEN, bucket, chunk, [b""] * len(chunk), [np.packbits(shared[x:y]).tobytes() for x, y in zip(edges, edges[1:])])])
 
-    return table.mapInArrow(run, ASKED)
+
+ASKED = "bucket int, chunk long, base long, anchor binary, context binary, id binary"
+
+
+def _ask(buckets: int):
+    """By bucket, for the chunk's shared anchors: distinct contexts and the smallest document of each."""
+
+    def run(table: pa.Table, shared: pa.Table) -> pa.Table:
+        rows = []
+        bits = dict(zip(shared["bucket"].to_pylist(), shared["ids"].to_pylist()))
+        for chunk, *parts in zip(*(table[c].to_pylist() for c in _fields(CHUNKS))):
+            c = Chunk(*parts)
+            for i, at in enumerate(_buckets(c.anchor, buckets)):
+                if not len(at):
+                    continue
+                short = _short_anchor(c.anchor[at], buckets)
+                known, number = np.unique(short, return_inverse=True)
+                at = at[np.unpackbits(np.frombuffer(bits[i], np.uint8), count=len(known)).astype(bool)[number]]
+                order = at[np.lexsort((c.id[at], c.context[at]))]
+                if len(order):
+                    order = order[np.append(True, np.diff(c.context[order]) != 0)]
+                    base, offset = _short(c.id[order])
+                    rows.append((i, chunk, base, c.anchor[order].tobytes(), c.context[order].tobytes(), offset.tobytes()))
+        return pa.Table.from_batches([_batch(ASKED, *(zip(*rows) if rows else [[]] * 6))])
+
+    return run
 
 
 #: ``places`` is used for windows that the sort found to go.
@@ -268,13 +328,13 @@ class Runs:
     def pairs(self) -> np.ndarray:
         """The recursion: the names of neighbours in the string of names."""
         name = np.zeros(len(self.data), np.uint64)
-        name[self.named] = self.names[np.unique(self.triples(), return_inverse=True)[1]]
+        name[self.named] = self.names
         return _text(np.hstack([_bytes_of(name[self.ranked]), _bytes_of(name[self.ranked + TRIPLE])]))
 
     def merges(self) -> tuple[np.ndarray, np.ndarray]:
         """Keys of all three merges, and the window of each."""
         rank = np.zeros(len(self.data), np.uint64)
-        rank[self.ranked] = self.ranks[np.unique(self.pairs(), return_inverse=True)[1]]
+        rank[self.ranked] = self.ranks
         keys, windows = [], []
         for classes, shift in (((0, 1), 1), ((0, 2), 2), ((1, 2), 0)):
             own = np.flatnonzero(np.isin(self.kind, classes))
@@ -365,11 +425,17 @@ def _answer(back: pa.Table, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(back["value"].to_pylist()), kind)
 
 
-def _with_names(column: str):
+def _with_names(step: str, column: str):
+    """Regions with the name of each place of ``step``; those of the step before are no longer needed."""
+
     def run(regions: pa.Table, back: pa.Table) -> pa.Table:
-        at = _fields(REGIONS).index(column)
-        value = _answer(back, np.uint64).tobytes()
-        return regions.set_column(at, column, pa.array([value] * len(regions), pa.binary())) if len(regions) else regions
+        if not len(regions):
+            return regions
+        (_, runs), = _each(regions)
+        value = _answer(back, np.uint64)[np.unique(getattr(runs, step)(), return_inverse=True)[1]].tobytes()
+        for name in ("names", "ranks"):
+            regions = regions.set_column(_fields(REGIONS).index(name), name, pa.array([value if name == column else b""], pa.binary()))
+        return regions
 
     return run
 
@@ -397,7 +463,7 @@ def suffix_sort(regions: DataFrame, buckets: int) -> DataFrame:
 
     for name, column in (("triples", "names"), ("pairs", "ranks")):
         back = step(regions, name)
-        named = saved(regions.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_with_names(column), REGIONS), "suffixes-regions")
+        named = saved(regions.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_with_names(name, column), REGIONS), "suffixes-regions")
         forget(regions, back)
         regions = named
     back = step(regions, "merges")
@@ -438,7 +504,10 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     table = saved(chunks(docs), "suffixes-chunks")
     size = table.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     buckets = max(8, spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
-    told = saved(ask(table, buckets).groupBy("bucket").applyInArrow(_tell, TOLD), "suffixes-contexts")
+    shared = saved(see(table, buckets).groupBy("bucket").applyInArrow(_share, SEEN), "suffixes-anchors")
+    asked = table.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_ask(buckets), ASKED)
+    told = saved(asked.groupBy("bucket").applyInArrow(_tell, TOLD), "suffixes-contexts")
+    forget(shared)
     regions = saved(table.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_regions, REGIONS), "suffixes-regions")
     places = suffix_sort(regions, buckets)
     out = table.groupBy("chunk").cogroup(told.unionByName(places).groupBy("chunk")).applyInArrow(_cut(texts), KEPT)
