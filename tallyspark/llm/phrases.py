@@ -153,14 +153,14 @@ def word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
                 yield Words(texts.slice(a, z - a), langs[a:z], kinds[a:z])
 
 
-def cell(ids: np.ndarray) -> np.ndarray:
-    return (ids >> np.uint64(32)) & np.uint64(CELLS - 1)
+def cell(ids: np.ndarray, cells: int) -> np.ndarray:
+    return (ids >> np.uint64(32)) & np.uint64(cells - 1)
 
 
-def spots(a: np.ndarray, b: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spots(a: np.ndarray, b: np.ndarray, kind: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
     """Two cells of a phrase in a document of this kind."""
     kind = kind.astype(np.uint64)
-    return cell(_mix(a + kind * _B)), cell(_mix((b.astype(np.uint64) << np.uint64(16)) ^ kind))
+    return cell(_mix(a + kind * _B), cells), cell(_mix((b.astype(np.uint64) << np.uint64(16)) ^ kind), cells)
 
 
 def starts(words: Words, k: int, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +170,7 @@ def starts(words: Words, k: int, tables: list[np.ndarray]) -> tuple[np.ndarray,
         return at, np.zeros(len(at), np.uint8)
     known = np.full(len(words.start), NEVER, np.uint8)
     shorter = np.flatnonzero(words.next_to[k - 1])
-    known[shorter] = tables[k - 1][cell(words.ids(0, k - 1, shorter))]
+    known[shorter] = tables[k - 1][cell(words.ids(0, k - 1, shorter), len(tables[k - 1]))]
     return at, np.maximum(known[at], known[at + 1])
 
 
@@ -250,16 +250,16 @@ def count_shard(docs: DataFrame, scan: int, shards: int, tables: list[bytes], le
 STATE = COUNTS + ", reached binary"
 
 
-def _joined(least: int):
+def _joined(least: int, cells: int):
     """Counts so far plus new ones; ``reached``: cells of the phrases that reached the threshold just now."""
 
     def run(old: pa.Table, new: pa.Table) -> pa.Table:
         before, after = (_unpacked(*(t[c].to_pylist() for c in ("a", "b", "kind", "n"))) for t in (old, new))
         a, b, kind, n = (np.concatenate(x) for x in zip(before, after))
         a, b, n, one = merged(a, b, n)
-        cells = np.setdiff1d(cell(a[n >= least]), cell(before[0][before[3] >= least])).astype(np.uint32)
+        reached = np.setdiff1d(cell(a[n >= least], cells), cell(before[0][before[3] >= least], cells)).astype(np.uint32)
         head = (old if len(old) else new).slice(0, 1)
-        row = [*(head[c].to_pylist() for c in ("len", "since", "bucket")), *([x] for x in _packed(a, b, kind[one], n)), [cells.tobytes()]]
+        row = [*(head[c].to_pylist() for c in ("len", "since", "bucket")), *([x] for x in _packed(a, b, kind[one], n)), [reached.tobytes()]]
         return pa.table([pa.array(v, t) for v, t in zip(row, _TYPES)], names=[x.split()[0] for x in STATE.split(", ")])
 
     return run
@@ -277,7 +277,7 @@ def _reached(state: DataFrame, length: int) -> np.ndarray:
     return found.toArrow()["cell"].to_numpy()
 
 
-def count_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
+def count_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, words, f`` of all phrases of up to three words that occur ``least`` times in their lang, and ``lang, n``."""
     spark = docs.sparkSession
     short_batches(spark)
@@ -290,7 +290,7 @@ def count_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS) ->
     parts._saved_path = path
     size = parts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
-    tables = [np.full(CELLS, NEVER, np.uint8) for _ in range(LONGEST)]
+    tables = [np.full(cells, NEVER, np.uint8) for _ in range(LONGEST)]
     schema = spark.createDataFrame([], COUNTS).schema
     state: dict[tuple[int, int], DataFrame] = {}  # by length and first scan
     active = {0: {0}, **{k: set() for k in range(1, LONGEST)}}  # by length, the scans at which phrases became active
@@ -307,7 +307,7 @@ def count_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS) ->
             if x in state:
                 so_far = so_far.unionByName(state[x].drop("reached"))
         keys = ("len", "since", "bucket")
-        made = so_far.groupBy(*keys).cogroup(new.groupBy(*keys)).applyInArrow(_joined(least), STATE)
+        made = so_far.groupBy(*keys).cogroup(new.groupBy(*keys)).applyInArrow(_joined(least, cells), STATE)
         path = new_path(spark, "phrases-counts")
         with tidy(spark):
             made.write.partitionBy("len", "since").parquet(path)
@@ -320,23 +320,23 @@ def count_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS) ->
         forget(*(x for x in written if x._saved_path not in kept_in.values()))
         written = [x for x in written if x._saved_path in kept_in.values()]
         for k in lengths:
-            cells = _reached(counted, k + 1)
-            cells = cells[tables[k][cells] == NEVER]
-            if len(cells):
-                tables[k][cells] = scan + 1
+            reached = _reached(counted, k + 1)
+            reached = reached[tables[k][reached] == NEVER]
+            if len(reached):
+                tables[k][reached] = scan + 1
                 if k + 1 < LONGEST:
                     active[k + 1].add(scan + 1)
         scan += 1
-    return _named(parts, state, [zlib.compress(t.tobytes(), 1) for t in tables], least)
+    return _named(parts, state, [zlib.compress(t.tobytes(), 1) for t in tables], least, cells)
 
 
-def _named(parts: DataFrame, state: dict[tuple[int, int], DataFrame], tables: list[bytes], least: int) -> tuple[DataFrame, DataFrame]:
+def _named(parts: DataFrame, state: dict[tuple[int, int], DataFrame], tables: list[bytes], least: int, cells: int) -> tuple[DataFrame, DataFrame]:
     """Texts of the phrases that reached the threshold, in one more scan; words of each lang."""
 
     def run(batches):
         known = [np.frombuffer(zlib.decompress(t), np.uint8) for t in tables]
-        sends = [np.frombuffer(zlib.decompress(x), bool).reshape(LONGEST, CELLS) for x in marked]
-        sent = np.zeros((LONGEST, CELLS), np.uint32)  # by cell, the second part of the id sent last by this task
+        sends = [np.frombuffer(zlib.decompress(x), bool).reshape(LONGEST, cells) for x in marked]
+        sent = np.zeros((LONGEST, cells), np.uint32)  # by cell, the second part of the id sent last by this task
         for w in word_batches(batches):
             names = np.array(w.names, object)
             n = np.bincount(w.lang, minlength=len(names)).astype(np.int64)
@@ -345,14 +345,14 @@ def _named(parts: DataFrame, state: dict[tuple[int, int], DataFrame], tables: li
             for k in range(LONGEST):
                 at = np.flatnonzero(w.next_to[k])
                 a = w.ids(0, k, at)
-                keep = known[k][cell(a)] != NEVER
+                keep = known[k][cell(a, cells)] != NEVER
                 a, at = a[keep], at[keep]
                 b = (w.ids(1, k, at) >> np.uint64(32)).astype(np.uint32)
-                one, two = spots(a, b, w.kind[at])
-                keep = sends[0][k][one] & sends[1][k][two] & (sent[k][cell(a)] != b)
+                one, two = spots(a, b, w.kind[at], cells)
+                keep = sends[0][k][one] & sends[1][k][two] & (sent[k][cell(a, cells)] != b)
                 a, b, _, one = merged(a[keep], b[keep], np.ones(keep.sum(), np.int64))
                 at = at[keep][one]
-                sent[k][cell(a)] = b
+                sent[k][cell(a, cells)] = b
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), k + 1, np.int32)), pa.array(a.view(np.int64)), pa.array(b.astype(np.int64)), pa.array(names[w.lang[at]], pa.string()), w.phrase(at, k + 1), pa.array(np.zeros(len(a), np.int64))], names=fields)
 
@@ -361,7 +361,7 @@ def _named(parts: DataFrame, state: dict[tuple[int, int], DataFrame], tables: li
             for k, *x in zip(*(batch.column(c).to_pylist() for c in ("len", "a", "b", "kind", "n"))):
                 a, b, kind, n = _unpacked(*([v] for v in x))
                 a, b, kind, n = (v[n >= least] for v in (a, b, kind, n))
-                marks = (pa.array((s + np.uint64((k - 1) * CELLS)).astype(np.int32)) for s in spots(a, b, kind))
+                marks = (pa.array((s + np.uint64((k - 1) * cells)).astype(np.int32)) for s in spots(a, b, kind, cells))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), k, np.int32)), pa.array(a.view(np.int64)), pa.array(b.astype(np.int64)), pa.array(n), *marks], names=["len", "a", "b", "f", "mark0", "mark1"])
 
     counts = None
@@ -370,8 +370,8 @@ def _named(parts: DataFrame, state: dict[tuple[int, int], DataFrame], tables: li
         counts = c if counts is None else counts.unionByName(c)
     counts = saved(counts, "phrases-frequent")
     marked = []
-    for i in range(2):  # at most LONGEST * CELLS numbers
-        table = np.zeros(LONGEST * CELLS, bool)
+    for i in range(2):  # at most LONGEST * cells numbers
+        table = np.zeros(LONGEST * cells, bool)
         table[counts.select(f"mark{i}").distinct().toArrow()[0].to_numpy()] = True
         marked.append(zlib.compress(table.tobytes(), 1))
     schema = "len int, a long, b long, lang string, phrase string, n long"
@@ -383,9 +383,9 @@ def _named(parts: DataFrame, state: dict[tuple[int, int], DataFrame], tables: li
     return found.where("len > 0").select("lang", "phrase", F.col("len").alias("words"), "f"), totals
 
 
-def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, shards: int = SHARDS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, shards: int = SHARDS, cells: int = CELLS) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the ``top`` phrases of each lang."""
-    f, totals = count_phrases(docs, least, shards)
+    f, totals = count_phrases(docs, least, shards, cells)
     part = F.split("phrase", " ")
     cuts = F.transform(F.sequence(F.lit(1), F.col("words") - 1), lambda k: F.struct(
         k.alias("k"), F.array_join(F.slice(part, F.lit(1), k), " ").alias("left"),

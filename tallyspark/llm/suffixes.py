@@ -64,7 +64,7 @@ def _batch(schema: str, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(cols, parts)], names=[n for n, _ in parts])
 
 
-def chunks(docs: DataFrame) -> DataFrame:
+def chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Texts put together to chunks of bounded size."""
     short_batches(docs.sparkSession)
 
@@ -79,7 +79,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                 ids.append(NO_ID if i is None else i)
                 texts.append(t or b"")
                 size += len(texts[-1])
-                if size >= CHUNK_BYTES or len(ids) >= CHUNK_BYTES // 64:
+                if size >= chunk_bytes or len(ids) >= max(1, chunk_bytes // 64):
                     yield cut()
                     chunk, ids, texts, size = chunk + 1, [], [], 0
         if ids:
@@ -147,24 +147,17 @@ def _long(base: int, offset: bytes, n: int) -> np.ndarray:
 SEEN = "bucket int, chunk long, anchors binary, ids binary"
 
 
-def _buckets(anchor: np.ndarray, buckets: int) -> list[np.ndarray]:
-    """Places of the anchors of each bucket."""
-    part = (anchor % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    return np.split(order, np.cumsum(np.bincount(part, minlength=buckets))[:-1])
+def _dealt(anchor: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and short anchor as one number."""
+    n = np.uint64(buckets)
+    return ((anchor % n) << np.uint64(32)) | ((anchor // n) & np.uint64(0xFFFFFFFF))
 
 
-def _short_anchor(anchor: np.ndarray, buckets: int) -> np.ndarray:
-    return (anchor // np.uint64(buckets)).astype(np.uint32)
-
-
-def _lone(c: Chunk, at: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct short anchors at these places, and whether the chunk has two documents with one."""
-    short, id = _short_anchor(c.anchor[at], buckets), c.id[at]
-    order = np.argsort(short, kind="stable")
-    first = np.append(True, short[order][1:] != short[order][:-1])
-    cut = np.flatnonzero(first)
-    return short[order][first], np.minimum.reduceat(id[order], cut) != np.maximum.reduceat(id[order], cut)
+def _runs(dealt: np.ndarray) -> list[tuple[int, int, int]]:
+    """Bucket, begin and end of its part of ascending numbers."""
+    part = (dealt >> np.uint64(32)).astype(np.int64)
+    edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist() if len(part) else []
+    return [(int(part[x]), x, y) for x, y in zip(edges, [*edges[1:], len(part)])]
 
 
 def see(table: DataFrame, buckets: int) -> DataFrame:
@@ -174,11 +167,13 @@ def see(table: DataFrame, buckets: int) -> DataFrame:
         for b in batches:
             for chunk, *parts in zip(*(b.column(c).to_pylist() for c in _fields(CHUNKS))):
                 c = Chunk(*parts)
-                rows = []
-                for i, at in enumerate(_buckets(c.anchor, buckets)):
-                    if len(at):
-                        short, twice = _lone(c, at, buckets)
-                        rows.append((i, chunk, short.tobytes(), np.packbits(twice).tobytes()))
+                dealt = _dealt(c.anchor, buckets)
+                order = np.argsort(dealt)
+                dealt, id = dealt[order], c.id[order]
+                cut = np.flatnonzero(np.append(True, dealt[1:] != dealt[:-1])) if len(dealt) else order
+                twice = np.minimum.reduceat(id, cut) != np.maximum.reduceat(id, cut) if len(cut) else np.zeros(0, bool)
+                short = dealt[cut].astype(np.uint32)
+                rows = [(i, chunk, short[x:y].tobytes(), np.packbits(twice[x:y]).tobytes()) for i, x, y in _runs(dealt[cut])]
                 for k in range(0, len(rows), 64):
                     yield _batch(SEEN, *zip(*rows[k : k + 64]))
 
@@ -211,17 +206,18 @@ def _ask(buckets: int):
         bits = dict(zip(shared["bucket"].to_pylist(), shared["ids"].to_pylist()))
         for chunk, *parts in zip(*(table[c].to_pylist() for c in _fields(CHUNKS))):
             c = Chunk(*parts)
-            for i, at in enumerate(_buckets(c.anchor, buckets)):
-                if not len(at):
-                    continue
-                short = _short_anchor(c.anchor[at], buckets)
-                known, number = np.unique(short, return_inverse=True)
-                at = at[np.unpackbits(np.frombuffer(bits[i], np.uint8), count=len(known)).astype(bool)[number]]
-                order = at[np.lexsort((c.id[at], c.context[at]))]
-                if len(order):
-                    order = order[np.append(True, np.diff(c.context[order]) != 0)]
-                    base, offset = _short(c.id[order])
-                    rows.append((i, chunk, base, c.anchor[order].tobytes(), c.context[order].tobytes(), offset.tobytes()))
+            dealt = _dealt(c.anchor, buckets)
+            known, number = np.unique(dealt, return_inverse=True)
+            use = [np.unpackbits(np.frombuffer(bits[i], np.uint8), count=y - x) for i, x, y in _runs(known)]
+            at = np.flatnonzero(np.concatenate(use).astype(bool)[number]) if use else number
+            order = at[np.lexsort((c.id[at], c.context[at], dealt[at] >> np.uint64(32)))]
+            if not len(order):
+                continue
+            order = order[np.append(True, np.diff(c.context[order]) != 0)]
+            for i, x, y in _runs(dealt[order]):
+                own = order[x:y]
+                base, offset = _short(c.id[own])
+                rows.append((i, chunk, base, c.anchor[own].tobytes(), c.context[own].tobytes(), offset.tobytes()))
         return pa.Table.from_batches([_batch(ASKED, *(zip(*rows) if rows else [[]] * 6))])
 
     return run
@@ -498,10 +494,10 @@ def _cut(texts: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, texts: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row; ``kept`` has the remaining bytes if ``texts``."""
     spark = docs.sparkSession
-    table = saved(chunks(docs), "suffixes-chunks")
+    table = saved(chunks(docs, chunk_bytes), "suffixes-chunks")
     size = table.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     buckets = max(8, spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
     shared = saved(see(table, buckets).groupBy("bucket").applyInArrow(_share, SEEN), "suffixes-anchors")
