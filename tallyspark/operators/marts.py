@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.pgcompat import utc_date
+from tallyspark.operators.ranks import percentiles
 
 
 def scope(df: DataFrame, tenants=None) -> DataFrame:
@@ -64,15 +65,10 @@ def mart_pr_cycle_time(prs: DataFrame, tenants=None) -> DataFrame:
     m = scope(prs, tenants).where(
         F.col("merged_at").isNotNull() & F.col("cycle_time_hours").isNotNull()
         & (F.col("cycle_time_hours") >= 0))
-    pct = F.percentile(F.col("cycle_time_hours"), F.array(F.lit(0.5), F.lit(0.9)))
-    agg = (m.groupBy("tenant_id", utc_date(F.col("merged_at")).alias("activity_date"))
-           .agg(F.count(F.lit(1)).cast("int").alias("prs_merged"),
-                pct.alias("_p"),
-                F.avg("cycle_time_hours").cast("double").alias("avg_cycle_time_hours")))
-    return agg.select("tenant_id", "activity_date", "prs_merged",
-                      F.col("_p")[0].alias("median_cycle_time_hours"),
-                      "avg_cycle_time_hours",
-                      F.col("_p")[1].alias("p90_cycle_time_hours"))
+    day = m.select("tenant_id", utc_date(F.col("merged_at")).alias("activity_date"), "cycle_time_hours")
+    return percentiles(day, ["tenant_id", "activity_date"], "cycle_time_hours", [0.5, 0.9]).select(
+        "tenant_id", "activity_date", F.col("n").cast("int").alias("prs_merged"),
+        F.col("p0").alias("median_cycle_time_hours"), F.col("mean").alias("avg_cycle_time_hours"), F.col("p1").alias("p90_cycle_time_hours"))
 
 
 def mart_review_latency(prs: DataFrame, reviews: DataFrame, tenants=None) -> DataFrame:
@@ -92,9 +88,9 @@ def mart_review_latency(prs: DataFrame, reviews: DataFrame, tenants=None) -> Dat
     hours = ((F.unix_micros("first_review_at") - F.unix_micros("created_at")) / F.lit(3.6e9))
     fr = fr.select("tenant_id", "first_review_at", hours.alias("h")).where(
         F.col("first_review_at").isNotNull() & F.col("h").isNotNull() & (F.col("h") >= 0))
-    first_daily = (fr.groupBy("tenant_id", utc_date(F.col("first_review_at")).alias("activity_date"))
-                   .agg(F.count(F.lit(1)).cast("int").alias("prs_first_reviewed"),
-                        F.percentile("h", F.lit(0.5)).alias("median_time_to_first_review_hours")))
+    day = fr.select("tenant_id", utc_date(F.col("first_review_at")).alias("activity_date"), "h")
+    first_daily = percentiles(day, ["tenant_id", "activity_date"], "h", [0.5]).select(
+        "tenant_id", "activity_date", F.col("n").cast("int").alias("prs_first_reviewed"), F.col("p0").alias("median_time_to_first_review_hours"))
     reviews_daily = (per_day.where(F.col("_d").isNotNull())
                      .groupBy("tenant_id", F.col("_d").alias("activity_date"))
                      .agg(F.sum("_rows").cast("int").alias("reviews_submitted")))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.jsonx import with_json
 from tallyspark.functions.pgcompat import epoch_seconds, org_repo, revert_title, utc_date
+from tallyspark.operators.ranks import percentiles
 from tallyspark.operators.snapshot import latest_snapshot
 
 TRUNC = {"daily": "day", "weekly": "week", "monthly": "month"}
@@ -203,12 +204,10 @@ def srv_me_cycle_time(raw, login=None, granularity="weekly", start=None, end=Non
     d = utc_date(F.col("merged_at"))
     m = prs.where(F.col("merged_at").isNotNull() & F.col("cycle_time_hours").isNotNull()
                   & (F.col("cycle_time_hours") >= 0) & _in_range(d, start, end))
-    pct = F.percentile("cycle_time_hours", F.array(F.lit(0.5), F.lit(0.9)))
-    return (m.groupBy("tenant_id", "author_login", _period(d, granularity).alias("period_start"))
-            .agg(F.count(F.lit(1)).cast("int").alias("prs_merged"), pct.alias("_p"),
-                 F.avg("cycle_time_hours").alias("avg_hours"))
-            .select("tenant_id", "author_login", "period_start", "prs_merged",
-                    F.col("_p")[0].alias("median_hours"), "avg_hours", F.col("_p")[1].alias("p90_hours")))
+    m = m.select("tenant_id", "author_login", _period(d, granularity).alias("period_start"), "cycle_time_hours")
+    return percentiles(m, ["tenant_id", "author_login", "period_start"], "cycle_time_hours", [0.5, 0.9]).select(
+        "tenant_id", "author_login", "period_start", F.col("n").cast("int").alias("prs_merged"),
+        F.col("p0").alias("median_hours"), F.col("mean").alias("avg_hours"), F.col("p1").alias("p90_hours"))
 
 
 def _latest_reviews(raw, tenant=None):
@@ -237,10 +236,11 @@ def srv_me_review_latency(raw, login=None, granularity="weekly", start=None, end
              .agg(F.min("submitted_at").alias("first_at"))
              .withColumn("h", epoch_seconds(F.col("first_at"), F.col("created_at")) / F.lit(3600.0)))
     fd = utc_date(F.col("first_at"))
-    fp = (first.where(F.col("h").isNotNull() & (F.col("h") >= 0) & _in_range(fd, start, end))
-          .groupBy("tenant_id", "author_login", _period(fd, granularity).alias("period_start"))
-          .agg(F.count(F.lit(1)).cast("int").alias("prs_first_reviewed"),
-               F.percentile("h", F.lit(0.5)).alias("median_hours_to_first_review")))
+    fp = first.where(F.col("h").isNotNull() & (F.col("h") >= 0) & _in_range(fd, start, end)).select(
+        "tenant_id", "author_login", _period(fd, granularity).alias("period_start"), "h")
+    fp = percentiles(fp, ["tenant_id", "author_login", "period_start"], "h", [0.5]).select(
+        "tenant_id", "author_login", "period_start", F.col("n").cast("int").alias("prs_first_reviewed"),
+        F.col("p0").alias("median_hours_to_first_review"))
     sd = utc_date(F.col("submitted_at"))
     rp = (pr_reviews.where(_in_range(sd, start, end))
           .groupBy("tenant_id", "author_login", _period(sd, granularity).alias("period_start"))

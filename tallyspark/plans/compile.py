@@ -14,7 +14,12 @@ Plan shape (chosen here because Catalyst will not find it on its own):
   each row explodes to the few steps whose window contains it, then an
   ordinary equi-aggregation runs. Additive measures are first reduced to one
   row per (tenant, dims, day, is-midnight) so the explode is over days, not
-  events.
+  events;
+* exact percentiles are selected by rank (``operators.ranks``), so no task
+  buffers a group's values, and rolling ones slide over days instead of
+  exploding rows;
+* where only windows are asked for, the days that no window reaches are cut
+  off on the raw time column, which a file scan can skip.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.pgcompat import epoch_seconds
+from tallyspark.operators.ranks import percentiles, rolling_percentiles
 from tallyspark.plans import formula as FM
 from tallyspark.plans.predicates import to_column
 from tallyspark.plans.spec import Metric, Window, definition_version
@@ -135,15 +141,24 @@ def input_rows(base: DataFrame, metric: Metric, *, tenants=None, mappings: dict
 
 
 def metric_rows(metric: Metric, entities: dict[str, DataFrame], *, tenants=None,
-                mappings: dict | None = None, tenant_params: DataFrame | None = None) -> DataFrame:
-    """Rows (tenant_id, _t, dim_*, _c<i>, _v<i>) for every input of ``metric``."""
+                mappings: dict | None = None, tenant_params: DataFrame | None = None, bounds: tuple | None = None) -> DataFrame:
+    """Rows (tenant_id, _t, dim_*, _c<i>, _v<i>) for every input of ``metric``.
+
+    ``bounds``: first time and time after the last that can count; either may be None. They are put on the raw
+    time column, so that a file scan skips what lies outside.
+    """
     ins = inputs_of(metric)
     groups: dict[tuple, list[int]] = {}
     for i, (_, op, _) in enumerate(ins):
         groups.setdefault((op.entity, op.time_field), []).append(i)
     parts = []
     for (entity, time_field), idx in groups.items():
-        base = input_rows(entities[entity], metric, tenants=tenants, mappings=mappings, tenant_params=tenant_params)
+        source = entities[entity]
+        for edge, after in zip(bounds or (), (True, False)):
+            if edge is not None:
+                t = F.col(time_field).cast("timestamp")
+                source = source.where(t >= F.lit(edge) if after else t < F.lit(edge))
+        base = input_rows(source, metric, tenants=tenants, mappings=mappings, tenant_params=tenant_params)
         dims, excl = _dim_columns(metric, mappings)
         flags = []
         for i, (_, op, extra) in enumerate(ins):
@@ -172,7 +187,35 @@ def _agg_expr(op: Metric, c: Column, v: Column) -> Column:
     p = F.lit(m.pct / 100.0)
     if m.approx:
         return F.percentile_approx(x, p, F.lit(10000)).cast("double")
-    return F.percentile(x, p).cast("double")
+    raise ValueError("exact percentiles are selected by rank")
+
+
+def _by_rank(metric: Metric) -> list[int]:
+    """Inputs whose measure is an exact percentile."""
+    return [i for i, (_, op, _) in enumerate(inputs_of(metric)) if op.measure.method == "percentile" and not op.measure.approx]
+
+
+def _detail_and_total(df: DataFrame, active: list[str]) -> DataFrame:
+    """Each row once for its dimensions and once for the tenant's total, as grouping sets do."""
+    if not active:
+        return df.withColumn("is_total", F.lit(True))
+    dims = [f"dim_{d}" for d in active]
+    sets = F.array(F.struct(*dims, F.lit(False).alias("is_total")),
+                   F.struct(*[F.lit(None).cast(df.schema[d].dataType).alias(d) for d in dims], F.lit(True).alias("is_total")))
+    return df.withColumn("_set", F.explode(sets)).select(*[c for c in df.columns if c not in dims], "_set.*")
+
+
+def _joined_inputs(metric: Metric, agg: DataFrame | None, ranked: dict[int, DataFrame], keys: list[str]) -> DataFrame:
+    """Aggregates of the other inputs (or none) with ``_a<i>`` and ``_n<i>`` of the ranked ones; keys may be NULL."""
+    parts = [] if agg is None else [agg]
+    n = len(inputs_of(metric))
+    for i, r in ranked.items():
+        parts.append(r.select(*keys, F.col("p0").alias(f"_a{i}"), F.col("rows").alias(f"_n{i}")))
+    if len(parts) == 1:
+        return parts[0]
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return both.groupBy(*keys).agg(*[F.max(f"_a{i}").alias(f"_a{i}") for i in range(n)],
+                                   *[F.coalesce(F.max(f"_n{i}"), F.lit(0)).alias(f"_n{i}") for i in range(n)])
 
 
 def _aggregate(df: DataFrame, keys: list[Column], active: list[str], aggs: list[Column]) -> DataFrame:
@@ -209,16 +252,13 @@ def _combine(metric: Metric, agg: DataFrame, n_inputs: int) -> DataFrame:
 def _aggs(metric: Metric, src: str = "raw") -> list[Column]:
     out = []
     for i, (_, op, _) in enumerate(inputs_of(metric)):
+        if i in _by_rank(metric):
+            continue
         c, v = F.col(f"_c{i}"), F.col(f"_v{i}")
         if src == "raw":
             out += [_agg_expr(op, c, v).alias(f"_a{i}"), F.count_if(c).alias(f"_n{i}")]
         elif src == "freq":
-            m = op.measure
-            if m.method == "percentile":
-                val = F.percentile(v, F.lit(m.pct / 100.0), F.col("_f"))
-            else:
-                val = F.count_distinct(v)
-            out += [val.cast("double").alias(f"_a{i}"), F.sum("_f").alias(f"_n{i}")]
+            out += [F.count_distinct(v).cast("double").alias(f"_a{i}"), F.sum("_f").alias(f"_n{i}")]
         else:                                   # re-aggregate pre-aggregated day states
             meth = op.measure.method
             s, k = F.col(f"_s{i}"), F.col(f"_k{i}")
@@ -258,7 +298,14 @@ def calendar_block(metric: Metric, rows: DataFrame, grains) -> DataFrame:
     x = base.withColumn("_gb", F.explode(pairs)).select(
         "*", F.col("_gb.g").alias("grain"), F.col("_gb.b").alias("bucket_start")).drop("_gb")
     active = [d for d in plan_dims(metric) if d in metric.dimensions]
-    agg = _aggregate(x, [F.col("tenant_id"), F.col("grain"), F.col("bucket_start")], active, _aggs(metric, src))
+    keys = ["tenant_id", "grain", "bucket_start"]
+    ranked = _by_rank(metric)
+    rest = len(ranked) < len(inputs_of(metric))
+    agg = _aggregate(x, [F.col(k) for k in keys], active, _aggs(metric, src)) if rest else None
+    if ranked:
+        group = [*keys, *[f"dim_{d}" for d in active], "is_total"]
+        each = _detail_and_total(x, active)
+        agg = _joined_inputs(metric, agg, {i: percentiles(each.where(F.col(f"_c{i}")), group, f"_v{i}", [inputs_of(metric)[i][1].measure.pct / 100.0]) for i in ranked}, group)
     agg = agg.select("*", *[F.lit("").alias(f"dim_{d}") for d in plan_dims(metric) if d not in active])
     end = reduce(lambda acc, g: acc.when(F.col("grain") == g, F.col("bucket_start") + F.expr(INTERVALS[g])),
                  grains[1:], F.when(F.col("grain") == grains[0], F.col("bucket_start") + F.expr(INTERVALS[grains[0]])))
@@ -266,6 +313,11 @@ def calendar_block(metric: Metric, rows: DataFrame, grains) -> DataFrame:
     return _combine(metric, agg, len(inputs_of(metric)))
 
 
+def _first_step(w: Window, lo: dt.date) -> dt.date:
+    """A day spine starts at ``lo``, a week spine on the Monday of its week."""
+    return lo if w.step == "day" else lo - dt.timedelta(days=lo.weekday())
+
+
 def _step_array(d0: Column, midnight: Column, w: Window, lo, hi) -> Column:
     """Steps whose open window (step+1-N days, step+1 day) contains the row."""
     last = F.date_add(d0, F.lit(w.days - 1) - midnight.cast("int"))
@@ -273,8 +325,7 @@ def _step_array(d0: Column, midnight: Column, w: Window, lo, hi) -> Column:
     if w.step == "day":
         first = F.greatest(d0, F.lit(lo))
         return F.when(first <= hi_c, F.sequence(first, hi_c))
-    week_lo = lo - dt.timedelta(days=lo.weekday())         # Monday of the spine's first day
-    first = F.next_day(F.date_sub(F.greatest(d0, F.lit(week_lo)), 1), "Mon")
+    first = F.next_day(F.date_sub(F.greatest(d0, F.lit(_first_step(w, lo))), 1), "Mon")
     return F.when(first <= hi_c, F.sequence(first, hi_c, F.expr("INTERVAL 7 DAYS")))
 
 
@@ -312,12 +363,13 @@ def window_block(metric: Metric, rows: DataFrame, w: Window, spine_lo: dt.date,
     ins = inputs_of(metric)
     d0 = F.to_date("_t")
     midnight = F.col("_t") == d0.cast("timestamp")
+    ranked = _by_rank(metric)
+    agg = None
     if _additive(metric):
         pre = day_states(metric, rows)
         src = "pre"
     elif len(ins) == 1 and not ins[0][1].measure.approx:
-        # holistic single input (exact percentile / distinct count): explode one
-        # row per distinct (tenant, dims, day, midnight, value) with its frequency
+        # distinct count: explode one row per distinct (tenant, dims, day, midnight, value) with its frequency
         pre = (rows.where(F.col("_c0"))
                .groupBy("tenant_id", *dims, d0.alias("_d"), midnight.alias("_m"), F.col("_v0"))
                .agg(F.count(F.lit(1)).alias("_f")))
@@ -325,9 +377,16 @@ def window_block(metric: Metric, rows: DataFrame, w: Window, spine_lo: dt.date,
     else:
         pre = rows.select("*", d0.alias("_d"), midnight.alias("_m"))
         src = "raw"
-    steps = _step_array(F.col("_d"), F.col("_m"), w, spine_lo, spine_hi)
-    x = pre.withColumn("step", F.explode(steps))
-    agg = _aggregate(x, [F.col("tenant_id"), F.col("step")], active, _aggs(metric, src))
+    if len(ranked) < len(ins):
+        steps = _step_array(F.col("_d"), F.col("_m"), w, spine_lo, spine_hi)
+        x = pre.withColumn("step", F.explode(steps))
+        agg = _aggregate(x, [F.col("tenant_id"), F.col("step")], active, _aggs(metric, src))
+    if ranked:
+        group = ["tenant_id", *[f"dim_{d}" for d in active], "is_total"]
+        each = _detail_and_total(rows.withColumns({"_d": d0, "_m": midnight}), active)
+        first = _first_step(w, spine_lo)
+        agg = _joined_inputs(metric, agg, {i: rolling_percentiles(each.where(F.col(f"_c{i}")), group, "_d", "_m", f"_v{i}", [ins[i][1].measure.pct / 100.0],
+                                                                  w.days, first, spine_hi, w.step == "week") for i in ranked}, [*group, "step"])
     agg = agg.select("*", *[F.lit("").alias(f"dim_{d}") for d in plan_dims(metric) if d not in active])
     end = F.date_add(F.col("step"), 1).cast("timestamp")
     agg = agg.select("*", F.lit(w.label).alias("grain"),
@@ -336,18 +395,34 @@ def window_block(metric: Metric, rows: DataFrame, w: Window, spine_lo: dt.date,
     return _combine(metric, agg, len(ins))
 
 
+def window_bounds(windows, lo: dt.date, hi: dt.date) -> tuple[dt.datetime, dt.datetime]:
+    """The times that the windows' steps from ``lo`` to ``hi`` can reach."""
+    first = min(_first_step(w, lo) - dt.timedelta(days=w.days - 1) for w in windows)
+    day = lambda d: dt.datetime(d.year, d.month, d.day)
+    return day(first), day(hi + dt.timedelta(days=1))
+
+
 def compute_metric(metric: Metric, entities: dict[str, DataFrame], *, as_of,
                    tenants=None, mappings: dict | None = None, horizon_days: int = 730,
-                   tenant_params: DataFrame | None = None, version: str | None = None) -> DataFrame:
-    """All grain and window blocks of ``metric`` as rows of the metric-values schema."""
+                   tenant_params: DataFrame | None = None, version: str | None = None,
+                   since: dt.datetime | None = None) -> DataFrame:
+    """All grain and window blocks of ``metric`` as rows of the metric-values schema.
+
+    ``since`` leaves out calendar buckets that begin earlier, and does not read their rows.
+    """
     as_of_ts = _as_ts(as_of)
     version = version or definition_version(metric)
-    rows = metric_rows(metric, entities, tenants=tenants, mappings=mappings, tenant_params=tenant_params)
-    blocks = []
-    if metric.grains:
-        blocks.append(calendar_block(metric, rows, list(metric.grains)))
+    scope = dict(tenants=tenants, mappings=mappings, tenant_params=tenant_params)
     hi = as_of_ts.date()
     lo = hi - dt.timedelta(days=horizon_days)
+    blocks, rows = [], None
+    if metric.grains:
+        rows = metric_rows(metric, entities, **scope, bounds=(since, None))
+        block = calendar_block(metric, rows, list(metric.grains))
+        blocks.append(block if since is None else block.where(F.col("bucket_start") >= F.lit(since)))
+    if metric.windows and (rows is None or since is not None or not _additive(metric)):
+        # additive measures with grains share one aggregate by day over all rows; else only what the windows reach is read
+        rows = metric_rows(metric, entities, **scope, bounds=window_bounds(metric.windows, lo, hi))
     for w in metric.windows:
         blocks.append(window_block(metric, rows, w, lo, hi))
     out = [_finish(metric, b, version, as_of_ts) for b in blocks]

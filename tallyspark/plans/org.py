@@ -111,14 +111,14 @@ def preview(metric: Metric, entities: dict, *, as_of, days: int = 90, row_limit:
     """Coarsest grain only, no windows, last ``days`` days, at most
     ``row_limit`` rows in a fixed order. A window-only metric shows the latest step of each window."""
     as_of_ts = CP._as_ts(as_of)
+    since = as_of_ts - dt.timedelta(days=days)
     if metric.grains:
         coarse = max(metric.grains, key=GRAINS.index)
         m = metric.with_(grains=(coarse,), windows=())
-        out = CP.compute_metric(m, entities, as_of=as_of, **kw)
+        out = CP.compute_metric(m, entities, as_of=as_of, since=since, **kw)
     else:
-        out = CP.compute_metric(metric, entities, as_of=as_of, **kw)
+        out = CP.compute_metric(metric, entities, as_of=as_of, **(kw | {"horizon_days": 0}))
         out = out.where(F.col("bucket_end") == F.lit(as_of_ts + dt.timedelta(days=1)))
-    since = as_of_ts - dt.timedelta(days=days)
     dims = [c for c in out.columns if c.startswith("dim_")]
     return (out.where(F.col("bucket_start") >= F.lit(since))
             .orderBy("bucket_start", "tenant_id", *dims, "is_total").limit(row_limit))
