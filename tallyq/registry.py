@@ -718,6 +718,7 @@ import uuid as _uuid  # noqa: E402
 from tallyspark.session import scratch_path  # noqa: E402
 from tallyspark.sources import landing as A  # noqa: E402
 from tallyspark.sources import sinks as SK  # noqa: E402
+from tallyspark.sources.datapoints import read_datapoints, upsert_datapoints  # noqa: E402
 
 _GH_LAND = ["pull_requests", "reviews", "releases", "workflow_runs"]
 
@@ -793,11 +794,18 @@ q("env_copilot", O.env_sql("copilot_usage"))(
 _SPLIT = "2024-01-15 00:00:00"
 
 
+def _merged(spark, dps, name):
+    """Two landings of datapoints merged into a table; the second repeats a part of the first."""
+    path = scratch_path(spark, f"{name}-{_uuid.uuid4().hex}")
+    split = F.lit(_SPLIT).cast("timestamp")
+    upsert_datapoints(dps.where(F.col("observed_at") < split), path)
+    upsert_datapoints(dps.where(F.col("observed_at") >= split - F.expr("INTERVAL 1 DAY")), path)
+    return read_datapoints(spark, path)
+
+
 def _a9(spark, sf):
     dps = A.env_github(FX.fx_raw_all(spark, sf, ["pull_requests", "reviews"]))
-    early, late = dps.where(F.col("observed_at") < F.lit(_SPLIT).cast("timestamp")), dps.where(F.col("observed_at") >= F.lit(_SPLIT).cast("timestamp"))
-    existing = A.dp_event_first_wins(early.where(F.lit(False)), early)
-    return A.dp_event_first_wins(existing, late).select(*_ENV_COLS)
+    return _merged(spark, dps, "events").select(*_ENV_COLS)
 
 
 q("dp_event_first_wins", " union all ".join(
@@ -808,9 +816,7 @@ q("dp_event_first_wins", " union all ".join(
 
 def _a10(spark, sf):
     dps = A.env_copilot(FX.fx_raw_resource(spark, sf, "copilot_usage"))
-    early, late = dps.where(F.col("observed_at") < F.lit(_SPLIT).cast("timestamp")), dps.where(F.col("observed_at") >= F.lit(_SPLIT).cast("timestamp"))
-    existing = A.dp_measure_newest_wins(early.where(F.lit(False)), early)
-    return A.dp_measure_newest_wins(existing, late).select(
+    return _merged(spark, dps, "measures").select(
         "tenant_id", "tool", "name", "subject_id", "period_start", "subject_type", "source_key", "occurred_at",
         "period_end", "observed_at", "raw_record_id", _jstr("metadata", "total_suggestions_count").alias("meta_total"))
 
@@ -833,7 +839,7 @@ def _a11(spark, sf):
     # tenant 2's PRs vanished upstream; tenants 1 and 2 are rebuilt
     m2 = D.mart_pr_activity(prs.where(F.col("tenant_id") != "2"), tenants=["1", "2"])
     SK.sink_mart_tenant_replace(m2, path, ["1", "2"])
-    return spark.read.schema(m2.schema).parquet(path)
+    return SK.read_mart(spark, path)
 
 
 q("sink_mart_tenant_replace", f"select * from ({ORACLE['mart_pr_activity']}) m where tenant_id <> '2'")(_a11)
@@ -858,7 +864,7 @@ def _a13(spark, sf):
     SK.sink_full_refresh(D.mart_change_failure(prs.where(F.col("tenant_id") == "0")), path)
     m = D.mart_change_failure(prs)
     SK.sink_full_refresh(m, path)
-    return spark.read.schema(m.schema).parquet(path)
+    return SK.read_mart(spark, path)
 
 
 q("sink_full_refresh", ORACLE["mart_change_failure"])(_a13)
@@ -996,55 +1002,88 @@ from (select 'repo' as dimension, count(distinct repo) as distinct_values from (
 from tallyspark.streaming import streams as L  # noqa: E402
 
 
-def _stage_files(spark, df, name):
-    """Write a batch DataFrame as the stream's input folder (scratch)."""
+def _stage_parts(spark, parts, name):
+    """Write batch DataFrames as one file each, oldest first, as the stream's input folder (scratch)."""
     path = scratch_path(spark, f"{name}-{_uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return path, df.schema
+    for p in parts:
+        p.coalesce(1).write.mode("append").parquet(path)
+    return path, parts[0].schema
+
+
+def _stream_of(spark, path, schema):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def _l1(spark, sf):
-    src, schema = _stage_files(spark, _records(spark, sf, _GH_LAND), "l1-in")
+    """Two micro-batches that overlap by a day, then the second one again by another run."""
+    rec = _records(spark, sf, _GH_LAND)
+    split = F.lit(_SPLIT).cast("timestamp")
+    late = rec.where(F.col("fetched_at") >= split - F.expr("INTERVAL 1 DAY"))
+    src, schema = _stage_parts(spark, [rec.where(F.col("fetched_at") < split), late], "l1-in")
     base = scratch_path(spark, f"l1-{_uuid.uuid4().hex}")
-    stream = spark.readStream.schema(schema).parquet(src)
-    L.stream_land(stream, "github", f"{base}/raw", f"{base}/dp", f"{base}/_ckpt").awaitTermination()
-    return spark.read.parquet(f"{base}/raw").drop("payload", "_batch")
+    L.stream_land(_stream_of(spark, src, schema), "github", f"{base}/raw", f"{base}/dp", f"{base}/_ckpt").awaitTermination()
+    again, _ = _stage_parts(spark, [late], "l1-again")
+    L.stream_land(_stream_of(spark, again, schema), "github", f"{base}/raw-again", f"{base}/dp", f"{base}/_ckpt-again").awaitTermination()
+    raw = spark.read.parquet(f"{base}/raw").groupBy("id", "tenant_id", "source", "resource_type", "source_id", "fetched_at", "run_id").agg(
+        F.count(F.lit(1)).alias("times"), F.count_distinct("payload").alias("payloads"))
+    dps = read_datapoints(spark, f"{base}/dp")
+    return raw.select(F.lit("raw").alias("part"), "tenant_id", "source", F.col("resource_type").alias("name"), F.col("source_id").alias("key"),
+                      F.col("fetched_at").alias("at"), F.col("id").alias("raw_record_id"), "times", "payloads").unionByName(
+        dps.select(F.lit("datapoint").alias("part"), "tenant_id", "source", "name", F.col("source_key").alias("key"),
+                   F.col("observed_at").alias("at"), "raw_record_id", F.lit(1).cast("long").alias("times"), F.lit(1).cast("long").alias("payloads")))
+
+
+q("stream_land", f"""
+select 'raw' as part, tenant_id, source, resource_type as name, source_id as key, fetched_at as at, id as raw_record_id,
+  cast(case when fetched_at >= timestamp '{_SPLIT}' - interval 1 day and fetched_at < timestamp '{_SPLIT}' then 2 else 1 end as bigint) as times,
+  cast(1 as bigint) as payloads
+from ({_land_sql(_GH_LAND)}) r
+union all
+select 'datapoint', tenant_id, source, name, source_key, observed_at, raw_record_id, cast(1 as bigint), cast(1 as bigint)
+from ({" union all ".join(f"select * exclude (meta_repo) from ({O.env_sql(r)}) e" for r in _GH_LAND)}) d
+qualify row_number() over (partition by tenant_id, source, source_key order by observed_at, raw_record_id) = 1""")(_l1)
 
 
-q("stream_land", _land_sql(_GH_LAND))(_l1)
+def _in_three(dps):
+    """Three files: the newest half first, the rest after it, and a part of both again."""
+    split = F.lit(_SPLIT).cast("timestamp")
+    return [dps.where(F.col("observed_at") >= split), dps.where(F.col("observed_at") < split), dps.where(F.pmod(F.xxhash64("source_key"), F.lit(3)) == 0)]
 
 
 def _l2(spark, sf):
     dps = A.env_github(FX.fx_raw_all(spark, sf, ["pull_requests", "reviews"]))
-    src, schema = _stage_files(spark, dps, "l2-in")
+    split = F.lit(_SPLIT).cast("timestamp")
+    src, schema = _stage_parts(spark, [dps.where(F.col("observed_at") < split), dps], "l2-in")
     base = scratch_path(spark, f"l2-{_uuid.uuid4().hex}")
-    L.stream_event_dedupe(spark.readStream.schema(schema).parquet(src), f"{base}/out", f"{base}/_ckpt"
-                          ).awaitTermination()
-    return spark.read.schema(dps.schema).parquet(f"{base}/out").select(*_ENV_COLS)
+    L.stream_event_dedupe(_stream_of(spark, src, schema), f"{base}/out", f"{base}/_ckpt").awaitTermination()
+    return read_datapoints(spark, f"{base}/out").select(*_ENV_COLS)
 
 
 q("stream_event_dedupe", ORACLE["dp_event_first_wins"])(_l2)
 
 
-def _memory_run(spark, agg, mode="complete"):
-    name = f"mem_{_uuid.uuid4().hex}"
-    ck = scratch_path(spark, f"{name}-ckpt")
-    qy = agg.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", ck) \
-        .trigger(availableNow=True).start()
-    qy.awaitTermination()
-    return spark.table(name)
-
-
 def _l3(spark, sf):
+    """Restated out of order: older rows come after newer ones. Sticky columns are those of the first landed row, so
+    the oracle takes them by batch."""
     dps = A.env_copilot(FX.fx_raw_resource(spark, sf, "copilot_usage"))
-    src, schema = _stage_files(spark, dps, "l3-in")
-    out = _memory_run(spark, L.stream_measure_restate(spark.readStream.schema(schema).parquet(src)))
-    return out.select("tenant_id", "tool", "name", "subject_id", "period_start", "subject_type", "source_key",
-                      "occurred_at", "period_end", "observed_at", "raw_record_id",
-                      _jstr("metadata", "total_suggestions_count").alias("meta_total"))
+    src, schema = _stage_parts(spark, _in_three(dps), "l3-in")
+    base = scratch_path(spark, f"l3-{_uuid.uuid4().hex}")
+    L.stream_restate(_stream_of(spark, src, schema), f"{base}/out", f"{base}/_ckpt").awaitTermination()
+    return read_datapoints(spark, f"{base}/out").select(
+        "tenant_id", "tool", "name", "subject_id", "period_start", "subject_type", "source_key",
+        "occurred_at", "period_end", "observed_at", "raw_record_id",
+        _jstr("metadata", "total_suggestions_count").alias("meta_total"))
 
 
-q("stream_measure_restate", ORACLE["dp_measure_newest_wins"])(_l3)
+q("stream_measure_restate", f"""
+with c as (select *, case when observed_at >= timestamp '{_SPLIT}' then 0 else 1 end as batch from ({O.env_sql('copilot_usage')}) e),
+n as (select * from c qualify row_number() over (partition by tenant_id, tool, name, subject_id, period_start
+      order by observed_at desc, batch, raw_record_id) = 1),
+f as (select * from c qualify row_number() over (partition by tenant_id, tool, name, subject_id, period_start
+      order by batch, raw_record_id) = 1)
+select n.tenant_id, n.tool, n.name, n.subject_id, n.period_start, f.subject_type, f.source_key, n.occurred_at,
+  n.period_end, n.observed_at, n.raw_record_id, n.meta_total
+from n join f using (tenant_id, tool, name, subject_id, period_start)""")(_l3)
 
 
 def _event_stream(spark, sf):
@@ -1054,15 +1093,25 @@ def _event_stream(spark, sf):
                      "event_type", F.col("ts").cast("timestamp").alias("ts"))
 
 
+def _final(spark, windows, name):
+    """The windows that became final, from the files they were written to."""
+    base = scratch_path(spark, f"{name}-{_uuid.uuid4().hex}")
+    L.write_final(windows, f"{base}/out", f"{base}/_ckpt").awaitTermination()
+    return spark.read.schema(windows.schema).parquet(f"{base}/out")
+
+
+#: With one day of lateness, windows that end a day before the newest event are final.
 q("stream_daily_counts", """
 select 't' || cast(user_id % 4 as varchar) as tenant_id, event_type, cast(ts as date) as activity_date,
-  count(*) as n from events group by 1, 2, 3""")(
-    lambda s, sf: _memory_run(s, L.stream_daily_counts(_event_stream(s, sf), "ts", ["tenant_id", "event_type"])))
+  count(*) as n from events
+where cast(ts as date) + interval 2 day <= (select max(ts) from events) group by 1, 2, 3""")(
+    lambda s, sf: _final(s, L.stream_daily_counts(_event_stream(s, sf), "ts", ["tenant_id", "event_type"]), "l4"))
 q("stream_rolling_counts", """
 with r as (select 't' || cast(user_id % 4 as varchar) as tenant_id, event_type, ts from events),
-s as (select cast(gs as date) as step_date from generate_series(timestamp '2022-02-01', timestamp '2024-02-01',
-      interval 1 day) g(gs))
+b as (select cast(min(ts) as date) as low, max(ts) as high from events),
+s as (select cast(gs as date) as step_date from (select unnest(generate_series(cast(low as timestamp), high, interval 1 day)) as gs from b))
 select r.tenant_id, r.event_type, s.step_date, 'rolling_7d' as grain, count(*) as n
 from s join r on r.ts > s.step_date + interval 1 day - interval 7 day and r.ts < s.step_date + interval 1 day
+where s.step_date + interval 2 day <= (select high from b)
 group by 1, 2, 3""")(
-    lambda s, sf: _memory_run(s, L.stream_rolling_counts(_event_stream(s, sf), "ts", ["tenant_id", "event_type"], 7, as_of="2024-02-01")))
+    lambda s, sf: _final(s, L.stream_rolling_counts(_event_stream(s, sf), "ts", ["tenant_id", "event_type"], 7), "l5"))

@@ -1,118 +1,64 @@
-"""Mart and metric sinks on plain Parquet.
+"""Mart and metric sinks.
 
-A full refresh replaces every partition, those without new rows included. A
-tenant replace writes the new slice beside the table first, so a failed job
-leaves the old rows; only then are the tenants' folders exchanged. A metric
-swap publishes a version by replacing its pointer in one rename.
+All are versioned tables (``versions.py``): new slices are written in full beside the old ones and become visible
+together, by one manifest. So a reader sees one version, a failed job changes nothing, and of two writers of the same
+slice at once one raises ``Conflict``.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
+from tallyspark.sources.versions import VersionedTable
 
 
-def _exists(spark, path) -> bool:
-    fs, p, _ = _fs(spark, path)
-    return fs.exists(p)
+def mart_table(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, ["tenant_id"])
 
 
-def _delete(spark, path) -> None:
-    fs, p, _ = _fs(spark, path)
-    if fs.exists(p):
-        fs.delete(p, True)
+def sink_full_refresh(df: DataFrame, path: str) -> int:
+    """Rebuild every tenant; tenants without rows vanish, whatever the session's overwrite mode."""
+    return mart_table(df.sparkSession, path).replace(df, lambda s: True)
 
 
-def sink_full_refresh(df: DataFrame, path: str, partition_by=("tenant_id",)) -> None:
-    """Rebuild every tenant; tenants without rows vanish, whatever the session's overwrite mode."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*partition_by).parquet(path)
+def sink_mart_tenant_replace(df: DataFrame, path: str, tenants: list[str]) -> int:
+    """Replace exactly the slices of ``tenants``; only these are written.
 
+    Tenants in scope that produced no rows lose their slice, so a vanished day or tenant never stays stale. ``df`` may
+    read ``path`` itself."""
+    scope = set(tenants)
+    return mart_table(df.sparkSession, path).replace(df.where(F.col("tenant_id").isin(sorted(scope))), lambda s: s[0] in scope)
 
-def sink_mart_tenant_replace(df: DataFrame, path: str, tenants: list[str]) -> None:
-    """Replace exactly the slice of ``tenants`` (rows of other tenants stay).
 
-    Tenants in scope that produced no rows have their partition removed, so a
-    vanished day or tenant never stays stale. The slice is computed and written
-    in full before anything is removed, so ``df`` may read ``path`` itself and a
-    failure leaves the table as it was. Folder names are Spark's own escapes."""
-    spark = df.sparkSession
-    staged = f"{path}/_staged-{uuid.uuid4().hex}"
-    df.where(F.col("tenant_id").isin(list(tenants))).write.partitionBy("tenant_id").parquet(staged)
-    fs, _, jvm = _fs(spark, path)
-    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    for t in tenants:
-        folder = f"tenant_id={escape(t)}"
-        new, old = jvm.org.apache.hadoop.fs.Path(f"{staged}/{folder}"), jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
-        fs.delete(old, True)
-        if fs.exists(new) and not fs.rename(new, old):
-            raise OSError(f"could not move {new.toString()} into place")
-    _delete(spark, staged)
+def read_mart(spark: SparkSession, path: str) -> DataFrame:
+    """The published rows of a mart."""
+    return mart_table(spark, path).read()
 
 
-POINTER = "_current"
+def metric_table(spark: SparkSession, base: str) -> VersionedTable:
+    return VersionedTable(spark, base, ["metric_id", "tenant_id"])
 
 
-def sink_metric_swap(values: DataFrame, base: str, metric_id: str, tenants: list[str] | None = None) -> str:
-    """Publish a new version of one metric's rows, then flip a pointer.
+def sink_metric_swap(values: DataFrame, base: str, metric_id: str, tenants: list[str] | None = None) -> int:
+    """Publish one metric's rows, of all tenants or of ``tenants`` only; other slices are neither read nor written.
 
-    Readers resolve the pointer, so they see the old or the new version, never
-    a mix. With ``tenants`` the new version keeps other tenants' current rows.
     A metric with no rows still publishes (an empty version clears it)."""
-    spark = values.sparkSession
     new = values.where(F.col("metric_id") == metric_id)
-    if tenants is not None:
-        new = new.where(F.col("tenant_id").isin(list(tenants)))
-        cur = current_version(spark, base, metric_id)
-        if cur is not None:
-            old = spark.read.parquet(cur).where(~F.col("tenant_id").isin(list(tenants)))
-            new = new.unionByName(old.select(*new.columns))
-    version_path = f"{base}/versions/{metric_id}/{uuid.uuid4().hex}"
-    new.write.mode("error").parquet(version_path)
-    _write_pointer(spark, base, metric_id, version_path)
-    return version_path
-
-
-def _write_pointer(spark, base, metric_id, target) -> None:
-    fs, _, jvm = _fs(spark, base)
-    final = jvm.org.apache.hadoop.fs.Path(f"{base}/{POINTER}/{metric_id}")
-    tmp = jvm.org.apache.hadoop.fs.Path(f"{base}/{POINTER}/.{metric_id}.{uuid.uuid4().hex}")
-    out = fs.create(tmp, True)
-    out.write(bytearray(target.encode()))
-    out.close()
-    # One rename that replaces the old pointer, so that a reader always finds one.
-    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-    options = spark.sparkContext._gateway.new_array(kind, 1)
-    options[0] = kind.OVERWRITE
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    context.rename(fs.makeQualified(tmp), fs.makeQualified(final), options)
-
-
-def current_version(spark: SparkSession, base: str, metric_id: str) -> str | None:
-    fs, _, jvm = _fs(spark, base)
-    p = jvm.org.apache.hadoop.fs.Path(f"{base}/{POINTER}/{metric_id}")
-    if not fs.exists(p):
-        return None
-    stream = fs.open(p)
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream))
-    line = reader.readLine()
-    reader.close()
-    return line
+    scope = None if tenants is None else set(tenants)
+    if scope is not None:
+        new = new.where(F.col("tenant_id").isin(sorted(scope)))
+    return metric_table(values.sparkSession, base).replace(
+        new, lambda s: s[0] == metric_id and (scope is None or s[1] in scope), marks=[metric_id])
 
 
 def read_metric_values(spark: SparkSession, base: str, metric_ids: list[str], missing_ok: bool = False) -> DataFrame:
-    """The published fact table: the current version of each metric.
+    """The published fact table: the current rows of each metric.
 
     A metric that was never published is an error, unless ``missing_ok``."""
-    found = {m: current_version(spark, base, m) for m in metric_ids}
-    missing = [m for m, p in found.items() if p is None]
-    if missing and not (missing_ok and len(missing) < len(found)):
+    table, wanted = metric_table(spark, base), set(metric_ids)
+    published = wanted & set(table.manifest()["marks"])
+    missing = sorted(wanted - published)
+    if missing and not (missing_ok and published):
         raise LookupError(f"no published version of {', '.join(missing)}")
-    return spark.read.parquet(*[p for p in found.values() if p is not None])
+    return table.read(lambda s: s[0] in published)

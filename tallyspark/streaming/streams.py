@@ -2,9 +2,10 @@
 
 The reference lands scheduled batches with a 1-day overlap and idempotent
 writes; a stream does the same continuously: file (or Kafka) source ->
-``foreachBatch`` for the idempotent landing, keyed state for restatement,
-watermarked windows for daily and rolling counts. All checkpoints live
-under the shared ``spark.checkpoint.dir``.
+``foreachBatch`` for the idempotent landing and merges into the datapoint
+table by touched bucket, watermarked windows for daily and rolling counts,
+written as files once they are final. All checkpoints live under the shared
+``spark.checkpoint.dir``; nothing is kept on the driver.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.sources import landing as A
+from tallyspark.sources.datapoints import BUCKETS, upsert_datapoints
 
 
 def _read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -23,40 +25,49 @@ def _read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame
     return spark.read.schema(like.schema).parquet(path)
 
 
+def _started(writer, checkpoint: str, available_now: bool):
+    w = writer.option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w).start()
+
+
 def stream_land(records: DataFrame, source: str, raw_path: str, dp_path: str, checkpoint: str,
-                available_now: bool = True):
-    """L1: streaming records -> raw append + datapoint append (per micro-batch).
+                available_now: bool = True, buckets: int = BUCKETS):
+    """L1: streaming records -> raw append + datapoint upsert (per micro-batch).
 
-    A micro-batch is written with its batch id; a replayed batch (after a
-    failure) overwrites the same batch folder, so output is exactly-once."""
+    Raw rows go to a folder of their batch id, which a replayed batch (after a failure) overwrites, so a batch is in
+    it once; records that come again in a later batch are landed again, as in the scheduled landing. Datapoints are
+    merged by key (events first-wins, measurements newest-wins), so neither a replay nor an overlap repeats them."""
     def write(batch: DataFrame, batch_id: int):
         raw, dps = A.land(batch, source)
-        raw.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{raw_path}/_batch={batch_id}")
-        dps.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{dp_path}/_batch={batch_id}")
-    w = records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (w.trigger(availableNow=True) if available_now else w).start()
+        raw.write.mode("overwrite").parquet(f"{raw_path}/_batch={batch_id}")
+        upsert_datapoints(dps, dp_path, buckets)
+    return _started(records.writeStream.foreachBatch(write), checkpoint, available_now)
 
 
-def stream_event_dedupe(datapoints: DataFrame, out_path: str, checkpoint: str, available_now: bool = True):
+def stream_event_dedupe(datapoints: DataFrame, out_path: str, checkpoint: str, available_now: bool = True,
+                        buckets: int = BUCKETS):
     """L2 (exact form): first-wins per event key across the whole history.
 
-    Each micro-batch keeps its first row per key and appends only keys not
-    already in the output (``left_anti``), i.e. the batch operator A9 applied
-    incrementally. Use ``dedupe_within_watermark`` when repeats are known to
-    fall within a day (bounded state, no table read)."""
-    spark = datapoints.sparkSession
+    A micro-batch reads and rewrites the hash buckets of its own keys in the datapoint table ``out_path``
+    (``read_datapoints``). Use ``dedupe_within_watermark`` when repeats are known to fall within a day."""
+    def write(batch: DataFrame, batch_id: int):
+        upsert_datapoints(batch.where(F.col("kind") == "event"), out_path, buckets)
+    return _started(datapoints.writeStream.foreachBatch(write), checkpoint, available_now)
+
+
+def stream_restate(datapoints: DataFrame, out_path: str, checkpoint: str, available_now: bool = True,
+                   buckets: int = BUCKETS):
+    """L3: measurements restated as files: a strictly newer observation replaces the row of its key.
 
+    The table is the state: no history is held in memory, and a late older row changes nothing."""
     def write(batch: DataFrame, batch_id: int):
-        ev = batch.where(F.col("kind") == "event")
-        existing = _read_or_empty(spark, out_path, ev)
-        # the output is partitioned by tenant: only the partitions of tenants in
-        # this batch are read (dynamic partition pruning through the semi join)
-        touched = existing.join(ev.select("tenant_id").distinct(), "tenant_id", "left_semi")
-        merged = A.dp_event_first_wins(existing.where(F.lit(False)), ev)
-        new = merged.join(touched.select(*A.EVENT_KEY), A.EVENT_KEY, "left_anti")
-        new.write.mode("append").partitionBy("tenant_id").parquet(out_path)
-    w = datapoints.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (w.trigger(availableNow=True) if available_now else w).start()
+        upsert_datapoints(batch.where(F.col("kind") == "measurement"), out_path, buckets)
+    return _started(datapoints.writeStream.foreachBatch(write), checkpoint, available_now)
+
+
+def write_final(windows: DataFrame, path: str, checkpoint: str, available_now: bool = True):
+    """Append windows to files once the watermark has passed their end; their state is then dropped."""
+    return _started(windows.writeStream.outputMode("append").format("parquet").option("path", path), checkpoint, available_now)
 
 
 def dedupe_within_watermark(datapoints: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -66,7 +77,7 @@ def dedupe_within_watermark(datapoints: DataFrame, delay: str = "1 day") -> Data
 
 
 def stream_measure_restate(measurements: DataFrame) -> DataFrame:
-    """L3: newest-wins per measurement key as keyed streaming state.
+    """L3 as keyed streaming state (``stream_restate`` keeps it in files instead).
 
     Declarative ``min_by`` aggregates keep one row of state per key; emit in
     ``update`` mode (changed keys only) or ``complete`` mode."""
@@ -81,7 +92,8 @@ def stream_measure_restate(measurements: DataFrame) -> DataFrame:
 
 
 def stream_daily_counts(events: DataFrame, time_col: str, keys: list[str], lateness: str = "1 day") -> DataFrame:
-    """L4: tumbling UTC-day counts; rows later than ``lateness`` are dropped."""
+    """L4: tumbling UTC-day counts; in append mode a day comes out, once, when the watermark (the newest time seen,
+    less ``lateness``) has passed its end, and rows of days that came out are dropped."""
     return (events.withWatermark(time_col, lateness)
             .groupBy(F.window(time_col, "1 day").alias("w"), *keys)
             .agg(F.count(F.lit(1)).alias("n"))

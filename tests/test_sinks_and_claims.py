@@ -15,7 +15,7 @@ IDS = "tenant_id string, external_user_id string, login string, email string, na
 
 
 def read(spark, path, like):
-    return sorted((r.tenant_id, r.v) for r in spark.read.schema(like.schema).parquet(path).collect())
+    return sorted((r.tenant_id, r.v) for r in SK.read_mart(spark, path).collect())
 
 
 def test_full_refresh_removes_vanished_tenants(spark, tmp_path):
@@ -40,7 +40,7 @@ def test_tenant_replace_escapes_failures_and_self_reads(spark, tmp_path):
     with pytest.raises(Exception, match="broken"):
         SK.sink_mart_tenant_replace(bad, path, ["b"])
     assert read(spark, path, df) == [("b", 2), ("c d/e", 13), ("x:1", 11)]
-    again = spark.read.schema(df.schema).parquet(path).withColumn("v", F.col("v") * 2)
+    again = SK.read_mart(spark, path).withColumn("v", F.col("v") * 2)
     SK.sink_mart_tenant_replace(again, path, ["b", "gone"])
     assert read(spark, path, df) == [("b", 4), ("c d/e", 13), ("x:1", 11)]
 
