@@ -399,9 +399,7 @@ q("metric_union", "\nunion all\n".join(f"select * from ({metric_sql(m, ENTITY_SQ
 
 
 def compute_metric_union(spark, sf):
-    from tallyspark.plans.compile import metric_union
-    ents = G.materialize(entities_for(spark, sf, ["pull_request"]), _UNION)
-    return metric_union([compute_metric(m, ents, as_of=ORDERS_AS_OF) for m in _UNION])
+    return G.metric_values(_UNION, entities_for(spark, sf, ["pull_request"]), as_of=ORDERS_AS_OF)
 
 
 CUSTOM = PR_COUNT.with_(id="t.custom")

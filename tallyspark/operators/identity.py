@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.jsonx import jstr
+from tallyspark.session import written
 
 METHOD_RANK = {"oauth_id": 0, "email": 1, "provisioned": 2}
 IDENTITY_COLS = ["tenant_id", "external_user_id", "login", "email", "name", "org_role", "user_id",
@@ -142,18 +143,14 @@ def reconcile_roles(linked: DataFrame, memberships: DataFrame) -> DataFrame:
     demote_cand = F.coalesce((F.col("org_role") == "member") & (F.col("role") == "admin"), F.lit(False))
     m = m.withColumn("_after", F.when(promote, "admin").otherwise(F.col("role"))) \
          .withColumn("_dc", demote_cand)
-    # admins per tenant after promotions: a partial aggregate, not a window
-    # over a whole (possibly huge) tenant
-    admins = m.groupBy("tenant_id").agg(F.count_if(F.col("_after") == "admin").alias("_admins"))
-    # only demotion candidates need an order (few rows per tenant)
-    wd = Window.partitionBy("tenant_id").orderBy("external_user_id", "user_id")
-    cands = (m.where(F.col("_dc")).join(admins, "tenant_id")
-             .withColumn("_k", F.row_number().over(wd))
-             .select("tenant_id", "user_id",
-                     F.when(F.col("_admins") - F.col("_k") >= 1, "individual").otherwise(F.col("_after"))
-                     .alias("role")))
-    rest = m.where(~F.col("_dc")).select("tenant_id", "user_id", F.col("_after").alias("role"))
-    return rest.unionByName(cands)
+    # the rule keeps somebody only where every admin left is up for demotion, and then the last in order: counts and
+    # one name per tenant, by partial aggregates
+    tenant = m.groupBy("tenant_id").agg(
+        F.count_if(F.col("_after") == "admin").alias("_admins"), F.count_if(F.col("_dc")).alias("_cands"),
+        F.max(F.when(F.col("_dc"), F.struct("external_user_id", "user_id"))).alias("_last"))
+    m = m.join(tenant, "tenant_id")
+    last = (F.col("_admins") == F.col("_cands")) & (F.struct("external_user_id", "user_id") == F.col("_last"))
+    return m.select("tenant_id", "user_id", F.when(F.col("_dc") & ~last, "individual").otherwise(F.col("_after")).alias("role"))
 
 
 def claim_pending(identities: DataFrame, signups: DataFrame) -> DataFrame:
@@ -198,19 +195,17 @@ def sync_and_link(raw: DataFrame, admins: DataFrame, existing: DataFrame, users:
                   memberships: DataFrame, checkpoint: bool = True) -> dict[str, DataFrame]:
     """J1-J8 as one pipeline for all tenants.
 
-    The linked identities feed three later steps; they are checkpointed to the
-    shared checkpoint folder so a lost executor recomputes from there, not
-    from the raw landing, and the plans below stay short."""
+    The linked identities feed three later steps; they are written to the
+    shared folder so a lost executor recomputes from there, not from the raw
+    landing, and the plans below stay short."""
     members = latest_payload_by_login(raw, "organization_members")
     profiles = latest_payload_by_login(raw, "user_profiles")
     identities = upsert_identity(existing, build_roster(members, profiles, admins))
     if checkpoint:
-        from tallyspark.session import checkpoint_dir
-        checkpoint_dir(identities.sparkSession)
-        identities = identities.checkpoint(eager=True)   # read three times by the linking step
+        identities = written(identities, "identities")   # read three times by the linking step
     linked = link_identity(identities, users, oauth)
     if checkpoint:
-        linked = linked.checkpoint(eager=True)
+        linked = written(linked, "linked")
     new_members = ensure_membership(linked, memberships, identities)
     return {
         "identities": linked,

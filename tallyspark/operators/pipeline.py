@@ -2,9 +2,10 @@
 
 ``build_marts`` stages every resource from one raw landing table, builds the
 canonical entities and all daily marts, and returns them as DataFrames.
-Staging outputs read by several marts are checkpointed to the shared
-checkpoint folder so each is computed once. ``write_marts`` publishes them
-with the tenant-slice sink (or a full refresh when ``tenants`` is None).
+Staging outputs read by several marts are written to the shared folder so
+each is computed once. ``write_marts`` publishes them with the tenant-slice
+sink (or a full refresh when ``tenants`` is None). ``rebuild`` does both, and
+``publish_metrics`` the same for metric values; neither leaves intermediates.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from pyspark.sql import DataFrame
 from tallyspark.operators import entities as C
 from tallyspark.operators import marts as D
 from tallyspark.operators import staging as S
+from tallyspark.plans import org
+from tallyspark.plans.spec import Metric
+from tallyspark.session import intermediates, written
 from tallyspark.sources import sinks as SK
 
 SHARED_STAGING = ("pull_requests", "reviews", "issues", "linear_issues", "releases")
@@ -26,10 +30,8 @@ def build_marts(raw: DataFrame, tenants=None, checkpoint: bool = True) -> dict[s
         raw = raw.where(F.col("tenant_id").isin(list(tenants)))
     stg = {name: fn(raw) for name, fn in S.STAGING.items()}
     if checkpoint:
-        from tallyspark.session import checkpoint_dir
-        checkpoint_dir(raw.sparkSession)
         for name in SHARED_STAGING:
-            stg[name] = stg[name].checkpoint(eager=True)
+            stg[name] = written(stg[name], f"stg-{name}")
     prs, reviews = stg["pull_requests"], stg["reviews"]
     out = {f"stg_{k}": v for k, v in stg.items()}
     out.update({
@@ -62,3 +64,20 @@ def write_marts(marts: dict[str, DataFrame], base_path: str, tenants=None) -> No
             SK.sink_full_refresh(df, path)
         else:
             SK.sink_mart_tenant_replace(df, path, list(tenants))
+
+
+def rebuild(raw: DataFrame, base_path: str, tenants=None) -> None:
+    """Records -> published marts of ``tenants`` (or of all)."""
+    with intermediates():
+        write_marts(build_marts(raw, tenants), base_path, tenants)
+
+
+def publish_metrics(metrics: list[Metric], entities: dict[str, DataFrame], base: str, *, as_of, tenants=None, pairs=None, **kw) -> None:
+    """Compute ``metrics`` together and publish all of their rows as one version, of ``tenants`` only if given."""
+    scope = {} if tenants is None else {"tenants": list(tenants)}
+    with intermediates():
+        if pairs is None:
+            values = org.metric_values(metrics, entities, as_of=as_of, **scope, **kw)
+        else:
+            values = org.compute_enrolled(metrics, entities, pairs, as_of=as_of, **scope, **kw)
+        SK.sink_metrics_swap(values, base, [m.id for m in metrics], tenants)

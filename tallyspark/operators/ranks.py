@@ -76,12 +76,19 @@ def _within(open_slices: DataFrame, freq: DataFrame, keys: Sequence[str]) -> Dat
     return got.withColumn("t", F.explode(hit)).select(*keys, F.col("t.i").alias("i"), "v")
 
 
-def percentiles(rows: DataFrame, keys: Sequence[str], value: str, pcts: Sequence[float]) -> DataFrame:
-    """Per group: ``p0``, ``p1`` .. (exact, interpolated), ``n`` values, ``rows`` with NULL values too, ``mean``."""
+def _times(weight: str | None) -> Column:
+    return F.count(F.lit(1)) if weight is None else F.sum(weight)
+
+
+def percentiles(rows: DataFrame, keys: Sequence[str], value: str, pcts: Sequence[float], weight: str | None = None) -> DataFrame:
+    """Per group: ``p0``, ``p1`` .. (exact, interpolated), ``n`` values, ``rows`` with NULL values too, ``mean``.
+
+    ``weight``: how many times each row counts."""
     keys = list(keys)
     v = F.col(value).cast("double")
-    freq = (rows.select(*keys, v.alias("v"), value_slice(v).alias("slice"))
-            .groupBy(*keys, "slice", "v").agg(F.count(F.lit(1)).alias("f")))
+    extra = [] if weight is None else [weight]
+    freq = (rows.select(*keys, *extra, v.alias("v"), value_slice(v).alias("slice"))
+            .groupBy(*keys, "slice", "v").agg(_times(weight).alias("f")))
     valued = F.col("v").isNotNull()
     slices = freq.groupBy(*keys, "slice").agg(
         F.sum(F.when(valued, F.col("f")).otherwise(0)).alias("n"), F.sum("f").alias("rows"), F.sum(F.col("v") * F.col("f")).alias("s"),
@@ -156,7 +163,7 @@ def _slide(keys: Sequence[str], schema: T.StructType, pcts: Sequence[float], day
 
 
 def rolling_percentiles(rows: DataFrame, keys: Sequence[str], day: str, midnight: str, value: str, pcts: Sequence[float],
-                        days: int, first: dt.date, last: dt.date, mondays: bool = False) -> DataFrame:
+                        days: int, first: dt.date, last: dt.date, mondays: bool = False, weight: str | None = None) -> DataFrame:
     """Per group and ``step`` (a date from ``first`` to ``last``): percentiles of the rows of the last ``days`` days.
 
     A row counts from its day on for ``days`` steps, one fewer if ``midnight`` is true (windows are open at both ends).
@@ -165,8 +172,9 @@ def rolling_percentiles(rows: DataFrame, keys: Sequence[str], day: str, midnight
     keys = list(keys)
     epoch = F.lit("1970-01-01").cast("date")
     v = F.col(value).cast("double")
-    base = rows.select(*keys, F.datediff(F.col(day), epoch).cast("long").alias("day"), F.col(midnight).alias("midnight"), v.alias("v"), value_slice(v).alias("slice"))
-    freq = base.groupBy(*keys, "day", "midnight", "slice", "v").agg(F.count(F.lit(1)).alias("f"))
+    extra = [] if weight is None else [weight]
+    base = rows.select(*keys, *extra, F.datediff(F.col(day), epoch).cast("long").alias("day"), F.col(midnight).alias("midnight"), v.alias("v"), value_slice(v).alias("slice"))
+    freq = base.groupBy(*keys, "day", "midnight", "slice", "v").agg(_times(weight).alias("f"))
     block = F.floor(F.col("day") / F.lit(days)).cast("long")
     blocks = F.explode(F.array(block, block + 1)).alias("block")
     hist = freq.groupBy(*keys, "day", "midnight", "slice").agg(

@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.plans import compile as CP
+from tallyspark.plans.fused import compute_fused, fusable
 from tallyspark.plans.predicates import to_column
 from tallyspark.plans.spec import GRAINS, Metric, definition_version
+from tallyspark.session import written
 
 
 def step_spine(df: DataFrame, time_col: str, horizon_days: int = 730) -> DataFrame:
@@ -46,40 +48,36 @@ def enrolled_pairs(enrollment: DataFrame, standard_ids: list[str]) -> DataFrame:
 
 
 def materialize(entities: dict, metrics: list[Metric]) -> dict:
-    """Checkpoint every entity read by two or more of ``metrics`` (to the
-    shared checkpoint folder), so it is computed once per run and a lost
-    executor recomputes from the files rather than from the raw landing."""
-    from tallyspark.plans.compile import inputs_of
-    from tallyspark.session import checkpoint_dir
+    """Write every entity read by two or more of ``metrics`` to the shared folder, so it is computed once per run and a
+    lost executor recomputes from the files rather than from the raw landing. Readers take only the columns they need."""
     uses: dict[str, int] = {}
     for m in metrics:
-        for e in {op.entity for _, op, _ in inputs_of(m)}:
+        for e in {op.entity for _, op, _ in CP.inputs_of(m)}:
             uses[e] = uses.get(e, 0) + 1
-    out = dict(entities)
-    for e, n in uses.items():
-        if n > 1 and e in out:
-            checkpoint_dir(out[e].sparkSession)
-            out[e] = out[e].checkpoint(eager=True)
-    return out
+    return {e: written(df, f"entity-{e}") if uses.get(e, 0) > 1 else df for e, df in entities.items()}
+
+
+def _all_values(metrics: list[Metric], entities: dict, pairs: DataFrame | None, *, as_of, **kw) -> DataFrame:
+    """Metrics that can share a pass do; the others are computed one by one."""
+    together = [m for m in metrics if fusable(m)]
+    alone = [m for m in metrics if not fusable(m)]
+    if alone:
+        entities = materialize(entities, [*alone, *together[:1]])
+    outs = [compute_fused(together, entities, as_of=as_of, pairs=pairs, **kw)] if together else []
+    for m in alone:
+        t = None if pairs is None else pairs.where(F.col("metric_id") == m.id).select("tenant_id").distinct()
+        outs.append(CP.compute_metric(m, entities, as_of=as_of, tenant_params=t, **kw))
+    return CP.metric_union(outs)
 
 
 def metric_values(metrics: list[Metric], entities: dict, *, as_of, **kw) -> DataFrame:
-    """The fact table for ``metrics``: shared entities computed once, one
-    union of every metric's rows (G20)."""
-    ents = materialize(entities, metrics)
-    return CP.metric_union([CP.compute_metric(m, ents, as_of=as_of, **kw) for m in metrics])
-
-
-def compute_enrolled(metrics: list[Metric], entities: dict, pairs: DataFrame, *, as_of,
-                     materialize_shared: bool = True, **kw) -> DataFrame:
-    """Every metric, for its enrolled tenants only (semi-join before the work)."""
-    if materialize_shared:
-        entities = materialize(entities, metrics)
-    outs = []
-    for m in metrics:
-        t = pairs.where(F.col("metric_id") == m.id).select("tenant_id").distinct()
-        outs.append(CP.compute_metric(m, entities, as_of=as_of, tenant_params=t, **kw))
-    return CP.metric_union(outs)
+    """The fact table for ``metrics`` (G20): one scan of each entity for all that can share it."""
+    return _all_values(metrics, entities, None, as_of=as_of, **kw)
+
+
+def compute_enrolled(metrics: list[Metric], entities: dict, pairs: DataFrame, *, as_of, **kw) -> DataFrame:
+    """Every metric, for its enrolled tenants only."""
+    return _all_values(metrics, entities, pairs, as_of=as_of, **kw)
 
 
 def compute_shared(metric: Metric, entities: dict, tenant_values: DataFrame, *, as_of, **kw) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -78,3 +81,42 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A writable location under the shared checkpoint folder."""
     base = checkpoint_dir(spark)
     return os.path.join(base.replace("file:", "", 1) if base.startswith("file:") else base, name)
+
+
+def written(df, name: str):
+    """``df`` as a Parquet intermediate in the shared folder: computed once, read with column pruning.
+
+    Cuts lineage and survives lost executors. It goes with the innermost ``intermediates`` block around the call, or,
+    outside of one, when the driver's process ends."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    _held[-1].append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_held: list[list] = [[]]
+
+
+def _remove(paths: list) -> None:
+    for spark, path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def intermediates():
+    """Intermediates that are written in this block are removed at its end."""
+    _held.append([])
+    try:
+        yield
+    finally:
+        _remove(_held.pop())
+
+
+@atexit.register
+def _remove_rest() -> None:
+    """What was written outside of any block, if its session still runs."""
+    for spark, path in _held[0]:
+        if spark.sparkContext._jsc is not None:
+            _remove([(spark, path)])

@@ -14,7 +14,7 @@ from tallyspark.sources.landing import EVENT_KEY, MEASURE_KEY, dp_event_first_wi
 from tallyspark.sources.versions import VersionedTable
 
 #: Hash buckets of a tenant's keys; grows the number of files, shrinks what a batch rewrites.
-BUCKETS = 32
+BUCKETS = 8
 LAYOUT = ["kind", "tenant_id", "bucket"]
 
 

@@ -44,12 +44,18 @@ def sink_metric_swap(values: DataFrame, base: str, metric_id: str, tenants: list
     """Publish one metric's rows, of all tenants or of ``tenants`` only; other slices are neither read nor written.
 
     A metric with no rows still publishes (an empty version clears it)."""
-    new = values.where(F.col("metric_id") == metric_id)
+    return sink_metrics_swap(values, base, [metric_id], tenants)
+
+
+def sink_metrics_swap(values: DataFrame, base: str, metric_ids: list[str], tenants: list[str] | None = None) -> int:
+    """A12 for several metrics, which become visible together."""
+    ids = set(metric_ids)
+    new = values.where(F.col("metric_id").isin(sorted(ids)))
     scope = None if tenants is None else set(tenants)
     if scope is not None:
         new = new.where(F.col("tenant_id").isin(sorted(scope)))
     return metric_table(values.sparkSession, base).replace(
-        new, lambda s: s[0] == metric_id and (scope is None or s[1] in scope), marks=[metric_id])
+        new, lambda s: s[0] in ids and (scope is None or s[1] in scope), marks=sorted(ids))
 
 
 def read_metric_values(spark: SparkSession, base: str, metric_ids: list[str], missing_ok: bool = False) -> DataFrame:
