@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.jsonx import jstr
+from tallyspark.operators.snapshot import latest_landed
 from tallyspark.session import written
 
 METHOD_RANK = {"oauth_id": 0, "email": 1, "provisioned": 2}
@@ -20,10 +21,9 @@ IDENTITY_COLS = ["tenant_id", "external_user_id", "login", "email", "name", "org
 
 def latest_payload_by_login(raw: DataFrame, resource_type: str) -> DataFrame:
     """Newest payload per (tenant, login) of one resource (ties: larger id)."""
-    login = jstr(F.col("payload"), "login")
-    rows = raw.where((F.col("resource_type") == resource_type) & login.isNotNull())
-    return (rows.groupBy("tenant_id", login.alias("login"))
-            .agg(F.max_by("payload", F.struct("fetched_at", "id")).alias("payload")))
+    rows = raw.where(F.col("resource_type") == resource_type)
+    keyed = rows.select("tenant_id", jstr(F.col("payload"), "login").alias("login"), "fetched_at", "id").withColumn("_ok", F.col("login").isNotNull())
+    return latest_landed(rows, keyed, ["tenant_id", "login"], "_ok").select("tenant_id", "login", "payload")
 
 
 def build_roster(members: DataFrame, profiles: DataFrame, admins: DataFrame) -> DataFrame:

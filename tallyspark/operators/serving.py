@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.jsonx import with_json
 from tallyspark.functions.pgcompat import epoch_seconds, org_repo, revert_title, utc_date
 from tallyspark.operators.ranks import percentiles
-from tallyspark.operators.snapshot import latest_snapshot
+from tallyspark.operators.snapshot import latest_landed
 
 TRUNC = {"daily": "day", "weekly": "week", "monthly": "month"}
 RANGES = {"day": 1, "week": 7, "month": 30, "quarter": 90, "half_year": 182, "year": 365}
@@ -160,9 +160,8 @@ def my_prs(raw, login=None, tenant=None) -> DataFrame:
         if login is not None:
             ok = ok & (g("user.login") == login)
         return [F.col("tenant_id"), g("user.login").alias("author_login"), g("node_id").alias("pr_node_id"),
-                F.col(P), F.col("fetched_at"), F.col("id"), ok.alias("_ok")]
-    rows = with_json(r, P, pre)
-    s = latest_snapshot(rows, ["tenant_id", "author_login", "pr_node_id"], keep="_ok")
+                F.col("fetched_at"), F.col("id"), ok.alias("_ok")]
+    s = latest_landed(r, with_json(r, P, pre), ["tenant_id", "author_login", "pr_node_id"], "_ok")
 
     def build(g):
         created, merged = g("created_at").cast("timestamp"), g("merged_at").cast("timestamp")
@@ -214,10 +213,10 @@ def _latest_reviews(raw, tenant=None):
     df, _ = _scope(raw, tenant)
     r = df.where((F.col("source") == "github") & (F.col("resource_type") == "reviews"))
     rows = with_json(r, P, lambda g: [
-        F.col("tenant_id"), g("node_id").alias("_k"), F.col(P), F.col("fetched_at"), F.col("id"),
+        F.col("tenant_id"), g("node_id").alias("_k"), F.col("fetched_at"), F.col("id"),
         (g("node_id").isNotNull() & g("submitted_at").isNotNull()
          & (F.coalesce(g("state"), F.lit("")) != "PENDING")).alias("_ok")])
-    s = latest_snapshot(rows, ["tenant_id", "_k"], keep="_ok")
+    s = latest_landed(r, rows, ["tenant_id", "_k"], "_ok")
     return with_json(s, P, lambda g: [
         F.col("tenant_id"), g("submitted_at").cast("timestamp").alias("submitted_at"),
         g("user.login").alias("reviewer_login"), g("pull_request_number").cast("int").alias("pull_request_number"),

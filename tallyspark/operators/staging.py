@@ -1,7 +1,7 @@
 """Latest-snapshot staging models over the raw landing table.
 
 Each model: partition-pruning filter on (source, resource_type), the
-pre-filters that must precede the dedupe, ``latest_snapshot`` on
+pre-filters that must precede the dedupe, ``latest_landed`` on
 (tenant_id, natural id) carrying only the payload, then JSON projection.
 Payloads are parsed once per row for the key and pre-filters (before the
 dedupe) and once per surviving key for the projection (after it).
@@ -14,21 +14,20 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.jsonx import has_key, with_json
 from tallyspark.functions.pgcompat import epoch_seconds, org_repo, revert_title
-from tallyspark.operators.snapshot import latest_snapshot
+from tallyspark.operators.snapshot import latest_landed
 
 P = "payload"
 
 
 def _keyed_rows(raw: DataFrame, source: str, resource: str, id_path: str, extra=None) -> DataFrame:
-    """Landed rows of one resource as (tenant_id, _key, payload, fetched_at, id, _ok)."""
+    """Landed rows of one resource as (tenant_id, _key, fetched_at, id, _ok)."""
     r = raw.where((F.col("source") == source) & (F.col("resource_type") == resource))
 
     def build(g):
         ok = g(id_path).isNotNull()
         if extra is not None:
             ok = ok & extra(g)
-        return [F.col("tenant_id"), g(id_path).alias("_key"), F.col(P), F.col("fetched_at"), F.col("id"),
-                ok.alias("_ok")]
+        return [F.col("tenant_id"), g(id_path).alias("_key"), F.col("fetched_at"), F.col("id"), ok.alias("_ok")]
     return with_json(r, P, build)
 
 
@@ -40,7 +39,8 @@ def _staged(raw: DataFrame, source: str, resource: str, id_path: str, extra=None
     if "_key" in raw.columns:
         return raw
     rows = _keyed_rows(raw, source, resource, id_path, extra)
-    return latest_snapshot(rows, ["tenant_id", "_key"], keep="_ok")
+    landed = raw.where((F.col("source") == source) & (F.col("resource_type") == resource))
+    return latest_landed(landed, rows, ["tenant_id", "_key"], "_ok")
 
 
 def _project(s: DataFrame, key_name: str, build) -> DataFrame:
@@ -224,8 +224,10 @@ def merge_state(state: DataFrame, new_raw: DataFrame, model: str) -> DataFrame:
     tie-break, pre-filters applied to the new rows before they compete)."""
     source, rtype, id_path, pre = STATE_SPECS[model]
     new = _keyed_rows(new_raw, source, rtype, id_path, pre)
-    old = state.select("tenant_id", "_key", P, "fetched_at", "id", F.lit(True).alias("_ok"))
-    return latest_snapshot(old.unionByName(new), ["tenant_id", "_key"], keep="_ok")
+    old = state.select("tenant_id", "_key", "fetched_at", "id", F.lit(True).alias("_ok"))
+    landed = new_raw.where((F.col("source") == source) & (F.col("resource_type") == rtype))
+    both = [d.select("tenant_id", P, "fetched_at", "id") for d in (state, landed)]
+    return latest_landed(both[0].unionByName(both[1]), old.unionByName(new), ["tenant_id", "_key"], "_ok")
 
 
 def stage_from_state(state: DataFrame, model: str) -> DataFrame:

@@ -29,9 +29,20 @@ def test_rolling_window_is_an_explode_not_a_range_join(spark, qs):
     assert "Generate explode(" in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_latest_snapshot_aggregates_partially(spark, qs):
-    plan = _plan(qs["stg_reviews"](spark, SF))
-    assert "partial_max_by" in plan
+@pytest.mark.parametrize("key", ["latest_snapshot", "stg_pull_requests", "stg_reviews", "stg_linear_description_edits",
+                                 "latest_payload_by_login", "srv_me_pr_activity"])
+def test_latest_snapshot_aggregates_numbers_only(spark, qs, key):
+    """Partial hash aggregation of an order number; no payload is sorted before an aggregate or a join."""
+    plan = _plan(qs[key](spark, SF))
+    assert "partial_max(_order" in plan and "SortAggregate" not in plan and "max_by" not in plan
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("key", ["mart_pr_cycle_time", "mart_review_latency", "msr_percentile", "msr_interval_median", "msr_interval_percentile",
+                                 "metric_cycle_time", "metric_cycle_time_p90", "metric_review_latency", "metric_cycle_time_trailing_30d",
+                                 "srv_me_cycle_time", "srv_me_review_latency", "win_rolling_simple", "enrolled_metric", "metric_union"])
+def test_no_percentile_buffers(spark, qs, key):
+    assert "percentile(" not in _plan(qs[key](spark, SF))
 
 
 def test_parquet_scan_is_pruned(spark, qs):
