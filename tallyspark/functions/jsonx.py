@@ -106,10 +106,11 @@ def _access(root: Column, path: str) -> Column:
     return c
 
 
-def with_json(df, col: str, build, alias: str = "_j"):
+def with_json(df, col: str, build, alias: str = "_j", variant: str | None = None):
     """``df.select(*build(get))`` where ``get(path)`` reads the parsed payload.
 
-    ``build`` is called twice: once to record the paths, once for real."""
+    ``build`` is called twice: once to record the paths, once for real. ``variant`` names a column with the payload as
+    a variant, parsed once for all that read it (NULL where the payload is no JSON)."""
     seen: list[str] = []
 
     def record(path):
@@ -117,6 +118,8 @@ def with_json(df, col: str, build, alias: str = "_j"):
         return F.lit(None).cast("string")
     build(record)
     parsed = df.withColumn(alias, F.from_json(F.col(col), _schema(seen)))
+    if variant is not None:
+        parsed = parsed.withColumn(variant, F.try_parse_json(F.col(col)))
     root = F.col(alias)
     return parsed.select(*build(lambda p: _access(root, p)))
 

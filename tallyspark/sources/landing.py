@@ -120,9 +120,13 @@ def _meta(pairs: list[tuple[str, Column]]) -> Column:
     return F.to_json(F.struct(*[v.alias(k) for k, v in pairs]))
 
 
+#: The payload as a variant, parsed once per row.
+STORED = "_stored"
+
+
 def _as_stored(path: str) -> Column:
     """The payload's value as a variant, so numbers and booleans stay what they are; JSON null is NULL."""
-    v = F.try_variant_get(F.try_parse_json(F.col(P)), f"$.{path}", "variant")
+    v = F.try_variant_get(F.col(STORED), f"$.{path}", "variant")
     return F.when(~F.is_variant_null(v), v)
 
 
@@ -178,7 +182,7 @@ def env_github(raw: DataFrame, observed_at: Column | None = None) -> DataFrame:
                   for k in extra_keys]
         return _dp_cols(F.lit("github"), "event", name, F.lit("user"), login, occurred, source_key,
                         _meta(pairs), obs)
-    return with_json(r, P, build)
+    return with_json(r, P, build, variant=STORED)
 
 
 _PERSON = "array<struct<id:string,email:string,displayName:string,name:string>>"
@@ -236,7 +240,7 @@ def env_linear(raw: DataFrame, observed_at: Column | None = None) -> DataFrame:
         # rows without an id yield no datapoint: generate zero rows for them
         # (a Filter here would be pushed below the parse and parse twice)
         return [F.inline_outer(F.when(s("id").isNotNull(), F.array(F.struct(*cols, F.lit(True).alias("_has")))))]
-    return with_json(r, P, build).where(F.col("_has").isNotNull()).drop("_has")
+    return with_json(r, P, build, variant=STORED).where(F.col("_has").isNotNull()).drop("_has")
 
 
 def env_copilot(raw: DataFrame, observed_at: Column | None = None) -> DataFrame:

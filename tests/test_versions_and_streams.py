@@ -99,10 +99,10 @@ def points(spark, items, kind="event"):
 
 def test_a_merge_reads_and_writes_touched_buckets_only(spark, tmp_path):
     path = str(tmp_path / "dp")
-    upsert_datapoints(points(spark, [("a", f"k{i}", 0, i) for i in range(400)] + [("b", f"k{i}", 0, i) for i in range(400)]), path)
+    upsert_datapoints(points(spark, [("a", f"k{i}", 0, i) for i in range(400)] + [("b", f"k{i}", 0, i) for i in range(400)]), path, buckets=32)
     first, old = rows(read_datapoints(spark, path)), files(path)
     batch = points(spark, [("a", "k7", 1, 1000), ("a", "new", 1, 1001)])
-    upsert_datapoints(batch, path)
+    upsert_datapoints(batch, path, buckets=32)
     new = {os.path.dirname(f) for f in files(path) - old}
     assert 1 <= len(new) <= 2 and all("tenant_id=a" in f for f in new)
     touched = {r.bucket for r in datapoint_table(spark, path).read().where("source_key in ('k7', 'new')").collect()}
@@ -110,7 +110,7 @@ def test_a_merge_reads_and_writes_touched_buckets_only(spark, tmp_path):
     assert read.count() < 100
     after = rows(read_datapoints(spark, path))
     assert len(after) == 801 and set(first) < set(after)
-    upsert_datapoints(batch, path)
+    upsert_datapoints(batch, path, buckets=32)
     assert rows(read_datapoints(spark, path)) == after
 
 
