@@ -102,13 +102,15 @@ def percentiles(rows: DataFrame, keys: Sequence[str], value: str, pcts: Sequence
     inside = F.filter(_rank_pairs(pcts, F.col("all_n")), lambda t: (t["r"] >= before) & (t["r"] < F.col("upto")))
     inside = F.transform(inside, lambda t: F.struct(t["i"].alias("i"), (t["r"] - before).alias("r")))
     at = at.withColumn("wanted", inside)
-    null = F.lit(None).cast("double")
-    totals = at.where("first = 1").select(*keys, F.lit(-1).alias("i"), null.alias("v"), F.col("all_n").alias("n"),
-                                          F.col("all_rows").alias("rows"), F.col("all_s").alias("total"))
-    plain = at.where("low = high").select(*keys, F.explode("wanted").alias("t"), "low").select(*keys, F.col("t.i").alias("i"), F.col("low").alias("v"))
+    # the totals stand in each group's first row; a slice with one value gives its ranks at once
+    head = F.when(F.col("first") == 1, F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).cast("long").alias("r"))))
+    known = F.when(F.col("low") == F.col("high"), F.col("wanted"))
+    none = F.array().cast("array<struct<i:int,r:bigint>>")
+    plain = at.select(*keys, "low", "all_n", "all_rows", "all_s", F.explode(F.concat(F.coalesce(head, none), F.coalesce(known, none))).alias("t"))
+    plain = plain.select(*keys, F.col("t.i").alias("i"), F.col("low").alias("v"), F.col("all_n").alias("n"),
+                         F.col("all_rows").alias("rows"), F.col("all_s").alias("total"))
     dense = at.where("low < high AND size(wanted) > 0").select(*keys, "slice", "wanted")
-    picked = plain.unionByName(_within(dense, freq, keys))
-    return _interpolated(totals.unionByName(picked, allowMissingColumns=True), keys, pcts)
+    return _interpolated(plain.unionByName(_within(dense, freq, keys), allowMissingColumns=True), keys, pcts)
 
 
 def _slide(keys: Sequence[str], schema: T.StructType, pcts: Sequence[float], days: int, monday: bool, first: int, last: int):

@@ -7,9 +7,12 @@ rows and writes the same slices.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.session import intermediates, written
 from tallyspark.sources.landing import EVENT_KEY, MEASURE_KEY, dp_event_first_wins, dp_measure_newest_wins
 from tallyspark.sources.versions import VersionedTable
 
@@ -31,6 +34,11 @@ def upsert_datapoints(incoming: DataFrame, path: str, buckets: int = BUCKETS) ->
     """Merge a batch: new event keys are added, measurements replaced by strictly newer ones. Returns the version.
 
     ``buckets`` must stay the same for a table. Rows of other kinds are an error."""
+    with intermediates():
+        return _merge(written(incoming, "datapoints"), path, buckets)
+
+
+def _merge(incoming: DataFrame, path: str, buckets: int) -> int:
     table = datapoint_table(incoming.sparkSession, path)
     inc = incoming.withColumn("bucket", _bucket(buckets))
     touched = {(r.kind, r.tenant_id, str(r.bucket)) for r in inc.select(*LAYOUT).distinct().collect()}
@@ -40,8 +48,9 @@ def upsert_datapoints(incoming: DataFrame, path: str, buckets: int = BUCKETS) ->
     found = table.read(covers) if table.manifest()["number"] else incoming.sparkSession.createDataFrame([], inc.schema)
     found = found.select(*incoming.columns)
     kind = lambda d, k: d.where(F.col("kind") == k)
-    merged = dp_event_first_wins(kind(found, "event"), kind(incoming, "event")).unionByName(
-        dp_measure_newest_wins(kind(found, "measurement"), kind(incoming, "measurement")))
+    ways = {"event": dp_event_first_wins, "measurement": dp_measure_newest_wins}
+    parts = [way(kind(found, k), kind(incoming, k)) for k, way in ways.items() if any(t[0] == k for t in touched)]
+    merged = reduce(DataFrame.unionByName, parts, found.where("false"))
     return table.replace(merged.withColumn("bucket", _bucket(buckets)), covers)
 
 
