@@ -21,18 +21,55 @@ from bisect import bisect_left, insort
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import saved
+from tallyspark.llm.phrases import span_hashes
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids each Python worker keeps (twice: new ones, and those before), code points looked up at a
-#: time, and words of letters tokenized in one string.
-CACHE_WORDS, BATCH_CHARS, JOINED = 400_000, 1_000_000, 2000
+#: Words whose ids each Python worker keeps, code points looked up at a time, and words of letters tokenized in one
+#: string.
+CACHE_WORDS, BATCH_CHARS, JOINED = 600_000, 2_000_000, 2000
+
+
+class _Bank:
+    """Ids of runs seen, by the runs' hashes; of too many, those seen in one batch only go first."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[int, int] = {}
+        self.one = self.other = np.zeros(0, np.uint64)
+        self.begin = self.size = self.seen = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def trim(self, most: int) -> None:
+        """Keep at most half of ``most`` runs, those seen in most batches."""
+        keep = np.sort(np.argsort(-self.seen, kind="stable")[: most // 2])
+        keep = keep[self.seen[keep] > 1]
+        size, begin = self.size[keep], self.begin[keep]
+        start = np.cumsum(size) - size
+        self.ids = self.ids[np.arange(size.sum()) + np.repeat(begin - start, size)]
+        self.one, self.other, self.size, self.begin = self.one[keep], self.other[keep], size, start
+        self.seen = np.ones(len(keep), np.int64)
+        self.place = dict(zip(self.one.tolist(), range(len(keep))))
+
+    def add(self, one: np.ndarray, two: np.ndarray, ids: list[bytes]) -> np.ndarray:
+        """Places of the new runs."""
+        at = np.arange(len(self.size), len(self.size) + len(ids))
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        self.place.update(zip(one.tolist(), at.tolist()))
+        self.begin = np.append(self.begin, len(self.ids) + np.cumsum(size) - size)
+        self.size, self.one, self.other = np.append(self.size, size), np.append(self.one, one), np.append(self.other, two)
+        self.seen = np.append(self.seen, np.zeros(len(at), np.int64))
+        self.ids = np.append(self.ids, np.frombuffer(b"".join(ids), "<u4"))
+        return at
 
 
 class _Words:
@@ -52,6 +89,7 @@ class _Words:
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
         self.new, self.old = {}, {}
+        self.bank = _Bank()
 
     def _encode(self, words: list[str]) -> None:
         for w, e in zip(words, self.t.encode_batch_fast(words, add_special_tokens=False)):
@@ -119,14 +157,53 @@ def packed_ids(texts: list[str], path: str) -> list[bytes]:
         while hi < len(texts) and (hi == lo or n + len(texts[hi]) <= BATCH_CHARS):
             n += len(texts[hi])
             hi += 1
-        runs = [words.runs(x) for x in texts[lo:hi]]
-        words.learn(set().union(*runs))
-        get = words.new.__getitem__
-        out += [b"".join(map(get, r)) for r in runs]
+        part = texts[lo:hi]
+        out += _by_runs(part, words) if any(map(words.marks.search, part)) else _by_arrays(part, words)
         lo = hi
     return out
 
 
+def _by_runs(texts: list[str], words: _Words) -> list[bytes]:
+    """Run by run: for texts with special tokens."""
+    runs = [words.runs(x) for x in texts]
+    words.learn(set().union(*runs))
+    get = words.new.__getitem__
+    return [b"".join(map(get, r)) for r in runs]
+
+
+def _by_arrays(texts: list[str], words: _Words) -> list[bytes]:
+    """The same for texts without special tokens: equal runs are found by their hashes, and only distinct ones become strings."""
+    raw = [(x.lower() if x.isascii() else x).encode() for x in texts]
+    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    inside = (data != 0x20) & (data != 0x0A)
+    edge = np.flatnonzero(np.diff(inside, prepend=False))
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
+        return [b""] * len(texts)
+    one, two = span_hashes(data, start, end)
+    code, kinds = pd.factorize(one)
+    first = np.empty(len(kinds), np.int64)
+    first[code[::-1]] = np.arange(len(code))[::-1]
+    bank = words.bank
+    if len(bank.place) > CACHE_WORDS:
+        bank.trim(CACHE_WORDS)
+    at = np.array([bank.place.get(k, -1) for k in kinds.tolist()], np.int64)
+    if (two[first[code]] != two).any() or (bank.other[at[at >= 0]] != two[first[at >= 0]]).any():
+        return _by_runs(texts, words)
+    fresh = np.flatnonzero(at < 0)
+    names = [data[a:z].tobytes().decode() for a, z in zip(start[first[fresh]].tolist(), end[first[fresh]].tolist())]
+    words.learn(set(names))
+    at[fresh] = bank.add(kinds[fresh], two[first[fresh]], [words.new[w] for w in names])
+    words.new.clear()
+    bank.seen[at] += 1
+    each, begin = bank.size[at][code], bank.begin[at][code]
+    upto = np.append(0, np.cumsum(each))
+    got = bank.ids[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], each)]
+    ends = np.cumsum([len(x) + 1 for x in raw])
+    cut = upto[np.searchsorted(start, np.append(0, ends))].tolist()
+    return [got[a:z].tobytes() for a, z in zip(cut, cut[1:])]
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` for every row of ``docs(doc_id, text)``."""
     end = np.array([END_ID], "<u4").tobytes()

@@ -78,6 +78,16 @@ def _first_powers(base: int, n: int) -> np.ndarray:
     return _powers(base, 1 << max(20, (n - 1).bit_length()))[:n]
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each run of bytes."""
+    return span_hash(data, start, end, 0), span_hash(data, start, end, 1)
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, h: int) -> np.ndarray:
+    sums = np.append(np.uint64(0), np.cumsum(_RANDOM[h][data] * _first_powers(_BASE[h], len(data)), dtype=np.uint64))
+    return _mix((sums[end] - sums[start]) * _first_powers(_INVERSE[h], len(data) + 1)[start] + (end - start).astype(np.uint64) * _A)
+
+
 class Words:
     """The words of a batch of texts: places in the lower-cased bytes, neighbours in the same piece, hashes of phrases."""
 
@@ -113,9 +123,7 @@ class Words:
     def _words(self, h: int) -> np.ndarray:
         """Hash h of every word."""
         if h not in self._single:
-            n = len(self.low)
-            sums = np.append(np.uint64(0), np.cumsum(_RANDOM[h][self.low] * _first_powers(_BASE[h], n), dtype=np.uint64))
-            self._single[h] = _mix((sums[self.end] - sums[self.start]) * _first_powers(_INVERSE[h], n + 1)[self.start] + (self.end - self.start).astype(np.uint64) * _A)
+            self._single[h] = span_hash(self.low, self.start, self.end, h)
         return self._single[h]
 
     def ids(self, h: int, k: int, at: np.ndarray) -> np.ndarray:
