@@ -6,9 +6,11 @@ share a long prefix stand side by side, and a place where many texts agree is si
 
 Candidates of a tree are neighbours by longest common prefix, among texts that share at least DEPTH values (a
 region). In a large region every text also meets the region's centres, the texts nearest to its bitwise
-consensus: copies of one source need not resemble one another, only the source. Packed signatures discard
-pairs that are far from the threshold; the rest is confirmed on full shingle sets, first the best pair of each
-component (a few rounds), then all that still join different components.
+consensus: copies of one source need not resemble one another, only the source. Packed signatures, which travel
+with the places, discard pairs that are far from the threshold at once; of the neighbours and of the centres that
+a text meets in large regions of all trees, only the likest goes on. So a text of a hot group has a few candidates,
+not a few per tree. They are confirmed on full shingle sets, first the best pair of each component (a few rounds),
+then all that still join different components.
 
 After that a region counts as done if its texts are in one component. In the others every pair of texts of
 different components is compared by signature, in cells of bounded size; texts with a possible partner get a
@@ -129,16 +131,17 @@ def sketches(classes: DataFrame) -> DataFrame:
 
 
 def forest(classes: DataFrame) -> DataFrame:
-    """``region, further, id, next_id``: places in the trees that share a prefix of DEPTH values with a neighbour.
+    """``region, id, next_id, near``: places in the trees that share a prefix of DEPTH values with a neighbour.
 
     Sorting by range puts a tree's order into task order, whatever the size of a region. ``next_id`` is the
-    following text of the same region; the first and last place of a task stay even if they seem alone."""
+    following text of the same region, ``near`` its estimated similarity; the first and last place of a task stay even if they seem alone."""
 
     def trees(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             sig = _signatures(b.column("sig"))
+            sketch = [x.tobytes() for x in _sketch(sig)] * TREES
             ids = np.tile(b.column("id").to_numpy(), TREES)
             regions, further = [], []
             for t in range(TREES):
@@ -148,47 +151,68 @@ def forest(classes: DataFrame) -> DataFrame:
                     x = _mix(x + own[:, j].astype(np.uint64) * _POWERS[1])
                 regions.append(x)
                 further += [r.tobytes() for r in own[:, DEPTH:].astype(">u4")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(regions).view(np.int64)), pa.array(further, pa.binary()), pa.array(ids)], names=["region", "further", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(regions).view(np.int64)), pa.array(further, pa.binary()), pa.array(ids), pa.array(sketch, pa.binary())], names=["region", "further", "id", "sketch"])
 
     def neighbours(batches):
         held = None  # the last row so far: it may have a neighbour in the next batch
         first = True
 
         def out(rows, alone_ok):
-            region, further, ids = rows
+            region, sketch, ids = rows
             same = region[:-1] == region[1:]
             keep = np.concatenate([[alone_ok], same]) | np.concatenate([same, [False]])
+            near = np.append(_likeness(sketch[1:] ^ sketch[:-1]), 0.0)
             nxt = pa.array([int(y) if s else None for s, y in zip(same, ids[1:])] + [None], pa.int64())
-            return keep, pa.RecordBatch.from_arrays([pa.array(region), pa.array(further, pa.binary()), pa.array(ids), nxt], names=["region", "further", "id", "next_id"])
+            return keep, pa.RecordBatch.from_arrays([pa.array(region), pa.array(ids), nxt, pa.array(near)], names=["region", "id", "next_id", "near"])
 
         joined = False  # whether the held row already has a neighbour before it
         for b in batches:
             if not b.num_rows:
                 continue
-            region, further, ids = b.column("region").to_numpy(), b.column("further").to_pylist(), b.column("id").to_numpy()
+            region, ids = b.column("region").to_numpy(), b.column("id").to_numpy()
+            sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(b.num_rows, -1)
             if held is not None:
-                region, further, ids = np.append(held[0], region), held[1] + further, np.append(held[2], ids)
-            keep, made = out((region, further, ids), first or joined)
+                region, sketch, ids = np.append(held[0], region), np.vstack([held[1], sketch]), np.append(held[2], ids)
+            keep, made = out((region, sketch, ids), first or joined)
             first = False
             joined = bool(len(region) > 1 and region[-1] == region[-2]) or len(region) == 1 and bool(keep[0])
-            held = (region[-1:], further[-1:], ids[-1:])
+            held = (region[-1:], sketch[-1:], ids[-1:])
             k = np.flatnonzero(keep[:-1])
             if len(k):
                 yield made.take(pa.array(k))
         if held is not None:  # the last place of a task stays
             yield out(held, True)[1]
 
-    places = classes.select("id", "sig").mapInArrow(trees, "region long, further binary, id long")
+    places = classes.select("id", "sig").mapInArrow(trees, "region long, further binary, id long, sketch binary")
     places = places.repartitionByRange("region", "further", "id").sortWithinPartitions("region", "further", "id")
-    return places.mapInArrow(neighbours, "region long, further binary, id long, next_id long")
+    return places.mapInArrow(neighbours, "region long, id long, next_id long, near double")
 
 
-def centre_pairs(places: DataFrame, sketch: DataFrame) -> DataFrame:
-    """``a, b``: each text of a large region with the region's centres.
+def large_regions(places: DataFrame) -> DataFrame:
+    return places.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE).select("region")
+
+
+def _likest(pairs: DataFrame) -> DataFrame:
+    """``a, b, near``: of ``pairs(id, other, near)`` the likest of each id, ties to the smaller other."""
+    best = F.max(F.struct("near", (-F.col("other")).alias("minus"))).alias("m")
+    d = pairs.groupBy("id").agg(best).select("id", (-F.col("m.minus")).alias("other"), F.col("m.near").alias("near"))
+    return d.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "near")
+
+
+def neighbour_pairs(places: DataFrame, large: DataFrame) -> DataFrame:
+    """``a, b, near``: all likely neighbours of small regions, and each text's likest of the large ones."""
+    d = places.where(F.col("next_id").isNotNull() & (F.col("id") != F.col("next_id")) & (F.col("near") >= LEAST)).select("region", "id", F.col("next_id").alias("other"), "near")
+    d = d.join(large.withColumn("is_large", F.lit(True)), "region", "left")
+    small = d.where("is_large IS NULL").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "near")
+    hot = d.where("is_large")
+    return small.unionByName(_likest(hot.select("id", "other", "near").unionByName(hot.select(F.col("other").alias("id"), F.col("id").alias("other"), "near"))))
+
+
+def centre_pairs(places: DataFrame, large: DataFrame, sketch: DataFrame) -> DataFrame:
+    """``a, b, near``: each text of large regions with the likest of all their centres.
 
     The consensus of a region sums one bit of each value over its texts; tasks sum before the shuffle. Three
     shares of the region name the text nearest to it, so no region is gathered."""
-    large = places.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE).select("region")
     rows = places.select("region", "id").join(large, "region").join(sketch, "id")
     # In region order, so that a task has few regions and its sums are few rows, and a large region has several tasks.
     rows = saved(rows.repartitionByRange("region", "id").sortWithinPartitions("region"), "neardup-large")
@@ -230,28 +254,21 @@ def centre_pairs(places: DataFrame, sketch: DataFrame) -> DataFrame:
                 near = _likeness(x[0] ^ x[1])
                 yield pa.RecordBatch.from_arrays([b.column("region"), b.column("id"), pa.array(near, pa.float64())], names=["region", "id", "near"])
 
+    def meet(batches):
+        for b in batches:
+            if b.num_rows:
+                x = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("sketch", "of")]
+                near = _likeness(x[0] ^ x[1])
+                k = np.flatnonzero(near >= LEAST)
+                if len(k):
+                    yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(k)), b.column("centre").take(pa.array(k)), pa.array(near[k], pa.float64())], names=["id", "other", "near"])
+
     near = rows.join(consensus, "region").mapInArrow(distance, "region long, id long, near double")
     best = F.max(F.struct("near", (-F.col("id")).alias("minus")))
     centres = near.groupBy("region", F.pmod(F.xxhash64("id"), F.lit(3)).alias("share")).agg(best.alias("best")).select("region", (-F.col("best.minus")).alias("centre"))
-    pairs = rows.select("region", "id").join(centres, "region").where("id <> centre")
-    return pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
-
-
-def estimated(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
-    """``a, b, near`` of the distinct ``pairs(a, b)`` whose estimated similarity is at least LEAST."""
-
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("sa", "sb")]
-            near = _likeness(x[0] ^ x[1])
-            k = np.flatnonzero(near >= LEAST)
-            if len(k):
-                yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(k)), b.column("b").take(pa.array(k)), pa.array(near[k], pa.float64())], names=["a", "b", "near"])
-
-    d = pairs.distinct().join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
-    return d.join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b").mapInArrow(run, "a long, b long, near double")
+    centres = centres.join(sketch.select(F.col("id").alias("centre"), F.col("sketch").alias("of")), "centre")
+    pairs = rows.join(centres, "region").where("id <> centre")
+    return _likest(pairs.select("id", "centre", "sketch", "of").mapInArrow(meet, "id long, other long, near double"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -445,8 +462,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = saved(reps.select("id", "digest", "sig").dropDuplicates(["id", "digest"]), "neardup-classes")
     sketch = saved(sketches(reps).dropDuplicates(["id"]), "neardup-sketches")
     places = saved(forest(reps), "neardup-places")
-    near = places.where("next_id is not null and id <> next_id").select(F.least("id", "next_id").alias("a"), F.greatest("id", "next_id").alias("b"))
-    pairs = saved(estimated(near.unionByName(centre_pairs(places, sketch)), sketch), "neardup-candidates")
+    large = saved(large_regions(places), "neardup-regions")
+    pairs = saved(neighbour_pairs(places, large).unionByName(centre_pairs(places, large, sketch)).dropDuplicates(["a", "b"]), "neardup-candidates")
     # Rows of one id are one document, whatever their texts.
     twice = linked.join(classes, "digest").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     many = linked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("doc_id").alias("a"))

@@ -35,5 +35,5 @@ def test_pipeline_stages_follow_one_another(spark, tmp_path):
 def test_entry_lists_the_queries():
     import __spark_entry__
     names = set(__spark_entry__.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {x.split("_")[0] + "_" for x in names if x[:2] == "op" and x[2].isdigit()} and "pipeline" in names
-    assert "op6_exact_topk" in __spark_entry__.oracle_sql()
+    assert {f"op{n}_" for n in range(1, 14)} == {x.split("_")[0] + "_" for x in names if x[:2] == "op" and x[2].isdigit()} and "pipeline" in names
+    assert {"op6_exact_topk", "op11_ranked_search", "op13_phrase_mining"} <= set(__spark_entry__.oracle_sql())
