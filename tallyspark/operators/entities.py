@@ -1,11 +1,10 @@
 """Canonical entities.
 
-First review per PR joins reviews on (tenant, PR number) with a null-safe repo
-match and "reviewer is not the author". Reviews are first collapsed to one row
+First review per PR joins reviews on (tenant, PR number, repo), the repo being
+equal or NULL on both sides, where the reviewer is not the author. Reviews are first collapsed to one row
 per (tenant, repo, PR number, reviewer) with (min submitted_at, count): a PR
 with a huge review thread shuffles one row per distinct reviewer, not one per
-review. The join keys are (tenant_id, pr_number) only, so the following
-aggregation per PR reuses the join's partitioning (no second shuffle).
+review.
 """
 
 from __future__ import annotations

@@ -1,4 +1,6 @@
-"""H1-H9: the shipped standard metrics, written out flat (no inheritance)."""
+"""H1-H9: the shipped standard metrics, written out flat (no inheritance).
+
+Fixed values: names, filters, grains and windows of the metrics below."""
 
 from __future__ import annotations
 
