@@ -4,8 +4,8 @@ Every document of a source has the same expected number of copies, target / sour
 sure, the fraction is rounded. Two documents at a time trade words (one gains what the other loses, in a
 random direction that keeps both expectations) until one of them has a whole number. Buckets of a source do
 so side by side; the one open document that each leaves goes up a reduction tree, and only the last open
-document of a source is rounded on its own. Trades go from long documents to short ones, so the last one open
-is short as a rule. A source misses its target by half of that document at most.
+document of a source is rounded on its own. A trade is bounded by the shorter document, so the one left open may be long; a
+source misses its target by that document's size at most.
 
 Buckets come from hashes and the random numbers from the bucket's name, so reruns agree whatever the
 partitioning. A source with any share of all rows is cut into buckets of about ``bucket_rows`` rows.

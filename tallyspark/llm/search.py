@@ -4,7 +4,8 @@ Vectors are put in an order in which neighbours look alike (signs of fixed rando
 blocks, each with its forward index (the integer components of its rows) and the largest and smallest value
 of every component. A block's bound for a query is the sum over components of the larger product with those
 two. Each query visits blocks by falling bound and stops once the bound is below its k-th best score; its
-first k-th score comes from the block that it stands in itself, so most blocks of other regions never count.
+first k-th score comes from the block that it stands in itself, so blocks of far regions need not be visited;
+on vectors without clusters every block may be.
 
 The stated queries meet all rows in cells of a bounded number of queries and blocks; a cell is one task's
 work, and each returns at most k rows per query to the final merge.
