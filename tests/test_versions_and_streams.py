@@ -160,3 +160,26 @@ def test_landing_stream_upserts_datapoints(spark, tmp_path):
     assert spark.read.parquet(raw).count() == 4 and len(first) == 3
     L.stream_land(stream, "github", raw, dp, str(tmp_path / "ck2")).awaitTermination()
     assert rows(read_datapoints(spark, dp)) == first and spark.read.parquet(raw).count() == 4
+
+
+def test_open_days_and_undated_rows_are_counted_too(spark, tmp_path):
+    from tallyq.registry import QUERIES
+    at = [dt.datetime(2026, 1, 1, 1), dt.datetime(2026, 1, 1, 5), dt.datetime(2026, 1, 8, 9), None, None]
+    spark.createDataFrame([(i, t, 4, "view", 1.0, '{"k": 1}') for i, t in enumerate(at)],
+                          "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string") \
+        .coalesce(1).write.parquet(str(tmp_path / "made"))
+    (made,) = (tmp_path / "made").glob("*.parquet")
+    made.rename(tmp_path / "events.parquet")
+    got = QUERIES["stream_daily_counts"](spark, str(tmp_path)).collect()
+    assert {r.activity_date: r.n for r in got} == {dt.date(2026, 1, 1): 2, dt.date(2026, 1, 8): 1, None: 2}
+    assert {(r.tenant_id, r.event_type) for r in got} == {("t0", "view")} and len(got) == 3
+
+
+def test_counts_table_replaces_changed_days(spark, tmp_path):
+    day = lambda d, h=1: dt.datetime(2026, 1, d, h)
+    batches = [spark.createDataFrame([("t", x) for x in b], "tenant_id string, ts timestamp") for b in (
+        [day(1), day(2)], [day(1, 9), day(2, 3), day(3)], [day(3, 2)])]
+    counts = L.stream_daily_counts(feed(spark, str(tmp_path / "in"), batches), "ts", ["tenant_id"])
+    L.write_counts(counts, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = {r.activity_date.day: r.n for r in L.count_table(spark, str(tmp_path / "out")).read().collect()}
+    assert got == {1: 2, 2: 2, 3: 2}
