@@ -33,3 +33,25 @@ def test_events_of_one_row_group_make_many_tasks(spark, events):
     base = FX.event_base(spark, events)
     assert base.count() == 200
     assert base.groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def test_winners_ids_need_no_metadata_and_no_sort(spark, events):
+    raw = FX.fx_raw_all(spark, events)
+    for envelope in (A.env_github, A.env_linear):
+        ev = envelope(raw)
+        won = A.dp_event_first_wins(ev.where("false"), ev)
+        plan = _plan(won.select("kind", "source", "raw_record_id").groupBy("kind", "source").agg(F.count("raw_record_id")))
+        assert "parse_json" not in plan and "SortAggregate" not in plan, envelope.__name__
+        whole, few = won.collect(), won.select("raw_record_id").collect()
+        assert sorted(r.raw_record_id for r in whole) == sorted(r.raw_record_id for r in few) and whole[0].metadata
+
+
+def test_first_wins_by_time_then_id_with_null_times_first(spark):
+    at = lambda d: dt.datetime(2026, 1, d)
+    rows = [("t", "s", "a", "event", at(2), 5, "late"), ("t", "s", "a", "event", at(1), 9, "x"), ("t", "s", "a", "event", at(1), 7, "first"),
+            ("t", "s", "b", "event", at(1), 1, "dated"), ("t", "s", "b", "event", None, 8, "undated"), (None, "s", None, "event", at(1), None, "no id"),
+            (None, "s", None, "event", at(1), 3, "id"), ("t", "s", "c", "measurement", at(1), 4, "other")]
+    schema = "tenant_id string, source string, source_key string, kind string, observed_at timestamp, raw_record_id long, metadata string"
+    df = spark.createDataFrame(rows, schema)
+    got = {(r.source_key, r.raw_record_id, r.metadata, r.kind) for r in A.dp_event_first_wins(df.where("false"), df).collect()}
+    assert got == {("a", 7, "first", "event"), ("b", 8, "undated", "event"), (None, None, "no id", "event")}
