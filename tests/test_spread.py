@@ -55,3 +55,15 @@ def test_first_wins_by_time_then_id_with_null_times_first(spark):
     df = spark.createDataFrame(rows, schema)
     got = {(r.source_key, r.raw_record_id, r.metadata, r.kind) for r in A.dp_event_first_wins(df.where("false"), df).collect()}
     assert got == {("a", 7, "first", "event"), ("b", 8, "undated", "event"), (None, None, "no id", "event")}
+
+
+def test_stream_input_is_written_by_all_tasks_one_micro_batch_each(spark, tmp_path):
+    parts = [spark.range(0, 60, 1, 3), spark.range(60, 70, 1, 2), spark.range(0, 5, 1, 2)]
+    seen = []
+
+    def start(stream):
+        return (stream.writeStream.foreachBatch(lambda b, i: seen.append((i, sorted(r.id for r in b.collect()))))
+                .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    last = R._in_turns(spark, parts, "turns", start)
+    assert seen == [(i, sorted(r.id for r in p.collect())) for i, p in enumerate(parts)]
+    assert len(spark.read.parquet(last).inputFiles()) == 2 and spark.read.parquet(last).count() == 5
