@@ -67,3 +67,9 @@ def test_stream_input_is_written_by_all_tasks_one_micro_batch_each(spark, tmp_pa
     last = R._in_turns(spark, parts, "turns", start)
     assert seen == [(i, sorted(r.id for r in p.collect())) for i, p in enumerate(parts)]
     assert len(spark.read.parquet(last).inputFiles()) == 2 and spark.read.parquet(last).count() == 5
+
+
+def test_merged_shuffle_partitions_stay_small(spark):
+    apply_core_conf(spark)
+    assert spark._jsparkSession.sessionState().conf().getConf(
+        spark._jvm.org.apache.spark.sql.internal.SQLConf.ADVISORY_PARTITION_SIZE_IN_BYTES()) <= 16 << 20
