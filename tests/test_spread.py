@@ -73,3 +73,15 @@ def test_merged_shuffle_partitions_stay_small(spark):
     apply_core_conf(spark)
     assert spark._jsparkSession.sessionState().conf().getConf(
         spark._jvm.org.apache.spark.sql.internal.SQLConf.ADVISORY_PARTITION_SIZE_IN_BYTES()) <= 16 << 20
+
+
+def test_orders_are_grouped_after_lines_are_dealt(spark, tmp_path):
+    d = dt.date(2024, 1, 1)
+    _one_file(spark.createDataFrame([(i % 50, i % 7, d) for i in range(300)], "l_orderkey long, l_partkey long, l_shipdate date"), tmp_path, "lineitem")
+    _one_file(spark.createDataFrame([(i, "economy") for i in range(7)], "p_partkey long, p_type string"), tmp_path, "part")
+    _one_file(spark.createDataFrame([(i, 1, "F", d, "5-LOW") for i in range(50)],
+                                    "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate date, o_orderpriority string"), tmp_path, "orders")
+    _one_file(spark.createDataFrame([(1, 3)], "c_custkey long, c_nationkey long"), tmp_path, "customer")
+    prs = FX.fx_pr(spark, str(tmp_path))
+    assert prs.where("merged_at IS NOT NULL").count() == 50
+    assert "REPARTITION_BY_COL" in _plan(prs.select("pr_number", "merged_at"))
