@@ -3,12 +3,13 @@
 A byte goes if a string of ``SPAN`` bytes that covers it also starts in a document with a smaller id.
 
 Which places can matter is settled first, by content. Of the ``GRAM``-byte strings in each window of SPAN bytes the one
-with the least hash is the window's anchor, so equal windows have equal anchors at the same offset. An anchor's context
-is all that the windows through it can hold. Anchors that only one document holds are done (short hashes go out, bits
-come back). Contexts of the others go by anchor to buckets, one entry per chunk of texts: equal
+whose first 8 bytes have the least hash is the window's anchor, so equal windows have equal anchors at the same offset. An
+anchor's windows follow each other; its context is all that they can hold. Anchors that only one document holds are done
+(short hashes go out, bits come back). Contexts of the others go by anchor to buckets, one entry per chunk of texts: equal
 contexts are equal windows, of which all but those of the smallest document go at once (copies, however many, collapse
-here), and anchors that have one context only are done. What is left are the places where an anchor stands in different
-contexts; the windows there, in the smallest document of each context, are the text that is suffix-sorted.
+here; they are kept as runs, so that the last pass over the texts hashes nothing), and anchors that have one context only
+are done. What is left are the places where an anchor stands in different contexts; the windows there, in the smallest
+document of each context, are the text that is suffix-sorted.
 
 The sort is the difference-cover algorithm with the cover {1, 2} modulo 3. Positions i with i mod 3 in the cover are
 sampled. Triples of 8-byte words at sampled positions are sorted over the cluster and named by rank. The recursion sorts
@@ -17,7 +18,8 @@ prefixes of SPAN = 50 bytes are compared. The remaining positions are merged by
 of another class reach sampled positions by the same shift, so a byte or two and a rank are a comparable key of exactly
 50 bytes. In each of the three merges (classes 0 and 1 by shift 1, 0 and 2 by shift 2, 1 and 2 by shift 0) equal
 prefixes stand together, and their smallest document is found; a window goes if either of its two merges has a smaller.
-Names, ranks and merges are aggregates of distinct keys per chunk, so a string that stands everywhere is one row a chunk.
+Names, ranks and merges are aggregates of distinct keys per chunk, so a string that stands everywhere is one row a chunk;
+a chunk only deals them to ranges, in which they are sorted.
 
 Places are looked up by 64-bit hashes of contexts within an anchor's 64-bit hash.
 
@@ -30,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import forget, saved, short_batches
-from tallyspark.llm.phrases import _BASE, _INVERSE, _RANDOM, _first_powers, _mix
+from tallyspark.llm.phrases import _A, _mix
 
 #: Bytes of a compared string, of an anchor; anchors to choose from in a window.
 SPAN, GRAM = 50, 36
@@ -49,7 +52,11 @@ TRIPLE, COVER = 24, 3
 #: Chunks and keys of each that range bounds are taken from.
 SAMPLE_CHUNKS, SAMPLE_KEYS = 64, 256
 NO_ID = np.iinfo(np.int64).max
+#: Places that are worked on at a time.
+BLOCK = 1 << 15
 _L, _R = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_AROUND = -(-(CHOICE - 1 + SPAN) // 8) * 8
+_NUMBERS = np.arange(BLOCK + CHOICE - 1, dtype=np.uint64)
 
 CHUNKS = "chunk long, ids binary, sizes binary, data binary"
 
@@ -89,46 +96,83 @@ def chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
 
 
 class Chunk:
-    """Windows of a chunk's texts: where they start, the anchor of each, the hashes of anchors and contexts."""
+    """Anchors of a chunk's texts, ascending: their places, documents, windows (all from first to last), hashes and contexts."""
 
     def __init__(self, ids: bytes, sizes: bytes, data: bytes):
         self.ids, self.sizes, self.data = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64), np.frombuffer(data, np.uint8)
         self.ends = np.cumsum(self.sizes)
         n = len(self.data)
+        #: The texts between zeros, so that what is read around a place lies in the array.
+        self._padded = np.zeros(CHOICE - 1 + n + _AROUND, np.uint8)
+        self._padded[CHOICE - 1 : CHOICE - 1 + n] = self.data
         starts = np.zeros(n, bool)
-        for e, s in zip(self.ends, self.sizes):
+        for e, s in zip(self.ends.tolist(), self.sizes.tolist()):
             starts[e - s : max(e - s, e - SPAN + 1)] = True
-        self.start = np.flatnonzero(starts)
-        if not len(self.start):
-            self.place = self.doc = np.zeros(0, np.int64)
-            self.owner = self.place
-            self.anchor = self.context = np.zeros(0, np.uint64)
-            return
-        sums = [np.append(np.uint64(0), np.cumsum(_RANDOM[h][self.data] * _first_powers(_BASE[h], n), dtype=np.uint64)) for h in range(2)]
-        inverse = [_first_powers(_INVERSE[h], n + 1) for h in range(2)]
-        gram = _mix((sums[0][GRAM:] - sums[0][: n + 1 - GRAM]) * inverse[0][: n + 1 - GRAM])
-        # the least hash wins, then the first place: both in one number
-        least = (gram & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(gram), dtype=np.uint64)
-        width = 1
-        while width < CHOICE:
-            step = min(width, CHOICE - width)
-            least = np.minimum(least[:-step], least[step:])
-            width += step
-        chosen = (least[self.start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        #: place: the anchors, ascending (a later window never has an earlier one); owner: of each window, the number of its anchor.
-        new = np.append(True, chosen[1:] != chosen[:-1])
-        self.place, self.owner = chosen[new], np.cumsum(new) - 1
-        self.doc = np.searchsorted(self.ends, self.place, "right")
-        low = np.maximum(self.place - CHOICE + 1, (self.ends - self.sizes)[self.doc])
-        high = np.minimum(self.place + SPAN, self.ends[self.doc])
-        self.anchor = gram[self.place]
-        edges = (self.place - low).astype(np.uint64) * _L + (high - self.place).astype(np.uint64) * _R
-        self.context = _mix((sums[1][high] - sums[1][low]) * inverse[1][low] + edges) ^ self.anchor
-
-    @property
-    def id(self) -> np.ndarray:
-        """The document id of each anchor."""
-        return self.ids[self.doc]
+        places, firsts, before = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], -1
+        for at in range(0, n, BLOCK):  # parts that stay in a core's cache
+            use = starts[at : at + BLOCK]
+            if not use.any():
+                continue
+            least = _words(self._padded[CHOICE - 1 + at :], len(use) + CHOICE - 1) * _A
+            # the least hash wins, then the first place: both in one number
+            least &= np.uint64(0xFFFFFFFF00000000)
+            least |= _NUMBERS[: len(least)]
+            width = 1
+            while width < CHOICE:
+                step = min(width, CHOICE - width)
+                least = np.minimum(least[:-step], least[step:])
+                width += step
+            window = None if use.all() else np.flatnonzero(use)
+            chosen = least if window is None else least[window]
+            cut = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1]))
+            place = (chosen[cut] & np.uint64(0xFFFFFFFF)).astype(np.int64) + at
+            if place[0] == before:
+                cut, place = cut[1:], place[1:]
+            before = place[-1] if len(place) else before
+            places.append(place)
+            firsts.append((cut if window is None else window[cut]) + at)
+        # a later window never has an earlier anchor
+        self.place, self.first = np.concatenate(places), np.concatenate(firsts)
+        self.doc = np.repeat(np.arange(len(self.ends)), np.diff(np.searchsorted(self.place, self.ends), prepend=0))
+        self.last = np.minimum(np.append(self.first[1:], n)[: len(self.place)] - 1, self.ends[self.doc] - SPAN)
+        self.id = self.ids[self.doc]
+
+    @cached_property
+    def anchor(self) -> np.ndarray:
+        """The hash of each anchor's bytes."""
+        words = _rows(self._padded, self.place + CHOICE - 1, -(-GRAM // 8))
+        words[-1] &= np.uint64((1 << 8 * (GRAM - 8 * (len(words) - 1))) - 1)
+        return _hash(words, np.full(len(self.place), _L))
+
+    @cached_property
+    def context(self) -> np.ndarray:
+        """The hash of all that the windows through each anchor can hold: the bytes around it, as far as its text goes."""
+        words = _rows(self._padded, self.place, _AROUND // 8)
+        left = np.maximum(CHOICE - 1 - self.place + (self.ends - self.sizes)[self.doc], 0)
+        right = np.maximum(self.place + SPAN - self.ends[self.doc], 0)
+        at = np.flatnonzero(left + right)
+        j = np.arange(_AROUND)
+        inside = (j >= left[at, None]) & (j < CHOICE - 1 + SPAN - right[at, None])
+        words[:, at] = (np.ascontiguousarray(words[:, at].T).view(np.uint8) * inside).view(np.uint64).T
+        return _hash(words, left.astype(np.uint64) * _L + right.astype(np.uint64) * _R)
+
+
+def _words(data: np.ndarray, n: int) -> np.ndarray:
+    """The 8-byte words at the first n places."""
+    return np.ndarray(n, "<u8", data, strides=(1,))
+
+
+def _rows(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """From each place n words, one below the other."""
+    every = np.ndarray(len(data) - 8 * n + 1, f"V{8 * n}", data, strides=(1,))
+    return np.ascontiguousarray(every[at].view("<u8").reshape(-1, n).T)
+
+
+def _hash(words: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each column, word by word from a state."""
+    for w in words:
+        state = _mix(state ^ w)
+    return state
 
 
 def _short(ids: np.ndarray) -> tuple[int, np.ndarray]:
@@ -195,6 +239,13 @@ def _share(seen: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch(SEEN, bucket, chunk, [b""] * len(chunk), [np.packbits(shared[x:y]).tobytes() for x, y in zip(edges, edges[1:])])])
 
 
+def _alike(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that puts equal keys together, where in it each key begins, and the number of each place's key."""
+    order = np.argsort(keys)
+    new = np.append(True, keys[order][1:] != keys[order][:-1])[: len(keys)]
+    return order, np.flatnonzero(new), np.cumsum(new) - 1
+
+
 ASKED = "bucket int, chunk long, base long, anchor binary, context binary, id binary"
 
 
@@ -207,24 +258,25 @@ def _ask(buckets: int):
         for chunk, *parts in zip(*(table[c].to_pylist() for c in _fields(CHUNKS))):
             c = Chunk(*parts)
             dealt = _dealt(c.anchor, buckets)
-            known, number = np.unique(dealt, return_inverse=True)
-            use = [np.unpackbits(np.frombuffer(bits[i], np.uint8), count=y - x) for i, x, y in _runs(known)]
-            at = np.flatnonzero(np.concatenate(use).astype(bool)[number]) if use else number
-            order = at[np.lexsort((c.id[at], c.context[at], dealt[at] >> np.uint64(32)))]
-            if not len(order):
+            order = np.argsort(dealt)
+            new = np.append(True, dealt[order][1:] != dealt[order][:-1])[: len(order)]
+            use = [np.unpackbits(np.frombuffer(bits[i], np.uint8), count=y - x) for i, x, y in _runs(dealt[order][new])]
+            at = order[np.concatenate(use).astype(bool)[np.cumsum(new) - 1]] if use else order
+            if not len(at):
                 continue
-            order = order[np.append(True, np.diff(c.context[order]) != 0)]
-            for i, x, y in _runs(dealt[order]):
-                own = order[x:y]
-                base, offset = _short(c.id[own])
-                rows.append((i, chunk, base, c.anchor[own].tobytes(), c.context[own].tobytes(), offset.tobytes()))
+            by, first, _ = _alike(c.context[at])
+            at, id = at[by[first]], np.minimum.reduceat(c.id[at[by]], first)
+            by = np.argsort((dealt[at] >> np.uint64(32)).astype(np.min_scalar_type(buckets)), kind="stable")
+            at, id = at[by], id[by]
+            for i, x, y in _runs(dealt[at]):
+                base, offset = _short(id[x:y])
+                rows.append((i, chunk, base, c.anchor[at[x:y]].tobytes(), c.context[at[x:y]].tobytes(), offset.tobytes()))
         return pa.Table.from_batches([_batch(ASKED, *(zip(*rows) if rows else [[]] * 6))])
 
     return run
 
 
-#: ``places`` is used for windows that the sort found to go.
-TOLD = "chunk long, context binary, low binary, open binary, places binary"
+TOLD = "chunk long, context binary, low binary, open binary"
 
 
 def _tell(asked: pa.Table) -> pa.Table:
@@ -247,30 +299,34 @@ def _tell(asked: pa.Table) -> pa.Table:
     row, c, low, open_ = row[order][use], c[use], low[use], open_[use]
     by = np.argsort(row, kind="stable")
     cuts = np.searchsorted(row[by], np.arange(len(rows[0]) + 1))
-    out = [(rows[0][k], c[o].tobytes(), low[o].tobytes(), open_[o].tobytes(), b"") for k in range(len(rows[0])) if len(o := by[cuts[k] : cuts[k + 1]])]
-    return pa.Table.from_batches([_batch(TOLD, *(zip(*out) if out else [[]] * 5))])
+    out = [(rows[0][k], c[o].tobytes(), low[o].tobytes(), open_[o].tobytes()) for k in range(len(rows[0])) if len(o := by[cuts[k] : cuts[k + 1]])]
+    return pa.Table.from_batches([_batch(TOLD, *(zip(*out) if out else [[]] * 4))])
 
 
 def _known(c: Chunk, told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """For each anchor of a chunk: the smallest document of its context (the chunk's own if nothing was told), and the mark."""
-    low, open_ = c.id.copy(), np.zeros(len(c.place), bool)
-    if len(low):
-        order = np.lexsort((c.id, c.context))
-        first = np.append(True, np.diff(c.context[order]) != 0)
-        low[order] = c.id[order][first][np.cumsum(first) - 1]
-    if len(told) and len(c.place):
-        context, lows, opens = (np.concatenate([np.frombuffer(x, t) for x in told[n].to_pylist()]) for n, t in (("context", np.uint64), ("low", np.int64), ("open", bool)))
-        if not len(context):
-            return low, open_
-        order = np.argsort(context)
-        at = order[np.minimum(np.searchsorted(context[order], c.context), len(order) - 1)]
-        hit = context[at] == c.context
-        low[hit], open_[hit] = lows[at[hit]], opens[at[hit]]
+    if not len(c.place):
+        return c.id, np.zeros(0, bool)
+    order, first, number = _alike(c.context)
+    lows, opens, known = np.minimum.reduceat(c.id[order], first), np.zeros(len(first), bool), c.context[order[first]]
+    if len(told):
+        context, low, open_ = (np.concatenate([np.frombuffer(x, t) for x in told[n].to_pylist()]) for n, t in (("context", np.uint64), ("low", np.int64), ("open", bool)))
+        at = np.searchsorted(known, context)  # each is one that the chunk asked for
+        lows[at], opens[at] = low, open_
+    low, open_ = np.empty_like(c.id), np.empty(len(c.id), bool)
+    low[order], open_[order] = lows[number], opens[number]
     return low, open_
 
 
-#: Runs of windows to be sorted: by chunk, where each begins, its number of bytes and document, and all bytes.
-REGIONS = "chunk long, begin binary, size binary, id binary, data binary, names binary, ranks binary"
+def _joined(first: np.ndarray, last: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows, those of a document that follow each other as one."""
+    new = np.append(True, (first[1:] != last[:-1] + 1) | (doc[1:] != doc[:-1]))[: len(first)]
+    return first[new], last[np.append(new[1:], True)[: len(first)]], doc[new]
+
+
+#: Runs of windows to be sorted: by chunk, where each begins, its number of bytes and document, and all bytes. ``gone``: the
+#: first and last of each run of windows whose context stands in a smaller document.
+REGIONS = "chunk long, begin binary, size binary, id binary, data binary, names binary, ranks binary, gone binary"
 
 
 def _regions(table: pa.Table, told: pa.Table) -> pa.Table:
@@ -278,16 +334,19 @@ def _regions(table: pa.Table, told: pa.Table) -> pa.Table:
     for chunk, *parts in zip(*(table[c].to_pylist() for c in _fields(CHUNKS))):
         c = Chunk(*parts)
         low, open_ = _known(c, told)
-        need = (open_ & (low == c.id))[c.owner]
-        start, doc = c.start[need], c.doc[c.owner[need]]
-        if not len(start):
+        gone, need = low < c.id, open_ & (low == c.id)
+        if not (gone | need).any():
             continue
-        first = np.append(True, (np.diff(start) != 1) | (np.diff(doc) != 0))
-        begin, last = start[first], start[np.append(first[1:], True)]
+        begin, last, doc = _joined(c.first[need], c.last[need], c.doc[need])
         size = last - begin + SPAN
-        data = c.data[np.repeat(begin - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())]
-        out.append((chunk, begin.tobytes(), size.tobytes(), c.ids[doc[first]].tobytes(), data.tobytes(), b"", b""))
-    return pa.Table.from_batches([_batch(REGIONS, *(zip(*out) if out else [[]] * 7))])
+        data = c.data[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        cut = _pairs(*_joined(c.first[gone], c.last[gone], c.doc[gone])[:2])
+        out.append((chunk, begin.tobytes(), size.tobytes(), c.ids[doc].tobytes(), data.tobytes(), b"", b"", cut))
+    return pa.Table.from_batches([_batch(REGIONS, *(zip(*out) if out else [[]] * 8))])
+
+
+def _pairs(first: np.ndarray, last: np.ndarray) -> bytes:
+    return np.stack([first, last], 1).astype(np.uint32).tobytes()
 
 
 def _text(columns: np.ndarray) -> np.ndarray:
@@ -305,20 +364,24 @@ class Runs:
 
     def __init__(self, begin: bytes, size: bytes, id: bytes, data: bytes, names: bytes = b"", ranks: bytes = b""):
         self.data = np.frombuffer(data, np.uint8)
-        size, begin = np.frombuffer(size, np.int64), np.frombuffer(begin, np.int64)
+        self.size, self.begin, self.ids = (np.frombuffer(x, np.int64) for x in (size, begin, id))
         self.names, self.ranks = np.frombuffer(names, np.uint64), np.frombuffer(ranks, np.uint64)
-        within = np.arange(len(self.data)) - np.repeat(np.cumsum(size) - size, size)
-        left = np.repeat(size, size) - within
-        sampled = within % COVER != 0
-        self.windows = np.flatnonzero(left >= SPAN)
-        self.kind = within[self.windows] % COVER
-        self.id = np.repeat(np.frombuffer(id, np.int64), size)[self.windows]
-        self.place = (np.repeat(begin, size) + within)[self.windows]
-        self.ranked = np.flatnonzero(sampled & (left >= 2 * TRIPLE))
-        self.named = np.flatnonzero(sampled & (left >= TRIPLE) & ((left >= 2 * TRIPLE) | (within >= TRIPLE)))
+        self.within = np.arange(len(self.data)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        self.left = np.repeat(self.size, self.size) - self.within
+        self.kind = self.within - self.within // COVER * COVER
+
+    @cached_property
+    def ranked(self) -> np.ndarray:
+        return np.flatnonzero((self.kind != 0) & (self.left >= 2 * TRIPLE))
+
+    @cached_property
+    def named(self) -> np.ndarray:
+        return np.flatnonzero((self.kind != 0) & (self.left >= TRIPLE) & ((self.left >= 2 * TRIPLE) | (self.within >= TRIPLE)))
 
     def triples(self) -> np.ndarray:
         """Three words at each sampled place."""
+        if not len(self.named):
+            return np.zeros(0, f"S{TRIPLE}")
         return _text(np.lib.stride_tricks.sliding_window_view(self.data, TRIPLE)[self.named])
 
     def pairs(self) -> np.ndarray:
@@ -327,34 +390,54 @@ class Runs:
         name[self.named] = self.names
         return _text(np.hstack([_bytes_of(name[self.ranked]), _bytes_of(name[self.ranked + TRIPLE])]))
 
-    def merges(self) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of all three merges, and the window of each."""
+    def merges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of all three merges, the place and the document of the window of each."""
         rank = np.zeros(len(self.data), np.uint64)
         rank[self.ranked] = self.ranks
-        keys, windows = [], []
-        for classes, shift in (((0, 1), 1), ((0, 2), 2), ((1, 2), 0)):
-            own = np.flatnonzero(np.isin(self.kind, classes))
-            at = self.windows[own]
+        windows = self.left >= SPAN
+        keys, own = [], []
+        for other, shift in ((2, 1), (1, 2), (0, 0)):  # of the three classes, the one that takes no part
+            at = np.flatnonzero(windows & (self.kind != other))
             # the bytes before and after the 48 that the rank stands for
             free = [*range(shift), *range(shift + 2 * TRIPLE, SPAN)]
             keys.append(np.hstack([np.full((len(at), 1), shift + 1, np.uint8), *(self.data[at + j][:, None] for j in free), _bytes_of(rank[at + shift])]))
-            windows.append(own)
-        return _text(np.vstack(keys)), np.concatenate(windows)
+            own.append(at)
+        at = np.concatenate(own)
+        region = np.repeat(np.arange(len(self.size)), self.size)[at]
+        return _text(np.vstack(keys)), self.begin[region] + self.within[at], self.ids[region]
+
+    def keys(self, step: str) -> np.ndarray:
+        keys = getattr(self, step)()
+        return keys[0] if step == "merges" else keys
 
 
 def _each(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, Runs]]:
-    for chunk, *parts in zip(*(table.column(c).to_pylist() for c in _fields(REGIONS))):
+    for chunk, *parts in zip(*(table.column(c).to_pylist() for c in _fields(REGIONS)[:-1])):
         yield chunk, Runs(*parts)
 
 
-def _distinct(runs: Runs, step: str) -> tuple[np.ndarray, np.ndarray | None]:
-    """Distinct keys in order, and for merges the smallest document of each."""
-    if step != "merges":
-        return np.unique(getattr(runs, step)()), None
-    keys, window = runs.merges()
-    order = np.argsort(keys, kind="stable")
-    at = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(keys) else order
-    return keys[order][at], np.minimum.reduceat(runs.id[window][order], at) if len(at) else runs.id[:0]
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys as they first stand, and the number of each key among them."""
+    coded = pa.Array.from_buffers(pa.binary(keys.itemsize), len(keys), [None, pa.py_buffer(keys.view(np.uint8))]).dictionary_encode()
+    every = coded.dictionary
+    return np.frombuffer(every.buffers()[1], keys.dtype, len(every)) if len(keys) else keys, coded.indices.to_numpy()
+
+
+def _ranged(keys: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray]:
+    """Distinct keys by range, where in them each range begins and ends, and the place of each key among them."""
+    every, number = _distinct(keys)
+    bucket = np.searchsorted(cuts, every, "right").astype(np.min_scalar_type(len(cuts)))
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return every[order], np.cumsum([0, *np.bincount(bucket, minlength=len(cuts) + 1)]).tolist(), place[number]
+
+
+def _lowest(ids: np.ndarray, number: np.ndarray, n: int) -> np.ndarray:
+    """The smallest id of each of n numbers."""
+    low = np.full(n, NO_ID)
+    np.minimum.at(low, number, ids)
+    return low
 
 
 def bounds(regions: DataFrame, step: str, buckets: int) -> np.ndarray:
@@ -363,10 +446,11 @@ def bounds(regions: DataFrame, step: str, buckets: int) -> np.ndarray:
     def run(batches):
         for b in batches:
             for _, runs in _each(b):
-                keys = _distinct(runs, step)[0]
+                keys = _distinct(runs.keys(step))[0]
                 some = keys[:: max(1, len(keys) // SAMPLE_KEYS)][: 2 * SAMPLE_KEYS]
                 yield pa.RecordBatch.from_arrays([pa.array(some.astype(object), pa.binary())], names=["key"])
 
+    regions = regions.where(F.octet_length("begin") > 0)
     n = regions.count()
     few = regions.sample(min(1.0, SAMPLE_CHUNKS / max(1, n)), 12) if n > SAMPLE_CHUNKS else regions
     keys = np.sort(np.array(few.mapInArrow(run, "key binary").toArrow()["key"].to_pylist(), dtype="S"))
@@ -380,8 +464,9 @@ def send(regions: DataFrame, step: str, cuts: np.ndarray) -> DataFrame:
     def run(batches):
         for b in batches:
             for chunk, runs in _each(b):
-                keys, low = _distinct(runs, step)
-                edges = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
+                keys, _, id = runs.merges() if step == "merges" else (runs.keys(step), None, None)
+                keys, edges, number = _ranged(keys, cuts)
+                low = None if id is None else _lowest(id, number, len(keys))
                 rows = []
                 for i, (x, y) in enumerate(zip(edges, edges[1:])):
                     if y > x:
@@ -400,18 +485,16 @@ BACK = "chunk long, bucket int, value binary"
 def _rank(sent: pa.Table) -> pa.Table:
     """Sort a range of keys; equal keys stand together."""
     bucket, chunk, width, keys, base, low = (sent[c].to_pylist() for c in _fields(SENT))
-    parts = [np.frombuffer(k, f"S{w}") for k, w in zip(keys, width)]
-    lows = [_long(b, x, len(p)) if x else None for b, x, p in zip(base, low, parts)]
-    order = np.argsort(every := np.concatenate(parts), kind="stable")
-    first = np.append(True, every[order][1:] != every[order][:-1])
-    number = np.empty(len(every), np.int64)
-    number[order] = np.cumsum(first) - 1
-    edges = np.cumsum([0, *map(len, parts)])
-    if lows[0] is None:
-        value = (np.uint64(bucket[0]) << np.uint64(40)) + number.astype(np.uint64)
+    edges = np.cumsum([0, *(len(k) // w for k, w in zip(keys, width))])
+    every, number = _distinct(np.frombuffer(b"".join(keys), f"S{width[0]}"))
+    rank = np.empty(len(every), np.int64)
+    rank[np.argsort(every)] = np.arange(len(every))
+    rank = rank[number]
+    if low[0]:
+        own = np.concatenate([_long(b, x, n) for b, x, n in zip(base, low, np.diff(edges).tolist())])
+        value = _lowest(own, rank, len(every))[rank] < own
     else:
-        own = np.concatenate(lows)
-        value = np.minimum.reduceat(own[order], np.flatnonzero(first))[number] < own
+        value = (np.uint64(bucket[0]) << np.uint64(40)) + rank.astype(np.uint64)
     return pa.Table.from_batches([_batch(BACK, chunk, bucket, [value[x:y].tobytes() for x, y in zip(edges, edges[1:])])])
 
 
@@ -421,14 +504,14 @@ def _answer(back: pa.Table, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(back["value"].to_pylist()), kind)
 
 
-def _with_names(step: str, column: str):
+def _with_names(step: str, column: str, cuts: np.ndarray):
     """Regions with the name of each place of ``step``; those of the step before are no longer needed."""
 
     def run(regions: pa.Table, back: pa.Table) -> pa.Table:
         if not len(regions):
             return regions
         (_, runs), = _each(regions)
-        value = _answer(back, np.uint64)[np.unique(getattr(runs, step)(), return_inverse=True)[1]].tobytes()
+        value = _answer(back, np.uint64)[_ranged(runs.keys(step), cuts)[2]].tobytes()
         for name in ("names", "ranks"):
             regions = regions.set_column(_fields(REGIONS).index(name), name, pa.array([value if name == column else b""], pa.binary()))
         return regions
@@ -436,34 +519,39 @@ def _with_names(step: str, column: str):
     return run
 
 
-def _gone(regions: pa.Table, back: pa.Table) -> pa.Table:
+#: First and last of runs of windows that go; those of ``gone`` and ``sorted`` may overlap.
+GONE = "chunk long, gone binary, sorted binary"
+
+
+def _gone(cuts: np.ndarray):
     """Windows whose string starts in a smaller document."""
-    out = []
-    for chunk, runs in _each(regions):
-        keys, window = runs.merges()
-        order = np.argsort(keys, kind="stable")
-        first = np.append(True, keys[order][1:] != keys[order][:-1]) if len(keys) else np.zeros(0, bool)
-        number = np.cumsum(first) - 1
-        id = runs.id[window][order]
-        low = np.minimum.reduceat(id, np.flatnonzero(first)) if len(id) else id
-        go = _answer(back, bool)[number] | (low[number] < id) if len(id) else first
-        out.append((chunk, b"", b"", b"", np.unique(runs.place[window[order][go]]).tobytes()))
-    return pa.Table.from_batches([_batch(TOLD, *(zip(*out) if out else [[]] * 5))])
+
+    def run(regions: pa.Table, back: pa.Table) -> pa.Table:
+        out = []
+        for (chunk, runs), gone in zip(_each(regions), regions["gone"].to_pylist()):
+            keys, place, id = runs.merges()
+            keys, _, number = _ranged(keys, cuts)
+            place = np.unique(place[_answer(back, bool)[number] | (_lowest(id, number, len(keys))[number] < id)])
+            out.append((chunk, gone, _pairs(*_joined(place, place, place * 0)[:2])))
+        return pa.Table.from_batches([_batch(GONE, *(zip(*out) if out else [[]] * 3))])
+
+    return run
 
 
 def suffix_sort(regions: DataFrame, buckets: int) -> DataFrame:
     """Rows of TOLD with the places of windows that also start in a smaller document."""
 
-    def step(frame: DataFrame, name: str) -> DataFrame:
-        return saved(send(frame, name, bounds(frame, name, buckets)).groupBy("bucket").applyInArrow(_rank, BACK), f"suffixes-{name}")
+    def step(frame: DataFrame, name: str) -> tuple[DataFrame, np.ndarray]:
+        cuts = bounds(frame, name, buckets)
+        return saved(send(frame, name, cuts).groupBy("bucket").applyInArrow(_rank, BACK), f"suffixes-{name}"), cuts
 
     for name, column in (("triples", "names"), ("pairs", "ranks")):
-        back = step(regions, name)
-        named = saved(regions.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_with_names(name, column), REGIONS), "suffixes-regions")
+        back, cuts = step(regions, name)
+        named = saved(regions.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_with_names(name, column, cuts), REGIONS), "suffixes-regions")
         forget(regions, back)
         regions = named
-    back = step(regions, "merges")
-    out = saved(regions.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_gone, TOLD), "suffixes-places")
+    back, cuts = step(regions, "merges")
+    out = saved(regions.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_gone(cuts), GONE), "suffixes-places")
     forget(regions, back)
     return out
 
@@ -472,22 +560,21 @@ KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, ke
 
 
 def _cut(texts: bool):
-    def run(table: pa.Table, told: pa.Table) -> pa.Table:
+    def run(table: pa.Table, places: pa.Table) -> pa.Table:
         out = []
-        for _, *parts in zip(*(table[c].to_pylist() for c in _fields(CHUNKS))):
-            c = Chunk(*parts)
-            low, _ = _known(c, told)
-            gone = (low < c.id)[c.owner]
-            places = np.concatenate([np.frombuffer(x, np.int64) for x in told["places"].to_pylist()] or [np.zeros(0, np.int64)])
-            edge = np.zeros(len(c.data) + 1, np.int32)
-            at = np.union1d(c.start[gone], places)
-            edge[at] += 1
-            edge[at + SPAN] -= 1
-            covered = np.cumsum(edge[:-1]) > 0
-            for i, e, n in zip(c.ids.tolist(), c.ends.tolist(), c.sizes.tolist()):
-                own, cov = c.data[e - n : e], covered[e - n : e]
-                kept = own[~cov].tobytes()
-                spans = int(np.count_nonzero(cov[1:] & ~cov[:-1]) + cov[0]) if n else 0
+        runs = [np.frombuffer(x, np.uint32).reshape(-1, 2) for name in ("gone", "sorted") for x in places[name].to_pylist()]
+        for _, ids, sizes, data in zip(*(table[c].to_pylist() for c in _fields(CHUNKS))):
+            data, sizes = np.frombuffer(data, np.uint8), np.frombuffer(sizes, np.int64)
+            edge = np.zeros(len(data) + 1, np.int32)
+            for pairs in runs:  # within one, each place begins or ends one run at most
+                edge[pairs[:, 0]] += 1
+                edge[pairs[:, 1] + SPAN] -= 1
+            covered = np.cumsum(edge[:-1], dtype=np.int32) > 0
+            for i, e, n in zip(np.frombuffer(ids, np.int64).tolist(), np.cumsum(sizes).tolist(), sizes.tolist()):
+                own, cov = data[e - n : e], covered[e - n : e]
+                some = cov.any()
+                kept = (own[~cov] if some else own).tobytes()
+                spans = int(np.count_nonzero(cov[1:] & ~cov[:-1]) + cov[0]) if some else 0
                 out.append((None if i == NO_ID else i, n, n - len(kept), spans, kept if texts else None, hashlib.sha256(kept).hexdigest()))
         return pa.Table.from_batches([_batch(KEPT, *(zip(*out) if out else [[]] * 6))])
 
@@ -505,8 +592,9 @@ def remove_repeats(docs: DataFrame, texts: bool = False, chunk_bytes: int = CHUN
     told = saved(asked.groupBy("bucket").applyInArrow(_tell, TOLD), "suffixes-contexts")
     forget(shared)
     regions = saved(table.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_regions, REGIONS), "suffixes-regions")
+    forget(told)
     places = suffix_sort(regions, buckets)
-    out = table.groupBy("chunk").cogroup(told.unionByName(places).groupBy("chunk")).applyInArrow(_cut(texts), KEPT)
+    out = table.groupBy("chunk").cogroup(places.groupBy("chunk")).applyInArrow(_cut(texts), KEPT)
     return out if texts else out.drop("kept")
 
 

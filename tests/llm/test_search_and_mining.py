@@ -6,6 +6,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyspark.llm import phrases, ranking, suffixes
@@ -165,6 +167,69 @@ def test_kept_text_on_request(spark):
     assert got == {1: b"p" * 60, 2: b"new"}
 
 
+def chunk_of(rows):
+    texts = [(t or "").encode() for _, t in rows]
+    ids, sizes = (np.array(x, np.int64).tobytes() for x in ([i for i, _ in rows], [len(t) for t in texts]))
+    return texts, (ids, sizes, b"".join(texts))
+
+
+def test_anchors_of_windows_go_by_content(monkeypatch):
+    rows = passages(7) + [(1, "x" * 300), (2, "yx" * 90), (3, None), (4, "z" * 49), (5, "y" + "x" * 60)]
+    texts, parts = chunk_of(rows)
+    c = suffixes.Chunk(*parts)
+    begin = np.cumsum([0] + [len(t) for t in texts])
+    windows = [begin[d] + s for d, t in enumerate(texts) for s in range(len(t) - 49)]
+    own = np.repeat(np.arange(len(c.place)), c.last - c.first + 1)
+    assert np.concatenate([np.arange(x, y + 1) for x, y in zip(c.first, c.last)]).tolist() == windows
+    at, contexts, anchors = {}, {}, {}
+    for w, k in zip(windows, own.tolist()):
+        assert w <= c.place[k] <= w + 14 and at.setdefault(parts[2][w : w + 50], c.place[k] - w) == c.place[k] - w
+    for p, d, x, y in zip(c.place.tolist(), c.doc.tolist(), c.context.tolist(), c.anchor.tolist()):
+        low, high = max(p - 14, begin[d]), min(p + 50, begin[d + 1])
+        assert contexts.setdefault(x, (parts[2][low:high], p - low)) == (parts[2][low:high], p - low)
+        assert anchors.setdefault(y, parts[2][p : p + 36]) == parts[2][p : p + 36]
+    assert len(set(contexts.values())) == len(contexts) and len(set(anchors.values())) == len(anchors)
+    monkeypatch.setattr(suffixes, "BLOCK", 61)
+    small = suffixes.Chunk(*parts)
+    for name in ("place", "first", "last", "doc", "id", "anchor", "context"):
+        assert getattr(small, name).tolist() == getattr(c, name).tolist()
+
+
+def test_the_last_pass_hashes_nothing(monkeypatch):
+    """The runs that go are known by then; the texts are not hashed a fourth time."""
+    rows = [(1, "p" * 60), (2, "new" + "q" * 60), (None, "r" * 70), (3, None)]
+    texts, (ids, sizes, data) = chunk_of([(suffixes.NO_ID if i is None else i, t) for i, t in rows])
+    table = pa.table({"chunk": [7], "ids": [ids], "sizes": [sizes], "data": [data]})
+    runs = [np.array(x, np.uint32).tobytes() for x in ([[63, 64], [123, 123]], [[64, 66]])]
+    places = pa.table({"chunk": [7], "gone": [runs[0]], "sorted": [runs[1]]})
+    monkeypatch.setattr(suffixes, "Chunk", None)
+    got = [tuple(r.values()) for r in suffixes._cut(True)(table, places).to_pylist()]
+    kept = [texts[0], b"new" + b"q" * 7, b"r" * 20, b""]
+    removed = [(0, 0), (53, 1), (50, 1), (0, 0)]
+    assert got == [(i, len(t), *r, k, hashlib.sha256(k).hexdigest()) for (i, _), t, r, k in zip(rows, texts, removed, kept)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 300])
+def test_keys_are_dealt_to_ranges(n):
+    r = np.random.default_rng(n)
+    keys = np.sort(r.integers(0, 40, (2000, 2), np.uint8).view("S2").ravel())[r.permutation(2000)]
+    cuts = np.unique(keys)[:n]
+    got, edges, number = suffixes._ranged(keys, cuts)
+    assert (got[number] == keys).all() and sorted(got) == np.unique(keys).tolist() and len(edges) == n + 2
+    for k, (x, y) in enumerate(zip(edges, edges[1:])):
+        assert all((not k or cuts[k - 1] <= v) and (k == n or v < cuts[k]) for v in got[x:y])
+    assert edges[0] == 0 and edges[-1] == len(got)
+    none = suffixes._ranged(keys[:0], cuts)
+    assert not len(none[0]) and set(none[1]) == {0} and not len(none[2])
+
+
+def test_long_texts_that_share_passages(spark):
+    r = random.Random(9)
+    text = "".join(r.choice("abcdefgh é\n") for _ in range(40000))
+    rows = [(5, text), (9, text[100:33000] + "!" + text[20000:39000]), (7, "copy " + text[32000:32900] * 3), (2, text[39990:] + text[:60])]
+    assert remove(spark, rows) == deduped(rows)
+
+
 # ---- operator 13
 
 
