@@ -13,9 +13,13 @@ became active without need are dropped by their count. The table is all that a t
 
 Words are cut out of whole Arrow batches with array functions. A phrase is known by 96 bits of hash until the counts
 are final; the texts of the phrases that reached the threshold are then read in one more scan. Each entry keeps the
-``kind`` (16 bits of a hash) of one document that holds the phrase, and only documents of that kind send its text, so a
-phrase that stands everywhere is not sent by every task. Tasks count before they send; counts are kept by length, first scan and hash bucket, so a phrase holding a third of all rows is one entry per
-task, and counts whose cycle is complete are not moved again.
+``kind`` (16 bits of a hash of its row) of one document that holds the phrase; documents and frequent phrases meet by kind, and
+the group that has both names the phrase, once, with its count. Tasks count before they send; counts are kept by length, first scan and hash bucket, so a phrase holding a third of all rows is one entry per
+task. A cycle that is complete leaves the phrases that reached the threshold only, and these are not moved again.
+
+Disk: a scan of more than ``SECTION_BYTES`` of text counts the phrases of one section of the hash buckets after the other (up to ``SECTIONS``, each
+a pass over the shard), so that what is shuffled at a time is a part of the scan's. What stays from scan to scan is the entries
+of the lengths whose cycle is open, and of these each section's old files go as soon as its new ones stand.
 
 Defined cases: null and empty texts hold no words; a null lang is ``und`` (and counts with documents that say so);
 rows are documents of their own, also when repeated; phrases never cross pieces or documents; fewer than ``top``
@@ -40,6 +44,8 @@ from tallyspark.llm.common import forget, new_path, saved, short_batches, tidy
 #: Shards of a cycle; cells of an activation table; places that a task holds before it sends; text bytes of a bucket, and
 #: those that are cut into words at a time (more only for a text that is longer).
 SHARDS, CELLS, HELD, BUCKET_BYTES, SLICE_BYTES = 2, 1 << 22, 1 << 19, 1 << 23, 1 << 18
+#: Bytes of all texts for one section of a scan; sections at most (each reads the shard again); groups of documents for a bucket.
+SECTION_BYTES, SECTIONS, SLOTS = 1 << 31, 3, 4
 #: Words of the longest phrase, smallest count (fixed values of the query).
 LONGEST, LEAST, TOP = 3, 10, 2000
 NEVER = 255
@@ -133,6 +139,10 @@ class Words:
             x = _mix(x * _B + word[at + j])
         return x
 
+    def upper(self, k: int, at: np.ndarray) -> np.ndarray:
+        """The second part of the ids, 32 bits of hash 1."""
+        return (self.ids(1, k, at) >> np.uint64(32)).astype(np.uint32)
+
     def phrase(self, i: np.ndarray, k: int) -> pa.Array:
         """The phrases of k words at i, one space between words."""
         lens = np.zeros((len(i), 2 * k - 1), np.int64)
@@ -165,12 +175,6 @@ def cell(ids: np.ndarray, cells: int) -> np.ndarray:
     return (ids >> np.uint64(32)) & np.uint64(cells - 1)
 
 
-def spots(a: np.ndarray, b: np.ndarray, kind: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two cells of a phrase in a document of this kind."""
-    kind = kind.astype(np.uint64)
-    return cell(_mix(a + kind * _B), cells), cell(_mix((b.astype(np.uint64) << np.uint64(16)) ^ kind), cells)
-
-
 def starts(words: Words, k: int, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Places of phrases of k+1 words, and the scan at which each becomes active."""
     at = np.flatnonzero(words.next_to[k])
@@ -216,20 +220,27 @@ def _unpacked(a: list[bytes], b: list[bytes], kind: list[bytes], n: list[bytes])
     return *joined, np.concatenate([*counts, np.zeros(0, np.int64)])
 
 
-def _sent(held: list[list], k: int, since: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    a, b, kind = (np.concatenate(x) for x in held)
-    a, b, n, one = merged(a, b, np.ones(len(a), np.int64))
-    kind = kind[one]
-    part = (a % np.uint64(buckets)).astype(np.int64)
+def _dealt(k: int, since: int, part: np.ndarray, parts: int, a: np.ndarray, b: np.ndarray, kind: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each part that has entries."""
     order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(buckets + 1))
-    rows = [(k + 1, since, i, *_packed(a[o], b[o], kind[o], n[o])) for i in range(buckets) if len(o := order[cuts[i] : cuts[i + 1]])]
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    rows = [(k + 1, since, i, *_packed(a[o], b[o], kind[o], n[o])) for i in np.flatnonzero(np.diff(cuts)).tolist() for o in (order[cuts[i] : cuts[i + 1]],)]
     for i in range(0, len(rows), ROWS):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + ROWS]), _TYPES)], names=[x.split()[0] for x in COUNTS.split(", ")])
 
 
-def count_shard(docs: DataFrame, scan: int, shards: int, tables: list[bytes], lengths: list[int], buckets: int) -> DataFrame:
-    """Counts of the phrases that are active in this scan, by length, first scan and bucket."""
+def _bucket(a: np.ndarray, buckets: int) -> np.ndarray:
+    return (a % np.uint64(buckets)).astype(np.int64)
+
+
+def _sent(held: list[list], k: int, since: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    a, b, kind = (np.concatenate(x) for x in held)
+    a, b, n, one = merged(a, b, np.ones(len(a), np.int64))
+    yield from _dealt(k, since, _bucket(a, buckets), buckets, a, b, kind[one], n)
+
+
+def count_shard(docs: DataFrame, scan: int, shards: int, tables: list[bytes], lengths: list[int], buckets: int, sections: int = 1, section: int = 0) -> DataFrame:
+    """Counts of the phrases that are active in this scan, by length, first scan and bucket; of every ``sections``-th bucket."""
 
     def run(batches):
         known = [np.frombuffer(zlib.decompress(t), np.uint8) for t in tables]
@@ -240,9 +251,13 @@ def count_shard(docs: DataFrame, scan: int, shards: int, tables: list[bytes], le
                 at, first = starts(w, k, known)
                 for since in range(max(0, scan - shards + 1), scan + 1):
                     own = at[first == since]
+                    a = w.ids(0, k, own)
+                    if sections > 1:
+                        inside = _bucket(a, buckets) % sections == section
+                        a, own = a[inside], own[inside]
                     if not len(own):
                         continue
-                    a, b = w.ids(0, k, own), (w.ids(1, k, own) >> np.uint64(32)).astype(np.uint32)
+                    b = w.upper(k, own)
                     for x, y in zip(held.setdefault((k, since), [[], [], []]), (a, b, w.kind[own])):
                         x.append(y)
                     size[k, since] = size.get((k, since), 0) + len(own)
@@ -258,22 +273,27 @@ def count_shard(docs: DataFrame, scan: int, shards: int, tables: list[bytes], le
 STATE = COUNTS + ", reached binary"
 
 
-def _joined(least: int, cells: int):
-    """Counts so far plus new ones; ``reached``: cells of the phrases that reached the threshold just now."""
+def _joined(least: int, cells: int, first_open: int):
+    """Counts so far plus new ones; ``reached``: cells of the phrases that reached the threshold just now.
+
+    Cycles that began before scan ``first_open`` are complete: phrases that stayed below the threshold go."""
 
     def run(old: pa.Table, new: pa.Table) -> pa.Table:
         before, after = (_unpacked(*(t[c].to_pylist() for c in ("a", "b", "kind", "n"))) for t in (old, new))
         a, b, kind, n = (np.concatenate(x) for x in zip(before, after))
         a, b, n, one = merged(a, b, n)
         reached = np.setdiff1d(cell(a[n >= least], cells), cell(before[0][before[3] >= least], cells)).astype(np.uint32)
+        kind = kind[one]
         head = (old if len(old) else new).slice(0, 1)
-        row = [*(head[c].to_pylist() for c in ("len", "since", "bucket")), *([x] for x in _packed(a, b, kind[one], n)), [reached.tobytes()]]
+        if head["since"][0].as_py() < first_open:
+            a, b, kind, n = (x[n >= least] for x in (a, b, kind, n))
+        row = [*(head[c].to_pylist() for c in ("len", "since", "bucket")), *([x] for x in _packed(a, b, kind, n)), [reached.tobytes()]]
         return pa.table([pa.array(v, t) for v, t in zip(row, _TYPES)], names=[x.split()[0] for x in STATE.split(", ")])
 
     return run
 
 
-def _reached(state: DataFrame, length: int) -> np.ndarray:
+def _reached(counted: list[DataFrame]) -> np.ndarray:
     """Distinct cells; at most CELLS numbers."""
 
     def run(batches):
@@ -281,7 +301,10 @@ def _reached(state: DataFrame, length: int) -> np.ndarray:
             for x in b.column("reached").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.uint32).astype(np.int32))], names=["cell"])
 
-    found = state.where(F.col("len") == length).select("reached").where(F.length("reached") > 0).mapInArrow(run, "cell int").distinct()
+    found = counted[0].select("reached")
+    for x in counted[1:]:
+        found = found.union(x.select("reached"))
+    found = found.where(F.length("reached") > 0).mapInArrow(run, "cell int").distinct()
     return found.toArrow()["cell"].to_numpy()
 
 
@@ -290,126 +313,155 @@ def count_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, cel
     spark = docs.sparkSession
     short_batches(spark)
     path = new_path(spark, "phrases-shards")
-    kind = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 48).cast("int")
+    kind = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 48).cast("int")
     d = docs.select("text", "lang", kind.alias("kind"), F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(shards)), F.lit(0)).cast("int").alias("shard"))
     with tidy(spark):
-        d.write.partitionBy("shard").parquet(path)
+        d.write.option("compression", "zstd").partitionBy("shard").parquet(path)
     parts = spark.read.schema("text string, lang string, kind int, shard int").parquet(path)
     parts._saved_path = path
     size = parts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
+    sections = max(1, min(SECTIONS, -(-size // SECTION_BYTES)))
     tables = [np.full(cells, NEVER, np.uint8) for _ in range(LONGEST)]
     schema = spark.createDataFrame([], COUNTS).schema
-    state: dict[tuple[int, int], DataFrame] = {}  # by length and first scan
+    state: dict[tuple[int, int, int], DataFrame] = {}  # by length, first scan and section
     active = {0: {0}, **{k: set() for k in range(1, LONGEST)}}  # by length, the scans at which phrases became active
-    kept_in: dict[tuple[int, int], str] = {}
-    written: list[DataFrame] = []
     scan = 0
     while any(scan < s + shards for a in active.values() for s in a):
         now = [(k, s) for k, a in active.items() for s in sorted(a) if s <= scan < s + shards]
         lengths = sorted({k for k, _ in now})
         sent = [zlib.compress(t.tobytes(), 1) for t in tables]
-        new = count_shard(parts.where(F.col("shard") == scan % shards), scan, shards, sent, lengths, buckets)
-        so_far = spark.createDataFrame([], schema)
-        for x in now:
-            if x in state:
-                so_far = so_far.unionByName(state[x].drop("reached"))
-        keys = ("len", "since", "bucket")
-        made = so_far.groupBy(*keys).cogroup(new.groupBy(*keys)).applyInArrow(_joined(least, cells), STATE)
-        path = new_path(spark, "phrases-counts")
-        with tidy(spark):
-            made.write.partitionBy("len", "since").parquet(path)
-        counted = spark.read.schema(made.schema).parquet(path)
-        counted._saved_path = path
-        written.append(counted)
-        for k, since in now:
-            state[k, since] = counted.where((F.col("len") == k + 1) & (F.col("since") == since)).select(*made.columns)
-            kept_in[k, since] = path
-        forget(*(x for x in written if x._saved_path not in kept_in.values()))
-        written = [x for x in written if x._saved_path in kept_in.values()]
+        for section in range(sections):
+            new = count_shard(parts.where(F.col("shard") == scan % shards), scan, shards, sent, lengths, buckets, sections, section)
+            before = [state.pop((*x, section)) for x in now if (*x, section) in state]
+            so_far = spark.createDataFrame([], schema)
+            for x in before:
+                so_far = so_far.unionByName(x.drop("reached"))
+            keys = ("len", "since", "bucket")
+            made = so_far.groupBy(*keys).cogroup(new.groupBy(*keys)).applyInArrow(_joined(least, cells, scan - shards + 2), STATE)
+            path = new_path(spark, "phrases-counts")
+            with tidy(spark):
+                made.write.partitionBy("len", "since").parquet(path)
+            forget(*before)
+            counted = spark.read.schema(made.schema).parquet(path)
+            for k, since in now:
+                state[k, since, section] = x = counted.where((F.col("len") == k + 1) & (F.col("since") == since)).select(*made.columns)
+                x._saved_path = f"{path}/len={k + 1}/since={since}"
         for k in lengths:
-            reached = _reached(counted, k + 1)
+            reached = _reached([x for (j, since, _), x in state.items() if j == k and (k, since) in now])
             reached = reached[tables[k][reached] == NEVER]
             if len(reached):
                 tables[k][reached] = scan + 1
                 if k + 1 < LONGEST:
                     active[k + 1].add(scan + 1)
         scan += 1
-    return _named(parts, state, [zlib.compress(t.tobytes(), 1) for t in tables], least, cells)
+    return _named(parts, list(state.values()), buckets * SLOTS)
 
 
-def _named(parts: DataFrame, state: dict[tuple[int, int], DataFrame], tables: list[bytes], least: int, cells: int) -> tuple[DataFrame, DataFrame]:
-    """Texts of the phrases that reached the threshold, in one more scan; words of each lang."""
-
-    def run(batches):
-        known = [np.frombuffer(zlib.decompress(t), np.uint8) for t in tables]
-        sends = [np.frombuffer(zlib.decompress(x), bool).reshape(LONGEST, cells) for x in marked]
-        sent = np.zeros((LONGEST, cells), np.uint32)  # by cell, the second part of the id sent last by this task
-        for w in word_batches(batches):
-            names = np.array(w.names, object)
-            n = np.bincount(w.lang, minlength=len(names)).astype(np.int64)
-            zero = np.zeros(len(names), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32)), pa.array(zero), pa.array(zero), pa.array(names, pa.string()), pa.nulls(len(names), pa.string()), pa.array(n)], names=fields)
-            for k in range(LONGEST):
-                at = np.flatnonzero(w.next_to[k])
-                a = w.ids(0, k, at)
-                keep = known[k][cell(a, cells)] != NEVER
-                a, at = a[keep], at[keep]
-                b = (w.ids(1, k, at) >> np.uint64(32)).astype(np.uint32)
-                one, two = spots(a, b, w.kind[at], cells)
-                keep = sends[0][k][one] & sends[1][k][two] & (sent[k][cell(a, cells)] != b)
-                a, b, _, one = merged(a[keep], b[keep], np.ones(keep.sum(), np.int64))
-                at = at[keep][one]
-                sent[k][cell(a, cells)] = b
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), k + 1, np.int32)), pa.array(a.view(np.int64)), pa.array(b.astype(np.int64)), pa.array(names[w.lang[at]], pa.string()), w.phrase(at, k + 1), pa.array(np.zeros(len(a), np.int64))], names=fields)
+def matches(ids: tuple[np.ndarray, np.ndarray], words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of phrases of k+1 words that are among ``ids`` (sorted by both parts), and which of them each is; one place for each."""
+    a_of, b_of = ids
+    at = np.flatnonzero(words.next_to[k])
+    if not len(a_of) or not len(at):
+        return at[:0], at[:0]
+    a = words.ids(0, k, at)
+    i = np.searchsorted(a_of, a)
+    near = a_of[np.minimum(i, len(a_of) - 1)] == a
+    a, i, at = a[near], i[near], at[near]
+    b = words.upper(k, at)
+    while True:
+        here = np.minimum(i, len(a_of) - 1)
+        same = (i < len(a_of)) & (a_of[here] == a)
+        other = same & (b_of[here] != b)
+        if not other.any():  # else another phrase with this first part
+            break
+        i = i + other
+    which, first = np.unique(i[same], return_index=True)
+    return at[same][first], which
+
+
+def _named(parts: DataFrame, state: list[DataFrame], slots: int) -> tuple[DataFrame, DataFrame]:
+    """Texts of the phrases in ``state``, in one more scan; words of each lang.
+
+    A slot has all documents of some kinds and all frequent phrases whose document is of these kinds."""
+    schema = "lang string, phrase string, words int, f long"  # a row of 0 words has the words of a lang in a slot
+    types = [pa.string(), pa.string(), pa.int32(), pa.int64()]
 
     def frequent(batches):
+        held: dict[int, list] = {}
+        size: dict[int, int] = {}
+
+        def sent(k):
+            size.pop(k)
+            a, b, kind, n = (np.concatenate(x) for x in zip(*held.pop(k)))
+            yield from _dealt(k - 1, 0, kind.astype(np.int64) % slots, slots, a, b, kind, n)
+
         for batch in batches:
             for k, *x in zip(*(batch.column(c).to_pylist() for c in ("len", "a", "b", "kind", "n"))):
-                a, b, kind, n = _unpacked(*([v] for v in x))
-                a, b, kind, n = (v[n >= least] for v in (a, b, kind, n))
-                marks = (pa.array((s + np.uint64((k - 1) * cells)).astype(np.int32)) for s in spots(a, b, kind, cells))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), k, np.int32)), pa.array(a.view(np.int64)), pa.array(b.astype(np.int64)), pa.array(n), *marks], names=["len", "a", "b", "f", "mark0", "mark1"])
-
-    counts = None
-    for x in state.values():
-        c = x.drop("reached").mapInArrow(frequent, "len int, a long, b long, f long, mark0 int, mark1 int")
-        counts = c if counts is None else counts.unionByName(c)
-    counts = saved(counts, "phrases-frequent")
-    marked = []
-    for i in range(2):  # at most LONGEST * cells numbers
-        table = np.zeros(LONGEST * cells, bool)
-        table[counts.select(f"mark{i}").distinct().toArrow()[0].to_numpy()] = True
-        marked.append(zlib.compress(table.tobytes(), 1))
-    schema = "len int, a long, b long, lang string, phrase string, n long"
-    fields = [x.split()[0] for x in schema.split(", ")]
-    found = parts.select("text", "lang", "kind").mapInArrow(run, schema).groupBy("len", "a", "b", "lang", "phrase").agg(F.sum("n").alias("n"))
-    found = saved(found.join(counts.select("len", "a", "b", "f"), ["len", "a", "b"], "left").where("len = 0 OR f IS NOT NULL"), "phrases-names")
-    forget(parts, counts)
-    totals = found.where("len = 0 AND n > 0").select("lang", "n")
-    return found.where("len > 0").select("lang", "phrase", F.col("len").alias("words"), "f"), totals
+                held.setdefault(k, []).append(_unpacked(*([v] for v in x)))
+                size[k] = size.get(k, 0) + len(held[k][-1][0])
+                if size[k] >= HELD:
+                    yield from sent(k)
+        for k in list(held):
+            yield from sent(k)
+
+    def named(docs: pa.Table, counts: pa.Table) -> pa.Table:
+        rows, totals, open_ = [], {}, {}
+        for k in range(LONGEST):
+            own = counts.filter(pc.equal(counts["len"], k + 1))
+            a, b, _, n = _unpacked(*(own[c].to_pylist() for c in ("a", "b", "kind", "n")))
+            order = np.lexsort((b, a))
+            open_[k] = a[order], b[order], n[order], np.ones(len(a), bool)
+        for w in word_batches(docs.to_batches()):
+            names = np.array(w.names, object)
+            for lang, n in zip(w.names, np.bincount(w.lang, minlength=len(names)).tolist()):
+                totals[lang] = totals.get(lang, 0) + n
+            for k, (a, b, n, left) in open_.items():
+                at, which = matches((a, b), w, k)
+                at, which = at[left[which]], which[left[which]]
+                left[which] = False
+                if len(at):
+                    rows.append([pa.array(names[w.lang[at]], pa.string()), w.phrase(at, k + 1), pa.array(np.full(len(at), k + 1, np.int32)), pa.array(n[which])])
+        if any(left.any() for *_, left in open_.values()):
+            raise ValueError("a frequent phrase stands in no document of its kind")
+        totals = {x: n for x, n in totals.items() if n}
+        rows.append([pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.string()), pa.array([0] * len(totals), pa.int32()), pa.array(list(totals.values()), pa.int64())])
+        return pa.table([pa.chunked_array(x, t) for x, t in zip(zip(*rows), types)], names=[x.split()[0] for x in schema.split(", ")])
+
+    counts = state[0].drop("reached")
+    for x in state[1:]:
+        counts = counts.unionByName(x.drop("reached"))
+    counts = counts.mapInArrow(frequent, COUNTS)
+    docs = parts.where("text IS NOT NULL").select("text", "lang", "kind", F.pmod("kind", F.lit(slots)).alias("bucket"))
+    found = saved(docs.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(named, schema), "phrases-names")
+    forget(parts, *state)
+    out = found.where("words > 0")
+    out._saved_path = found._saved_path
+    return out, found.where("words = 0").groupBy("lang").agg(F.sum("f").alias("n"))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, shards: int = SHARDS, cells: int = CELLS) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the ``top`` phrases of each lang."""
     f, totals = count_phrases(docs, least, shards, cells)
     part = F.split("phrase", " ")
+    inner = F.array(*[F.array_join(F.slice(part, i, k), " ") for k in range(2, LONGEST) for i in range(1, LONGEST - k + 2)])
+    longer = (f.where(F.col("words") == LONGEST).select("lang", F.explode(F.array_distinct(inner)).alias("phrase"), F.col("f"))
+              .groupBy("lang", "phrase").agg(F.max("f").alias("longer")))
+    kept = f.where("words > 1").join(longer, ["lang", "phrase"], "left").where("longer IS NULL OR 100 * longer < 50 * f")
     cuts = F.transform(F.sequence(F.lit(1), F.col("words") - 1), lambda k: F.struct(
         k.alias("k"), F.array_join(F.slice(part, F.lit(1), k), " ").alias("left"),
         F.array_join(F.slice(part, k + 1, F.col("words") - k), " ").alias("right")))
-    cut = f.where("words > 1").select("lang", "phrase", F.col("f").alias("a"), F.explode(cuts).alias("c")).select("lang", "phrase", "a", "c.*")
+    cut = kept.select("lang", "phrase", F.col("f").alias("a"), F.explode(cuts).alias("c")).select("lang", "phrase", "a", "c.*")
     sides = f.select("lang", F.col("phrase").alias("part"), F.col("f"))
-    cut = cut.join(sides.withColumnsRenamed({"part": "left", "f": "l"}), ["lang", "left"]).join(sides.withColumnsRenamed({"part": "right", "f": "r"}), ["lang", "right"])
+    # each join is written, so that its shuffle files go before those of the next
+    left = saved(cut.join(sides.withColumnsRenamed({"part": "left", "f": "l"}), ["lang", "left"]).drop("left"), "phrases-left")
+    cut = left.join(sides.withColumnsRenamed({"part": "right", "f": "r"}), ["lang", "right"])
     cut = cut.withColumn("score", F.expr("(cast(a as decimal(15,0)) * cast(a as decimal(15,0)) * cast(1000000 as decimal(7,0)))"
                                          " div (cast(l as decimal(15,0)) * cast(r as decimal(15,0)))"))
     scored = (cut.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("x"))
-              .select("lang", "phrase", "a", "x.l", "x.r", "x.score"))
-    inner = F.array(*[F.array_join(F.slice(part, i, k), " ") for k in range(2, LONGEST) for i in range(1, LONGEST - k + 2)])
-    longer = (f.where(F.col("words") == LONGEST).select("lang", F.explode(F.array_distinct(inner)).alias("phrase"), F.col("f"))
-              .groupBy("lang", "phrase").agg(F.max("f").alias("longer")))
-    kept = (scored.join(longer, ["lang", "phrase"], "left").where("longer IS NULL OR 100 * longer < 50 * a")
-            .join(totals, "lang").select("lang", "phrase", "a", "l", "r", "n", "score"))
+              .join(totals, "lang").select("lang", "phrase", "a", "x.l", "x.r", "n", "x.score"))
+    kept = saved(scored, "phrases-scored")
+    forget(left, f)
     order = (F.desc("score"), F.desc("a"), "phrase")
     # first within salts of a lang, so that no task ranks a whole lang
     salted = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).orderBy(*order)

@@ -5,12 +5,14 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from tallyspark.llm import phrases, ranking, suffixes
+from tallyspark.llm.common import shared_dir
 
 DOCS = "doc_id long, text string, lang string, rank int, score double"
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -276,3 +278,40 @@ def test_phrases_are_exact_when_cells_are_shared(spark):
 def test_phrases_in_empty_tables(spark):
     assert mine(spark, []) == []
     assert mine(spark, [("en", None)]) == []
+
+
+def test_phrases_are_counted_in_sections(spark, monkeypatch):
+    """A scan of much text shuffles one section of the phrases at a time; the sections have no phrase in common and miss none."""
+    seen, count = Counter(), phrases.count_shard
+
+    def spied(docs, scan, shards, tables, lengths, buckets, sections, section):
+        new = count(docs, scan, shards, tables, lengths, buckets, sections, section)
+        seen[scan, sections, frozenset(r.bucket % sections for r in new.select("bucket").distinct().collect())] += 1
+        return new
+
+    monkeypatch.setattr(phrases, "SECTION_BYTES", 100)
+    monkeypatch.setattr(phrases, "count_shard", spied)
+    rows = TALK[:200] + ODD
+    assert mine(spark, rows) == mined(rows, 10, 2000)
+    assert {b for s, n, b in seen if s == 0 and n == 3} == {frozenset([0]), frozenset([1]), frozenset([2])}
+
+
+def test_complete_cycles_keep_frequent_phrases_only(spark, monkeypatch):
+    """What stays on disk when a length has seen every shard does not grow with the rare phrases; nothing but the result's files stays at the end."""
+    kept, named = Counter(), phrases._named
+
+    def spied(parts, state, *rest):
+        for x in state:
+            for r in x.collect():
+                n = phrases._unpacked(*([bytes(v)] for v in (r.a, r.b, r.kind, r.n)))[3]
+                kept.update(few=int((n < 10).sum()), frequent=int((n >= 10).sum()))
+        return named(parts, state, *rest)
+
+    monkeypatch.setattr(phrases, "_named", spied)
+    shared = Path(shared_dir(spark).replace("file:", ""))
+    before = set(shared.rglob("part-*.parquet"))
+    rows = TALK[:200] + ODD + [("en", f"rare{i} word{i}") for i in range(300)]
+    assert mine(spark, rows) == mined(rows, 10, 2000)
+    assert kept["few"] == 0 < kept["frequent"]
+    left = {p.relative_to(shared).parts[0].rpartition("-")[0] for p in set(shared.rglob("part-*.parquet")) - before}
+    assert left == {"phrases-scored"}
