@@ -45,7 +45,7 @@ from tallyspark.llm.common import forget, new_path, saved, short_batches, tidy
 #: those that are cut into words at a time (more only for a text that is longer).
 SHARDS, CELLS, HELD, BUCKET_BYTES, SLICE_BYTES = 2, 1 << 22, 1 << 19, 1 << 23, 1 << 18
 #: Bytes of all texts for one section of a scan; sections at most (each reads the shard again); groups of documents for a bucket.
-SECTION_BYTES, SECTIONS, SLOTS = 1 << 31, 3, 4
+SECTION_BYTES, SECTIONS, SLOTS = 1 << 31, 2, 4
 #: Words of the longest phrase, smallest count (fixed values of the query).
 LONGEST, LEAST, TOP = 3, 10, 2000
 NEVER = 255

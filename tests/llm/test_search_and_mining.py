@@ -290,6 +290,7 @@ def test_phrases_are_counted_in_sections(spark, monkeypatch):
         return new
 
     monkeypatch.setattr(phrases, "SECTION_BYTES", 100)
+    monkeypatch.setattr(phrases, "SECTIONS", 3)
     monkeypatch.setattr(phrases, "count_shard", spied)
     rows = TALK[:200] + ODD
     assert mine(spark, rows) == mined(rows, 10, 2000)
